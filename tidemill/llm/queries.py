@@ -5,15 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import bpe, mixing, near_dedup, quality_rules, sharding
 from .shared import table
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: number and digest of its ids, digest of the decoded text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path())
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, the base rules' verdict and that of cross-document line frequency."""
+    out = quality_rules.assess(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), *quality_rules.FEATURES, "base_failed", "kept", "removed_words")
+
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: set size, component and whether it is kept, at a similarity of 0.85."""
     return near_dedup.near_classes(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op7_minhash_near_dedup,)}
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of the mixture in its shuffled order, by the default weights."""
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return out.select("doc_id", "source", F.round("_rate", 6).alias("rate"), F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy_no"), F.col("_order").alias("order_key"))
+
+
+def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes, equal texts together."""
+    out = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe_encoding, op4_quality_rules, op7_minhash_near_dedup, op8_source_mixing, op10_lpt_sharding)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.mixture_sql()}
