@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dedup, quality_rules, sharding
+from . import bpe, line_dedup, mixing, near_dedup, quality_rules, sharding
 from .shared import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document with the first line of its class, its links and whether it is kept."""
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: number and digest of its ids, digest of the decoded text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +57,6 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_encoding, op4_quality_rules, op7_minhash_near_dedup, op8_source_mixing, op10_lpt_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_bpe_encoding, op4_quality_rules, op7_minhash_near_dedup, op8_source_mixing, op10_lpt_sharding)}
 
 ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.mixture_sql()}
