@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, quality_rules, sharding
+from . import bpe, chat, hnsw, line_dedup, mixing, near_dedup, quality_rules, sharding
 from .shared import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -22,6 +22,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted and read back."""
+    spoken = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", spoken), (-7, 1, "assistant", spoken)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_chats(chat.events_of(turns)))
+
+
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: number and digest of its ids, digest of the decoded text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,6 +48,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *quality_rules.FEATURES, "base_failed", "kept", "removed_words")
 
 
+def op6_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one, against all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = hnsw.search(hnsw.build_index(vectors, keep=6), vectors.where("vec_id % 50 = 0"), 5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: set size, component and whether it is kept, at a similarity of 0.85."""
     return near_dedup.near_classes(table(spark, sf_dir, "documents"), percent=85)
@@ -57,6 +72,6 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_bpe_encoding, op4_quality_rules, op7_minhash_near_dedup, op8_source_mixing, op10_lpt_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_bpe_encoding, op4_quality_rules, op6_hnsw_search, op7_minhash_near_dedup, op8_source_mixing, op10_lpt_sharding)}
 
 ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.mixture_sql()}
