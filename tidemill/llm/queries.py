@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hnsw, line_dedup, mixing, near_dedup, quality_rules, sharding
-from .shared import table
+from . import bpe, chat, hnsw, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding
+from .shared import table, written
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -48,6 +48,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *quality_rules.FEATURES, "base_failed", "kept", "removed_words")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """The fold that labels are never learnt from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by the additive model, learnt outside the held-out fold."""
+    measured = written(quality_model.measure(table(spark, sf_dir, "documents")), "measured")
+    gam = quality_model.train(measured, table(spark, sf_dir, "labels").where(~held_out()))
+    out = quality_model.score(measured, gam)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one, against all."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -72,6 +85,6 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_bpe_encoding, op4_quality_rules, op6_hnsw_search, op7_minhash_near_dedup, op8_source_mixing, op10_lpt_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_bpe_encoding, op4_quality_rules, op5_quality_classifier, op6_hnsw_search, op7_minhash_near_dedup, op8_source_mixing, op10_lpt_sharding)}
 
 ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.mixture_sql()}
