@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hnsw, line_dedup, mixing, near_dedup, quality_model, quality_rules, sharding
+from . import bpe, chat, hnsw, line_dedup, mixing, near_dedup, quality_model, quality_rules, secrets, sharding
 from .shared import table, written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -79,12 +79,18 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", F.round("_rate", 6).alias("rate"), F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy_no"), F.col("_order").alias("order_key"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), model)
+
+
 def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes, equal texts together."""
     out = sharding.shard(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_bpe_encoding, op4_quality_rules, op5_quality_classifier, op6_hnsw_search, op7_minhash_near_dedup, op8_source_mixing, op10_lpt_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_bpe_encoding, op4_quality_rules, op5_quality_classifier, op6_hnsw_search, op7_minhash_near_dedup, op8_source_mixing, op9_secret_scan, op10_lpt_sharding)}
 
 ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.mixture_sql()}
