@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,31 +29,6 @@ def _byte_letters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-class PairTree:
-    """Minimum of ``rank * width + place`` over the adjacent pairs; the root is the leftmost lowest-rank merge."""
-
-    def __init__(self, keys: list[int]):
-        self.half = half = 1 << max(0, (len(keys) - 1).bit_length())
-        self.at = at = [NEVER] * half + keys + [NEVER] * (half - len(keys))
-        for k in range(half - 1, 0, -1):
-            a, b = at[2 * k], at[2 * k + 1]
-            at[k] = a if a < b else b
-
-    def root(self) -> int:
-        return self.at[1]
-
-    def put(self, place: int, key: int) -> None:
-        at, k = self.at, self.half + place
-        at[k] = key
-        while k > 1:
-            k >>= 1
-            a, b = at[2 * k], at[2 * k + 1]
-            least = a if a < b else b
-            if at[k] == least:
-                break
-            at[k] = least
-
-
 class ByteBpe:
     """A byte-level BPE vocabulary, from the text of its JSON file."""
 
@@ -71,59 +47,87 @@ class ByteBpe:
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def merge(self, raw: bytes) -> tuple[int, ...]:
-        """Ids of one piece."""
-        ids = [self.byte_ids[b] for b in raw]
+    def merge(self, raw: bytes) -> list[int]:
+        """Ids of one piece.
+
+        ``tree`` is a segment tree over the adjacent pairs: a leaf holds ``rank * n + place``, a node the
+        smaller of its two, so ``tree[1]`` is the leftmost lowest-rank merge.  A merge rewrites at
+        most three leaves and the nodes above them.
+        """
+        ids = list(map(self.byte_ids.__getitem__, raw))
         n, merges = len(ids), self.merges
         if n < 2:
-            return tuple(ids)
-        none = (NEVER, 0)
-        key = lambda a, b, i: (r * n + i) if (r := merges.get(a << 20 | b, none)[0]) < NEVER else NEVER
-        tree = PairTree([key(ids[i], ids[i + 1], i) for i in range(n - 1)])
+            return ids
+        leaves = [m[0] * n + i if (m := merges.get(a << 20 | b)) else NEVER for i, (a, b) in enumerate(pairwise(ids))]
+        half = 1 << (n - 2).bit_length()
+        tree = [NEVER] * half + leaves + [NEVER] * (half - n + 1)
+        for k in range(half - 1, 0, -1):
+            a, b = tree[2 * k], tree[2 * k + 1]
+            tree[k] = a if a < b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (root := tree.root()) < NEVER:
+        while (root := tree[1]) < NEVER:
             i = root % n
             j = after[i]
-            ids[i] = merges[ids[i] << 20 | ids[j]][1]
+            now = ids[i] = merges[ids[i] << 20 | ids[j]][1]
             ids[j] = -1
-            k = after[i] = after[j]
-            if j < n - 1:
-                tree.put(j, NEVER)
+            k, p = after[j], before[i]
+            after[i] = k
+            m = None
             if k < n:
                 before[k] = i
-                tree.put(i, key(ids[i], ids[k], i))
-            else:
-                tree.put(i, NEVER)
-            if (p := before[i]) >= 0:
-                tree.put(p, key(ids[p], ids[i], p))
-        return tuple(x for x in ids if x >= 0)
-
-    def _known(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
+                m = merges.get(now << 20 | ids[k])
+            changed = [(i, m[0] * n + i if m else NEVER)]
+            if j < n - 1:
+                changed.append((j, NEVER))
+            if p >= 0:
+                m = merges.get(ids[p] << 20 | now)
+                changed.append((p, m[0] * n + p if m else NEVER))
+            for x, key in changed:
+                x += half
+                tree[x] = key
+                while x > 1:
+                    other = tree[x ^ 1]
+                    x >>= 1
+                    if other < key:
+                        key = other
+                    if tree[x] == key:
+                        break
+                    tree[x] = key
+        return [x for x in ids if x >= 0]
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as int32 bytes.  A full memo becomes the old one, from which pieces in use come back."""
+        if len(self.memo) > MEMO_PIECES:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
         try:
             return list(map(memo.__getitem__, pieces))
         except KeyError:
-            own = {p: self.merge(p.encode("utf-8", "surrogatepass")) for p in set(pieces) if p not in memo}
-            memo |= {p: ids for p, ids in own.items() if len(p) <= MEMO_CHARS}
-            return [memo[p] if p in memo else own[p] for p in pieces]
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; strings of added tokens become those tokens."""
-        out: list[int] = []
+            own = {}
+            for p in set(pieces):
+                if p not in memo:
+                    ids = old.get(p)
+                    if ids is None:
+                        ids = array("i", self.merge(p.encode("utf-8", "surrogatepass"))).tobytes()
+                    (memo if len(p) <= MEMO_CHARS else own)[p] = ids
+            return [memo[p] if p in memo else own[p] for p in pieces] if own else list(map(memo.__getitem__, pieces))
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text, int32; strings of added tokens become those tokens."""
+        out: list[bytes] = []
         for part in self.cut.split(text) if self.cut and any(a in text for a in self.added) else (text,):
             if part in self.added:
-                out.append(self.added[part])
+                out.append(array("i", [self.added[part]]).tobytes())
             elif part:
-                out.extend(chain.from_iterable(self._known(self.pieces.findall(part))))
-        return out
+                out.extend(self._known(self.pieces.findall(part)))
+        return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -137,9 +141,9 @@ def _vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _lists(lists: list[list[int]]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))))
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -158,7 +162,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         for whole in batches:
             for at in range(0, max(1, whole.num_rows), ROWS):
                 batch = whole.slice(at, ROWS)
-                ids = _lists([bpe.encode(t) if (t := x.as_py()) else [] for x in batch.column(len(keep))])
+                ids = _lists([bpe.encode(t or "") for t in batch.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], [*keep, ids_col])
 
     schema = docs.select(*keep, F.array().cast("array<int>").alias(ids_col)).schema
@@ -176,7 +180,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "te
             for at in range(0, max(1, whole.num_rows), ROWS):
                 batch = whole.slice(at, ROWS)
                 ids = batch.column(len(keep))
-                text = pa.array([bpe.decode(x.values.to_pylist()) if x.is_valid else "" for x in ids], pa.string())
+                text = pa.array([bpe.decode(x.values.to_numpy()) if x.is_valid else "" for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, text], [*keep, ids_col, text_col])
 
     schema = rows.select(*keep, ids_col, F.lit("").alias(text_col)).schema
