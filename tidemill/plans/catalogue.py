@@ -1 +1,3 @@
-"""Registers all queries; grows with the engine."""
+"""Registers all queries."""
+
+from . import analytics  # noqa: F401
