@@ -139,7 +139,7 @@ def clean_source_text(c: Column | str) -> Column:
     x = _col(c)
     for name, value in _ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(value))
-    x = F.replace(F.replace(x, F.lit(" "), F.lit(" ")), F.lit("­"), F.lit(""))
+    x = F.replace(F.replace(x, F.lit("\u00a0"), F.lit(" ")), F.lit("\u00ad"), F.lit(""))
     for pattern, value in (
         (r"(?U)(\w)-\s*\n\s*(\w)", "$1$2"),
         (r"(?i)<br\s*/?>", " "),
@@ -163,7 +163,7 @@ def clean_source_text(c: Column | str) -> Column:
 def collapse_pdf_text(c: Column | str) -> Column:
     """PDF text without line-end hyphens, bullets, dot leaders and spare blanks."""
     x = F.regexp_replace(_col(c), r"(?U)(\w)-\n(\w)", "$1$2")
-    x = F.replace(x, F.lit(" "), F.lit(" "))
+    x = F.replace(x, F.lit("\u00a0"), F.lit(" "))
     for pattern, value in ((r"[·•]+", " "), (r"\.{4,}", " "), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")):
         x = F.regexp_replace(x, pattern, value)
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

@@ -1,3 +1,3 @@
 """Registers all queries."""
 
-from . import analytics  # noqa: F401
+from . import analytics, dialogs, texts  # noqa: F401
