@@ -4,7 +4,8 @@ Lines within ``threshold`` edits share at least one of ``threshold + 1`` segment
 line of a pair is indexed by its segments (number, whole length, text); the longer one probes
 those lengths with the few substrings that the multi-match-aware windows leave, 12 for two
 edits.  Candidates are verified with a banded bit-parallel edit distance: one word of
-``2 * threshold + 2`` bits holds a column of the band.
+``2 * threshold + 2`` bits holds a column of the band.  Edits are of UTF-8 bytes: a substring of
+bytes is cut without walking the line.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import written
 
-#: Edits that two lines of one class may be apart, and the length from which lines are compared at all but equality.
-THRESHOLD, LEAST_CHARS = 2, 24
+#: Byte edits that two lines of one class may be apart, and the bytes from which lines are compared beyond equality.
+THRESHOLD, LEAST_BYTES = 2, 24
 #: Lines up to this many are looked up by a broadcast of their 8-byte hashes; more by a shuffle.
 BROADCAST_LINES = 1_000_000
 
 
 def _segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
-    """First character (from 1) and length of segment ``i`` of ``t + 1``: even parts, the longer ones last."""
+    """First byte (from 1) and length of segment ``i`` of ``t + 1``: even parts, the longer ones last."""
     short = length % (t + 1)
     base = (length / (t + 1)).cast("int")
     longer_before = F.greatest(F.lit(0), F.lit(i - (t + 1)) + short)
@@ -39,7 +40,7 @@ def segment_keys(line: Column, length: Column, t: int) -> Column:
 
 
 def probe_keys(line: Column, length: Column, t: int) -> Column:
-    """Every key under which a line of this length or up to ``t`` characters less can be indexed, if within ``t`` edits."""
+    """Every key under which a line of this length or up to ``t`` bytes less can be indexed, if within ``t`` edits."""
     keys = []
     for gap in range(t + 1):
         shorter = length - gap
@@ -51,27 +52,49 @@ def probe_keys(line: Column, length: Column, t: int) -> Column:
     return F.array_distinct(F.array(*keys)) if t > 2 else F.array(*keys)
 
 
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shared(x: Column, y: Column, bits: int = 20) -> Column:
+    """How many first characters two strings share, up to ``2 ** bits - 1``, by halving."""
+    steps = F.array(*(F.lit(1 << k) for k in range(bits - 1, -1, -1)))
+    more = lambda n, k: (n + k <= F.length(x)) & (F.substring(x, n + 1, k) == F.substring(y, n + 1, k))
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(more(n, k), n + k).otherwise(n))
+
+
+def _middles(a: Column, b: Column, t: int) -> Column:
+    """Both strings without what they share at either end, but for ``t + 1`` characters of it."""
+    cut = lambda q, n: F.struct(F.substring(q["x"], n + 1, F.length(q["x"])).alias("x"), F.substring(q["y"], n + 1, F.length(q["y"])).alias("y"))
+    turned = lambda q: F.struct(F.reverse(q["x"]).alias("x"), F.reverse(q["y"]).alias("y"))
+    shorter = lambda q: _named(q, lambda p: cut(p, F.greatest(_shared(p["x"], p["y"]) - (t + 1), F.lit(0))))
+    return _named(shorter(F.struct(a.alias("x"), b.alias("y"))), lambda p: shorter(turned(p)))
+
+
 def within(a: Column, b: Column, t: int) -> Column:
     """Edit distance of two strings, exact up to ``t`` and over ``t`` beyond it; lengths at most ``t`` apart and over ``t``.
 
-    A column of the band is a word whose bit ``w - 1`` stands for the row ``t`` below the
-    diagonal; ``vp`` and ``vn`` mark where the distance rises and falls from row to row.
+    What the strings share at both ends is left aside.  In the rest a column of the band is a
+    word whose bit ``w - 1`` stands for the row ``t`` below the diagonal; ``vp`` and ``vn`` mark
+    where the distance rises and falls from row to row.  Once the diagonal is over ``3 * t``
+    nothing can bring it back, and the columns that are left pass unread.
     """
     w = 2 * t + 2
     full = (1 << w) - 1
-    chars = lambda s: F.split(s, "")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     bits = lambda x: x.bitwiseAND(F.lit(full).cast("bigint"))
     inverse = lambda x: F.lit(full).cast("bigint").bitwiseXOR(x)
-    bit = lambda x, k: F.call_function("shiftright", x, k).bitwiseAND(F.lit(1).cast("bigint"))
+    bit = lambda x, k: F.call_function("shiftright", x, k).bitwiseAND(one)
 
     def run(pair: Column) -> Column:
         x, y, m = pair["x"], pair["y"], pair["m"]
-        start = F.struct(F.lit(((1 << (t + 1)) - 1) << (w - t - 1)).cast("bigint").alias("vp"), F.lit(0).cast("bigint").alias("vn"), F.lit(t).cast("bigint").alias("d"), F.lit(0).alias("j"))
+        start = F.struct(F.lit(((1 << (t + 1)) - 1) << (w - t - 1)).cast("bigint").alias("vp"), none.alias("vn"), F.lit(t).cast("bigint").alias("d"), F.lit(0).alias("j"))
 
         def first(s: Column, c: Column) -> Column:
-            match = F.lit(0).cast("bigint")
+            match = none
             for d in range(w):
-                match = match + F.when(F.get(x, s["j"] + (t - (w - 1 - d))) == c, F.lit(1 << d).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+                match = match + F.when(F.get(x, s["j"] + (t - (w - 1 - d))) == c, F.lit(1 << d).cast("bigint")).otherwise(none)
             return F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), s["j"].alias("j"), match.alias("pm"))
 
         def second(q: Column) -> Column:
@@ -80,53 +103,53 @@ def within(a: Column, b: Column, t: int) -> Column:
 
         def third(q: Column) -> Column:
             k = F.lit(w - 2) - (q["j"] - (m - t))
-            along = F.lit(1).cast("bigint") - bit(q["d0"], F.lit(w - 1))
-            across = bit(q["hp"], k) - bit(q["hn"], k)
+            along, across = one - bit(q["d0"], F.lit(w - 1)), bit(q["hp"], k) - bit(q["hn"], k)
             low = F.shiftright(q["d0"], 1)
             return F.struct(
                 q["hn"].bitwiseOR(inverse(low.bitwiseOR(q["hp"]))).alias("vp"), low.bitwiseAND(q["hp"]).alias("vn"), (q["d"] + F.when(q["j"] < m - t, along).otherwise(across)).alias("d"), (q["j"] + 1).alias("j")
             )
 
-        one = lambda f, v: F.element_at(F.transform(F.array(v), f), 1)  # noqa: E731  names a value, so that it is made once
-        return F.aggregate(y, start, lambda s, c: one(third, one(second, first(s, c))), lambda s: s["d"])
+        step = lambda s, c: F.when(s["d"] > 3 * t, s).otherwise(_named(_named(first(s, c), second), third))
+        return F.aggregate(y, start, step, lambda s: s["d"])
 
-    return F.element_at(F.transform(F.array(F.struct(chars(a).alias("x"), chars(b).alias("y"), F.length(a).alias("m"))), run), 1)
+    chars = lambda p: F.struct(F.split(p["x"], "").alias("x"), F.split(p["y"], "").alias("y"), F.length(p["x"]).alias("m"))
+    return _named(_named(_middles(a, b, t), chars), run)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    parts = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)
+    parts = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1), lambda x: F.lower(F.btrim(x, F.lit(" \t\r"))).cast("binary"))
     lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(parts).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.lower(F.regexp_replace("line", "^[ \t\r]+|[ \t\r]+$", "")))
-    lines = lines.where("line <> ''")
+    lines = lines.where(F.octet_length("line") > 0)
     return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """One row for each line with a character that is not a blank: ``doc_id, line_no, class_doc, class_line, n_links, kept``.
 
     Lines are compared lower-cased and trimmed of blanks.  Equal lines are one text; two texts of
-    ``least_chars`` characters or more within ``threshold`` edits are linked; a class is a
+    ``least_bytes`` bytes or more within ``threshold`` byte edits are linked; a class is a
     connected component, named by its first line in (doc_id, line_no), which alone is kept.
     ``n_links`` counts the different texts that a line is linked with.
 
-    Keys of segments and probes are summed to their texts before they meet, so a line that very
-    many documents hold is indexed once.  Texts are read again only for candidate pairs.
+    Keys of segments are summed to their texts before the join, so a line that very many
+    documents hold is indexed once; probes of a hot line spread over the parts of its split partition.  Texts are read again only for candidate pairs.
 
     Null and empty texts give no lines; rows of a null id come first in the order and are named
     by null; a repeated row repeats its lines, and equal places share one verdict.  Other columns are not read.
     """
     lines = _lines(docs, id_col, text_col)
     places = written(lines.select("doc_id", "line_no", "h1", "h2"), "places")
-    long = lines.select("h1", F.length("line").alias("n"), "line").where(F.col("n") >= least_chars)
+    long = lines.select("h1", F.octet_length("line").alias("n"), "line").where(F.col("n") >= least_bytes)
     indexed = long.select(F.col("h1").alias("short"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key")).distinct()
-    probes = long.select(F.col("h1").alias("long"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key")).distinct()
-    pairs = probes.join(indexed, "key").where("short <> long").select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
+    probes = long.select(F.col("h1").alias("long"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
+    pairs = probes.join(indexed.hint("shuffle_hash"), "key").where("short <> long").select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
     pairs = written(pairs, "pairs")
 
     asked = written(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "asked")
     if asked.count() <= BROADCAST_LINES:
         asked = F.broadcast(asked)
-    texts = written(lines.select("h1", "line").join(asked, "h1", "left_semi").dropDuplicates(["h1"]), "texts")
+    texts = lines.select("h1", F.decode("line", "ISO-8859-1").alias("line"))
+    texts = written(texts.join(asked, "h1", "left_semi").dropDuplicates(["h1"]), "texts")
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
     both = both.where(F.abs(F.length("x") - F.length("y")) <= threshold)
     links = written(both.where(within(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b"), "line_links")
@@ -144,13 +167,13 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n_links", same.alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``docs`` with only the first line of each class; columns unchanged, cases as in ``line_classes``.
 
     Documents of which no line is left, though they had some, are dropped: all they held stands
     elsewhere.  Lines without characters stay.
     """
-    gone = line_classes(docs, id_col, text_col, threshold, least_chars).groupBy("doc_id").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), F.max("kept").alias("_left"))
+    gone = line_classes(docs, id_col, text_col, threshold, least_bytes).groupBy("doc_id").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), F.max("kept").alias("_left"))
     gone = gone.where(F.size("_gone") > 0).withColumnRenamed("doc_id", "_id")
     out = docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(F.col("_id")), "left").where("coalesce(_left, true)")
     lines = F.split(F.col(text_col), "\n", -1)
