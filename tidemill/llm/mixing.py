@@ -33,17 +33,22 @@ def target_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     return sizes.select("source", "n", (F.lit(float(all_n)) * F.col("w") / F.lit(float(all_w)) / F.col("n") * F.lit(float(total))).alias("rate"))
 
 
-def poisson_count(u: Column, rate: Column) -> Column:
-    """The Poisson quantile of ``u`` in [0, 1): how many of P(X <= 0), P(X <= 1), ... are at most ``u``.
+def poisson_steps(rate: Column) -> Column:
+    """P(X <= 0), P(X <= 1), ... of a Poisson variable, to rate + 12 * sqrt(rate) + 40, past which nothing of a double is left; rates over 600 underflow and are refused."""
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int") - 1
+    start = F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("cdf"))
 
-    Terms run to rate + 12 * sqrt(rate) + 40, past which nothing of a double is left above ``u``; rates over 600 underflow and are refused.
-    """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
-    step = lambda s, k: F.struct(
-        (s["term"] * rate / k).alias("term"), (s["cdf"] + s["term"] * rate / k).alias("cdf"), (s["n"] + (s["cdf"] <= u).cast("int")).alias("n")
-    )
-    return F.when(rate <= 600, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["n"])).otherwise(F.raise_error(F.lit("a source's rate is over 600")).cast("int"))
+    def step(s: Column, k: Column) -> Column:
+        term = s["term"] * rate / k
+        return F.struct(term.alias("term"), F.array_append(s["cdf"], F.element_at(s["cdf"], -1) + term).alias("cdf"))
+
+    return F.when(rate <= 600, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"])).otherwise(F.raise_error(F.lit("a source's rate is over 600")).cast("array<double>"))
+
+
+def poisson_count(u: Column, steps: Column) -> Column:
+    """The Poisson quantile of ``u`` in [0, 1): how many steps are at most ``u``, found by halving the sorted array."""
+    halves = F.array(*(F.lit(1 << k) for k in range(10, -1, -1)))
+    return F.aggregate(halves, F.lit(0), lambda n, k: F.when((n + k <= F.size(steps)) & (F.get(steps, n + k - 1) <= u), n + k).otherwise(n))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, power: float = POWER, total: float = 1.0, seed: int = 0) -> DataFrame:
@@ -57,10 +62,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     Null ids hash as ``""``; repeated rows share their id's count; rows of a null source form
     the source ``""``; texts are carried unread.  An empty table gives no rows.
     """
-    rates = target_rates(docs, source_col, weights, power, total).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    rates = target_rates(docs, source_col, weights, power, total).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), poisson_steps(F.col("rate")).alias("_steps"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     keyed = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).join(rates, "_source").drop("_source")
-    counted = keyed.withColumn("_n", poisson_count(hash64(F.lit(f"count{seed}"), key) / SPAN, F.col("_rate"))).where("_n > 0")
+    counted = keyed.withColumn("_n", poisson_count(hash64(F.lit(f"count{seed}"), key) / SPAN, F.col("_steps"))).drop("_steps").where("_n > 0")
     copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumnRenamed("_n", "_copies")
     shuffled = copies.withColumn("_order", hash64(F.lit(f"order{seed}"), key, F.col("_copy").cast("string")))
     return shuffled.repartitionByRange(shuffle_width(docs.sparkSession), "_order", "_copy").sortWithinPartitions("_order", "_copy")
