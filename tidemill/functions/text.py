@@ -210,8 +210,12 @@ def pdf_words(c: Column | str) -> Column:
 
 def shingles(words: Column, width: int = 3) -> Column:
     """Distinct runs of ``width`` words joined by blanks; none if there are fewer words."""
-    places = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(words, i, width), " ")))
+
+    def cut(w: Column) -> Column:
+        places = F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - width + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(w, i, width), " ")))
+
+    return F.element_at(F.transform(F.array(words), cut), 1)  # names the words, so that they are made once
 
 
 def text_id(c: Column | str) -> Column:

@@ -1,3 +1,3 @@
 """Registers all queries."""
 
-from . import analytics, dialogs, ingest, moderation, texts  # noqa: F401
+from . import analytics, dialogs, ingest, moderation, retrieval, texts  # noqa: F401
