@@ -1,3 +1,3 @@
 """Registers all queries."""
 
-from . import analytics, dialogs, ingest, moderation, retrieval, suggest, texts  # noqa: F401
+from . import analytics, dialogs, ingest, moderation, retrieval, streams, suggest, texts  # noqa: F401
