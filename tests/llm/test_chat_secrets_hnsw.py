@@ -1,0 +1,105 @@
+"""Round trips of chats, verdicts on findings, and recall of the graphs."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from tidemill.llm import chat, hnsw, secrets
+
+PARTS = ["<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "[ROLE]", "[/ROLE]", "\\", "<", "[", "]", "ok", " ", "\n", "é"]
+
+
+@given(st.lists(st.tuples(st.lists(st.sampled_from(PARTS), max_size=6).map("".join), st.lists(st.sampled_from(PARTS), max_size=12).map("".join)), max_size=5), st.booleans())
+def test_turns_round_trip(turns, known):
+    turns = [("assistant" if known else role, text) for role, text in turns]
+    written = [chat.render_turn(*t) for t in turns]
+    assert chat.read_turns("".join(w for w, *_ in written)) == turns
+    for (w, a, b), (_, text) in zip(written, turns, strict=True):
+        assert chat.unescape(w[a:b]) == text
+        assert not any(c in w[a:b] for c in ("</s>", "<s>", "[INST]", "[/ROLE]"))
+
+
+def test_events_fold(spark):
+    rows = [
+        (1, 0, 1, 0, "start", "user", None), (1, 0, 1, 1, "delta", None, "hel"), (1, 0, 1, 2, "delta", None, "lo"),
+        (1, 1, 1, 3, "start", "assistant", None), (1, 1, 1, 4, "delta", None, "bad"), (1, 1, 1, 5, "regenerate", None, None), (1, 1, 1, 7, "delta", None, "y"), (1, 1, 1, 6, "delta", None, "ok"),
+        (1, 2, 1, 8, "start", "user", None), (1, 2, 1, 9, "delta", None, "typo"), (1, 2, 1, 10, "edit", None, "fixed"), (1, 2, 1, 11, "delta", None, "!"),
+        (1, 3, 1, 12, "start", "user", None), (1, 3, 1, 13, "delete", None, None), (None, None, 1, None, "start", None, None),
+    ]
+    log = spark.createDataFrame(rows, chat.EVENTS)
+    out = {r.conv_id: (r.role, r.text) if r.conv_id is None else None for r in chat.fold_messages(log).collect()}
+    assert out == {1: None, None: ("", "")}
+    one = chat.format_chats(log.where("conv_id = 1")).collect()[0]
+    assert chat.read_turns(one.formatted) == [("user", "hello"), ("assistant", "oky"), ("user", "fixed!")]
+    assert [one.formatted[a:b] for a, b in one.loss_spans] == ["oky"]
+    assert chat.format_chats(log.limit(0)).count() == 0
+
+
+def test_conversations_read_back(spark):
+    turns = [(1, 1, "assistant", "</s>[INST] ok"), (1, 0, "user", None), (2, 0, "tool [x]", "a\\<s>"), (2, 0, "tool [x]", "a\\<s>"), (None, None, None, None)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as seq", "2 as kind")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(chat.events_of(df))).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == (2, sha("user\n\nassistant\n</s>[INST] ok\n"), 13, sha("</s>[INST] ok"))
+    assert (got[2].n_turns, got[2].turns_sha256, got[2].loss_chars) == (2, sha("tool [x]\na\\<s>\n" * 2), 0)
+    assert got[None].turns_sha256 == sha("\n\n")
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def test_secrets_on_documents(spark, forest):
+    hexes, words = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "verschiedenheitlichkeitungen"
+    texts = [(1, f'x token = "{hexes}" y'), (2, f"the {words} of it"), (3, None), (4, ""), (5, f"commit {hexes} and"), (5, f"commit {hexes} and"), (None, "password: Xk29fQz81LmP"), (6, f'é{"z" * 50_000} TOKEN = "{hexes.upper()}"!!')]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").selectExpr("*", "1 as length", "2 as before")
+    rows = secrets.scan(df, forest).collect()
+    found = sorted((r.doc_id or 0, r.start, r.length) for r in rows if r.is_secret)
+    assert found == [(0, 10, 12), (1, 11, 40), (6, 50011, 40)]
+    assert {r.doc_id for r in rows if not r.is_secret} >= {2, 5}
+    assert secrets.scan(df.limit(0), forest).count() == 0
+    plan = secrets.scan(df, forest)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_unseen_findings(spark, forest):
+    out = forest.transform(secrets.with_features(secrets.labelled_findings(spark, 2000, seed=9)))
+    assert out.where("label = prediction").count() > 0.97 * 2000
+
+
+def test_recall_and_exact_scores(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(2500, 16)).astype(np.float32)
+    x[1500:1700] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [None] * 16), (3004, []), (None, x[0].tolist()), (5, x[5].tolist()), (3050, [1.0, 2.0]), (3051, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 as ids", "2 as shard")
+    index = hnsw.build_index(df, keep=6, shard_rows=700)
+    got = {}
+    for row in hnsw.search(index, df.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    wide = x.astype(np.float64)
+    norm = np.sqrt((wide * wide).sum(1))
+    hits = total = 0
+    for q in range(0, 2500, 50):
+        s = wide @ wide[q] / norm / norm[q]
+        s[q] = -2
+        best = np.lexsort((np.arange(2500), -np.round(s, 12)))[:5]
+        hits, total = hits + len(set(best.tolist()) & {v for v, _ in got[q]}), total + 5
+        assert len(got[q]) == 5 and all(abs(v - s[i]) < 1e-12 for i, v in got[q])
+    assert hits / total >= 0.9
+    assert [v for v, _ in got[1500]] == [3, 1501, 1502, 1503, 1504]
+    assert [v for v, _ in got[3050]] == [3051] and set(got) == {*range(0, 2500, 50), 3050}
+    assert hnsw.search(hnsw.build_index(df.limit(0)), df.limit(0)).count() == 0
+
+
+def test_random_graph_is_connected_enough():
+    r = random.Random(1)
+    x = np.array([[r.gauss(0, 1) for _ in range(8)] for _ in range(600)], np.float32)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    g = hnsw.Graph.build(x)
+    assert np.mean([i in g.ask(x[i], 32) for i in range(600)]) > 0.99

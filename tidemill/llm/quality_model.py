@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import SPACES, SYMBOLS, _repeat_words
+from .shared import bounded_batches
 from .words import WordHasher
 
 NAMES = [
@@ -58,7 +59,7 @@ def _measure(batches):
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, features`` of every row; null and empty texts have zeros; null ids and repeated rows pass through."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measure, f"doc_id {dict(docs.dtypes)[id_col]}, features array<double>")
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measure, f"doc_id {dict(docs.dtypes)[id_col]}, features array<double>")
 
 
 @dataclass
@@ -121,20 +122,21 @@ def _step(g: np.ndarray, h: np.ndarray, leaves: int = 3) -> np.ndarray:
 
 
 def _step2(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """A tree of depth two over a grid: one feature cut first, each half then by the other; the better order."""
+    """A tree of depth two over a grid: the cut of one feature, then of each half by the other, that gain most together."""
     best = (-1.0, np.zeros_like(g))
     for turn in (False, True):
         a, b = (g.T, h.T) if turn else (g, h)
-        _, at = _split(a.sum(1), b.sum(1))
-        out, gain = np.zeros_like(a), -float(_gain(a.sum(), b.sum()))
-        for rows in (slice(0, at), slice(at, None)):
-            x, y = a[rows].sum(0), b[rows].sum(0)
-            _, cut = _split(x, y)
-            for cols in (slice(0, cut), slice(cut, None)):
-                gain += float(_gain(x[cols].sum(), y[cols].sum()))
-                out[rows, cols] = x[cols].sum() / (y[cols].sum() + 1.0)
-        if gain > best[0]:
-            best = (gain, out.T if turn else out)
+        ca, cb, whole = np.cumsum(a, 0), np.cumsum(b, 0), float(_gain(a.sum(), b.sum()))
+        for at in range(1, len(a)):
+            halves = [(slice(0, at), ca[at - 1], cb[at - 1]), (slice(at, None), ca[-1] - ca[at - 1], cb[-1] - cb[at - 1])]
+            cuts = [_split(x, y) for _, x, y in halves]
+            gain = sum(c[0] + float(_gain(x.sum(), y.sum())) for c, (_, x, y) in zip(cuts, halves, strict=True)) - whole
+            if gain > best[0]:
+                out = np.zeros_like(a)
+                for (_, cut), (rows, x, y) in zip(cuts, halves, strict=True):
+                    for cols in (slice(0, cut), slice(cut, None)):
+                        out[rows, cols] = x[cols].sum() / (y[cols].sum() + 1.0)
+                best = (gain, out.T if turn else out)
     return best
 
 
