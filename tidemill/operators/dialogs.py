@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-OPENING = Window.partitionBy("conv_id").orderBy("turn")
+def _opening():
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def rollup(messages: DataFrame) -> DataFrame:
@@ -43,14 +44,14 @@ def recency(stamp: Column, today: dt.date, zone: str = "UTC") -> Column:
 
 def question_answer_pairs(messages: DataFrame) -> DataFrame:
     """Each user message with the next assistant message of its dialog; null if none follows."""
-    after = OPENING.rowsBetween(1, Window.unboundedFollowing)
+    after = _opening().rowsBetween(1, Window.unboundedFollowing)
     answer = F.first(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(after)
     return messages.withColumn("answer_turn", answer).where("role = 'user'").select("conv_id", "turn", "answer_turn")
 
 
 def last_answers(messages: DataFrame) -> DataFrame:
     """The last non-empty answer of a dialog that has an earlier request, and the nearest such request."""
-    asked = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(OPENING.rowsBetween(Window.unboundedPreceding, -1))
+    asked = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(_opening().rowsBetween(Window.unboundedPreceding, -1))
     answers = messages.withColumn("request_turn", asked).where("role = 'assistant' and trim(text) <> '' and request_turn is not null")
     return answers.groupBy("conv_id").agg(F.max("turn").alias("answer_turn"), F.max_by("request_turn", "turn").alias("request_turn"))
 
@@ -69,13 +70,13 @@ def last_turns(messages: DataFrame, most: int = 4, longest: int = 800) -> DataFr
 
 
 def previous_role(messages: DataFrame) -> DataFrame:
-    return messages.select("conv_id", "turn", "role", F.lag("role").over(OPENING).alias("previous"))
+    return messages.select("conv_id", "turn", "role", F.lag("role").over(_opening()).alias("previous"))
 
 
 def follow_up_queries(messages: DataFrame, is_follow_up: Column) -> DataFrame:
     """The query of each user turn: a follow-up is put after the user's question before it."""
     users = messages.where("role = 'user'")
-    before = F.lag("text").over(OPENING)
+    before = F.lag("text").over(_opening())
     return users.select("conv_id", "turn", F.when(is_follow_up & before.isNotNull(), F.concat_ws(" ", before, "text")).otherwise(F.col("text")).alias("query"))
 
 
