@@ -18,6 +18,8 @@ from .shared import written
 
 #: Byte edits that two lines of one class may be apart, and the bytes from which lines are compared beyond equality.
 THRESHOLD, LEAST_BYTES = 2, 24
+#: An edit changes at most two of these characters' counts, each by one; lines whose counts are further apart are never paired.
+COUNTED = " eantiorshdlu,."
 #: Lines up to this many are looked up by a broadcast of their 8-byte hashes; more by a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -117,22 +119,26 @@ def within(a: Column, b: Column, t: int) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    parts = F.transform(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1), lambda x: F.lower(F.btrim(x, F.lit(" \t\r"))).cast("binary"))
+    parts = F.split(F.replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit("\r")), "\n", -1)
     lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(parts).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.trim("line").cast("binary"))
     lines = lines.where(F.octet_length("line") > 0)
     return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """One row for each line with a character that is not a blank: ``doc_id, line_no, class_doc, class_line, n_links, kept``.
+    """One row for each line that is not blank: ``doc_id, line_no, class_doc, class_line, n_links, kept``.
 
-    Lines are compared lower-cased and trimmed of blanks.  Equal lines are one text; two texts of
+    Lines are compared lower-cased, without carriage returns and outer blanks.  Equal lines are one text; two texts of
     ``least_bytes`` bytes or more within ``threshold`` byte edits are linked; a class is a
     connected component, named by its first line in (doc_id, line_no), which alone is kept.
     ``n_links`` counts the different texts that a line is linked with.
 
-    Keys of segments are summed to their texts before the join, so a line that very many
-    documents hold is indexed once; probes of a hot line spread over the parts of its split partition.  Texts are read again only for candidate pairs.
+    Segments are summed by key before probes meet them, so a line that very many documents
+    hold costs no more than its copies.  Probes and segments that meet no other line are dropped
+    first, which pairs nothing, and texts are read again for the rest alone.  Of those, lines
+    are paired, at the first segment they share, whose counts of frequent characters allow the
+    threshold: many lines may agree in a segment and differ by more elsewhere.
 
     Null and empty texts give no lines; rows of a null id come first in the order and are named
     by null; a repeated row repeats its lines, and equal places share one verdict.  Other columns are not read.
@@ -140,22 +146,37 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = _lines(docs, id_col, text_col)
     places = written(lines.select("doc_id", "line_no", "h1", "h2"), "places")
     long = lines.select("h1", F.octet_length("line").alias("n"), "line").where(F.col("n") >= least_bytes)
-    indexed = long.select(F.col("h1").alias("short"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key")).distinct()
+    indexed = written(long.select(F.col("h1").alias("short"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key")), "segments")
     probes = long.select(F.col("h1").alias("long"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    pairs = probes.join(indexed.hint("shuffle_hash"), "key").where("short <> long").select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
+    ends = indexed.groupBy(F.col("key").alias("at")).agg(F.min("short").alias("lo"), F.max("short").alias("hi"))
+    met = (F.col("key") == F.col("at")) & ((F.col("lo") != F.col("long")) | (F.col("hi") != F.col("long")))
+    probes = written(probes.join(ends.hint("shuffle_hash"), met, "left_semi").distinct(), "probes")
+    indexed = written(indexed.join(probes.select("key").distinct(), "key", "left_semi").distinct(), "indexed")
 
-    asked = written(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "asked")
+    asked = written(probes.select(F.col("long").alias("h1")).union(indexed.select("short")).distinct(), "asked")
     if asked.count() <= BROADCAST_LINES:
         asked = F.broadcast(asked)
-    texts = lines.select("h1", F.decode("line", "ISO-8859-1").alias("line"))
-    texts = written(texts.join(asked, "h1", "left_semi").dropDuplicates(["h1"]), "texts")
+    texts = written(lines.select("h1", "line").join(asked, "h1", "left_semi").dropDuplicates(["h1"]), "texts")
+    text = F.decode("line", "ISO-8859-1")
+    tallies = ((F.length(text) - F.length(F.replace(text, F.lit(c)))).alias(f"n{k}") for k, c in enumerate(COUNTED))
+    size = F.octet_length("line")
+    sketch = written(texts.select("h1", size.alias("n"), segment_keys(F.col("line"), size, threshold).alias("segments"), probe_keys(F.col("line"), size, threshold).alias("probes"), *tallies), "sketches")
+    tally = [f"n{k}" for k in range(len(COUNTED))]
+    long_side = probes.join(sketch.select(F.col("h1").alias("long"), "n", "probes", *tally), "long").select("key", F.struct("long", "n", "probes", *tally).alias("l"))
+    short_side = indexed.join(sketch.select(F.col("h1").alias("short"), "n", "segments", *tally), "short").select("key", F.struct("short", "n", "segments", *tally).alias("s"))
+    differ = sum(F.abs(F.col(f"l.{c}") - F.col(f"s.{c}")) for c in tally)
+    ordered = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.short") < F.col("l.long")))
+    shared = F.filter("s.segments", lambda k: F.array_contains("l.probes", k))
+    once = F.get(shared, F.lit(0)) == F.col("at")
+    pairs = long_side.join(short_side.withColumnRenamed("key", "at"), (F.col("key") == F.col("at")) & ordered & (differ <= 2 * threshold) & once)
+    pairs = written(pairs.select(F.least("s.short", "l.long").alias("a"), F.greatest("s.short", "l.long").alias("b")).distinct(), "pairs")
+    texts = texts.select("h1", text.alias("line"))
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
     both = both.where(F.abs(F.length("x") - F.length("y")) <= threshold)
     links = written(both.where(within(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b"), "line_links")
 
-    ends = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count("*").alias("n_links"))
-    linked = ends.join(components(links), F.col("h1") == F.col("node")).select("h1", "n_links", "component")
+    degrees = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count("*").alias("n_links"))
+    linked = degrees.join(components(links), F.col("h1") == F.col("node")).select("h1", "n_links", "component")
     firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     firsts = firsts.join(linked, "h1", "left").withColumn("class", F.coalesce("component", "h1"))
     alone = firsts.where("component is null").select("h1", "h2", F.lit(0).cast("bigint").alias("n_links"), "first")
