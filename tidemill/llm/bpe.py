@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from array import array
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: Fixed values of byte-level BPE: how a text is cut before merging, with Unicode's own white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = 1 << 60
 #: Pieces of up to this many characters are remembered, up to this many of them.
 MEMO_CHARS, MEMO_PIECES = 48, 400_000
+#: Pieces that a worker keeps between tasks: those it met first, which are the frequent ones.
+KEPT_PIECES = 300_000
 ROWS = 256
 
 
@@ -115,6 +119,10 @@ class ByteBpe:
                     (memo if len(p) <= MEMO_CHARS else own)[p] = ids
             return [memo[p] if p in memo else own[p] for p in pieces] if own else list(map(memo.__getitem__, pieces))
 
+    def rest(self) -> None:
+        """Give back memory at the end of a task; the worker may next run something else."""
+        self.memo, self.old = dict(islice(self.memo.items(), KEPT_PIECES)), {}
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, int32; strings of added tokens become those tokens."""
         out: list[bytes] = []
@@ -164,9 +172,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 batch = whole.slice(at, ROWS)
                 ids = _lists([bpe.encode(t or "") for t in batch.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], [*keep, ids_col])
+        bpe.rest()
 
     schema = docs.select(*keep, F.array().cast("array<int>").alias(ids_col)).schema
-    return docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*keep, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -184,4 +193,4 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*batch.columns, text], [*keep, ids_col, text_col])
 
     schema = rows.select(*keep, ids_col, F.lit("").alias(text_col)).schema
-    return rows.select(*keep, F.col(ids_col).cast("array<int>")).mapInArrow(run, schema)
+    return bounded_batches(rows).select(*keep, F.col(ids_col).cast("array<int>")).mapInArrow(run, schema)

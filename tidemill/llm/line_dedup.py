@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import kept, written
 
 #: Byte edits that two lines of one class may be apart, and the bytes from which lines are compared beyond equality.
 THRESHOLD, LEAST_BYTES = 2, 24
@@ -144,9 +144,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by null; a repeated row repeats its lines, and equal places share one verdict.  Other columns are not read.
     """
     lines = _lines(docs, id_col, text_col)
-    places = written(lines.select("doc_id", "line_no", "h1", "h2"), "places")
+    places = kept(lines.select("doc_id", "line_no", "h1", "h2"))
     long = lines.select("h1", F.octet_length("line").alias("n"), "line").where(F.col("n") >= least_bytes)
-    indexed = written(long.select(F.col("h1").alias("short"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key")), "segments")
+    indexed = kept(long.select(F.col("h1").alias("short"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key")))
     probes = long.select(F.col("h1").alias("long"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
     ends = indexed.groupBy(F.col("key").alias("at")).agg(F.min("short").alias("lo"), F.max("short").alias("hi"))
     met = (F.col("key") == F.col("at")) & ((F.col("lo") != F.col("long")) | (F.col("hi") != F.col("long")))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import bounded_batches, kept, written
 from .words import WordHasher, mix, shingle_set
 
 SIDE, DEPTH = 8, 2
@@ -25,6 +25,8 @@ SIDE, DEPTH = 8, 2
 LEAST_EQUAL = 13
 #: Documents of a group that are compared in one task; larger groups are cut in blocks of this size.
 BLOCK = 256
+#: Documents whose sets a task holds at a time before it passes them on.
+ROWS = 512
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -54,9 +56,11 @@ def _signer(width: int):
 def _setter(width: int):
     def fetch(batches):
         hasher = WordHasher()
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), hasher, width).view(np.int64) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "shingles"])
+        for whole in batches:
+            for at in range(0, max(1, whole.num_rows), ROWS):
+                batch = whole.slice(at, ROWS)
+                sets = [shingle_set(t.as_py(), hasher, width).view(np.int64) for t in batch.column(3)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "shingles"])
 
     return fetch
 
@@ -106,9 +110,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id share one row with null ``component_id``, kept.  An id that repeats counts once, by the
     smallest set hash of its rows.  Other columns are not read; an empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = texts.mapInArrow(_signer(width), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>")
-    signed = written(signed, "signed").where("doc_id is not null")
+    signed = kept(signed).where("doc_id is not null")
     least = signed.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n_shingles")).alias("s"))
     one = least.select("doc_id", "s.h1", "s.h2", "s.n_shingles")
     classes = written(one.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "classes")

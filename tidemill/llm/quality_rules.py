@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .shared import written
+from .shared import bounded_batches, kept
 from .words import WordHasher, windows
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -67,7 +67,7 @@ def _count(batches):
 def _keyed(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), host.alias("host"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("text"))
+    return bounded_batches(docs).select(F.col(id_col).alias("id"), host.alias("host"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"), text.alias("text"))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED) -> DataFrame:
@@ -84,9 +84,9 @@ def assess(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", te
     they have no words.  Repeated rows and null ids each keep their row; an empty table gives none.
     """
     schema = f"id {dict(docs.dtypes)[id_col]}, host string, text_key binary, {', '.join(f'{c} bigint' for c in FEATURES)}, line_keys array<bigint>, line_words array<bigint>"
-    base = written(_keyed(docs, id_col, host_col, text_col).mapInArrow(_count, schema), "counts")
+    base = kept(_keyed(docs, id_col, host_col, text_col).mapInArrow(_count, schema))
     pairs = base.select("host", "text_key", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l"))
-    lines = written(pairs.select("host", "text_key", F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words")).distinct(), "lines")
+    lines = pairs.select("host", "text_key", F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words")).distinct()
     sizes = base.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
     often = often.join(sizes, "host").where(F.col("n") > max_share * F.col("texts")).select("host", "line")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, hnsw, line_dedup, mixing, near_dedup, quality_model, quality_rules, secrets, sharding
-from .shared import table, written
+from .shared import kept, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -55,7 +55,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score by the additive model, learnt outside the held-out fold."""
-    measured = written(quality_model.measure(table(spark, sf_dir, "documents")), "measured")
+    measured = kept(quality_model.measure(table(spark, sf_dir, "documents")))
     gam = quality_model.train(measured, table(spark, sf_dir, "labels").where(~held_out()))
     out = quality_model.score(measured, gam)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

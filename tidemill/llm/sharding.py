@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, written
+from .shared import kept, shuffle_width, written
 
 #: Groups over ``total / (shards * FINE)`` bytes are scheduled one by one by the driver: at most ``shards * FINE`` of them.
 FINE = 64
@@ -67,7 +67,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     raw = F.coalesce(text, F.lit("")).cast("binary")
     key = F.when(text.isNull(), F.lit(b"")).otherwise(F.unhex(F.sha2(raw, 256)))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), key.alias("text_key"))
-    rows = written(rows, "sizes")
+    rows = kept(rows)
     groups = written(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")), "groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     large = F.col("bytes") * (shards * fine) > total

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` kept on the executors' disks for the steps that read it again.
+
+    For what one pass over the input gives: a lost executor's part is made again from its own
+    input files.  What stands behind a shuffle is ``written`` instead.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+#: Rows of whole texts that go to a Python worker at a time.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches cut to ``BATCH_ROWS`` rows if they are longer: whole texts make long rows."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of an explicit repartition: the session's own shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
