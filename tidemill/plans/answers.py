@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers as A
+from ..operators import clarify as C
 from ..registry import query
 from ..sources import formats
 from ..sources import tables as S
@@ -66,3 +67,19 @@ def ndjson_streams(spark, sf_dir):
 @query("truncated_excerpts", r"SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN contains(substring(text, 1, 300), ' ') THEN regexp_replace(substring(text, 1, 300), ' [^ ]*\z', '') ELSE substring(text, 1, 300) END AS excerpt FROM documents")
 def truncated_excerpts(spark, sf_dir):
     return S.table(spark, sf_dir, "documents").select("doc_id", A.truncated(F.col("text"), F.lit(300)).alias("excerpt"))
+
+
+@query(
+    "option_list",
+    f"WITH {S.CHUNKS}, o AS (SELECT section, lower(substring(text, 1, 30)) AS k, min((document * 100000 + ord, substring(text, 1, 30))) AS f FROM chunks GROUP BY ALL), r AS (SELECT section, struct_extract(f, 1) AS place, struct_extract(f, 2) AS label, row_number() OVER (PARTITION BY section ORDER BY struct_extract(f, 1)) AS rank FROM o) SELECT section, place, label, CAST(rank AS INT) AS rank FROM r WHERE rank <= 6",
+)
+def option_list(spark, sf_dir):
+    """The first six distinct labels of each section."""
+    rows = S.chunks(spark, sf_dir).select("section", (F.col("document") * 100000 + F.col("ord")).alias("place"), F.substring("text", 1, 30).alias("label"))
+    return C.options(rows, ["section"], "place", "label")
+
+
+@query("request_stems", f"WITH {S.MESSAGES} SELECT conv_id, turn, len(list_distinct({_STEMS('text')})) AS n_stems, regexp_matches(text, '^(?:[0-9]{{10}}|[0-9]{{12}})$') AS is_tax_number FROM messages WHERE role = 'user'")
+def request_stems(spark, sf_dir):
+    m = S.messages(spark, sf_dir).where("role = 'user'")
+    return m.select("conv_id", "turn", F.size(C.expanded_stems(F.col("text"))).cast("bigint").alias("n_stems"), F.col("text").rlike("^(?:[0-9]{10}|[0-9]{12})$").alias("is_tax_number"))
