@@ -278,3 +278,18 @@ def test_claims_are_taken_once(spark, tmp_path):
 def test_patterns_have_no_catastrophic_case(spark):
     assert one(spark, T.sentences("x"), x="a. " * 5000 + "B") is not None
     assert re.match(r".*", "x")
+
+
+def test_prepared_queries(spark):
+    q = spark.createDataFrame([(1, "Новый договор № 123456"), (2, "акт сверки и подписи где"), (3, "подписи договор"), (4, "№ 7")], "qid bigint, query string")
+    c = spark.createDataFrame([(1, "новый договор", "Глава 1"), (2, "акт сверки и подписи", "x"), (3, "подписи договоры поставки", "Глава")], "id bigint, title string, section string")
+    got = {r.qid: r.query for r in retrieval.prepared(q, c).collect()}
+    assert got == {1: "Глава 1 Новый договор", 2: "акт сверки и подписи где", 3: "подписи договоры поставки подписи договор", 4: "№ 7"}
+
+
+def test_ids_and_places(spark):
+    assert one(spark, ingest.object_id_time(F.col("x")), x="65920080aaaaaaaaaaaaaaaa") == dt.datetime(2024, 1, 1, 0, 0)
+    assert one(spark, ingest.object_id_time(F.col("x")), x="zz") is None
+    m = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b")], "id int, pos int, role string, text string")
+    old = spark.createDataFrame([(1, 0, "user", "a", "n"), (1, 1, "assistant", "b", "n")], "id int, pos int, role string, text string, note string")
+    assert sorted((r.pos, r.note) for r in ingest.same_place(m, old, ["id"]).collect()) == [(0, "n"), (1, None)]

@@ -134,6 +134,7 @@ def match_forms(t: Column) -> Column:
 _ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&amp;", "&")]
 
 
+# The patterns of source cleanup, in the order in which they apply.
 def clean_source_text(c: Column | str) -> Column:
     """Source text without entities, soft hyphens, inline tags, images, captions, glued headings and spare blanks; tables stay."""
     x = _col(c)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# The budget, and what marks fences, lists, sentence ends and unescaped bars.
 BUDGET = 1800
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _LIST = re.compile(r"(?m)^\s*(?:[-*•]|\d+[.)])\s")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .answers import stems_align
 
-# How abbreviations read in full.
+# How abbreviations read in full, and the patterns of narrators, qualifiers, personal facts and wizards.
 EXPANDED = {"мчд": "машиночитаемая доверенность", "упд": "универсальный передаточный документ", "сте": "стандартная товарная единица", "эп": "электронная подпись", "эцп": "электронная подпись"}
 NARRATOR = (
     r"(?iU)^(?:\s*(?:(?:пользователь|клиент|абонент|человек|автор)\s+(?:спрашивает|спрашивал|хочет(?:\s+(?:узнать|спросить|уточнить|получить))?|просит|пишет|интересуется|уточняет|желает"

@@ -88,3 +88,27 @@ def merge_lists(local: DataFrame, remote: DataFrame, active_draft: Column, key:
     kept = both.select(F.col(f"r.{key}").alias(key), F.col("r.title").alias("title"), F.coalesce("r.note", "l.note").alias("note"))
     drafts = local.where(active_draft).join(remote.select(key), key, "left_anti")
     return kept.unionByName(drafts.select(key, "title", "note"))
+
+
+def live(rows: DataFrame, tombstones: DataFrame, key: str = "id") -> DataFrame:
+    """Rows that no tombstone names; a delete is a tombstone, and the count of an anti join its result."""
+    return rows.join(tombstones.select(key).distinct(), key, "left_anti")
+
+
+def load_counts(rows: DataFrame, stored: DataFrame, key: str = "text_hash") -> DataFrame:
+    """One row: how many of the rows a load would insert and how many it would skip as duplicates."""
+    known = stored.select(key).distinct().withColumn("_known", F.lit(True))
+    fresh = rows.groupBy(key).agg(F.count("*").alias("n")).join(known, key, "left")
+    new = F.count_if(F.col("_known").isNull())
+    return fresh.agg(new.alias("inserted"), (F.sum("n") - new).alias("skipped"))
+
+
+def object_id_time(oid: Column) -> Column:
+    """When a 24-digit hex id was made: its first eight digits are seconds; null for anything else."""
+    return F.when(oid.rlike("^[0-9a-fA-F]{24}$"), F.timestamp_seconds(F.conv(F.substring(oid, 1, 8), 16, 10).cast("bigint")))
+
+
+def same_place(fresh: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
+    """Fresh messages with the cached ``note`` of the message that has the same place, role and text."""
+    on = [*keys, "pos", "role", "text"]
+    return fresh.join(cached.select(*on, "note"), on, "left")

@@ -188,6 +188,25 @@ def catalog_boost(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     return top(scored, 1, ties=("id",)).select("qid", "id", "title", "score")
 
 
+def prepared(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``qid, query``: what is searched for.  Instance numbers go; an exact catalog title gets its section before it; a query that
+    holds a title of three words or more stays; any other gets the title that it points to most before it.
+
+    Titles meet queries on their first word.  ``catalog`` has ``id, title, section``.
+    """
+    base = queries.select("qid", strip_instance_ids(F.col("query")).alias("query"))
+    named = catalog.select("id", F.lower("title").alias("t"), F.trim("section").alias("section")).where("t <> ''")
+    exact = base.join(named, F.lower("query") == F.col("t")).where("section <> ''").groupBy("qid").agg(F.min_by("section", "id").alias("section"))
+    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    long = named.where(F.size(F.split("t", " ")) >= 3).select("t", first("t").alias("word"))
+    words = base.select("qid", F.lower("query").alias("q"), F.explode(F.array_distinct(F.split(F.lower("query"), " "))).alias("word"))
+    held = words.join(long, "word").where(F.contains("q", "t")).select("qid").distinct().withColumn("held", F.lit(True))
+    boost = catalog_boost(base, catalog).select("qid", "title")
+    joined = base.join(exact, "qid", "left").join(held, "qid", "left").join(boost, "qid", "left")
+    before = F.when(F.col("section").isNotNull(), F.col("section")).when(F.col("held").isNull(), F.col("title"))
+    return joined.select("qid", F.concat_ws(" ", before, "query").alias("query"))
+
+
 def page_votes(fragments: DataFrame, pages: DataFrame, least_votes: int = 3, least_share: float = 0.12) -> DataFrame:
     """``fragment, page, votes, accepted``: the page that shares most word triples with a fragment, ties to the lower page.
 

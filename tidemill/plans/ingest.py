@@ -104,3 +104,15 @@ def stale_rejected(spark, sf_dir):
 
     seen = F.max("ts").over(Window.partitionBy("user_id").orderBy(F.col("event_id") % 97, "event_id").rowsBetween(Window.unboundedPreceding, -1))
     return S.table(spark, sf_dir, "events").withColumn("seen", seen).where("seen > ts").select("event_id")
+
+
+@query("live_rows", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def live_rows(spark, sf_dir):
+    gone = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    return I.live(S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), gone)
+
+
+@query("load_counts", "WITH h AS (SELECT sha256(text) AS h, source FROM documents WHERE text IS NOT NULL), f AS (SELECT h, count(*) AS n FROM h GROUP BY h), s AS (SELECT DISTINCT h FROM h WHERE source = 'src0') SELECT count(*) FILTER (WHERE s.h IS NULL) AS inserted, CAST(sum(n) - count(*) FILTER (WHERE s.h IS NULL) AS BIGINT) AS skipped FROM f LEFT JOIN s ON s.h = f.h")
+def load_counts(spark, sf_dir):
+    rows = S.table(spark, sf_dir, "documents").where("text is not null").select("source", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
+    return I.load_counts(rows, rows.where("source = 'src0'"))

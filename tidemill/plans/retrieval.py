@@ -136,4 +136,6 @@ def shingle_count(spark, sf_dir):
 
 @query("prepared_queries")
 def prepared_queries(spark, sf_dir):
-    return S.corpus(spark, sf_dir).select("qid", R.strip_instance_ids(F.col("query")).alias("query"))
+    """Corpus queries as they are searched for: instance numbers out, catalog titles in."""
+    topics = S.catalog(spark, sf_dir).select("id", "title", F.concat(F.lit("topic "), F.col("parent").cast("string")).alias("section"))
+    return R.prepared(S.corpus(spark, sf_dir), topics)
