@@ -106,7 +106,7 @@ def preposition_headings(spark, sf_dir):
 @query("corpus_profile", f"WITH {S.MESSAGES}, {S.CORPUS} SELECT count(*) AS n, min(length(query)) AS shortest, median(length(query)) AS middle, max(length(query)) AS longest, CAST(sum(strlen(query)) AS BIGINT) AS n_bytes FROM corpus")
 def corpus_profile(spark, sf_dir):
     size = F.length("query")
-    return S.corpus(spark, sf_dir).agg(F.count("*").alias("n"), F.min(size).alias("shortest"), F.median(size).alias("middle"), F.max(size).alias("longest"), F.sum(F.octet_length("query")).alias("n_bytes"))
+    return S.corpus(spark, sf_dir).agg(F.count("*").alias("n"), F.min(size).cast("bigint").alias("shortest"), F.median(size).alias("middle"), F.max(size).cast("bigint").alias("longest"), F.sum(F.octet_length("query")).alias("n_bytes"))
 
 
 @query("null_and_distinct_counts", "SELECT count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, count(DISTINCT text) AS texts, count(*) FILTER (WHERE text IS NULL) AS null_texts FROM documents")
