@@ -76,7 +76,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of the mixture in its shuffled order, by the default weights."""
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
-    return out.select("doc_id", "source", F.round("_rate", 6).alias("rate"), F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy_no"), F.col("_order").alias("order_key"))
+    return out.select("doc_id", "source", F.round("_rate", 6).alias("rate"), F.col("_copies").cast("bigint").alias("n_copies"), F.col("_copy").alias("copy_no"), F.col("_order").alias("order_key"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
