@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import files_for, written
+
+#: Links of a file between rounds.
+LINKS_A_FILE = 500_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +33,9 @@ def components(links: DataFrame, left: str = "a", right: str = "b", rounds: int
     itself and repeated links are ignored; no links give no rows.
     """
     edges = links.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v").distinct()
-    before = None
+    before, files = None, files_for(links.count(), LINKS_A_FILE)
     for _ in range(rounds):
-        edges = written(_small_star(_large_star(edges)).where("u <> v").distinct(), "stars")
+        edges = written(_small_star(_large_star(edges)).where("u <> v").distinct(), "stars", files)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

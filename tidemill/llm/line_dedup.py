@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import kept, written
+from .shared import files_for, kept, written
 
 #: Byte edits that two lines of one class may be apart, and the bytes from which lines are compared beyond equality.
 THRESHOLD, LEAST_BYTES = 2, 24
@@ -145,18 +145,20 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     lines = _lines(docs, id_col, text_col)
     places = kept(lines.select("doc_id", "line_no", "h1", "h2"))
+    lines_n = places.count()
+    few, fewer = files_for(lines_n, 400_000), files_for(lines_n, 2_000_000)
     long = lines.select("h1", F.octet_length("line").alias("n"), "line").where(F.col("n") >= least_bytes)
     indexed = kept(long.select(F.col("h1").alias("short"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key")))
     probes = long.select(F.col("h1").alias("long"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
     ends = indexed.groupBy(F.col("key").alias("at")).agg(F.min("short").alias("lo"), F.max("short").alias("hi"))
     met = (F.col("key") == F.col("at")) & ((F.col("lo") != F.col("long")) | (F.col("hi") != F.col("long")))
-    probes = written(probes.join(ends.hint("shuffle_hash"), met, "left_semi").distinct(), "probes")
-    indexed = written(indexed.join(probes.select("key").distinct(), "key", "left_semi").distinct(), "indexed")
+    probes = written(probes.join(ends.hint("shuffle_hash"), met, "left_semi").distinct(), "probes", few)
+    indexed = written(indexed.join(probes.select("key").distinct(), "key", "left_semi").distinct(), "indexed", few)
 
-    asked = written(probes.select(F.col("long").alias("h1")).union(indexed.select("short")).distinct(), "asked")
+    asked = written(probes.select(F.col("long").alias("h1")).union(indexed.select("short")).distinct(), "asked", fewer)
     if asked.count() <= BROADCAST_LINES:
         asked = F.broadcast(asked)
-    texts = written(lines.select("h1", "line").join(asked, "h1", "left_semi").dropDuplicates(["h1"]), "texts")
+    texts = written(lines.select("h1", "line").join(asked, "h1", "left_semi").dropDuplicates(["h1"]), "texts", few)
     text = F.decode("line", "ISO-8859-1")
     tallies = ((F.length(text) - F.length(F.replace(text, F.lit(c)))).alias(f"n{k}") for k, c in enumerate(COUNTED))
     size = F.octet_length("line")
@@ -169,11 +171,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = F.filter("s.segments", lambda k: F.array_contains("l.probes", k))
     once = F.get(shared, F.lit(0)) == F.col("at")
     pairs = long_side.join(short_side.withColumnRenamed("key", "at"), (F.col("key") == F.col("at")) & ordered & (differ <= 2 * threshold) & once)
-    pairs = written(pairs.select(F.least("s.short", "l.long").alias("a"), F.greatest("s.short", "l.long").alias("b")).distinct(), "pairs")
+    pairs = written(pairs.select(F.least("s.short", "l.long").alias("a"), F.greatest("s.short", "l.long").alias("b")).distinct(), "pairs", fewer)
     texts = texts.select("h1", text.alias("line"))
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
     both = both.where(F.abs(F.length("x") - F.length("y")) <= threshold)
-    links = written(both.where(within(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b"), "line_links")
+    links = written(both.where(within(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b"), "line_links", fewer)
 
     degrees = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count("*").alias("n_links"))
     linked = degrees.join(components(links), F.col("h1") == F.col("node")).select("h1", "n_links", "component")
