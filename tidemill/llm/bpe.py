@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, tidy
 
 #: Fixed values of byte-level BPE: how a text is cut before merging, with Unicode's own white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -21,7 +21,7 @@ NEVER = 1 << 60
 #: Pieces of up to this many characters are remembered, up to this many of them.
 MEMO_CHARS, MEMO_PIECES = 48, 400_000
 #: Pieces that a worker keeps between tasks: those it met first, which are the frequent ones.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 150_000
 ROWS = 256
 
 
@@ -175,7 +175,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         bpe.rest()
 
     schema = docs.select(*keep, F.array().cast("array<int>").alias(ids_col)).schema
-    return bounded_batches(docs).select(*keep, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*keep, F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -193,4 +193,4 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*batch.columns, text], [*keep, ids_col, text_col])
 
     schema = rows.select(*keep, ids_col, F.lit("").alias(text_col)).schema
-    return bounded_batches(rows).select(*keep, F.col(ids_col).cast("array<int>")).mapInArrow(run, schema)
+    return bounded_batches(rows).select(*keep, F.col(ids_col).cast("array<int>")).mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, kept, written
+from .shared import bounded_batches, files_for, kept, shuffle_width, tidy, written
 from .words import WordHasher, mix, shingle_set
 
 SIDE, DEPTH = 8, 2
@@ -111,13 +111,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest set hash of its rows.  Other columns are not read; an empty table gives no rows.
     """
     texts = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = texts.mapInArrow(_signer(width), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>")
+    signed = texts.mapInArrow(tidy(_signer(width)), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>")
     signed = kept(signed).where("doc_id is not null")
+    docs_n = signed.count()
+    few, fewer = files_for(docs_n, 100_000), files_for(docs_n, 400_000)
     least = signed.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n_shingles")).alias("s"))
     one = least.select("doc_id", "s.h1", "s.h2", "s.n_shingles")
-    classes = written(one.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "classes")
+    classes = written(one.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "classes", fewer)
     reps = classes.join(signed.select("h1", "h2", "sig", F.col("doc_id").alias("doc")), ["h1", "h2", "doc"]).dropDuplicates(["doc"])
-    reps = written(reps.select("doc", "h1", "h2", "sig"), "reps")
+    reps = written(reps.select("doc", "h1", "h2", "sig"), "reps", shuffle_width(docs.sparkSession))
 
     half = [F.xxhash64(F.lit(t), *(F.col("sig")[DEPTH * t + k] for k in range(DEPTH))) for t in range(2 * SIDE)]
     rows = reps.select("doc", F.explode(F.array(*half[:SIDE])).alias("l"), F.array(*half[SIDE:]).alias("r"))
@@ -127,19 +129,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sigs = reps.select("doc", "sig")
     mates = mates.join(sigs, "doc").join(sigs.select(F.col("doc").alias("head"), F.col("sig").alias("head_sig")), "head")
     equal = sum((F.col("sig")[k] == F.col("head_sig")[k]).cast("int") for k in range(2 * SIDE * DEPTH))
-    mates = written(mates.select("head", "doc", equal.alias("equal")).where(F.col("equal") >= LEAST_EQUAL), "mates")
+    mates = written(mates.select("head", "doc", equal.alias("equal")).where(F.col("equal") >= LEAST_EQUAL), "mates", few)
 
     asked = mates.select("doc").union(mates.select("head")).distinct().join(reps.select("doc", "h1", "h2"), "doc")
     found = texts.join(asked.select(F.col("doc").alias("doc_id"), "h1", "h2"), "doc_id").select("doc_id", "h1", "h2", "text")
-    sets = found.mapInArrow(_setter(width), "doc_id bigint, h1 bigint, h2 bigint, shingles array<bigint>")
+    sets = found.mapInArrow(tidy(_setter(width)), "doc_id bigint, h1 bigint, h2 bigint, shingles array<bigint>")
     sets = written(sets.select(F.col("doc_id").alias("doc"), "shingles").dropDuplicates(["doc"]), "sets")
 
     best = mates.groupBy("doc").agg(F.max_by("head", F.struct("equal", -F.col("head"))).alias("head"))
     pairs = best.join(sets, "doc").join(sets.select(F.col("doc").alias("head"), F.col("shingles").alias("others")), "head")
     inter = F.size(F.array_intersect("shingles", "others"))
     pairs = pairs.select("doc", "head", inter.alias("i"), (F.size("shingles") + F.size("others") - inter).alias("u"))
-    links = written(pairs.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("head").alias("a"), F.col("doc").alias("b")), "links")
-    near = written(components(links), "near")
+    links = written(pairs.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("head").alias("a"), F.col("doc").alias("b")), "links", fewer)
+    near = written(components(links), "near", fewer)
 
     member = mates.select("head", "doc").union(mates.select("head", F.col("head").alias("doc")).distinct())
     member = member.join(near, F.col("doc") == F.col("node"), "left").select("head", "doc", F.coalesce("component", "doc").alias("component"))
@@ -149,7 +151,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = cells.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("head", "doc", "component", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
     more = cells.join(sets, "doc").groupBy("head", "i", "j").applyInPandas(_linker(percent), "a bigint, b bigint")
-    links = written(links.union(more), "all_links")
+    links = written(links.union(more), "all_links", fewer)
 
     final = components(links)
     whole = classes.join(final, F.col("doc") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "doc").alias("component"))

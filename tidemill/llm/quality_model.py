@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import SPACES, SYMBOLS, _repeat_words
-from .shared import bounded_batches
+from .shared import bounded_batches, tidy
 from .words import WordHasher
 
 NAMES = [
@@ -59,7 +59,7 @@ def _measure(batches):
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, features`` of every row; null and empty texts have zeros; null ids and repeated rows pass through."""
-    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measure, f"doc_id {dict(docs.dtypes)[id_col]}, features array<double>")
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_measure), f"doc_id {dict(docs.dtypes)[id_col]}, features array<double>")
 
 
 @dataclass

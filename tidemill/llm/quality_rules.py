@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .shared import bounded_batches, kept
+from .shared import bounded_batches, kept, tidy
 from .words import WordHasher, windows
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -84,7 +84,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", te
     they have no words.  Repeated rows and null ids each keep their row; an empty table gives none.
     """
     schema = f"id {dict(docs.dtypes)[id_col]}, host string, text_key binary, {', '.join(f'{c} bigint' for c in FEATURES)}, line_keys array<bigint>, line_words array<bigint>"
-    base = kept(_keyed(docs, id_col, host_col, text_col).mapInArrow(_count, schema))
+    base = kept(_keyed(docs, id_col, host_col, text_col).mapInArrow(tidy(_count), schema))
     pairs = base.select("host", "text_key", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l"))
     lines = pairs.select("host", "text_key", F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words")).distinct()
     sizes = base.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("texts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again, in so many ``files`` if given.
 
     Later jobs start from the files, so a lost executor costs no recomputation of what stands before.
+    ``files`` is for narrow rows of a known number: many partitions would leave as many tiny files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if files is None else df.repartition(files)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(rows: int, each: int) -> int:
+    """Files of about ``each`` rows."""
+    return max(1, -(-rows // each))
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all tables that ``written`` made in the shared folder; results not yet read are lost with them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemill")
@@ -62,6 +69,16 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidy(run):
+    """An Arrow mapper that gives its freed buffers back to the system when its task ends: workers live on between tasks."""
+
+    def mapper(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return mapper
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of an explicit repartition: the session's own shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

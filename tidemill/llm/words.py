@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """Hash words through a memo that is dropped when ``limit`` words are held."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.memo = limit, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
