@@ -70,3 +70,20 @@ def test_schedule_is_longest_first_to_the_least_loaded():
     loads = [0.0, 0.0, 0.0]
     assert sharding.schedule([(7, "a"), (6, "b"), (5, "c"), (4, "d"), (3, "e")], loads) == [("a", 0), ("b", 1), ("c", 2), ("d", 2), ("e", 1)]
     assert loads == [7, 9, 9]
+
+
+@pytest.mark.parametrize("pack_groups", [None, 300])
+def test_shards_stay_even_at_many_shuffle_partitions(spark, monkeypatch, pack_groups):
+    if pack_groups:
+        monkeypatch.setattr(sharding, "PACK_GROUPS", pack_groups)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        docs = spark.range(3000).selectExpr("id as doc_id", "concat(repeat('w', cast(400 + pmod(xxhash64(id), 1600) as int)), id) as text", "'s' as source")
+        hot = spark.range(40).selectExpr("-id as doc_id", "repeat('hot ', 300) as text", "'s' as source")
+        loads = Counter()
+        for r in sharding.shard(docs.union(hot), 24).select("shard", "size").collect():
+            loads[r.shard] += r.size
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(loads) == 24 and max(loads.values()) < 1.02 * sum(loads.values()) / 24

@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, shuffle_width, written
+from .shared import files_for, kept, written
 
-#: Groups over ``total / (shards * FINE)`` bytes are scheduled one by one by the driver: at most ``shards * FINE`` of them.
+#: With P packs, groups over ``total / (shards * FINE * P)`` bytes are scheduled one by one by the driver: at most ``shards * FINE * P`` of them.
 FINE = 64
+#: Groups that a pack is meant for, and the most packs.
+PACK_GROUPS, PACKS = 50_000, 64
 #: Rows that share a window task when slots are numbered.
 SLOT_ROWS = 200_000
 
@@ -30,17 +32,19 @@ def schedule(sizes: list[tuple[int, object]], loads: list[float]) -> list[tuple[
 
 
 def _packer(loads: list[float]):
-    """Schedule the groups of one partition, which come largest first, on top of its share of the loads."""
+    """Schedule the groups of each pack, which come together and largest first, on top of its share of the loads; ties go to another shard first in each pack."""
 
     def pack(batches):
-        heap = [(load, k) for k, load in enumerate(loads)]
-        heapq.heapify(heap)
+        n, turn, heap = len(loads), None, []
         for batch in batches:
             shards = []
-            for size in batch.column(1).to_pylist():
+            for own, size in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()):
+                if own != turn:
+                    turn, heap = own, [(load, (k - own) % n) for k, load in enumerate(loads)]
+                    heapq.heapify(heap)
                 load, k = heap[0]
                 heapq.heapreplace(heap, (load + size, k))
-                shards.append(k)
+                shards.append((k + turn) % n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shards, pa.int32())], ["text_key", "shard"])
 
     return pack
@@ -50,10 +54,11 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     """One row for each row of ``docs``: ``doc_id, size, text_crc32, shard, slot``.
 
     A group is all rows of one text; its size is the sum of their UTF-8 bytes plus 8 a row.  The
-    few groups over ``1 / (shards * fine)`` of all bytes are scheduled by the driver through one
-    heap.  All others are hashed over partitions, sorted there by size, and each partition
-    schedules its own through a heap that starts from its share of the loads so far, so that
-    every partition fills the shards to the same level and their sums stay even; a partition
+    groups over ``1 / (shards * fine * P)`` of all bytes are scheduled by the driver through one
+    heap.  All others are hashed over ``P`` packs, as many as the groups need whatever the session
+    shuffles with, sorted there by size, and each pack is scheduled through a heap of its own that
+    starts from its share of the loads so far.  A pack leaves the shards that it fills at most
+    one of its groups apart, so all packs leave these within ``1 / fine`` of a mean shard; a task
     streams its groups and holds the heap alone.  A text goes to the groups' table by its
     SHA-256, summed before the shuffle, and comes back by a join that can be split.
 
@@ -69,15 +74,16 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 8).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), key.alias("text_key"))
     rows = kept(rows)
     groups = written(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = F.col("bytes") * (shards * fine) > total
+    total, groups_n = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    packs = min(files_for(groups_n, PACK_GROUPS), PACKS)
+    large = F.col("bytes").cast("double") * (shards * fine * packs) > float(total)
     loads = [0.0] * shards
-    first = groups.where(large).orderBy(F.desc("bytes"), "text_key").collect()  # at most shards * fine rows
+    first = groups.where(large).orderBy(F.desc("bytes"), "text_key").collect()  # at most shards * fine * packs rows
     placed = schedule([(r["bytes"], bytes(r["text_key"])) for r in first], loads)
-    parts = shuffle_width(spark)
-    share = [x / parts for x in loads]
-    small = groups.where(~large).repartition(parts, "text_key").sortWithinPartitions(F.desc("bytes"), "text_key")
-    where = small.select("text_key", "bytes").mapInArrow(_packer(share), "text_key binary, shard int")
+    share = [x / packs for x in loads]
+    small = groups.where(~large).withColumn("pack", F.pmod(F.xxhash64("text_key"), F.lit(packs)).cast("int"))
+    small = small.repartition(packs, "pack").sortWithinPartitions("pack", F.desc("bytes"), "text_key")
+    where = small.select("text_key", "bytes", "pack").mapInArrow(_packer(share), "text_key binary, shard int")
     where = where.union(spark.createDataFrame(placed, "text_key binary, shard int"))
     out = written(rows.join(where, "text_key").drop("text_key"), "placed")
 
