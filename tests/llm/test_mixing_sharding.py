@@ -1,5 +1,6 @@
 """Poisson replication and shard balance against plain versions."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -41,6 +42,28 @@ def test_mix_reaches_the_weights(spark):
     assert mixing.mix(df, weights={}).count() == 0
 
 
+def test_a_rare_source_of_a_large_table_gets_its_copies(spark):
+    def number(*x):
+        return int(hashlib.md5(":".join(x).encode()).hexdigest()[:13], 16)
+
+    df = spark.range(2_000_000).selectExpr("id as doc_id", "if(id < 1, null, 'big') as source")
+    rate = 2_000_000 / (1 + math.sqrt(1_999_999))
+    assert rate > 2 * mixing.WHOLE
+    got = Counter(r.doc_id for r in mixing.mix(df).where("source is null").select("doc_id").collect())
+    pieces = math.ceil(rate / mixing.PIECE)
+    names = ["count0", *(f"count0.{k}" for k in range(1, pieces))]
+    assert got == {0: sum(quantile(number(x, "0") / mixing.SPAN, rate / pieces) for x in names)}
+    assert abs(got[0] - rate) < 6 * math.sqrt(rate)
+
+
+@pytest.mark.parametrize("rate", [650.0, 3000.0])
+def test_large_rates_keep_mean_and_variance(spark, rate):
+    df = spark.range(4000).selectExpr("id as doc_id", "'s' as source")
+    n = [r[1] for r in mixing.mix(df, weights={"s": 1.0}, total=rate).groupBy("doc_id").agg(F.count("*")).collect()]
+    mean = sum(n) / 4000
+    assert abs(mean - rate) < 5 * math.sqrt(rate / 4000) and abs(sum((x - mean) ** 2 for x in n) / 4000 / rate - 1) < 0.12
+
+
 def test_mix_repeats_rows_alike(spark):
     df = spark.createDataFrame([(None, None, None), (None, None, None), (4, "x", "s"), (4, "x", "s")], SCHEMA)
     n = Counter(r.doc_id for r in mixing.mix(df, total=3.0).collect())

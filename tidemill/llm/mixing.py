@@ -11,6 +11,8 @@ from .shared import hash64, shuffle_width
 SPAN = float(1 << 52)
 #: Weight of a source when none are given: its share of documents to this power.
 POWER = 0.5
+#: Means up to ``WHOLE`` are inverted at once, as far as ``exp(-rate)`` is a full double; larger ones as a sum of means of at most ``PIECE``.
+WHOLE, PIECE = 700, 500
 
 
 def target_rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, power: float = POWER, total: float = 1.0) -> DataFrame:
@@ -34,7 +36,7 @@ def target_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
 
 
 def poisson_steps(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... of a Poisson variable, to rate + 12 * sqrt(rate) + 40, past which nothing of a double is left; rates over 600 underflow and are refused."""
+    """P(X <= 0), P(X <= 1), ... of a Poisson variable, to rate + 12 * sqrt(rate) + 40, past which nothing of a double is left; rates up to ``WHOLE``."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int") - 1
     start = F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("cdf"))
 
@@ -42,7 +44,12 @@ def poisson_steps(rate: Column) -> Column:
         term = s["term"] * rate / k
         return F.struct(term.alias("term"), F.array_append(s["cdf"], F.element_at(s["cdf"], -1) + term).alias("cdf"))
 
-    return F.when(rate <= 600, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"])).otherwise(F.raise_error(F.lit("a source's rate is over 600")).cast("array<double>"))
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"])
+
+
+def poisson_pieces(rate: Column) -> Column:
+    """How many independent Poisson variables of equal mean are summed for one of mean ``rate``."""
+    return F.when(rate <= WHOLE, F.lit(1)).otherwise(F.ceil(rate / PIECE).cast("int"))
 
 
 def poisson_count(u: Column, steps: Column) -> Column:
@@ -56,16 +63,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
 
     Adds ``_copy`` (from 0), ``_copies``, ``_rate`` and ``_order``, the key of the global shuffle; the result is sorted by it.  The
     count inverts the Poisson distribution of mean ``rate`` at ``hash(seed, id) / 2**52``, so a
-    rerun or a retried task repeats it.  Rates are one row a source, summed before the shuffle,
+    rerun or a retried task repeats it; a rate over ``WHOLE`` is the sum of as many variables as
+    ``poisson_pieces`` gives, each with a hash seed of its own.  Rates are one row a source, summed before the shuffle,
     and joined as Spark sees fit, so a hot source is neither collected nor cut.
 
     Null ids hash as ``""``; repeated rows share their id's count; rows of a null source form
     the source ``""``; texts are carried unread.  An empty table gives no rows.
     """
-    rates = target_rates(docs, source_col, weights, power, total).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), poisson_steps(F.col("rate")).alias("_steps"))
+    pieces = poisson_pieces(F.col("rate"))
+    rates = target_rates(docs, source_col, weights, power, total).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), pieces.alias("_pieces"), poisson_steps(F.col("rate") / pieces).alias("_steps"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     keyed = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).join(rates, "_source").drop("_source")
-    counted = keyed.withColumn("_n", poisson_count(hash64(F.lit(f"count{seed}"), key) / SPAN, F.col("_steps"))).drop("_steps").where("_n > 0")
+    drawn = lambda name: poisson_count(hash64(name, key) / SPAN, F.col("_steps"))
+    others = F.aggregate(F.sequence(F.lit(1), F.col("_pieces") - 1), F.lit(0), lambda n, k: n + drawn(F.concat(F.lit(f"count{seed}."), k.cast("string"))))
+    count = drawn(F.lit(f"count{seed}")) + F.when(F.col("_pieces") > 1, others).otherwise(0)
+    counted = keyed.withColumn("_n", count).drop("_steps", "_pieces").where("_n > 0")
     copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumnRenamed("_n", "_copies")
     shuffled = copies.withColumn("_order", hash64(F.lit(f"order{seed}"), key, F.col("_copy").cast("string")))
     return shuffled.repartitionByRange(shuffle_width(docs.sparkSession), "_order", "_copy").sortWithinPartitions("_order", "_copy")
