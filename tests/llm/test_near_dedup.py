@@ -73,5 +73,14 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert near_dedup.keep_one(df).columns == df.columns
 
 
+def test_rows_of_a_null_or_repeated_id_are_documents_of_their_own(spark):
+    copy = "copied text that many of the rows hold"
+    other = [f"text number {i} of {i * i} that nothing else in {i * 7} holds" for i in range(40)]
+    rows = [(None, t) for t in other[:20]] + [(5, t) for t in other[20:30]] + [(i, t) for i, t in enumerate(other[30:], 100)]
+    rows += [(None, copy), (None, copy + " "), (6, copy), (5, copy), (5, copy), (110, copy), (None, ""), (None, None), (5, None)]
+    out = [(r.doc_id, r.text) for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(out, key=str) == sorted([r for r in rows[:40]] + [(5, copy), (None, ""), (None, None), (5, None)], key=str)
+
+
 def test_empty_table(spark):
     assert near_dedup.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0

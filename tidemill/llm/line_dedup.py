@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import files_for, kept, written
+from .shared import files_for, kept, row_key, written
 
 #: Byte edits that two lines of one class may be apart, and the bytes from which lines are compared beyond equality.
 THRESHOLD, LEAST_BYTES = 2, 24
@@ -118,12 +118,12 @@ def within(a: Column, b: Column, t: int) -> Column:
     return _named(_named(_middles(a, b, t), chars), run)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, *extra: Column) -> DataFrame:
     parts = F.split(F.replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit("\r")), "\n", -1)
-    lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(parts).alias("line_no", "line"))
+    lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *extra, F.posexplode(parts).alias("line_no", "line"))
     lines = lines.withColumn("line", F.trim("line").cast("binary"))
     lines = lines.where(F.octet_length("line") > 0)
-    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+    return lines.select(*lines.columns[:-1], F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -143,8 +143,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts give no lines; rows of a null id come first in the order and are named
     by null; a repeated row repeats its lines, and equal places share one verdict.  Other columns are not read.
     """
-    lines = _lines(docs, id_col, text_col)
-    places = kept(lines.select("doc_id", "line_no", "h1", "h2"))
+    return _classes(_lines(docs, id_col, text_col), ["doc_id", "line_no"], threshold, least_bytes)
+
+
+def _classes(lines: DataFrame, place: list[str], threshold: int, least_bytes: int) -> DataFrame:
+    """``line_classes`` of lines that the columns ``place`` name, in whose order the first line of a class is found."""
+    places = kept(lines.select(*place, "h1", "h2"))
     lines_n = places.count()
     few, fewer = files_for(lines_n, 400_000), files_for(lines_n, 2_000_000)
     long = lines.select("h1", F.octet_length("line").alias("n"), "line").where(F.col("n") >= least_bytes)
@@ -179,26 +183,31 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     degrees = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count("*").alias("n_links"))
     linked = degrees.join(components(links), F.col("h1") == F.col("node")).select("h1", "n_links", "component")
-    firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    firsts = places.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first"))
     firsts = firsts.join(linked, "h1", "left").withColumn("class", F.coalesce("component", "h1"))
     alone = firsts.where("component is null").select("h1", "h2", F.lit(0).cast("bigint").alias("n_links"), "first")
     joined = firsts.where("component is not null")
     heads = joined.groupBy("class").agg(F.min("first").alias("head"))
     named = alone.union(joined.join(heads, "class").select("h1", "h2", "n_links", F.col("head").alias("first")))
     out = places.join(named, ["h1", "h2"])
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))
-    return out.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n_links", same.alias("kept"))
+    same = F.struct(*place).eqNullSafe(F.col("first"))
+    return out.select(*place, F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n_links", same.alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``docs`` with only the first line of each class; columns unchanged, cases as in ``line_classes``.
 
+    Every row is a document of its own, known by a hash of all its columns, so rows of a null or
+    repeated id do not share what is removed; rows equal in every column share one verdict.
+
     Documents of which no line is left, though they had some, are dropped: all they held stands
     elsewhere.  Lines without characters stay.
     """
-    gone = line_classes(docs, id_col, text_col, threshold, least_bytes).groupBy("doc_id").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), F.max("kept").alias("_left"))
-    gone = gone.where(F.size("_gone") > 0).withColumnRenamed("doc_id", "_id")
-    out = docs.join(gone, docs[id_col].cast("bigint").eqNullSafe(F.col("_id")), "left").where("coalesce(_left, true)")
+    key = row_key(docs)
+    classes = _classes(_lines(docs, id_col, text_col, key.alias("_row")), ["doc_id", "_row", "line_no"], threshold, least_bytes)
+    gone = classes.groupBy("_row").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), F.max("kept").alias("_left"))
+    gone = gone.where(F.size("_gone") > 0)
+    out = docs.withColumn("_row", key).join(gone, "_row", "left").where("coalesce(_left, true)")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)

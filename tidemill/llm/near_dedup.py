@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, files_for, kept, shuffle_width, tidy, written
+from .shared import bounded_batches, files_for, kept, row_key, shuffle_width, tidy, written
 from .words import WordHasher, mix, shingle_set
 
 SIDE, DEPTH = 8, 2
@@ -162,6 +162,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
-    """``docs`` without the documents that a smaller id stands for; columns unchanged, repeated rows of a kept id reduced to one."""
-    gone = near_classes(docs, id_col, text_col, percent, width).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti").dropDuplicates([id_col])
+    """``docs`` without the documents that another stands for; columns unchanged.
+
+    Every row is a document of its own, known by a hash of all its columns: rows of a null id or
+    of one id with different texts are compared as any others.  Of a class the smallest id is
+    kept, a null one last.  Rows equal in every column are copies, of which one is kept.
+    """
+    keyed = docs.withColumn("_row", row_key(docs))
+    classes = near_classes(keyed, "_row", text_col, percent, width)
+    classes = written(classes.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")), "row_classes")
+    number = F.col(id_col).cast("bigint")
+    names = keyed.select("_row", F.struct(number.isNull().alias("unnamed"), number.alias("id"), F.col("_row").alias("row")).alias("_name"))
+    shared = classes.groupBy("_class").agg(F.count("*").alias("_n")).where("_n > 1").select("_class")
+    members = written(classes.join(shared, "_class").join(names, "_row"), "members")
+    heads = members.groupBy("_class").agg(F.min("_name").alias("_head"))
+    gone = members.join(heads, "_class").where("_row <> _head.row").select("_row").distinct()
+    return keyed.join(gone, "_row", "left_anti").dropDuplicates(["_row"]).select(docs.columns)
