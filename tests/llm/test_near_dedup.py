@@ -48,7 +48,7 @@ def corpus(seed=1, bases=12, copies=18):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("percent", [50, 80, 85])
 def test_equals_brute_force(spark, percent):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], SCHEMA)
@@ -64,6 +64,31 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert got == brute(rows, 85)
 
 
+def test_strangers_at_the_head_of_every_bucket_part_nobody(spark, monkeypatch):
+    """A near pair whose buckets are all headed by smaller documents of low similarity to it, at many blocks a bucket."""
+    monkeypatch.setattr(near_dedup, "SIGNATURES", 64)
+    monkeypatch.setattr(near_dedup, "missed", lambda s, side, depth: 0.0 if side == 3 else 1.0)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, own = [word() for _ in range(120)], [word() for _ in range(60)]
+    rows = [" ".join(passage + [word() for _ in range(60)]) for _ in range(400)]
+    rows += [" ".join(passage[:k] + [word()] + passage[k + 1 :] + own) for k in (3, 60, 110)]
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(rows)], SCHEMA)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_classes(df, percent=85).collect()}
+    want = brute(list(enumerate(rows)), 85)
+    assert {want[i][1] for i in (400, 401, 402)} == {400} and got == want
+
+
+def test_the_banding_follows_the_limit():
+    for percent in range(40, 101, 5):
+        b = near_dedup.banding(percent)
+        assert near_dedup.missed(percent / 100, b.side, b.depth) <= near_dedup.MISS
+        assert near_dedup.missed(percent / 100, b.side - 1, b.depth) > near_dedup.MISS or b.side == 1
+    assert near_dedup.banding(85) == near_dedup.Banding(8, 2, 13)
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.banding(0)
+
+
 def test_nulls_repeats_and_clashing_names(spark):
     text = "a long enough text of seven words"
     df = spark.createDataFrame([(None, "x"), (2, None), (2, None), (3, text), (1, text), (1, text)], "doc_id bigint, text string").selectExpr("*", "1 as head", "2 as h1", "3 as component")

@@ -1,13 +1,15 @@
 """MinHash near-dedup with tensored banding.
 
 ``2 * side`` small collections of ``depth`` minhashes each form ``side * side`` table keys, every
-left collection combined with every right one: 64 tables cost 32 minhashes instead of 256.
-Two sets of similarity s miss all tables with probability ``1 - (1 - (1 - s**depth)**side)**2``,
-0.00007 at s = 0.85.  Links are confirmed on full sets.
+left collection combined with every right one: at a similarity of 0.85, 64 tables cost 32 minhashes
+instead of 256.  Links are confirmed on full sets.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import comb
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,23 +21,54 @@ from .components import components
 from .shared import bounded_batches, files_for, kept, row_key, shuffle_width, tidy, written
 from .words import WordHasher, mix, shingle_set
 
-SIDE, DEPTH = 8, 2
-#: Of the minhashes, so many must agree with the group's first document before sets are fetched:
-#: a pair of similarity 0.85 falls below with probability under 1e-8.
-LEAST_EQUAL = 13
-#: Documents of a group that are compared in one task; larger groups are cut in blocks of this size.
-BLOCK = 256
+#: Largest probability that a pair of the asked similarity shares no table, and that its signatures agree too seldom.
+MISS, UNLIKE = 1e-4, 1e-8
+#: Documents of a block whose sets, or whose signatures alone, are compared with another block's in one task.
+BLOCK, SIGNATURES = 256, 2048
 #: Documents whose sets a task holds at a time before it passes them on.
 ROWS = 512
+#: Parts that the narrow rows of one group, and of one bucket, are dealt to before they are numbered into blocks.
+GROUP_SALT, BUCKET_SALT = 64, 8
+
+
+@dataclass(frozen=True)
+class Banding:
+    """``side`` collections of ``depth`` minhashes on either hand; ``least`` of all minhashes must agree before sets are fetched."""
+
+    side: int
+    depth: int
+    least: int
+
+    @property
+    def hashes(self) -> int:
+        return 2 * self.side * self.depth
+
+
+def missed(s: float, side: int, depth: int) -> float:
+    """Probability that two sets of similarity ``s`` share none of the ``side * side`` tables."""
+    return 1 - (1 - (1 - s**depth) ** side) ** 2
+
+
+def banding(percent: int) -> Banding:
+    """The fewest collections that keep ``missed`` under ``MISS`` at ``percent``: two minhashes deep from 70 % on, one below."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be 1 to 100, not {percent}")
+    s, depth = percent / 100, 2 if percent >= 70 else 1
+    side = next(n for n in range(1, 2000) if missed(s, n, depth) <= MISS)
+    m = 2 * side * depth
+    below, least = 0.0, 0
+    while least < m and (below := below + comb(m, least) * s**least * (1 - s) ** (m - least)) < UNLIKE:
+        least += 1
+    return Banding(side, depth, least)
 
 
 def _seeds(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _signer(width: int):
+def _signer(width: int, hashes: int):
     def sign(batches):
-        hasher, seeds = WordHasher(), _seeds(2 * SIDE * DEPTH)
+        hasher, seeds = WordHasher(), _seeds(hashes)
         for batch in batches:
             ids, rows = batch.column(0), {"n_shingles": [], "h1": [], "h2": [], "sig": []}
             for text in batch.column(1):
@@ -96,22 +129,66 @@ def _linker(numerator: int):
     return link
 
 
+def _fellows(least: int, size: int):
+    """Documents of a bucket's cell whose signature agrees with another one's, one of the two unlike the bucket's first document."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        sigs = np.array(pdf["sig"].to_list(), np.int32).reshape(len(pdf), size)
+        odd, block = pdf["odd"].to_numpy(), pdf["block"].to_numpy()
+        first, second = np.flatnonzero(block == pdf["i"].iloc[0]), np.flatnonzero(block == pdf["j"].iloc[0])
+        has = np.zeros(len(pdf), bool)
+        for at in range(0, len(first), 128):
+            x = first[at : at + 128]
+            equal = np.zeros((len(x), len(second)), np.int16)
+            for k in range(size):
+                equal += sigs[x, k][:, None] == sigs[second, k]
+            good = (equal >= least) & (odd[x][:, None] | odd[second]) & (x[:, None] != second)
+            has[x] |= good.any(1)
+            has[second] |= good.any(0)
+        return pdf.loc[has, ["key", "doc"]]
+
+    return find
+
+
+def _blocks(rows: DataFrame, group: str, sizes: DataFrame, parts: list[str], columns: list[str], salt: int) -> DataFrame:
+    """``rows`` of ``group, doc`` with ``block``, once for each cell ``i <= j`` of two blocks that it takes part in.
+
+    ``sizes`` has a row a group.  A group's rows are dealt to ``salt`` parts to meet it, so that
+    a hot group is not numbered in one task.  ``parts`` are SQL: the row's block, and the first
+    and last block that it meets.
+    """
+    salted = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(7), "doc"), F.lit(salt)).cast("int")).join(salted, [group, "_salt"])
+    block, low, high = map(F.expr, parts)
+    rows = rows.withColumn("block", block.cast("int")).withColumn("x", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    return rows.select(group, "doc", *columns, "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """One row for each distinct id: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked if ``100 * |intersection| >= percent * |union|`` of their sets of
     ``width``-word shingles (A-Z lower-cased); ``component_id`` is the smallest id reachable and
-    ``kept`` marks it.  Equal sets form one class first, so copies are never paired.  In a table's
-    bucket every class is paired with the smallest one; what then still lies in different
-    components of a bucket is compared in blocks, so no link between bucket mates is lost and
-    no task holds more than two blocks.
+    ``kept`` marks it.  Equal sets form one class first, so copies are never paired.
+
+    Every two classes that share a table's bucket and whose signatures agree in ``least`` places
+    are compared on full sets, or lie in one component already.  Members like the bucket's
+    smallest document form that document's group.  In a bucket that also has members unlike it,
+    signatures are compared two by two, and members that one of these agrees with form a
+    group of their own, named by the smallest: strangers at the head of a bucket part nobody.  In a group every member
+    meets the smallest one first; the members outside its largest component then meet all others
+    in blocks.  No task holds more than two blocks and no pair is emitted that is not a link.
+
+    A pair of exactly ``percent`` is missed with probability ``MISS`` for want of a shared table and
+    ``UNLIKE`` by its signatures, whatever else the buckets hold.
 
     Null, empty and word-less texts have the empty set and link with nothing.  Rows with a null
     id share one row with null ``component_id``, kept.  An id that repeats counts once, by the
     smallest set hash of its rows.  Other columns are not read; an empty table gives no rows.
     """
+    band = banding(percent)
     texts = bounded_batches(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = texts.mapInArrow(tidy(_signer(width)), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>")
+    signed = texts.mapInArrow(tidy(_signer(width, band.hashes)), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, sig array<int>")
     signed = kept(signed).where("doc_id is not null")
     docs_n = signed.count()
     few, fewer = files_for(docs_n, 100_000), files_for(docs_n, 400_000)
@@ -121,17 +198,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = classes.join(signed.select("h1", "h2", "sig", F.col("doc_id").alias("doc")), ["h1", "h2", "doc"]).dropDuplicates(["doc"])
     reps = written(reps.select("doc", "h1", "h2", "sig"), "reps", shuffle_width(docs.sparkSession))
 
-    half = [F.xxhash64(F.lit(t), *(F.col("sig")[DEPTH * t + k] for k in range(DEPTH))) for t in range(2 * SIDE)]
-    rows = reps.select("doc", F.explode(F.array(*half[:SIDE])).alias("l"), F.array(*half[SIDE:]).alias("r"))
+    half = [F.xxhash64(F.lit(t), *(F.col("sig")[band.depth * t + k] for k in range(band.depth))) for t in range(2 * band.side)]
+    rows = reps.select("doc", F.explode(F.array(*half[: band.side])).alias("l"), F.array(*half[band.side :]).alias("r"))
     rows = rows.select("doc", "l", F.explode("r").alias("r")).select("doc", F.xxhash64("l", "r").alias("key"))
-    heads = rows.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last")
-    mates = rows.join(heads, "key").where("doc <> head").select("head", "doc").distinct()
+    heads = rows.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("key", "head")
+    buckets = written(rows.join(heads, "key").select("key", "head", "doc"), "buckets", few)
     sigs = reps.select("doc", "sig")
-    mates = mates.join(sigs, "doc").join(sigs.select(F.col("doc").alias("head"), F.col("sig").alias("head_sig")), "head")
-    equal = sum((F.col("sig")[k] == F.col("head_sig")[k]).cast("int") for k in range(2 * SIDE * DEPTH))
-    mates = written(mates.select("head", "doc", equal.alias("equal")).where(F.col("equal") >= LEAST_EQUAL), "mates", few)
+    equal = sum((F.col("sig")[k] == F.col("head_sig")[k]).cast("int") for k in range(band.hashes))
+
+    def against(mates: DataFrame, name: str) -> DataFrame:
+        mates = mates.join(sigs, "doc").join(sigs.select(F.col("doc").alias("head"), F.col("sig").alias("head_sig")), "head")
+        return written(mates.select("head", "doc", equal.alias("equal")), name, few)
+
+    mates = against(buckets.where("doc <> head").select("head", "doc").distinct(), "mates")
+    unlike = mates.where(F.col("equal") < band.least).select("head", "doc", F.lit(True).alias("odd"))
+    mixed = buckets.join(unlike, ["head", "doc"], "left").select("key", "doc", F.coalesce("odd", F.lit(False)).alias("odd"))
+    sizes = mixed.groupBy("key").agg(F.count("*").alias("n"), F.max("odd").alias("any")).where("any and n > 2")
+    sizes = sizes.select("key", F.ceil(F.col("n") / SIGNATURES).cast("int").alias("blocks"))
+    cells = _blocks(mixed, "key", sizes, ["pmod(xxhash64(doc), blocks)", "0", "blocks - 1"], ["odd"], BUCKET_SALT)
+    fellows = cells.join(sigs, "doc").groupBy("key", "i", "j").applyInPandas(_fellows(band.least, band.hashes), "key bigint, doc bigint")
+    fellows = written(fellows.distinct(), "fellows", few)
+    named = fellows.groupBy("key").agg(F.min("doc").alias("head"))
+    others = fellows.join(named, "key").where("doc <> head").select("head", "doc").distinct().join(mates.select("head", "doc"), ["head", "doc"], "left_anti")
+    mates = written(mates.where(F.col("equal") >= band.least).union(against(others, "others")), "all_mates", few)
+    member = fellows.join(named, "key").select("head", "doc").union(mates.select("head", "doc")).distinct()
+    member = written(member.union(mates.select("head", F.col("head").alias("doc"))).distinct(), "members", few)
 
-    asked = mates.select("doc").union(mates.select("head")).distinct().join(reps.select("doc", "h1", "h2"), "doc")
+    asked = member.select("doc").distinct().join(reps.select("doc", "h1", "h2"), "doc")
     found = texts.join(asked.select(F.col("doc").alias("doc_id"), "h1", "h2"), "doc_id").select("doc_id", "h1", "h2", "text")
     sets = found.mapInArrow(tidy(_setter(width)), "doc_id bigint, h1 bigint, h2 bigint, shingles array<bigint>")
     sets = written(sets.select(F.col("doc_id").alias("doc"), "shingles").dropDuplicates(["doc"]), "sets")
@@ -143,13 +236,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = written(pairs.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("head").alias("a"), F.col("doc").alias("b")), "links", fewer)
     near = written(components(links), "near", fewer)
 
-    member = mates.select("head", "doc").union(mates.select("head", F.col("head").alias("doc")).distinct())
     member = member.join(near, F.col("doc") == F.col("node"), "left").select("head", "doc", F.coalesce("component", "doc").alias("component"))
-    split = member.groupBy("head").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = split.where("n > 2 and lo < hi").select("head", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    cells = member.join(split, "head").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("head", "doc", "component", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))
+    split = member.groupBy("head", "component").agg(F.count("*").alias("n")).groupBy("head").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
+    split = split.where("parts > 1").selectExpr("head", "main.component as main", "int(ceil((all - main.n) / {0})) as out_blocks".format(BLOCK), "int(ceil(main.n / {0})) as main_blocks".format(BLOCK))
+    block = "if(component = main, out_blocks + pmod(xxhash64(doc), main_blocks), pmod(xxhash64(doc), out_blocks))"
+    cells = _blocks(member, "head", split, [block, "0", "if(component = main, 0, main_blocks) + out_blocks - 1"], ["component"], GROUP_SALT)
     more = cells.join(sets, "doc").groupBy("head", "i", "j").applyInPandas(_linker(percent), "a bigint, b bigint")
     links = written(links.union(more), "all_links", fewer)
 
@@ -168,7 +259,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     of one id with different texts are compared as any others.  Of a class the smallest id is
     kept, a null one last.  Rows equal in every column are copies, of which one is kept.
     """
-    keyed = docs.withColumn("_row", row_key(docs))
+    keyed = docs.withColumn("_row", row_key(docs)).withColumn("_check", row_key(docs, 1))
     classes = near_classes(keyed, "_row", text_col, percent, width)
     classes = written(classes.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")), "row_classes")
     number = F.col(id_col).cast("bigint")
@@ -177,4 +268,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     members = written(classes.join(shared, "_class").join(names, "_row"), "members")
     heads = members.groupBy("_class").agg(F.min("_name").alias("_head"))
     gone = members.join(heads, "_class").where("_row <> _head.row").select("_row").distinct()
-    return keyed.join(gone, "_row", "left_anti").dropDuplicates(["_row"]).select(docs.columns)
+    return keyed.join(gone, "_row", "left_anti").dropDuplicates(["_row", "_check"]).select(docs.columns)

@@ -89,7 +89,7 @@ def hash64(*columns) -> "F.Column":
     return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, 13), 16, 10).cast("bigint")
 
 
-def row_key(df: DataFrame) -> "F.Column":
+def row_key(df: DataFrame, seed: int = 0) -> "F.Column":
     """A 64-bit hash of the whole row, nulls and their places included: rows of one key are copies of each other in every column."""
     plain = [F.to_json(F.struct(f.name), {"ignoreNullFields": "false"}) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in df.schema.fields]
-    return F.xxhash64(*plain, *(F.isnull(f.name) for f in df.schema.fields))
+    return F.xxhash64(*([F.lit(seed)] if seed else []), *plain, *(F.isnull(f.name) for f in df.schema.fields))
