@@ -13,7 +13,7 @@ from .shared import bounded_batches, kept, tidy
 from .words import WordHasher, windows
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
-#: A line is removed when more than this share of a host's distinct texts, and more than this number, hold it.
+#: A line is removed when more than this share of a host's distinct documents, and more than this number, hold it.
 MAX_SHARE, MAX_DOCS = 0.05, 20
 #: A document is depleted when its removed lines hold more than this share of its words.
 MAX_REMOVED = 0.5
@@ -75,21 +75,25 @@ def assess(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", te
 
     Base rules: under 20 words, or over 30 % of the words in repeated 8-word windows.  Lines are
     compared by a hash of their lower-cased words.  A line is removed when more than
-    ``max_docs`` and more than ``max_share`` of the distinct texts of a host hold it (copies of
-    one text count once); a document whose removed lines hold more than ``max_removed`` of its
-    words is depleted and rejected.  Counts are grouped sums over all documents and the lines
-    come back by a join that can be split, so neither a hot host nor a hot line meets in a task.
+    ``max_docs`` and more than ``max_share`` of the distinct documents of a host hold it; a
+    document whose removed lines hold more than ``max_removed`` of its words is depleted and
+    rejected.  A document is an id with its text: copies under ids of their own all count, a
+    repeated row counts once, rows of a null id count by their texts.
+
+    Documents of one text are counted together before lines are spread out, and lines are
+    summed by host before the shuffle, so neither a hot host, a hot line nor a group of copies meets in a task.
 
     A null text is an empty one and a null host the host ``""``; both fail the base rules when
     they have no words.  Repeated rows and null ids each keep their row; an empty table gives none.
     """
     schema = f"id {dict(docs.dtypes)[id_col]}, host string, text_key binary, {', '.join(f'{c} bigint' for c in FEATURES)}, line_keys array<bigint>, line_words array<bigint>"
     base = kept(_keyed(docs, id_col, host_col, text_col).mapInArrow(tidy(_count), schema))
+    texts = base.select("id", "host", "text_key").distinct().groupBy("host", "text_key").agg(F.count("*").alias("copies"))
     pairs = base.select("host", "text_key", F.explode(F.arrays_zip("line_keys", "line_words")).alias("l"))
     lines = pairs.select("host", "text_key", F.col("l.line_keys").alias("line"), F.col("l.line_words").alias("words")).distinct()
-    sizes = base.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    often = often.join(sizes, "host").where(F.col("n") > max_share * F.col("texts")).select("host", "line")
+    sizes = texts.groupBy("host").agg(F.sum("copies").alias("documents"))
+    often = lines.join(texts, ["host", "text_key"]).groupBy("host", "line").agg(F.sum("copies").alias("n")).where(F.col("n") > max_docs)
+    often = often.join(sizes, "host").where(F.col("n") > max_share * F.col("documents")).select("host", "line")
     removed = lines.join(often, ["host", "line"]).groupBy("host", "text_key").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_keys"))
     out = base.drop("line_keys", "line_words").join(removed, ["host", "text_key"], "left")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
