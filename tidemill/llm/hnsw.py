@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .shared import written
 
 #: Vectors of a shard; links of a node (twice as many on the ground layer); breadth of the searches that build and ask.
-SHARD_ROWS, LINKS, BUILD, ASK = 8192, 16, 80, 160
-QUERY_BLOCK = 2048
+SHARD_ROWS, LINKS, BUILD, ASK = 4096, 16, 80, 160
+#: Numbers in the query vectors that a task asks one shard at a time.
+QUERY_NUMBERS = 1 << 20
 
 
 class Graph:
@@ -168,28 +169,33 @@ def usable(c: str) -> "F.Column":
 
 
 def _asker(k: int, breadth: int):
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        vectors, ids, out = np.asarray(r["vectors"], np.float64).reshape(-1, r["dim"]), r["ids"], []
-        g = Graph(_unit(vectors), np.asarray(r["levels"]), [np.asarray(x, np.int32).reshape(len(vectors), -1) for x in r["near"]], int(r["entry"]))
-        for block in pdf["queries"]:
-            for q in block:
-                v = np.asarray(q["embedding"], np.float64)
+    def ask(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "vec_id": [], "score": []}
+        for r in index.itertuples():
+            vectors, ids = np.asarray(r.vectors, np.float64).reshape(-1, r.dim), r.ids
+            first = np.array([x[0] for x in ids])
+            g = Graph(_unit(vectors), np.asarray(r.levels), [np.asarray(x, np.int32).reshape(len(vectors), -1) for x in r.near], int(r.entry))
+            for q, v in zip(queries["id"].tolist(), queries["embedding"], strict=True):
+                v = np.asarray(v, np.float64)
                 found = np.array(g.ask(_unit(v[None])[0], breadth))
                 scores = cosines(vectors[found], v)
-                best = np.argsort(-scores, kind="stable")[: 2 * k + 2]
-                near = sorted(((-s, int(i)) for s, f in zip(scores[best].tolist(), found[best].tolist(), strict=True) for i in ids[f] if i != q["id"]))[:k]
-                out += [(q["id"], i, -s) for s, i in near]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                best = np.lexsort((first[found], -scores))[: k + 1]
+                near = sorted(((-s, int(i)) for s, f in zip(scores[best].tolist(), found[best].tolist(), strict=True) for i in ids[f] if i != q))[:k]
+                out["query_id"] += [q] * len(near)
+                out["vec_id"] += [i for _, i in near]
+                out["score"] += [-s for s, _ in near]
+        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return ask
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", breadth: int = ASK, block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", breadth: int = ASK, numbers: int = QUERY_NUMBERS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest that the shards' graphs give each query, itself left out.
 
-    Queries are cut in blocks; a task asks one shard one block.  Each shard gives its ``k`` best by
-    exact cosine in double precision, which a ranked limit merges, ties to the smaller id.
+    Queries are cut in blocks of about ``numbers`` vector components.  Every shard meets every
+    block in a task of its own, to which both are sent by (length, shard, block): a task holds
+    one graph and one block, and no key holds more.  Each shard gives its ``k`` best by exact
+    cosine in double precision, ties to the smaller id, which a ranked limit merges alike.
     The index must keep ``k + 1`` ids a node.  Repeated query ids count once (smallest vector);
     unusable query vectors and null ids get no rows.
     """
@@ -197,8 +203,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), v.alias("embedding")).where(usable("embedding"))
     asked = asked.groupBy("id").agg(F.min("embedding").alias("embedding"))
     asked = written(asked.withColumn("dim", F.size("embedding")), "queries")
-    blocks = max(1, -(-asked.count() // block))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "embedding")).alias("queries"))
-    hits = index.join(dealt, "dim").groupBy("dim", "shard", "block").applyInPandas(_asker(k, breadth), "query_id bigint, vec_id bigint, score double")
+    shards, blocks = index.agg(F.coalesce(F.max("shard"), F.lit(0)) + 1).first()[0], max(1, -(-asked.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0] // numbers))
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("dim", "block", "id", "embedding", every("shard", shards))
+    cell, tasks = ["dim", "shard", "block"], 2 * shards * blocks
+    graphs = index.select("*", every("block", blocks)).repartition(tasks, *cell).groupBy(*cell)
+    hits = graphs.cogroup(dealt.repartition(tasks, *cell).groupBy(*cell)).applyInPandas(_asker(k, breadth), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
