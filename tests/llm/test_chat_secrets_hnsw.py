@@ -92,6 +92,10 @@ def test_recall_and_exact_scores(spark):
         hits, total = hits + len(set(best.tolist()) & {v for v, _ in got[q]}), total + 5
         assert len(got[q]) == 5 and all(abs(v - s[i]) < 1e-12 for i, v in got[q])
     assert hits / total >= 0.9
+    near = {}
+    for row in hnsw.search(index, df.where("vec_id % 50 = 0"), 5, numbers=64).collect():
+        near.setdefault(row.query_id, set()).add((row.vec_id, row.score))
+    assert near == {q: set(v) for q, v in got.items()}
     assert [v for v, _ in got[1500]] == [3, 1501, 1502, 1503, 1504]
     assert [v for v, _ in got[3050]] == [3051] and set(got) == {*range(0, 2500, 50), 3050}
     assert hnsw.search(hnsw.build_index(df.limit(0)), df.limit(0)).count() == 0

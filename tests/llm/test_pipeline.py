@@ -34,11 +34,11 @@ def within(a, b, t=2):
 def quality(docs):
     key = lambda line: " ".join(WORD.findall(line)).lower()
     shared, distinct, out = defaultdict(set), defaultdict(set), {}
-    for text, source in docs.values():
-        distinct[source].add(text)
+    for i, (text, source) in docs.items():
+        distinct[source].add(i)
         for line in (text or "").split("\n"):
             if WORD.search(line):
-                shared[source, key(line)].add(text)
+                shared[source, key(line)].add(i)
     for i, (text, source) in docs.items():
         limit = max(20, 0.05 * len(distinct[source]))
         lines = (text or "").split("\n")
