@@ -1,5 +1,6 @@
 """Ids and texts equal the public tokenizers library's."""
 
+import json
 import random
 
 import numpy as np
@@ -36,6 +37,26 @@ def test_long_piece_and_aged_memo(mine, monkeypatch):
     mine.rest()
 
 
+def test_white_space_of_every_kind(mine):
+    theirs, r = Tokenizer.from_file(PATH), random.Random(2)
+    gaps = [" "] * 8 + ["\n"] * 4 + ["  ", "\n\n", " \n", "\n ", "\t", "\r\n", "\x1c", "\xa0", "\n \n", "\u3000", "\x0b"]
+    words = ["one", "two,", "it's", "I'LL", "x2y", "...", "Éa", "中文", "'", "d'accord", "<|endoftext|>", "a" * 60, "\u200b"]
+    for k in range(6000):
+        some = gaps[:12] if k % 2 else gaps
+        text = "".join(r.choice(words) + r.choice(some) for _ in range(r.randint(1, 25)))
+        text = r.choice(["", "", " ", "\n"]) + (text if k % 3 else text.strip())
+        assert mine.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("part, key, value", [("model", "ignore_merges", True), ("model", "end_of_word_suffix", "</w>"), ("pre_tokenizer", "add_prefix_space", True), (None, "normalizer", {"type": "NFC"}), ("added_tokens", "lstrip", True)])
+def test_other_settings_are_refused(part, key, value):
+    with open(PATH, encoding="utf-8") as f:
+        made = json.load(f)
+    (made if part is None else made[part][0] if part == "added_tokens" else made[part])[key] = value
+    with pytest.raises(ValueError, match="plain byte-level"):
+        bpe.ByteBpe(json.dumps(made))
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, "Hello, wörld"), (None, None), (2, ""), (2, "")], "doc_id bigint, text string").selectExpr("*", "'k' as ids", "7 as n")
     out = bpe.decode(bpe.encode(df, PATH), PATH)
