@@ -47,6 +47,12 @@ def test_conversations_read_back(spark):
     assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars, got[1].loss_sha256) == (2, sha("user\n\nassistant\n</s>[INST] ok\n"), 13, sha("</s>[INST] ok"))
     assert (got[2].n_turns, got[2].turns_sha256, got[2].loss_chars) == (2, sha("tool [x]\na\\<s>\n" * 2), 0)
     assert got[None].turns_sha256 == sha("\n\n")
+    log = chat.events_of(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    long = "".join(random.Random(3).choice(PARTS) for _ in range(300_000))
+    folded = chat.fold_messages(chat.events_of(spark.createDataFrame([(1, k, role, long[:size]) for role in ("user", "assistant", "tool") for k, size in enumerate((0, 1, 5, 300_000))], "conv_id bigint, turn bigint, role string, text string"))).collect()
+    assert sorted((r.message, r.role, r.text) for r in folded) == sorted((k, role, long[:size]) for role in ("user", "assistant", "tool") for k, size in enumerate((0, 1, 5, 300_000)))
+    assert chat.read_turns(chat.render_turn("user", long)[0]) == [("user", long)]
 
 
 @pytest.fixture(scope="module")

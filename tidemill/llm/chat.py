@@ -51,18 +51,28 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Deltas that a streamed answer is cut in.
+DELTAS = 4
+
+
 def events_of(turns: DataFrame) -> DataFrame:
-    """The event log of finished conversations: a start and one delta for each row of ``conv_id, turn, role, text``.
+    """An event log that leads to the rows of ``conv_id, turn, role, text``, as a chat service would have written it.
 
+    An assistant's text comes as a draft that is dropped by ``regenerate`` and then as ``DELTAS``
+    deltas; a user's as a first version that an ``edit`` replaces; any other as one delta.
     Rows that share a turn are messages of their own, ordered by role and text.
     """
     order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("part", F.row_number().over(order))
-    none = F.lit(None).cast("string")
-    start = F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("start").alias("kind"), F.col("role").alias("role"), none.alias("text"))
-    delta = F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("delta").alias("kind"), none.alias("role"), F.col("text").alias("text"))
-    return rows.select("conv_id", F.col("turn").alias("message"), "part", F.inline(F.array(start, delta))).select("conv_id", "message", "part", "seq", "kind", "role", "text")
+    none, text = F.lit(None).cast("string"), F.col("text")
+    event = lambda seq, kind, text=none, role=none: F.struct(F.lit(seq).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    piece = F.ceil(F.length("text") / DELTAS).cast("int")
+    streamed = [event(3 + k, "delta", F.substring(text, F.lit(k) * piece + 1, piece)) for k in range(DELTAS)]
+    start = event(0, "start", role=F.col("role"))
+    log = F.when(F.col("role") == "assistant", F.array(start, event(1, "delta", F.reverse(text)), event(2, "regenerate"), *streamed))
+    log = log.when(F.col("role") == "user", F.array(start, event(1, "delta", F.lit("a first version")), event(2, "edit", text))).otherwise(F.array(start, event(1, "delta", text)))
+    return rows.select("conv_id", F.col("turn").alias("message"), "part", F.inline(log)).select("conv_id", "message", "part", "seq", "kind", "role", "text")
 
 
 def fold_messages(events: DataFrame) -> DataFrame:
