@@ -19,9 +19,9 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, threshold=2, least=24):
-    lines = [(i, k, line) for i, t in rows for k, line in enumerate((t or "").lower().replace("\r", "").split("\n"))]
-    lines = [(i, k, x.strip(" ").encode()) for i, k, x in lines if x.strip(" ")]
+def brute(rows, threshold=2):
+    lines = [(i, k, line) for i, t in rows for k, line in enumerate((t or "").lower().replace("\r", " ").replace("\t", " ").split("\n"))]
+    lines = [(i, k, x.strip(" ")) for i, k, x in lines if x.strip(" ")]
     texts = sorted({x for *_, x in lines})
     part, links = {x: x for x in texts}, dict.fromkeys(texts, 0)
 
@@ -32,37 +32,70 @@ def brute(rows, threshold=2, least=24):
 
     for k, a in enumerate(texts):
         for b in texts[:k]:
-            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold:
+            if min(len(a), len(b)) > threshold and abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold:
                 links[a] += 1
                 links[b] += 1
                 part[find(a)] = find(b)
     first = {}
-    for i, k, x in sorted(lines):
+    for i, k, x in sorted(lines, key=lambda r: ((r[0] is not None, r[0]), r[1])):
         first.setdefault(find(x), (i, k))
     return {(i, k): (*first[find(x)], links[x], first[find(x)] == (i, k)) for i, k, x in lines}
 
 
-def corpus(seed=3):
+def corpus(seed=3, sizes=(20, 60), alphabet="abcdé ", edits="xyzÉ中\U0001f600\U0001f601", bases=25):
     r = random.Random(seed)
-    bases = ["".join(r.choice("abcdé ") for _ in range(r.randint(20, 60))).strip() for _ in range(25)]
+    bases = ["".join(r.choice(alphabet) for _ in range(r.randint(*sizes))).strip() or "abc" for _ in range(bases)]
     rows = []
     for i in range(60):
         lines = []
         for _ in range(r.randint(1, 6)):
             s = list(r.choice(bases))
             for _ in range(r.choice([0, 1, 1, 2, 3])):
-                at = r.randrange(len(s))
-                s[at : at + r.choice([0, 1])] = [r.choice("xyzÉ")] if r.random() < 0.7 else []
-            lines.append("".join(s) + r.choice(["", "\r", "  "]))
+                at = r.randrange(len(s) + 1)
+                s[at : at + r.choice([0, 1])] = [r.choice(edits)] if r.random() < 0.7 else []
+            lines.append("".join(s) + r.choice(["", "\r", "  ", "\t"]))
         rows.append((i, "\n".join(lines)))
     return [*rows, (60, ""), (61, None), (62, "\n\n"), (63, "short\nshort"), (64, "x" * 20000)]
 
 
+def classes(spark, rows):
+    return {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links, r.kept) for r in line_dedup.line_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_short_lines_equal_brute_force(spark):
+    rows = corpus(8, (3, 23), "abcdefghij", "xyé", 60)
+    assert classes(spark, rows) == brute(rows)
+    few = [(i, x) for i, x in enumerate(["a", "b", "ab", "abc", "abd", "abcd", "xbc", "qrs", "abcde", "aab", ""])]
+    assert classes(spark, few) == brute(few)
+
+
+def test_hot_segments_lose_no_link(spark, monkeypatch):
+    """Lines of one template, and long runs of one character, at a bound that refines nearly every key."""
+    r = random.Random(4)
+    rows = [(1000 + i, f"page {r.randrange(10**6):06d} of the annual report of the company {r.choice(['a', 'bb', 'ccc'])}\n" + "z" * r.randint(3, 40)) for i in range(150)] + corpus(9)
+    want = brute(rows)
+    for bound in (2, 60):
+        monkeypatch.setattr(line_dedup, "HOT_PAIRS", bound)
+        assert classes(spark, rows) == want
+
+
+def test_a_template_line_five_thousand_times_over(spark):
+    rows = [(i, f"Page {i * 7919 % 10**9:09d} of the annual report") for i in range(5000)]
+    out = classes(spark, rows)
+    texts = {i: f"{i * 7919 % 10**9:09d}" for i, _ in rows}
+    for i in range(0, 5000, 1250):
+        assert out[i, 0][2] == sum(distance(texts[i], x) <= 2 for j, x in texts.items() if j != i)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "one line here"), (3, "one lime here"), (3, "one lime here"), (1, "another thing")]
+    out = sorted((r.doc_id or 0, r.class_doc, r.n_links, r.kept) for r in line_dedup.line_classes(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out == [(0, None, 1, True), (1, 1, 0, True), (3, None, 1, False), (3, None, 1, False)]
+
+
 def test_equals_brute_force(spark):
     rows = corpus()
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links, r.kept) for r in line_dedup.line_classes(df).collect()}
-    assert got == brute(rows)
+    assert classes(spark, rows) == brute(rows)
 
 
 def test_banded_distance_is_exact_up_to_the_threshold(spark):

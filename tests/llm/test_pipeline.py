@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def within(a, b, t=2):
-    """Whether two byte strings are at most ``t`` edits apart, by a banded table."""
+    """Whether two strings are at most ``t`` edits apart, by a banded table."""
     if abs(len(a) - len(b)) > t or sum((Counter(a) - Counter(b)).values()) > t:
         return False
     row = {j: j for j in range(t + 1)}
@@ -50,7 +50,7 @@ def quality(docs):
 
 
 def line_dedup(docs):
-    rows = [(i, k, x.lower().replace("\r", "").strip(" ").encode()) for i, (t, _) in sorted(docs.items()) for k, x in enumerate(t.split("\n"))]
+    rows = [(i, k, x.lower().replace("\r", " ").replace("\t", " ").strip(" ")) for i, (t, _) in sorted(docs.items()) for k, x in enumerate(t.split("\n"))]
     rows = [r for r in rows if r[2]]
     texts = sorted({x for *_, x in rows}, key=len)
     part = {x: x for x in texts}
@@ -64,7 +64,7 @@ def line_dedup(docs):
         for b in texts[k + 1 :]:
             if len(b) > len(a) + 2:
                 break
-            if len(a) >= 24 and within(a, b):
+            if len(a) > 2 and within(a, b):
                 part[find(a)] = find(b)
     first, gone, had = {}, defaultdict(set), Counter()
     for i, k, x in rows:

@@ -4,8 +4,9 @@ Lines within ``threshold`` edits share at least one of ``threshold + 1`` segment
 line of a pair is indexed by its segments (number, whole length, text); the longer one probes
 those lengths with the few substrings that the multi-match-aware windows leave, 12 for two
 edits.  Candidates are verified with a banded bit-parallel edit distance: one word of
-``2 * threshold + 2`` bits holds a column of the band.  Edits are of UTF-8 bytes: a substring of
-bytes is cut without walking the line.
+``2 * threshold + 2`` bits holds a column of the band.  Edits are of characters.  Segments are cut
+from UTF-16 with two bytes a character, where a cut needs no walk along the line; characters
+beyond it all stand for one another there, which only adds candidates.
 """
 
 from __future__ import annotations
@@ -16,42 +17,50 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import files_for, kept, row_key, written
 
-#: Byte edits that two lines of one class may be apart, and the bytes from which lines are compared beyond equality.
-THRESHOLD, LEAST_BYTES = 2, 24
+#: Edits that two lines of one class may be apart.
+THRESHOLD = 2
 #: An edit changes at most two of these characters' counts, each by one; lines whose counts are further apart are never paired.
 COUNTED = " eantiorshdlu,."
 #: Lines up to this many are looked up by a broadcast of their 8-byte hashes; more by a shuffle.
 BROADCAST_LINES = 1_000_000
+#: A segment under which more pairs than this would meet is refined by segments of what is left of its lines, up to so many times.
+HOT_PAIRS, REFINED = 250_000, 4
 
 
 def _segment(length: Column, i: int, t: int) -> tuple[Column, Column]:
-    """First byte (from 1) and length of segment ``i`` of ``t + 1``: even parts, the longer ones last."""
+    """First character (from 1) and length of segment ``i`` of ``t + 1``: even parts, the longer ones last."""
     short = length % (t + 1)
     base = (length / (t + 1)).cast("int")
     longer_before = F.greatest(F.lit(0), F.lit(i - (t + 1)) + short)
     return base * i + longer_before + 1, base + (F.lit(i) >= (t + 1) - short).cast("int")
 
 
-def segment_keys(line: Column, length: Column, t: int) -> Column:
-    """One key for each segment of an indexed line."""
-    keys = []
-    for i in range(t + 1):
-        start, size = _segment(length, i, t)
-        keys.append(F.xxhash64(F.lit(i), length, F.substring(line, start, size)))
-    return F.array(*keys)
+def _cut(wide: Column, start: Column, size: Column) -> Column:
+    return F.substring(wide, 2 * start - 1, 2 * size)
 
 
-def probe_keys(line: Column, length: Column, t: int) -> Column:
-    """Every key under which a line of this length or up to ``t`` bytes less can be indexed, if within ``t`` edits."""
-    keys = []
+def index_cuts(length: Column, t: int) -> list[tuple[Column, Column, Column, Column]]:
+    """Segment number, whole length, first character and size of each segment of an indexed line."""
+    return [(F.lit(i), length, *_segment(length, i, t)) for i in range(t + 1)]
+
+
+def probe_cuts(length: Column, t: int) -> list[tuple[Column, Column, Column, Column]]:
+    """The same of every substring by which a line of this length meets one of it or up to ``t`` less, if within ``t`` edits.
+
+    Of a pair within ``t`` edits, some segment ``i`` is untouched with at most ``i`` edits before
+    it and ``t - i`` after it: take the first up to which the edits so far are no more than its number.
+    """
+    cuts = []
     for gap in range(t + 1):
-        shorter = length - gap
         for i in range(t + 1):
-            start, size = _segment(shorter, i, t)
-            for shift in range(max(-i, gap - (t - i)), min(i, gap + (t - i)) + 1):
-                text = F.substring(line, F.greatest(start + shift, F.lit(1)), size)
-                keys.append(F.xxhash64(F.lit(i), shorter, text))
-    return F.array_distinct(F.array(*keys)) if t > 2 else F.array(*keys)
+            start, size = _segment(length - gap, i, t)
+            cuts += [(F.lit(i), length - gap, F.greatest(start + shift, F.lit(1)), size) for shift in range(max(-i, gap - (t - i)), min(i, gap + (t - i)) + 1)]
+    return cuts
+
+
+def cut_keys(wide: Column, cuts: list[tuple[Column, Column, Column, Column]], *seed: Column) -> list[Column]:
+    """A key for each cut; a line of less than a character a segment has its length for all of them."""
+    return [F.xxhash64(*seed, i, n, F.when(size > 0, _cut(wide, start, size)).otherwise(F.lit(b""))) for i, n, start, size in cuts]
 
 
 def _named(value: Column, use) -> Column:
@@ -118,83 +127,124 @@ def within(a: Column, b: Column, t: int) -> Column:
     return _named(_named(_middles(a, b, t), chars), run)
 
 
+def _wide(line: Column) -> Column:
+    """A line in two bytes a character."""
+    plain = F.encode(line, "UTF-16BE")
+    narrow = F.encode(F.regexp_replace(line, "[\\x{10000}-\\x{10FFFF}]", "\ufffd"), "UTF-16BE")
+    return F.when(F.octet_length(plain) == 2 * F.length(line), plain).otherwise(narrow)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, *extra: Column) -> DataFrame:
-    parts = F.split(F.replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit("\r")), "\n", -1)
-    lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *extra, F.posexplode(parts).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.trim("line").cast("binary"))
-    lines = lines.where(F.octet_length("line") > 0)
+    blanks = F.replace(F.replace(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit("\r"), F.lit(" ")), F.lit("\t"), F.lit(" "))
+    lines = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *extra, F.posexplode(F.split(blanks, "\n", -1)).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.trim("line")).where(F.octet_length("line") > 0)
     return lines.select(*lines.columns[:-1], F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row for each line that is not blank: ``doc_id, line_no, class_doc, class_line, n_links, kept``.
 
-    Lines are compared lower-cased, without carriage returns and outer blanks.  Equal lines are one text; two texts of
-    ``least_bytes`` bytes or more within ``threshold`` byte edits are linked; a class is a
-    connected component, named by its first line in (doc_id, line_no), which alone is kept.
-    ``n_links`` counts the different texts that a line is linked with.
+    Lines are compared lower-cased, with tabs and carriage returns as blanks, without outer blanks.
+    Equal lines are one text; two texts of more than ``threshold`` characters within
+    ``threshold`` edits are linked; a class is a connected component, named by its first line in
+    (doc_id, line_no), which alone is kept.  ``n_links`` counts the different texts that a line
+    is linked with.
 
     Segments are summed by key before probes meet them, so a line that very many documents
     hold costs no more than its copies.  Probes and segments that meet no other line are dropped
     first, which pairs nothing, and texts are read again for the rest alone.  Of those, lines
-    are paired, at the first segment they share, whose counts of frequent characters allow the
-    threshold: many lines may agree in a segment and differ by more elsewhere.
+    are paired at a shared segment if their counts of frequent characters allow the threshold.
+    Where very many lines share a segment, as those of a template do, they meet by segments of
+    what is left of them instead: that too is within ``threshold`` edits.
 
     Null and empty texts give no lines; rows of a null id come first in the order and are named
     by null; a repeated row repeats its lines, and equal places share one verdict.  Other columns are not read.
     """
-    return _classes(_lines(docs, id_col, text_col), ["doc_id", "line_no"], threshold, least_bytes)
+    return _classes(_lines(docs, id_col, text_col), ["doc_id", "line_no"], threshold)
 
 
-def _classes(lines: DataFrame, place: list[str], threshold: int, least_bytes: int) -> DataFrame:
+def _refined(rows: DataFrame, cuts, t: int) -> DataFrame:
+    """Rows of ``key, h1, wide, n`` (and ``seed`` from the second time on), keyed anew by segments of what the key's own leaves of each line.
+
+    Where the key is of an empty segment, nothing is left to tell lines apart and rows stay as they are.
+    """
+    seed = [F.col("seed")] if "seed" in rows.columns else []
+    here = cuts(F.col("n"), t)
+    found = F.array(*(F.when(k == F.col("key"), F.struct(start.alias("start"), size.alias("size"))) for k, (_, _, start, size) in zip(cut_keys(F.col("wide"), here, *seed), here, strict=True)))
+    rows = rows.withColumn("cut", F.explode(F.array_distinct(F.filter(found, lambda c: c.isNotNull()))))
+    rest = F.concat(_cut(F.col("wide"), F.lit(1), F.col("cut.start") - 1), F.substring(F.col("wide"), 2 * (F.col("cut.start") + F.col("cut.size")) - 1, F.octet_length("wide")))
+    moved = rows.where("cut.size > 0").select("h1", F.col("key").alias("seed"), rest.alias("wide"), (F.col("n") - F.col("cut.size")).alias("n")).distinct()
+    moved = moved.withColumn("key", F.explode(F.array(*cut_keys(F.col("wide"), cuts(F.col("n"), t), F.col("seed")))))
+    return (moved.unionByName(rows.where("cut.size = 0").drop("cut")) if seed else moved).distinct()
+
+
+def _meeting(probes: DataFrame, indexed: DataFrame, texts: DataFrame, t: int, files: int) -> tuple[DataFrame, DataFrame]:
+    """``key, h1`` of both sides, with hot keys refined; what is still hot after ``REFINED`` times meets as it is."""
+    texts = texts.select("h1", _wide(F.col("line")).alias("wide"), F.length("line").alias("n"))
+    done: list[tuple[DataFrame, DataFrame]] = []
+    for level in range(REFINED + 1):
+        counts = probes.groupBy("key").agg(F.count("*").alias("p")).join(indexed.groupBy("key").agg(F.count("*").alias("s")), "key")
+        hot = written(counts.where(F.col("p") * F.col("s") > HOT_PAIRS).select("key"), "hot_segments", 1)
+        if level == REFINED or not hot.count():
+            break
+        done.append((probes.join(hot, "key", "left_anti").select("key", "h1"), indexed.join(hot, "key", "left_anti").select("key", "h1")))
+        probes, indexed = (rows.join(hot, "key") if level else rows.join(hot, "key").join(texts, "h1") for rows in (probes, indexed))
+        probes, indexed = written(_refined(probes, probe_cuts, t), "refined", files), written(_refined(indexed, index_cuts, t), "refined", files)
+    done.append((probes.select("key", "h1"), indexed.select("key", "h1")))
+    first, second = done[0]
+    for x, y in done[1:]:
+        first, second = first.union(x), second.union(y)
+    return first, second
+
+
+def _classes(lines: DataFrame, place: list[str], threshold: int) -> DataFrame:
     """``line_classes`` of lines that the columns ``place`` name, in whose order the first line of a class is found."""
     places = kept(lines.select(*place, "h1", "h2"))
     lines_n = places.count()
     few, fewer = files_for(lines_n, 400_000), files_for(lines_n, 2_000_000)
-    long = lines.select("h1", F.octet_length("line").alias("n"), "line").where(F.col("n") >= least_bytes)
-    indexed = kept(long.select(F.col("h1").alias("short"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key")))
-    probes = long.select(F.col("h1").alias("long"), F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    ends = indexed.groupBy(F.col("key").alias("at")).agg(F.min("short").alias("lo"), F.max("short").alias("hi"))
-    met = (F.col("key") == F.col("at")) & ((F.col("lo") != F.col("long")) | (F.col("hi") != F.col("long")))
+    long = lines.select("h1", F.length("line").alias("n"), _wide(F.col("line")).alias("wide")).where(F.col("n") > threshold)
+    wide, n = F.col("wide"), F.col("n")
+    indexed = kept(long.select("h1", F.explode(F.array(*cut_keys(wide, index_cuts(n, threshold)))).alias("key")))
+    probes = long.select("h1", F.explode(F.array(*cut_keys(wide, probe_cuts(n, threshold)))).alias("key"))
+    ends = indexed.groupBy(F.col("key").alias("at")).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    met = (F.col("key") == F.col("at")) & ((F.col("lo") != F.col("h1")) | (F.col("hi") != F.col("h1")))
     probes = written(probes.join(ends.hint("shuffle_hash"), met, "left_semi").distinct(), "probes", few)
     indexed = written(indexed.join(probes.select("key").distinct(), "key", "left_semi").distinct(), "indexed", few)
 
-    asked = written(probes.select(F.col("long").alias("h1")).union(indexed.select("short")).distinct(), "asked", fewer)
+    asked = written(probes.select("h1").union(indexed.select("h1")).distinct(), "asked", fewer)
     if asked.count() <= BROADCAST_LINES:
         asked = F.broadcast(asked)
-    texts = written(lines.select("h1", "line").join(asked, "h1", "left_semi").dropDuplicates(["h1"]), "texts", few)
-    text = F.decode("line", "ISO-8859-1")
-    tallies = ((F.length(text) - F.length(F.replace(text, F.lit(c)))).alias(f"n{k}") for k, c in enumerate(COUNTED))
-    size = F.octet_length("line")
-    sketch = written(texts.select("h1", size.alias("n"), segment_keys(F.col("line"), size, threshold).alias("segments"), probe_keys(F.col("line"), size, threshold).alias("probes"), *tallies), "sketches")
+    texts = written(lines.select("h1", "h2", "line").join(asked, "h1", "left_semi").dropDuplicates(["h1", "h2"]), "texts", few)
     tally = [f"n{k}" for k in range(len(COUNTED))]
-    long_side = probes.join(sketch.select(F.col("h1").alias("long"), "n", "probes", *tally), "long").select("key", F.struct("long", "n", "probes", *tally).alias("l"))
-    short_side = indexed.join(sketch.select(F.col("h1").alias("short"), "n", "segments", *tally), "short").select("key", F.struct("short", "n", "segments", *tally).alias("s"))
+    counts = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c))) for c in COUNTED)
+    sketch = written(texts.select("h1", F.length("line").alias("n"), *(c.alias(name) for c, name in zip(counts, tally, strict=True))), "sketches", few)
+    probes, indexed = _meeting(probes, indexed, texts, threshold, few)
+    long_side = probes.join(sketch, "h1").select("key", F.struct("h1", "n", *tally).alias("l"))
+    short_side = indexed.join(sketch, "h1").select("key", F.struct("h1", "n", *tally).alias("s"))
     differ = sum(F.abs(F.col(f"l.{c}") - F.col(f"s.{c}")) for c in tally)
-    ordered = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.short") < F.col("l.long")))
-    shared = F.filter("s.segments", lambda k: F.array_contains("l.probes", k))
-    once = F.get(shared, F.lit(0)) == F.col("at")
-    pairs = long_side.join(short_side.withColumnRenamed("key", "at"), (F.col("key") == F.col("at")) & ordered & (differ <= 2 * threshold) & once)
-    pairs = written(pairs.select(F.least("s.short", "l.long").alias("a"), F.greatest("s.short", "l.long").alias("b")).distinct(), "pairs", fewer)
-    texts = texts.select("h1", text.alias("line"))
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    both = both.where(F.abs(F.length("x") - F.length("y")) <= threshold)
-    links = written(both.where(within(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b"), "line_links", fewer)
-
-    degrees = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count("*").alias("n_links"))
-    linked = degrees.join(components(links), F.col("h1") == F.col("node")).select("h1", "n_links", "component")
+    ordered = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.h1") < F.col("l.h1")))
+    pairs = long_side.join(short_side.withColumnRenamed("key", "at"), (F.col("key") == F.col("at")) & ordered & (F.col("l.n") - F.col("s.n") <= threshold) & (differ <= 2 * threshold))
+    pairs = written(pairs.select(F.least("s.h1", "l.h1").alias("a"), F.greatest("s.h1", "l.h1").alias("b")).distinct(), "pairs", fewer)
+    whole = F.col("h1").cast("decimal(20,0)") * F.lit(1 << 56).cast("decimal(18,0)") + F.col("h2").bitwiseAND(F.lit((1 << 56) - 1)).cast("decimal(18,0)")
+    texts = texts.select("h1", whole.cast("decimal(38,0)").alias("id"), "line")
+    end = lambda side, id_, line: texts.select(F.col("h1").alias(side), F.col("id").alias(id_), F.col("line").alias(line))
+    both = pairs.join(end("a", "i", "x"), "a").join(end("b", "j", "y"), "b").where(F.abs(F.length("x") - F.length("y")) <= threshold)
+    links = written(both.where(within(F.col("x"), F.col("y"), threshold) <= threshold).select(F.col("i").alias("a"), F.col("j").alias("b")), "line_links", fewer)
+
+    degrees = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
+    linked = degrees.join(components(links), F.col("id") == F.col("node")).select("id", "n_links", "component")
     firsts = places.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first"))
-    firsts = firsts.join(linked, "h1", "left").withColumn("class", F.coalesce("component", "h1"))
+    firsts = firsts.withColumn("id", whole.cast("decimal(38,0)")).join(linked, "id", "left")
     alone = firsts.where("component is null").select("h1", "h2", F.lit(0).cast("bigint").alias("n_links"), "first")
     joined = firsts.where("component is not null")
-    heads = joined.groupBy("class").agg(F.min("first").alias("head"))
-    named = alone.union(joined.join(heads, "class").select("h1", "h2", "n_links", F.col("head").alias("first")))
+    heads = joined.groupBy("component").agg(F.min("first").alias("head"))
+    named = alone.union(joined.join(heads, "component").select("h1", "h2", "n_links", F.col("head").alias("first")))
     out = places.join(named, ["h1", "h2"])
     same = F.struct(*place).eqNullSafe(F.col("first"))
     return out.select(*place, F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n_links", same.alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with only the first line of each class; columns unchanged, cases as in ``line_classes``.
 
     Every row is a document of its own, known by a hash of all its columns, so rows of a null or
@@ -204,7 +254,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     elsewhere.  Lines without characters stay.
     """
     key = row_key(docs)
-    classes = _classes(_lines(docs, id_col, text_col, key.alias("_row")), ["doc_id", "_row", "line_no"], threshold, least_bytes)
+    classes = _classes(_lines(docs, id_col, text_col, key.alias("_row")), ["doc_id", "_row", "line_no"], threshold)
     gone = classes.groupBy("_row").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), F.max("kept").alias("_left"))
     gone = gone.where(F.size("_gone") > 0)
     out = docs.withColumn("_row", key).join(gone, "_row", "left").where("coalesce(_left, true)")
