@@ -1,17 +1,15 @@
 """Text semantics as column functions, each beside its DuckDB expression: canonical form, tokens, stems, roots.
 
-Everything stays in the JVM.  Unicode composition is the one step Spark lacks: ``nfc`` is an Arrow UDF for input that needs it.
+Everything stays in the JVM: Unicode composition and HTML entities, which Spark has no function for, are Java methods that Spark
+ships and calls by ``java_method``.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# The reference's suffixes, longest first, its root prefixes, abbreviations and stop words.
+# The suffixes, longest first, its root prefixes, abbreviations and stop words.
 SUFFIXES = [
     "ами", "ями", "ого", "ему", "ому", "ыми", "ими", "ая", "яя", "ое", "ее", "ые", "ие", "ых", "их", "ов", "ев", "ей", "ий", "ый", "ой", "ом", "ем",
     "ах", "ях", "ам", "ям", "ую", "юю", "ию", "ью", "ть", "ти", "ла", "ло", "ли", "а", "я", "у", "ю", "е", "о", "и", "ы", "ь",
@@ -38,30 +36,38 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf(StringType())
-def nfc(texts):
-    """Unicode composition; apply before ``canon`` to text that is not known to be composed."""
-    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+#: What a text must hold for Unicode composition to change it: marks, vowels and tails of Hangul, and letters with a form of their own.
+COMPOSABLE = r"[\p{M}\u1161-\u11C2\u2000\u2001\u2126\u212A\u212B\u2329\u232A\uF900-\uFAFF]"
+
+
+def composed(c: Column | str) -> Column:
+    """Unicode composition (NFC), by the ICU library on Spark's own class path; only texts that it can change go there."""
+    x = _col(c)
+    return F.when(x.rlike(COMPOSABLE), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(False))).otherwise(x)
+
+
+def folded(c: Column | str, map_latin: bool = False) -> Column:
+    """Composed, lower case, ё as е, look-alikes mapped on request."""
+    low = F.replace(F.lower(composed(c)), F.lit("ё"), F.lit("е"))
+    return F.translate(low, LATIN, CYRILLIC) if map_latin else low
+
+
+def folded_sql(c: str) -> str:
+    return f"replace(lower(nfc_normalize(coalesce({c}, ''))), 'ё', 'е')"
 
 
 def canon(c: Column | str, map_latin: bool = False) -> Column:
-    """Lower case, ё as е, look-alikes mapped on request, white space collapsed and trimmed."""
-    low = F.replace(F.lower(_col(c)), F.lit("ё"), F.lit("е"))
-    if map_latin:
-        low = F.translate(low, LATIN, CYRILLIC)
-    return F.trim(F.regexp_replace(low, r"(?U)\s+", " "))
+    """Composed, lower case, ё as е, look-alikes mapped on request, white space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(folded(c, map_latin), r"(?U)\s+", " "))
 
 
 def tokens(c: Column | str, map_latin: bool = False) -> Column:
-    """Runs of Cyrillic and Latin letters and digits, in order; none for null."""
-    low = F.replace(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("ё"), F.lit("е"))
-    if map_latin:
-        low = F.translate(low, LATIN, CYRILLIC)
-    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    """Runs of Cyrillic and Latin letters and digits of the composed text, in order; none for null."""
+    return F.regexp_extract_all(folded(F.coalesce(_col(c), F.lit("")), map_latin), F.lit(TOKEN), F.lit(0))
 
 
 def tokens_sql(c: str) -> str:
-    return f"regexp_extract_all(replace(lower(coalesce({c}, '')), 'ё', 'е'), '{TOKEN}')"
+    return f"regexp_extract_all({folded_sql(c)}, '{TOKEN}')"
 
 
 def stem(t: Column | str) -> Column:
@@ -131,15 +137,16 @@ def match_forms(t: Column) -> Column:
     return F.array_distinct(F.array(t, folded, stem(t), stem(folded)))
 
 
-_ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&amp;", "&")]
+def unescaped(c: Column | str) -> Column:
+    """A text with all named and numbered HTML entities as characters, by the text library on Spark's own class path."""
+    x = F.replace(_col(c), F.lit("&apos;"), F.lit("'"))
+    return F.when(F.contains(x, F.lit("&")), F.call_function("java_method", F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), x)).otherwise(x)
 
 
 # The patterns of source cleanup, in the order in which they apply.
 def clean_source_text(c: Column | str) -> Column:
     """Source text without entities, soft hyphens, inline tags, images, captions, glued headings and spare blanks; tables stay."""
-    x = _col(c)
-    for name, value in _ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(value))
+    x = unescaped(c)
     x = F.replace(F.replace(x, F.lit("\u00a0"), F.lit(" ")), F.lit("\u00ad"), F.lit(""))
     for pattern, value in (
         (r"(?U)(\w)-\s*\n\s*(\w)", "$1$2"),
@@ -161,11 +168,14 @@ def clean_source_text(c: Column | str) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def collapse_pdf_text(c: Column | str) -> Column:
-    """PDF text without line-end hyphens, bullets, dot leaders and spare blanks."""
-    x = F.regexp_replace(_col(c), r"(?U)(\w)-\n(\w)", "$1$2")
-    x = F.replace(x, F.lit("\u00a0"), F.lit(" "))
-    for pattern, value in ((r"[·•]+", " "), (r"\.{4,}", " "), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")):
+#: What stands for what in text from PDF, in the order in which it applies.
+PDF_PATTERNS = [(r"(?U)(\w)-\n(\w)", "$1$2"), ("\u00a0", " "), (r"[·•]+", " "), (r"\.{4,}", " "), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")]
+
+
+def clean_pdf_text(c: Column | str) -> Column:
+    """Composed PDF text: form feeds as new lines, bullets of private use as others, then without line-end hyphens, bullets, dot leaders and spare blanks."""
+    x = F.translate(composed(c), "\f\uf0b7\uf0a7", "\n••")
+    for pattern, value in PDF_PATTERNS:
         x = F.regexp_replace(x, pattern, value)
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
@@ -204,11 +214,21 @@ def document_key(c: Column | str) -> Column:
 
 def pdf_words(c: Column | str) -> Column:
     """Words of PDF text for shingles: case and ё folded, soft and hard hyphens out."""
-    x = F.replace(F.replace(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("ё"), F.lit("е")), F.lit("\u00ad"))
+    x = F.replace(folded(F.coalesce(_col(c), F.lit(""))), F.lit("\u00ad"))
     x = F.regexp_replace(x, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
     return F.regexp_extract_all(F.replace(x, F.lit("-")), F.lit(TOKEN), F.lit(0))
 
 
+def shingle_keys(words: Column, width: int = 3) -> Column:
+    """Distinct runs of ``width`` words as 64-bit hashes; none if there are fewer words."""
+
+    def cut(w: Column) -> Column:
+        places = F.when(F.size(w) >= width, F.sequence(F.lit(0), F.size(w) - width)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(places, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width)))))
+
+    return F.element_at(F.transform(F.array(words), cut), 1)
+
+
 def shingles(words: Column, width: int = 3) -> Column:
     """Distinct runs of ``width`` words joined by blanks; none if there are fewer words."""
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import moderation as M
+
 
 def _opening():
     return Window.partitionBy("conv_id").orderBy("turn")
@@ -73,11 +75,30 @@ def previous_role(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", "role", F.lag("role").over(_opening()).alias("previous"))
 
 
-def follow_up_queries(messages: DataFrame, is_follow_up: Column) -> DataFrame:
-    """The query of each user turn: a follow-up is put after the user's question before it."""
-    users = messages.where("role = 'user'")
-    before = F.lag("text").over(_opening())
-    return users.select("conv_id", "turn", F.when(is_follow_up & before.isNotNull(), F.concat_ws(" ", before, "text")).otherwise(F.col("text")).alias("query"))
+# How a request starts that only makes sense after the one before it.
+FOLLOW_UP = [
+    r"^(?:а\s+)?(?:(?:как|где|когда|почему|зачем)\s+)?(?:это|этого|этому|этой|этот|эту|этом|его|её|ее|их|такой|такую|там|дальше|подробнее)",
+    r"^(?:не получилось|не помогло|что делать дальше|а по|а если|я поставщик|я заказчик)",
+]
+
+
+def follow_up_queries(messages: DataFrame) -> DataFrame:
+    """What is searched for at each user turn that asks something: ``conv_id, turn, query``.
+
+    Greetings, questions about what the assistant can do and open calls for help ask nothing and count neither as a turn nor as the
+    turn before.  An explicit follow-up is put on a new line after the question before it.
+    """
+    text = F.col("text")
+    asks = messages.where((F.col("role") == "user") & ~(M.is_greeting(text) | M.is_capability_question(text) | M.is_open_help(text)))
+    before, starts = F.lag("text").over(_opening()), text.rlike("(?iU)" + "|".join(p + r"\b" for p in FOLLOW_UP))
+    return asks.select("conv_id", "turn", F.when(starts & before.isNotNull(), F.concat_ws("\n", before, "text")).otherwise(text).alias("query"))
+
+
+def follow_up_sql() -> str:
+    starts = "|".join(p + r"(?:[^\p{L}\p{N}_]|$)" for p in FOLLOW_UP)
+    asks = f"NOT ({M.is_greeting_sql('text')} OR {M.is_capability_sql('text')} OR {M.is_open_help_sql('text')})"
+    return f"""SELECT conv_id, turn, CASE WHEN p IS NOT NULL AND regexp_matches(text, '(?i){starts}') THEN p || chr(10) || text ELSE text END AS query
+FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM messages WHERE role = 'user' AND {asks})"""
 
 
 def last_user_turn(messages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Insults, obscene cores, word prefixes and address words that the rules name.
+# Insults, obscene cores, word prefixes, address words, idioms, greetings, thanks, small talk, and what asks for help or names a defect.
 INSULTS = [
     "идиот", "идиоты", "идиотка", "дурак", "дура", "дураки", "дебил", "дебилы", "тупой", "тупая", "тупые", "тупица", "кретин", "кретины", "мудак",
     "мудаки", "козел", "козлы", "урод", "уроды", "подонок", "чмо", "еблан", "ебланы", "пидор", "пидоры", "пидарас", "пидорас", "гнойный", "гнойная",
@@ -25,8 +25,9 @@ CAPABILITY = [
     r"\b(?:какие|с какими)\s+(?:вопросы|вопросами|темы|темами)\b", r"\bкак(?:ую|ие)\s+помощь\s+(?:ты|вы)?\s*(?:можешь|можете)\b", r"\bwhat\s+can\s+you\s+(?:do|help)\b",
 ]
 UI_DEFECT = r"(?isU)нет\s+кнопк|кнопк\w*.{0,80}нет|пропал\w*\s+кнопк|кнопк\w*.{0,80}пропал|страниц\w*\s+пад|форма\s+пад|исправьте\s+форм"
-HELP = r"(?iU)\b(?:помо[гж]\w*|help|помощ\w*|подскаж\w*)\b"
-HELP_FILLER = r"(?iU)\b(?:шо|що|ну|чё|че|что|ты|вы|мне|нас|пожалуйста|помо[гж]\w*|help|нужн\w*|помощ\w*|подскаж\w*|можешь|можете|сможешь|сможете|хочу|хотел\w*|давай|сюда)\b"
+HELP_WORDS = r"помо[гж]\w*|help|помощ\w*|подскаж\w*"
+FILLER_WORDS = r"шо|що|ну|чё|че|что|ты|вы|мне|нас|пожалуйста|помо[гж]\w*|help|нужн\w*|помощ\w*|подскаж\w*|можешь|можете|сможешь|сможете|хочу|хотел\w*|давай|сюда"
+HELP, HELP_FILLER = rf"(?iU)\b(?:{HELP_WORDS})\b", rf"(?iU)\b(?:{FILLER_WORDS})\b"
 LEAST_STEM = 4
 
 
@@ -68,11 +69,22 @@ def scan(rows: DataFrame, keys: list[str], text: str, words: list[str]) -> DataF
     return first.groupBy(*keys).agg(F.count("*").alias("n_terms"), F.array_join(terms, " ").alias("terms"))
 
 
-def remainder(text: Column, words: list[str]) -> Column:
-    """The text's tokens without idioms, flagged ones and leading address words, first letter upper."""
-    kept = F.filter(T.tokens(F.regexp_replace(text, IDIOM, " "), map_latin=True), lambda t: ~flagged(t, words))
-    joined = F.regexp_replace(F.array_join(kept, " "), f"^(?:(?:{'|'.join(ADDRESS)})(?: |$))+", "")
-    return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 30))
+def remainders(rows: DataFrame, keys: list[str], text: str, words: list[str]) -> DataFrame:
+    """``keys, rest``: each text's tokens without idioms, flagged ones and leading address words, first letter upper; flags are taken once a distinct token."""
+    seen = rows.select(*keys, F.posexplode_outer(T.tokens(F.regexp_replace(text, IDIOM, " "), map_latin=True)).alias("pos", "t"))
+    marked = seen.join(flagged_vocabulary(seen.where("t is not null"), words).where("flagged"), "t", "left")
+    kept = F.transform(F.sort_array(F.collect_list(F.when(F.col("flagged").isNull() & F.col("t").isNotNull(), F.struct("pos", "t")))), lambda x: x["t"])
+    joined = F.regexp_replace(F.array_join("kept", " "), f"^(?:(?:{'|'.join(ADDRESS)})(?: |$))+", "")
+    return marked.groupBy(*keys).agg(kept.alias("kept")).select(*keys, F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 1 << 30)).alias("rest"))
+
+
+def preferred_rephrase(rest: Column, said: Column, words: list[str]) -> Column:
+    """What to suggest for a rude request: the remainder, or a model's words if none is flagged and all are the remainder's; empty if there is neither."""
+    model = F.trim(F.coalesce(said, F.lit("")))
+    spoken = F.when(F.exists(T.tokens(model, map_latin=True), lambda t: flagged(t, words)), "").otherwise(model)
+    extra = F.size(F.array_except(T.tokens(spoken, map_latin=True), T.tokens(rest, map_latin=True))) > 0
+    capital = F.concat(F.upper(F.substring(spoken, 1, 1)), F.substring(spoken, 2, 1 << 30))
+    return F.when((rest != "") & (spoken != ""), F.when(extra, rest).otherwise(capital)).when(rest != "", rest).otherwise(spoken)
 
 
 def has_request(rest: Column) -> Column:
@@ -118,3 +130,35 @@ def is_open_help(text: Column) -> Column:
     stems, rest = T.significant_stems(text), T.significant_stems(F.regexp_replace(F.regexp_replace(text, HELP_FILLER, " "), r"(?U)[^\w\s]+", " "))
     only = lambda a: F.forall(a, _helps)
     return ~reports_ui_defect(text) & (is_capability_question(text) | ((F.size(stems) > 0) & only(stems)) | (text.rlike(HELP) & only(rest)))
+
+
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _re2(pattern: str) -> str:
+    """A pattern for DuckDB, whose word characters are ASCII alone."""
+    return pattern.replace(r"\w", _WORD)
+
+
+def is_greeting_sql(c: str) -> str:
+    t = T.tokens_sql(c)
+    return f"(len({t}) BETWEEN 1 AND 3 AND len(list_filter({t}, lambda x: x NOT IN ({', '.join(repr(g) for g in GREETINGS)}))) = 0)"
+
+
+def is_capability_sql(c: str) -> str:
+    spoken = f"' ' || array_to_string({T.tokens_sql(c)}, ' ') || ' '"
+    return "regexp_matches({}, '{}')".format(spoken, "|".join(CAPABILITY).replace(r"\b", " "))
+
+
+def reports_ui_defect_sql(c: str) -> str:
+    return f"regexp_matches({c}, '(?is){_re2(UI_DEFECT.split(')', 1)[1])}')"
+
+
+def is_open_help_sql(c: str) -> str:
+    """Words are whole runs of word characters, so that help and filler words are told by full matches."""
+    words = f"regexp_extract_all({c}, '{_WORD}+')"
+    only = lambda stems: f"len(list_filter({stems}, lambda s: NOT (regexp_matches(s, '^(?:помог|помож|помощ|подскаж)') OR s = 'help'))) = 0"
+    some = lambda pattern: f"len(list_filter({words}, lambda w: regexp_full_match(w, '(?i)(?:{_re2(pattern)})'))) > 0"
+    left = f"array_to_string(list_filter({words}, lambda w: NOT regexp_full_match(w, '(?i)(?:{_re2(FILLER_WORDS)})')), ' ')"
+    stems, rest = T.significant_stems_sql(c), T.significant_stems_sql(left)
+    return f"(NOT {reports_ui_defect_sql(c)} AND ({is_capability_sql(c)} OR (len({stems}) > 0 AND {only(stems)}) OR ({some(HELP_WORDS)} AND {only(rest)})))"

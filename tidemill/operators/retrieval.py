@@ -49,11 +49,6 @@ def roots(c: Column | str) -> Column:
     return F.transform(T.significant_stems(c), folded_root)
 
 
-def content_roots(c: Column) -> Column:
-    """Roots of a passage without the product's name, which is no evidence of what the passage is about."""
-    return roots(F.regexp_replace(c, r"(?iU)\b(портал[а-я]*)\s+поставщиков\b", "$1"))
-
-
 def query_roots(c: Column | str) -> Column:
     """Distinct roots; a question about what something says is not one about how to search."""
     r = F.array_distinct(roots(c))
@@ -65,9 +60,26 @@ def strip_instance_ids(c: Column) -> Column:
     return F.when(x == "", F.trim(c)).otherwise(x)
 
 
-def postings(rows: DataFrame, key: list[str], terms: Column) -> DataFrame:
-    """``key, term``: each distinct term of a row once."""
-    return rows.select(*key, F.explode(F.array_distinct(terms)).alias("term"))
+#: Rows of asked-for terms that are sent to all tasks; more are shuffled.
+BROADCAST_TERMS = 500_000
+
+
+def small(asked: DataFrame) -> DataFrame:
+    """A table of asked-for terms, broadcast if it is counted small."""
+    return F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
+
+
+def _subject(term: Column) -> Column:
+    return ~term.isin(list(WEIGHTS))
+
+
+def _weight(term: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), term), F.lit(1.0))
+
+
+def _bare(c: Column) -> Column:
+    """A passage without the product's name, which is no evidence of what the passage is about."""
+    return F.regexp_replace(c, r"(?iU)\b(портал[а-я]*)\s+поставщиков\b", "$1")
 
 
 def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -75,25 +87,41 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
     Score: twice the weights of shared roots, one for each shared abbreviation, two for each query root in a heading of up to
     12 roots, and the share of the query covered; 0 if the query has a subject and neither text nor heading holds any of it.
-    Queries meet chunks on roots only; a pair that shares none is never made.
+
+    Roots are taken once a distinct word of the corpus, and words of no asked root are dropped where the text is read.  A chunk's
+    roots are gathered by one shuffle; its queries are then met and summed without another.
     """
-    weights = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     q = queries.select("qid", query_roots("query").alias("roots")).where("size(roots) > 0")
-    q = q.select("qid", F.explode("roots").alias("term"), F.size("roots").alias("n_roots"), F.size(F.filter("roots", lambda r: ~r.isin(list(WEIGHTS)))).alias("n_subject"))
-    heads = chunks.select("section").distinct().select("section", roots("section").alias("h")).where(F.size("h") <= LONGEST_HEADING)
-    text_hits = q.join(postings(chunks, ["document", "ord"], content_roots(F.col("text"))), "term")
-    texts = text_hits.groupBy("qid", "document", "ord").agg(
-        F.first("n_roots").alias("n_roots"), F.first("n_subject").alias("n_subject"), F.count("*").alias("n"), F.sum(F.coalesce(F.element_at(weights, F.col("term")), F.lit(1.0))).alias("w"),
-        F.count_if(F.col("term").isin(T.ABBREVIATIONS)).alias("abbr"), F.count_if(~F.col("term").isin(list(WEIGHTS))).alias("subject"),
+    q = q.select("qid", F.explode("roots").alias("term"), F.size("roots").alias("n_roots"), F.size(F.filter("roots", _subject)).alias("n_subject"))
+    words = chunks.select("document", "ord", "section", F.explode(F.array_distinct(T.tokens(_bare(F.col("text"))))).alias("t"))
+    vocabulary = words.select("t").distinct().where(T.significant(F.col("t"))).select("t", folded_root(T.stem("t")).alias("term"))
+    held = words.join(vocabulary.join(q.select("term").distinct(), "term", "left_semi"), "t")
+    held = held.groupBy("document", "ord", "section").agg(F.collect_set("term").alias("terms"))
+    texts = held.select("document", "ord", "section", F.explode("terms").alias("term")).join(small(q), "term").groupBy("qid", "document", "ord", "section").agg(
+        F.first("n_roots").alias("n_roots"), F.first("n_subject").alias("n_subject"), F.count("*").alias("n"), F.sum(_weight(F.col("term"))).alias("w"),
+        F.count_if(F.col("term").isin(T.ABBREVIATIONS)).alias("abbr"), F.count_if(_subject(F.col("term"))).alias("subject"),
     )
-    head_hits = q.join(postings(heads, ["section"], F.col("h")), "term").groupBy("qid", "section").agg(F.count("*").alias("in_head"), F.count_if(~F.col("term").isin(list(WEIGHTS))).alias("head_subject"))
-    placed = texts.join(chunks.select("document", "ord", "section"), ["document", "ord"]).join(head_hits, ["qid", "section"], "left")
+    heads = chunks.select("section").distinct().select("section", roots("section").alias("h")).where(F.size("h") <= LONGEST_HEADING)
+    heads = heads.select("section", F.explode(F.array_distinct("h")).alias("term")).join(small(q), "term").groupBy("qid", "section").agg(F.count("*").alias("in_head"), F.count_if(_subject(F.col("term"))).alias("head_subject"))
+    placed = texts.join(small(heads), ["qid", "section"], "left")
     in_head, head_subject = F.coalesce("in_head", F.lit(0)), F.coalesce("head_subject", F.lit(0))
     score = 2.0 * F.col("w") + F.col("abbr") + 2.0 * in_head + F.col("n") / F.col("n_roots")
     hit = (F.col("n_subject") == 0) | (F.col("subject") + head_subject > 0)
     return placed.select("qid", "document", "ord", F.round(F.when(hit, score).otherwise(0.0), 6).alias("score"))
 
 
+def lexical_of(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``hits`` (``qid, document, ord``) with the ``score`` that ``lexical_scores`` gives the pair, 0 where no root is shared: for a shortlist."""
+    texts = hits.join(chunks, ["document", "ord"]).join(queries.select("qid", query_roots("query").alias("q")), "qid")
+    rows = texts.select("qid", "document", "ord", "q", F.array_intersect("q", roots(_bare(F.col("text")))).alias("shared"), roots("section").alias("h"))
+    head = F.when(F.size("h") <= LONGEST_HEADING, F.array_intersect("q", "h")).otherwise(F.array().cast("array<string>"))
+    subject = F.filter("q", _subject)
+    hit = (F.size(subject) == 0) | F.arrays_overlap(subject, F.concat("shared", head))
+    weight = F.aggregate("shared", F.lit(0.0), lambda n, t: n + _weight(t))
+    score = 2.0 * weight + F.size(F.filter("shared", lambda t: t.isin(T.ABBREVIATIONS))) + 2.0 * F.size(head) + F.size("shared") / F.size("q")
+    return rows.select("qid", "document", "ord", F.round(F.when(hit & (F.size("shared") > 0), score).otherwise(0.0), 6).alias("score"))
+
+
 def top(scored: DataFrame, most: int, least: float | None = None, ties: tuple[str, ...] = ("document", "ord")) -> DataFrame:
     """The ``most`` best of each query, ties in input order; a ranked limit, applied before the shuffle too."""
     kept = scored if least is None else scored.where(F.col("score") >= least)
@@ -102,19 +130,51 @@ def top(scored: DataFrame, most: int, least: float | None = None, ties: tuple[st
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, boost: float = 4.0) -> DataFrame:
-    """``qid, document, ord, score``: BM25 over tokens of the text, and ``boost`` times that over the heading."""
-    n = chunks.count()
-    parts = []
-    for field, times in (("text", 1.0), ("section", boost)):
-        toks = chunks.select("document", "ord", T.tokens(field).alias("t"))
-        mean = toks.agg(F.avg(F.size("t"))).first()[0] or 1.0
-        tf = toks.select("document", "ord", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("document", "ord", "len", "term").agg(F.count("*").alias("tf"))
-        asked = queries.select("qid", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-        df = tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = times * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-        parts.append(asked.join(df, "term").join(tf, "term").select("qid", "document", "ord", weight.alias("w")))
-    return parts[0].union(parts[1]).groupBy("qid", "document", "ord").agg(F.round(F.sum("w"), 6).alias("score"))
+    """``qid, document, ord, score``: BM25 over tokens of the text, and ``boost`` times that over the heading.
+
+    Tokens that nobody asks for are dropped where the text is read; a chunk's others are gathered by one shuffle and meet their
+    queries there.  Headings are counted once a distinct heading, with its number of chunks.
+    """
+    asked = queries.select("qid", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
+    terms = asked.select("term").distinct()
+    toks = chunks.select("document", "ord", T.tokens("text").alias("t"))
+    n, mean = toks.agg(F.count("*"), F.avg(F.size("t"))).first()
+    heads = chunks.groupBy("section").agg(F.count("*").alias("chunks")).select("section", "chunks", T.tokens("section").alias("t"))
+    head_mean = heads.agg(F.sum(F.col("chunks") * F.size("t"))).first()[0]
+
+    def weight(df: Column, tf: Column, size: Column, average: float | None) -> Column:
+        return F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / F.lit(average or 1.0)))
+
+    tf = toks.select("document", "ord", F.size("t").alias("len"), F.explode("t").alias("term")).join(small(terms), "term", "left_semi")
+    tf = tf.repartition("document", "ord").groupBy("document", "ord", "len", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    text = tf.join(small(asked.join(df, "term")), "term").select("qid", "document", "ord", weight(F.col("df"), F.col("tf"), F.col("len"), mean).alias("w"))
+    head_tf = heads.select("section", "chunks", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("section", "chunks", "len", "term").agg(F.count("*").alias("tf")).join(asked, "term")
+    head_df = head_tf.select("section", "chunks", "term").distinct().groupBy("term").agg(F.sum("chunks").alias("df"))
+    head = head_tf.join(head_df, "term").select("qid", "section", (boost * weight(F.col("df"), F.col("tf"), F.col("len"), head_mean / n if n else None)).alias("w"))
+    if head.count():
+        text = text.union(chunks.select("document", "ord", "section").join(head, "section").select("qid", "document", "ord", "w"))
+    return text.groupBy("qid", "document", "ord").agg(F.round(F.sum("w"), 6).alias("score"))
+
+
+def hashed_features(rows: DataFrame, keys: list[str], text: str, size: int = 64) -> DataFrame:
+    """``keys, place, x, norm``: a text as a vector of ``size`` signed token counts, each token's place and sign from its MD5; zeros are left out.
+
+    A stand-in for a learnt embedding that any engine computes alike.
+    """
+    toks = rows.select(*keys, F.explode(T.tokens(text)).alias("t"))
+    place = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint")
+    sign = F.when(F.conv(F.substring(F.md5("t"), 9, 1), 16, 10).cast("int") < 8, -1).otherwise(1)
+    x = toks.select(*keys, (place % size).cast("int").alias("place"), sign.alias("s")).repartition(*keys).groupBy(*keys, "place").agg(F.sum("s").alias("x")).where("x <> 0")
+    return x.withColumn("norm", F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*keys)))
+
+
+def vector_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``qid, document, ord, score``: the cosine of both texts' hashed features, for pairs with a place in common."""
+    q = hashed_features(queries, ["qid"], "query").select("qid", "place", F.col("x").alias("y"), F.col("norm").alias("other"))
+    c = hashed_features(chunks, ["document", "ord"], "text")
+    dots = c.join(small(q), "place").groupBy("qid", "document", "ord", "norm", "other").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    return dots.select("qid", "document", "ord", F.round(F.col("dot") / F.sqrt((F.col("norm") * F.col("other")).cast("double")), 6).alias("score"))
 
 
 def _cosine_task(ids: np.ndarray, unit: np.ndarray, most: int):
@@ -155,18 +215,21 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 20, id_col: s
     return top(passes.where("qid <> vec_id").withColumn("score", F.round("score", 6)), most, ties=("vec_id",))
 
 
-def fuse(channels: list[DataFrame], lexical: DataFrame, rerank: Column, limit: int = 3) -> DataFrame:
-    """Hits of all channels once, their lexical scores, a shortlist of ``max(4 * limit, 24)``, and the best by ``rerank + 0.1 * lexical``.
-
-    Each channel has ``qid, document, ord`` and its best alone; ``rerank`` is a column over those and ``lexical``.  Hits without a
-    lexical score are kept only where no hit of the query has one.
-    """
+def joined_hits(channels: list[DataFrame]) -> DataFrame:
+    """``qid, document, ord`` of all channels' hits, each once."""
     hits = channels[0].select("qid", "document", "ord")
     for c in channels[1:]:
         hits = hits.unionByName(c.select("qid", "document", "ord"))
-    scored = hits.distinct().join(lexical.withColumnRenamed("score", "lexical"), ["qid", "document", "ord"], "left").fillna(0.0, ["lexical"])
-    signal = F.max("lexical").over(Window.partitionBy("qid"))
-    kept = scored.withColumn("_s", signal).where("lexical > 0 or _s <= 0").drop("_s").withColumnRenamed("lexical", "score")
+    return hits.distinct()
+
+
+def fuse(hits: DataFrame, rerank: Column, limit: int = 3) -> DataFrame:
+    """Of hits with their lexical ``score``, a shortlist of ``max(4 * limit, 24)``, and the best by ``rerank + 0.1 * lexical``.
+
+    ``rerank`` is a column over ``qid, document, ord, lexical``.  Hits without a lexical score are kept only where no hit of the query has one.
+    """
+    signal = F.max("score").over(Window.partitionBy("qid"))
+    kept = hits.withColumn("_s", signal).where("score > 0 or _s <= 0").drop("_s")
     short = top(kept, max(4 * limit, SHORTLIST)).withColumnRenamed("score", "lexical")
     return top(short.select("qid", "document", "ord", F.round(rerank + 0.1 * F.col("lexical"), 6).alias("score")), limit)
 
@@ -207,16 +270,24 @@ def prepared(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.select("qid", F.concat_ws(" ", before, "query").alias("query"))
 
 
-def page_votes(fragments: DataFrame, pages: DataFrame, least_votes: int = 3, least_share: float = 0.12) -> DataFrame:
-    """``fragment, page, votes, accepted``: the page that shares most word triples with a fragment, ties to the lower page.
+def page_votes(fragments: DataFrame, pages: DataFrame, keys: list[str], least_votes: int = 3, least_share: float = 0.12) -> DataFrame:
+    """``keys, page, votes, accepted``: the page that shares most word triples with a fragment, ties to the lower page.
+
+    ``fragments`` has ``keys, doc_key, text``, ``pages`` has ``doc_key, page, text``.  A page is accepted with enough votes, a share
+    of the fragment's triples, and no other page with as many.
 
-    ``fragments`` has ``fragment, doc_key, text``, ``pages`` has ``doc_key, page, text``.  A page is accepted with enough votes, a share of the fragment's triples, and no other page with as many.
+    Triples are 64-bit hashes.  Equal fragments of a document are one, and so are equal pages, so what
+    very many of both repeat meets once.
     """
-    frag = fragments.select("fragment", "doc_key", T.shingles(T.pdf_words("text")).alias("s")).where("size(s) > 0")
-    frag = frag.select("fragment", "doc_key", F.size("s").alias("n"), F.explode("s").alias("shingle"))
-    index = pages.select("doc_key", "page", F.explode(T.shingles(T.pdf_words("text"))).alias("shingle"))
-    votes = frag.join(index, ["doc_key", "shingle"]).groupBy("fragment", "n", "page").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("fragment", "n").agg(F.max("votes").alias("most"), F.max_by("page", F.struct("votes", -F.col("page"))).alias("page"))
-    ties = votes.join(best.select("fragment", "most"), "fragment").where("votes = most").groupBy("fragment").agg(F.count("*").alias("n_best"))
-    accepted = (F.col("most") >= least_votes) & (F.col("most") / F.col("n") >= least_share) & (F.col("n_best") == 1)
-    return best.join(ties, "fragment").select("fragment", "page", F.col("most").alias("votes"), accepted.alias("accepted"))
+    same = F.xxhash64("text")
+    frag = fragments.select(*keys, "doc_key", "text", same.alias("f"))
+    one = frag.groupBy("doc_key", "f").agg(F.first("text").alias("text"))
+    one = one.select("doc_key", "f", T.shingle_keys(T.pdf_words("text")).alias("s")).where("size(s) > 0")
+    asked = one.select("doc_key", "f", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    sheets = pages.groupBy("doc_key", same.alias("p")).agg(F.min("page").alias("page"), F.count("*").alias("copies"), F.first("text").alias("text"))
+    index = sheets.select("doc_key", "page", "copies", F.explode(T.shingle_keys(T.pdf_words("text"))).alias("shingle"))
+    votes = asked.join(index, ["doc_key", "shingle"]).groupBy("doc_key", "f", "n", "page", "copies").agg(F.count("*").alias("votes"))
+    most = F.max("votes").over(Window.partitionBy("doc_key", "f"))
+    best = votes.withColumn("most", most).where("votes = most").groupBy("doc_key", "f", "n", "votes").agg(F.min("page").alias("page"), F.sum("copies").alias("ties"))
+    accepted = (F.col("votes") >= least_votes) & (F.col("votes") / F.col("n") >= least_share) & (F.col("ties") == 1)
+    return frag.join(best, ["doc_key", "f"]).select(*keys, "page", "votes", accepted.alias("accepted"))

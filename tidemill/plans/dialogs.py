@@ -70,9 +70,9 @@ def previous_role(spark, sf_dir):
     return D.previous_role(S.messages(spark, sf_dir))
 
 
-@query("follow_up_query", f"{_M} SELECT conv_id, turn, CASE WHEN length(text) < 120 AND p IS NOT NULL THEN p || ' ' || text ELSE text END AS query FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM messages WHERE role = 'user')")
+@query("follow_up_query", f"{_M} {D.follow_up_sql()}")
 def follow_up_query(spark, sf_dir):
-    return D.follow_up_queries(S.messages(spark, sf_dir), F.length("text") < 120)
+    return D.follow_up_queries(S.messages(spark, sf_dir))
 
 
 @query("last_user_turn", f"{_M} SELECT conv_id, max(turn) FILTER (WHERE role = 'user') AS turn FROM messages GROUP BY conv_id")

@@ -32,7 +32,7 @@ def flagged_matches(spark, sf_dir):
 def moderation_verdict(spark, sf_dir):
     users = S.messages(spark, sf_dir).where("role = 'user'")
     terms = M.scan(users, ["conv_id", "turn"], "text", _MAPPED)
-    rest = users.select("conv_id", "turn", M.remainder(F.col("text"), _MAPPED).alias("rest"))
+    rest = M.remainders(users, ["conv_id", "turn"], "text", _MAPPED)
     return rest.join(terms, ["conv_id", "turn"], "left").select("conv_id", "turn", M.verdict(F.col("n_terms").isNotNull(), F.col("rest")).alias("verdict"), F.length("rest").alias("rest_chars"))
 
 
@@ -42,7 +42,7 @@ _T = f"array_to_string({T.tokens_sql('text')}, ' ')"
 @query(
     "intent_flags",
     f"WITH {S.MESSAGES} SELECT conv_id, turn, len({T.tokens_sql('text')}) BETWEEN 1 AND 3 AND len(list_filter({T.tokens_sql('text')}, lambda x: x NOT IN ({', '.join(repr(g) for g in M.GREETINGS)}))) = 0 AS greeting, "
-    f"regexp_full_match({_T}, '{M.THANKS[1:-1]}') AS thanks, regexp_full_match({_T}, '{M.SMALLTALK[1:-1]}') AS smalltalk, regexp_matches({_T}, 'what can you (?:do|help)') AS capability FROM messages WHERE role = 'user'",
+    f"regexp_full_match({_T}, '{M.THANKS[1:-1]}') AS thanks, regexp_full_match({_T}, '{M.SMALLTALK[1:-1]}') AS smalltalk, {M.is_capability_sql('text')} AS capability FROM messages WHERE role = 'user'",
 )
 def intent_flags(spark, sf_dir):
     return S.messages(spark, sf_dir).where("role = 'user'").select(
@@ -50,7 +50,7 @@ def intent_flags(spark, sf_dir):
     )
 
 
-@query("open_help")
+@query("open_help", f"WITH {S.MESSAGES} SELECT conv_id, turn, {M.is_open_help_sql('text')} AS open_help, {M.reports_ui_defect_sql('text')} AS ui_defect FROM messages WHERE role = 'user'")
 def open_help(spark, sf_dir):
     text = F.col("text")
     return S.messages(spark, sf_dir).where("role = 'user'").select("conv_id", "turn", M.is_open_help(text).alias("open_help"), M.reports_ui_defect(text).alias("ui_defect"))

@@ -71,19 +71,33 @@ def cosine_topk(spark, sf_dir):
     return R.cosine_top(v.where("vec_id % 100 = 0"), v, 20)
 
 
+def _hashed(name: str, keys: str, text: str, source: str) -> str:
+    h = "CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)"
+    return f"""{name}_x AS (SELECT {keys}, {h} % 64 AS place, sum(CASE WHEN substr(md5(t), 9, 1) < '8' THEN -1 ELSE 1 END) AS x FROM (SELECT {keys}, unnest({T.tokens_sql(text)}) AS t FROM {source}) GROUP BY ALL),
+{name} AS (SELECT *, sum(x * x) OVER (PARTITION BY {keys}) AS norm FROM {name}_x WHERE x <> 0)"""
+
+
+_VECTOR = f"""{_hashed('qv', 'qid', 'query', 'queries')}, {_hashed('cv', 'document, ord', 'text', 'chunks')},
+vectors AS (SELECT qid, document, ord, round(CAST(sum(q.x * c.x) AS DOUBLE) / sqrt(CAST(q.norm * c.norm AS DOUBLE)), 6) AS score FROM qv q JOIN cv c USING (place) GROUP BY qid, document, ord, q.norm, c.norm)"""
 _FUSED = """f AS (SELECT DISTINCT qid, document, ord FROM (SELECT qid, document, ord, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS k FROM bm25) WHERE k <= 50
-  UNION SELECT qid, document, ord FROM (SELECT qid, document, ord, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS k FROM lexical) WHERE k <= 50),
+  UNION SELECT qid, document, ord FROM (SELECT qid, document, ord, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS k FROM vectors) WHERE k <= 50),
 g AS (SELECT f.*, coalesce(score, 0.0) AS lexical, max(coalesce(score, 0.0)) OVER (PARTITION BY f.qid) AS best FROM f LEFT JOIN lexical l ON l.qid = f.qid AND l.document = f.document AND l.ord = f.ord),
 s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, document, ord) AS k FROM g WHERE lexical > 0 OR best <= 0),
 o AS (SELECT qid, document, ord, round(lexical / (lexical + 4.0) + 0.1 * lexical, 6)::DOUBLE AS score FROM s WHERE k <= 24)"""
 
 
-@query("hybrid_fusion", f"WITH {_LEXICAL}, {_BM25}, {_FUSED}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS rank FROM o) SELECT qid, document, ord, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
+@query("vector_topk", f"WITH {S.CHUNKS}, {S.CATALOG}, queries AS (SELECT id AS qid, title AS query FROM catalog), {_VECTOR}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS rank FROM vectors) SELECT qid, document, ord, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+def vector_topk(spark, sf_dir):
+    """The vector channel, with hashed features in place of a model's."""
+    return R.top(R.vector_scores(_queries(spark, sf_dir), S.chunks(spark, sf_dir)), 10)
+
+
+@query("hybrid_fusion", f"WITH {_LEXICAL}, {_BM25}, {_VECTOR}, {_FUSED}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS rank FROM o) SELECT qid, document, ord, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
 def hybrid_fusion(spark, sf_dir):
-    """Two channels of fifty fused; the stand-in for a model's rank is a squashed lexical score."""
+    """Full text and vectors, fifty each, put in order by their lexical scores; the stand-in for a model's rank is a squashed lexical score."""
     q, c = _queries(spark, sf_dir), S.chunks(spark, sf_dir)
-    lexical = R.lexical_scores(q, c)
-    return R.fuse([R.top(R.bm25(q, c), R.CHANNEL), R.top(lexical, R.CHANNEL)], lexical, F.col("lexical") / (F.col("lexical") + 4.0))
+    hits = R.joined_hits([R.top(R.bm25(q, c), R.CHANNEL), R.top(R.vector_scores(q, c), R.CHANNEL)])
+    return R.fuse(R.lexical_of(hits, q, c), F.col("lexical") / (F.col("lexical") + 4.0))
 
 
 _OFF = ", ".join(f"'{R.ALIASES.get(R._py_term(w), R._py_term(w))}'" for w in R.CATALOG_NOISE.split())
@@ -106,26 +120,28 @@ def catalog_boost(spark, sf_dir):
 
 
 def _words(c: str) -> str:
-    return f"regexp_extract_all(replace(replace(regexp_replace(replace(replace(lower(coalesce({c}, '')), 'ё', 'е'), chr(173), ''), '([\\p{{L}}\\p{{N}}_])-\\s*\\n\\s*([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '-', ''), chr(0), ''), '{T.TOKEN}')"
+    return f"regexp_extract_all(replace(replace(regexp_replace(replace({T.folded_sql(c)}, chr(173), ''), '([\\p{{L}}\\p{{N}}_])-\\s*\\n\\s*([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '-', ''), chr(0), ''), '{T.TOKEN}')"
 
 
 def _triples(name: str, keys: str, text: str, source: str) -> str:
     return f"{name}_w AS (SELECT {keys}, {_words(text)} AS w FROM {source}), {name} AS (SELECT DISTINCT {keys}, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS shingle FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM {name}_w WHERE len(w) >= 3))"
 
 
+_FRAGMENTS = "frags AS (SELECT document, ord, section AS doc_key, text FROM chunks), pgs AS (SELECT source AS doc_key, doc_id AS page, text FROM documents)"
+
+
 @query(
     "page_resolve",
-    f"WITH {S.CHUNKS}, frags AS (SELECT document AS fragment, section AS doc_key, text FROM chunks WHERE ord = 0), pgs AS (SELECT source AS doc_key, doc_id AS page, text FROM documents), "
-    f"{_triples('fs', 'fragment, doc_key', 'text', 'frags')}, {_triples('ps', 'doc_key, page', 'text', 'pgs')}, n AS (SELECT fragment, count(*) AS n FROM fs GROUP BY fragment), "
-    "v AS (SELECT fragment, page, count(*) AS votes FROM fs JOIN ps USING (doc_key, shingle) GROUP BY fragment, page), b AS (SELECT fragment, max(votes) AS most FROM v GROUP BY fragment), "
-    "t AS (SELECT fragment, min(page) AS page, most AS votes, count(*) AS k FROM v JOIN b USING (fragment) WHERE votes = most GROUP BY fragment, most) "
-    "SELECT fragment, page, votes, votes >= 3 AND votes::DOUBLE / n >= 0.12 AND k = 1 AS accepted FROM t JOIN n USING (fragment)",
+    f"WITH {S.CHUNKS}, {_FRAGMENTS}, {_triples('fs', 'document, ord, doc_key', 'text', 'frags')}, {_triples('ps', 'doc_key, page', 'text', 'pgs')}, n AS (SELECT document, ord, count(*) AS n FROM fs GROUP BY ALL), "
+    "v AS (SELECT document, ord, page, count(*) AS votes FROM fs JOIN ps USING (doc_key, shingle) GROUP BY ALL), b AS (SELECT document, ord, max(votes) AS most FROM v GROUP BY ALL), "
+    "t AS (SELECT document, ord, min(page) AS page, most AS votes, count(*) AS k FROM v JOIN b USING (document, ord) WHERE votes = most GROUP BY document, ord, most) "
+    "SELECT document, ord, page, votes, votes >= 3 AND votes::DOUBLE / n >= 0.12 AND k = 1 AS accepted FROM t JOIN n USING (document, ord)",
 )
 def page_resolve(spark, sf_dir):
-    """The first line of each document, sought among the documents of its source as pages."""
-    frags = S.chunks(spark, sf_dir).where("ord = 0").select(F.col("document").alias("fragment"), F.col("section").alias("doc_key"), "text")
+    """Every line of every document, sought among the documents of its source as pages."""
+    frags = S.chunks(spark, sf_dir).select("document", "ord", F.col("section").alias("doc_key"), "text")
     pages = S.table(spark, sf_dir, "documents").select(F.col("source").alias("doc_key"), F.col("doc_id").alias("page"), "text")
-    return R.page_votes(frags, pages)
+    return R.page_votes(frags, pages, ["document", "ord"])
 
 
 @query("shingle_count", f"WITH d AS (SELECT doc_id, text FROM documents), {_triples('s', 'doc_id', 'text', 'd')} SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id")

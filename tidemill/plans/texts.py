@@ -59,7 +59,7 @@ def clean_markup(spark, sf_dir):
 
 @query("pdf_cleanup")
 def pdf_cleanup(spark, sf_dir):
-    return S.table(spark, sf_dir, "documents").select("doc_id", T.collapse_pdf_text("text").alias("text"))
+    return S.table(spark, sf_dir, "documents").select("doc_id", T.clean_pdf_text("text").alias("text"))
 
 
 @query("sentence_units")
