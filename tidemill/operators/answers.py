@@ -165,25 +165,113 @@ def stems_align(a: Column, b: Column) -> Column:
     return (a == b) | ((F.least(F.length(a), F.length(b)) >= 4) & (gap <= 2) & (F.startswith(a, b) | F.startswith(b, a)))
 
 
+# The two manuals, by whom they are for.
+SUPPLIER_MANUAL, CUSTOMER_MANUAL = "Инструкция_по_работе_с_Порталом_для_поставщика.pdf", "Инструкция_по_работе_с_Порталом_для_заказчика.pdf"
+
+
 def section_scores(topics: DataFrame, sections: DataFrame, least: float = 2.6, most: int = 2) -> DataFrame:
-    """``id, document, ord, score``: a topic's best sections, five for each stem shared with the heading, 1.6 with the body's first
-    2500 characters, 0.4 for the parent's in the heading, and four if the heading holds the whole title.
+    """``id, document, ord, score, rank``: a topic's best sections.
 
-    Topics meet sections on shared stems only; the others score nothing.
+    Five for each stem shared with the heading, 1.6 with the body's first 2500 characters, 0.4 for the parent's in the heading; four if the
+    heading holds the whole title; 1.5 in a document that the topic's parent prefers; two if an extra query meets the heading; two in the manual
+    of those the topic is for; 1.5 if the heading names suppliers and the parent no customers; eight less for an example or a figure; nothing
+    at all for an example under a YML title, and for a consultation outside its own heading.
+
+    ``topics`` has ``id, title, parent`` and may have ``extra`` (more queries in one text) and ``preferred`` (documents); ``sections`` has
+    ``document, ord, heading, text`` and may have ``file``, the name that preferences and manuals are told by.
+    Topics meet sections on shared stems only; the others score nothing that passes.
     """
-    t = topics.select("id", F.array_distinct(T.significant_stems("title")).alias("ts"), F.array_distinct(T.significant_stems("parent")).alias("ps"))
-    terms = t.select("id", F.explode("ts").alias("term"), F.lit(0).alias("p")).union(t.select("id", F.explode("ps"), F.lit(1)))
-    head = sections.select("document", "ord", F.explode(F.array_distinct(T.significant_stems("heading"))).alias("term"), F.lit("h").alias("where_"))
-    body = sections.select("document", "ord", F.explode(F.array_distinct(T.significant_stems(F.substring("text", 1, 2500)))).alias("term"), F.lit("b").alias("where_"))
-    hits = terms.join(head.union(body), "term").groupBy("id", "document", "ord").agg(
-        F.count_if((F.col("p") == 0) & (F.col("where_") == "h")).alias("h"), F.count_if((F.col("p") == 0) & (F.col("where_") == "b")).alias("b"), F.count_if((F.col("p") == 1) & (F.col("where_") == "h")).alias("ph")
-    )
-    whole = F.when(F.col("h") == F.size("ts"), 4.0).otherwise(0.0)
-    scored = hits.join(t.select("id", "ts"), "id").select("id", "document", "ord", F.round(5.0 * F.col("h") + 1.6 * F.col("b") + 0.4 * F.col("ph") + whole, 6).alias("score"))
+    stems = lambda c: F.array_distinct(T.significant_stems(c))
+    extra = F.coalesce("extra", F.lit("")) if "extra" in topics.columns else F.lit("")
+    preferred = F.coalesce("preferred", F.array().cast("array<string>")) if "preferred" in topics.columns else F.array().cast("array<string>")
+    file = F.col("file") if "file" in sections.columns else F.col("document").cast("string")
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    t = topics.select("id", low("title").alias("title"), low("parent").alias("parent"), stems("title").alias("ts"), stems("parent").alias("ps"), stems(extra).alias("es"), preferred.alias("preferred"))
+    t = t.withColumn("qs", F.array_union("ts", "es")).where("size(qs) > 0")
+    terms = t.select("id", F.explode("qs").alias("term"), F.lit(0).alias("p")).union(t.select("id", F.explode("ps"), F.lit(1))).union(t.select("id", F.explode("es"), F.lit(2))).union(t.select("id", F.explode("ts"), F.lit(3)))
+    head = sections.select("document", "ord", F.explode(stems("heading")).alias("term"), F.lit("h").alias("where_"))
+    body = sections.select("document", "ord", F.explode(stems(F.substring("text", 1, 2500))).alias("term"), F.lit("b").alias("where_"))
+    count = lambda p, where: F.count_if((F.col("p") == p) & (F.col("where_") == where))
+    hits = terms.join(head.union(body), "term").groupBy("id", "document", "ord").agg(count(0, "h").alias("h"), count(0, "b").alias("b"), count(1, "h").alias("ph"), count(2, "h").alias("eh"), count(3, "h").alias("th"))
+    rows = hits.join(t, "id").join(sections.select("document", "ord", low("heading").alias("heading"), file.alias("file")), ["document", "ord"])
+    has = lambda c, word: F.contains(c, F.lit(word))
+    title, parent, heading = F.col("title"), F.col("parent"), F.col("heading")
+    customers = has(parent, "уполномочен") | has(title, "заказчик")
+    bonus = lambda condition, x: F.when(condition, x).otherwise(0.0)
+    score = 5.0 * F.col("h") + 1.6 * F.col("b") + 0.4 * F.col("ph") + bonus(F.array_contains("preferred", F.col("file")), 1.5) + bonus((F.size("ts") > 0) & (F.col("th") == F.size("ts")), 4.0) + bonus(F.col("eh") > 0, 2.0)
+    score = score + bonus(F.when(customers, F.col("file") == CUSTOMER_MANUAL).otherwise(F.col("file") == SUPPLIER_MANUAL), 2.0) + bonus(has(heading, "поставщик") & ~has(parent, "заказчик"), 1.5) - bonus(has(heading, "пример") | has(heading, "рисунок"), 8.0)
+    nothing = (has(title, "yml") & has(heading, "пример")) | ((F.trim("title") == "консультация") & ~has(heading, "консультац"))
+    scored = rows.select("id", "document", "ord", F.round(F.when(nothing, 0.0).otherwise(score), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "document", "ord"))
     return scored.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def description(text: Column, title: Column, parent: Column, document: Column, label: Column, skip: str, least: int = 40, most: int = 600) -> Column:
+    """What a topic is about: the first two sentences of ``least`` characters under a section's heading, else its first 400 characters, else a fixed phrase.
+
+    ``skip`` is the pattern of sentences that tell nothing.
+    """
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r", -1), F.trim), lambda x: x != "")
+    body = F.array_join(F.slice(lines, 2, 1 << 30), " ")
+    told = F.slice(F.filter(T.sentences(body), lambda x: (F.length(x) >= least) & ~x.rlike(skip)), 1, 2)
+    said = F.trim(F.when(F.size(told) > 0, F.array_join(told, " ")).otherwise(F.substring(body, 1, 400)))
+    fixed = F.format_string("Подтема «%s» темы «%s» по инструкции «%s», раздел %s.", title, parent, document, label)
+    return F.when(F.length(said) < least, fixed).otherwise(F.rtrim(F.substring(said, 1, most)))
+
+
+# Words that make no key, and the keys that go with what a title (t) or a parent (p) names.
+NO_KEY = ["и", "с", "по", "для", "на", "в"]
+GENERIC_KEY = ["портал", "поставщик", "поставщика", "заказчик", "компания", "заявка", "ошибк", "данн", "профил", "пройти", "прош", "необходимо", "нужно", "работа", "вопрос", "перед"]
+KEYS_OF = [
+    ("t:эп t:подпис", ["эп", "эцп", "электронная подпись", "сертификат"]), ("t:yml p:yml", ["yml", "прайс-лист"]), ("t:сте p:сте", ["сте", "оферта"]), ("t:упд p:исполнен", ["упд", "электронное исполнение"]),
+    ("t:мчд t:полномоч", ["мчд", "машиночитаемая доверенность"]), ("t:рнп p:блок", ["рнп", "блокировка"]), ("t:котировоч", ["кс", "котировочная сессия"]),
+]
+MOST_KEYS = 24
+
+
+def derived_keys(title: Column, parent: Column, heading: Column, phrases: Column, extra: Column) -> Column:
+    """Up to 24 keys of a topic, in order, each once without regard to case and ё: its names and their words, a section's heading (and its words if it has six
+    at most), its queries, frequent stems that are not generic, and what goes with its names.  ``heading`` may be null; ``phrases`` and ``extra`` are arrays.
+    """
+    none = F.array().cast("array<string>")
+    long = lambda words, n: F.filter(words, lambda w: F.length(w) >= n)
+    named = long(F.filter(T.tokens(F.concat_ws(" ", parent, title)), lambda w: ~w.isin(NO_KEY)), 3)
+    short = F.size(F.split(F.trim(heading), r"(?U)\s+")) <= 6
+    headed = F.when(heading.isNotNull(), F.concat(F.array(heading), F.when(short, long(T.tokens(heading), 4)).otherwise(none))).otherwise(none)
+    rare = F.filter(F.coalesce(extra, none), lambda w: ~F.lower(w).isin(GENERIC_KEY))
+    side = {"t": F.lower(title), "p": F.lower(parent)}
+    going = []
+    for marks, words in KEYS_OF:
+        any_of = None
+        for m in marks.split():
+            one = F.contains(side[m[0]], F.lit(m[2:]))
+            any_of = one if any_of is None else any_of | one
+        going.append(F.when(any_of, F.array(*map(F.lit, words))).otherwise(none))
+    raw = F.concat(F.array(title, parent), named, headed, F.coalesce(phrases, none), rare, *going)
+    clean = F.transform(raw, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), "^[ .,:;]+|[ .,:;]+$", ""))
+    fold = lambda x: F.replace(F.lower(x), F.lit("ё"), F.lit("е"))
+    kept = F.filter(clean, lambda x: F.coalesce(F.length(x) >= 3, F.lit(False)))
+
+    def first_of_each(keys: Column) -> Column:
+        folded = F.transform(keys, fold)
+        return F.filter(keys, lambda x, i: F.array_position(folded, fold(x)) == i + 1)
+
+    return F.slice(F.element_at(F.transform(F.array(kept), first_of_each), 1), 1, MOST_KEYS)
+
+
+def by_title(rows: DataFrame, topics: DataFrame, title: str, number: str) -> DataFrame:
+    """Rows with the topic of their normalised title; of topics with one title the last by ``number`` counts."""
+    fold = lambda c: F.replace(F.lower(F.trim(c)), F.lit("ё"), F.lit("е"))
+    last = topics.withColumn("_t", fold(F.col("title"))).groupBy("_t").agg(F.max_by("id", number).alias("topic_id"))
+    return rows.withColumn("_t", fold(F.col(title))).join(last, "_t").drop("_t")
+
+
+def by_topic_id(rows: DataFrame, topics: DataFrame, topic: str) -> DataFrame:
+    """Rows with the title of the topic that they name by id, null where there is none."""
+    names = topics.select(F.col("id").alias(topic), F.col("title").alias("topic_title")).dropDuplicates([topic])
+    return rows.join(names, topic, "left")
+
+
 def frequent_stems(rows: DataFrame, key: str, text: str, most: int = 8, least_length: int = 4) -> DataFrame:
     """The ``most`` frequent stems of each key's texts, ties to the one first seen (by ``pos`` of the rows, then place)."""
     stems = rows.select(key, "pos", F.posexplode(T.significant_stems(text)).alias("at", "stem")).where(F.length("stem") >= least_length)

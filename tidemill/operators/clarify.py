@@ -105,6 +105,48 @@ def variants(rows: DataFrame, intent: str, forms: list[str]) -> DataFrame:
     return rows.select("*", F.posexplode(made).alias("variant", "text"))
 
 
+# How an action is asked for, what is put in the place of a form (by its number) where the source is no portal or the action is a look, and how a question is repeated.
+ACTION_FORMS = [
+    "Как %s?", "Что нужно сделать, чтобы %s?", "Где на портале можно %s?", "Не получается %s. Что проверить?", "Мне нужно %s. С чего начать?", "В каком порядке действовать, чтобы %s?",
+    "Хочу %s, но не знаю, какой раздел открыть. Подскажите путь.", "Какие условия нужно выполнить, чтобы %s?", "Можно ли %s самостоятельно?", "Какие права нужны, чтобы %s?", "Как проверить, что удалось %s?",
+    "Где найти инструкцию о том, как %s?", "К кому обратиться, если не удается %s?", "Что потребуется от меня, чтобы %s?", "Пытаюсь %s, но не понимаю последовательность действий. Как продолжить?", "Смогу ли я %s в личном кабинете?",
+]
+OFF_PORTAL = {
+    2: "Где в предоставленных материалах объясняется, как %s?", 6: "Хочу %s. Какие требования из материалов нужно учесть?", 9: "Что нужно предварительно подготовить, чтобы %s?", 15: "Какие ограничения следует учитывать, если нужно %s?",
+}
+LOOKS, LOOK_FORM = ["проверить ", "посмотреть ", "найти ", "открыть ", "ознакомиться "], (10, "Мне нужно %s. Какие сведения для этого потребуются?")
+QUESTION_FORMS = ["%s", "%s Где это описано в предоставленных материалах?", "%s Нужен ответ со ссылкой на соответствующий раздел инструкции.", "%s Объясните правило на понятном примере."]
+
+
+def intent_forms(intents: DataFrame, off_portal: list[str]) -> DataFrame:
+    """``intents`` (``source, kind, intent``) with ``variant, text``: an action (A) in sixteen forms, a question (Q) in four, numbered from 0."""
+    looks = F.regexp_extract("intent", "^(?:" + "|".join(LOOKS) + ")", 0) != ""
+    forms = []
+    for k, form in enumerate(ACTION_FORMS):
+        said = F.lit(form)
+        if k in OFF_PORTAL:
+            said = F.when(F.col("source").isin(off_portal), F.lit(OFF_PORTAL[k])).otherwise(said)
+        if k == LOOK_FORM[0]:
+            said = F.when(looks, F.lit(LOOK_FORM[1])).otherwise(said)
+        forms.append(F.replace(said, F.lit("%s"), F.col("intent")))
+    asked = F.concat(F.upper(F.substring("intent", 1, 1)), F.substring("intent", 2, 1 << 30), F.lit("?"))
+    made = F.when(F.col("kind") == "A", F.array(*forms)).otherwise(F.array(*(F.replace(F.lit(f), F.lit("%s"), asked) for f in QUESTION_FORMS)))
+    return intents.select("*", F.posexplode(made).alias("variant", "text"))
+
+
+def section_label(number: Column, title: Column) -> Column:
+    """A section's number and title, or its title alone."""
+    return F.when(F.coalesce(number, F.lit("")) != "", F.concat_ws(" ", number, title)).otherwise(title)
+
+
+def source_link(file: Column, page: Column) -> Column:
+    """The link to a source below the static files, its name quoted but for slashes, at a page if one is known."""
+    quoted = F.url_encode(file)
+    for coded, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        quoted = F.replace(quoted, F.lit(coded), F.lit(plain))
+    return F.concat(F.lit("/staticfiles/"), quoted, F.when(page.isNotNull(), F.concat(F.lit("#page="), page.cast("string"))).otherwise(F.lit("")))
+
+
 def valid_contact(inn: Column, name: Column, mail: Column) -> Column:
     """A tax number of 10 or 12 digits, a name of 1 to 300 characters, an e-mail address."""
     return F.coalesce(inn.rlike(r"^(?:\d{10}|\d{12})$") & F.length(F.trim(name)).between(1, 300) & mail.rlike(r"^[^@\s]+@[^@\s.]+(?:\.[^@\s.]+)+$"), F.lit(False))

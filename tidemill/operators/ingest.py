@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def assign_order(rows: DataFrame, keys: list[str], position: str, name: str = "ord") -> DataFrame:
@@ -25,11 +27,67 @@ def forward_fill(rows: DataFrame, keys: list[str], order: str, value: str) -> Da
 
 
 def section_bodies(lines: DataFrame, keys: list[str], order: str, text: str, is_heading: Column, least: int = 80) -> DataFrame:
-    """Each heading with the lines up to the next one; bodies under ``least`` characters are dropped."""
+    """Each heading with the text of the lines up to the next one; bodies under ``least`` characters are dropped."""
     place = Window.partitionBy(*keys).orderBy(order)
     marked = lines.withColumn("_h", is_heading).withColumn("heading", F.last(F.when(F.col("_h"), F.col(order)), ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    body = marked.where("heading is not null and not _h").groupBy(*keys, "heading").agg(F.sum(F.length(text) + 1).alias("n"), F.count("*").alias("n_lines"))
-    return body.select(*keys, "heading", (F.col("n") - 1).cast("bigint").alias("n_chars"), "n_lines").where(F.col("n_chars") >= least)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n")
+    bodies = marked.where("heading is not null and not _h").groupBy(*keys, "heading").agg(body.alias("body"), F.count("*").alias("n_lines"))
+    return bodies.where(F.length("body") >= least)
+
+
+def split_text(text: str, size: int = 400, overlap: int = 40, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """Pieces of up to ``size`` characters, cut at the largest separator that gives such pieces and packed again with up to ``overlap`` characters repeated."""
+    mark = next((s for s in separators if not s or s in text), "")
+    smaller = separators[separators.index(mark) + 1 :]
+    parts = text.split(mark) if mark else list(text)
+    out: list[str] = []
+    run: list[str] = []
+    width = 0
+
+    def close(keep: int) -> None:
+        nonlocal width
+        whole = mark.join(run).strip()
+        if whole:
+            out.append(whole)
+        while run and width > keep:
+            width -= len(run.pop(0)) + (len(mark) if run else 0)
+
+    for part in filter(None, parts):
+        if len(part) > size:
+            close(0)
+            run, width = [], 0
+            out += split_text(part, size, overlap, smaller) if smaller else [part]
+            continue
+        if run and width + len(mark) + len(part) > size:
+            close(overlap)
+            while run and width + len(mark) + len(part) > size:
+                width -= len(run.pop(0)) + (len(mark) if run else 0)
+        width += len(part) + (len(mark) if run else 0)
+        run.append(part)
+    close(0)
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _split(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: split_text(x) if x else [])
+
+
+def split_chunks(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, ord, chunk``: texts in overlapping pieces of 400 characters with 40 repeated, cut at paragraphs, else lines, else words."""
+    return rows.select(*keys, F.posexplode(_split(F.col(text))).alias("ord", "chunk"))
+
+
+def colliding_paths(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Paths that a run would both read and write, compared in their plain form."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "/(?:\\./)+", "/"), "/+", "/"), "/$", "")
+    return inputs.select(plain("path").alias("path")).intersect(outputs.select(plain("path").alias("path")))
+
+
+def coverage(seeds: DataFrame, generated: DataFrame, source: str) -> DataFrame:
+    """``source, seeds, generated``: how many of each a source has, 0 where it has none."""
+    a, b = seeds.groupBy(source).agg(F.count("*").alias("seeds")), generated.groupBy(source).agg(F.count("*").alias("generated"))
+    return a.join(b, source, "full").fillna(0, ["seeds", "generated"])
 
 
 def continuation(chunks: DataFrame, anchors: DataFrame, most: int = 6) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registers all queries."""
 
-from . import analytics, answers, dialogs, ingest, moderation, retrieval, streams, suggest, texts  # noqa: F401
+from . import analytics, answers, desk, dialogs, ingest, moderation, retrieval, streams, suggest, texts  # noqa: F401

@@ -28,7 +28,7 @@ def forward_fill(spark, sf_dir):
     return I.forward_fill(cells, ["document"], "ord", "cell")
 
 
-@query("section_bodies", f"WITH {S.CHUNKS}, m AS (SELECT *, length(text) < 60 AS h FROM chunks), s AS (SELECT *, max(CASE WHEN h THEN ord END) OVER (PARTITION BY document ORDER BY ord) AS heading FROM m) SELECT document, heading, CAST(sum(length(text) + 1) - 1 AS BIGINT) AS n_chars, count(*) AS n_lines FROM s WHERE heading IS NOT NULL AND NOT h GROUP BY document, heading HAVING sum(length(text) + 1) - 1 >= 80")
+@query("section_bodies", f"WITH {S.CHUNKS}, m AS (SELECT *, length(text) < 60 AS h FROM chunks), s AS (SELECT *, max(CASE WHEN h THEN ord END) OVER (PARTITION BY document ORDER BY ord) AS heading FROM m) SELECT document, heading, string_agg(text, chr(10) ORDER BY ord) AS body, count(*) AS n_lines FROM s WHERE heading IS NOT NULL AND NOT h GROUP BY document, heading HAVING sum(length(text) + 1) - 1 >= 80")
 def section_bodies(spark, sf_dir):
     return I.section_bodies(S.chunks(spark, sf_dir), ["document"], "ord", "text", F.length("text") < 60)
 
@@ -52,9 +52,9 @@ def contiguous_run(spark, sf_dir):
     return I.contiguous(_continued(spark, sf_dir))
 
 
-@query("round_robin_corpus", f"WITH {S.CHUNKS}, k AS (SELECT section, ord, lower(substring(text, 1, 40)) AS key FROM chunks), o AS (SELECT key, min((ord, section)) AS f FROM k GROUP BY key) SELECT key, struct_extract(f, 1) AS ord, struct_extract(f, 2) AS section FROM o ORDER BY ord, section, key LIMIT 10000")
+@query("round_robin_corpus", f"WITH {S.CHUNKS}, k AS (SELECT section, ord, lower(text) AS key FROM chunks), o AS (SELECT key, min((ord, section)) AS f FROM k GROUP BY key) SELECT key, struct_extract(f, 1) AS ord, struct_extract(f, 2) AS section FROM o ORDER BY ord, section, key LIMIT 10000")
 def round_robin_corpus(spark, sf_dir):
-    keyed = S.chunks(spark, sf_dir).select("section", "ord", F.lower(F.substring("text", 1, 40)).alias("key"))
+    keyed = S.chunks(spark, sf_dir).select("section", "ord", F.lower("text").alias("key"))
     return I.round_robin(keyed, "section", "ord", "key")
 
 
@@ -106,9 +106,9 @@ def stale_rejected(spark, sf_dir):
     return S.table(spark, sf_dir, "events").withColumn("seen", seen).where("seen > ts").select("event_id")
 
 
-@query("live_rows", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("live_rows", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def live_rows(spark, sf_dir):
-    gone = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    gone = S.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"))
     return I.live(S.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), gone)
 
 

@@ -103,3 +103,13 @@ def read_snapshots(rows: DataFrame, value: str = "value") -> DataFrame:
     whole = F.col("s._bad").isNull() & F.col("s.version").isin(1, 2) & (F.size("s.chats") > 0) & F.forall("s.chats", ok) & (F.size(F.array_distinct(ids)) == F.size(ids)) & F.array_contains(ids, F.col("s.activeChatId"))
     chats = F.transform("s.chats", lambda c: F.struct(c["id"].alias("chat_id"), c["title"].alias("title"), status(c).alias("status"), c["updatedAt"].alias("updated_at"), F.size(c["messages"]).alias("n_messages")))
     return s.where(F.coalesce(whole, F.lit(False))).select(*[c for c in rows.columns if c != value], F.inline(chats))
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """``value``: each event as one line of JSON, absent fields left out."""
+    return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
+
+
+def write_ndjson(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Events as NDJSON files; for a stream, ``event_lines`` goes to ``writeStream.format("text")`` alike."""
+    event_lines(events).write.mode(mode).text(path)

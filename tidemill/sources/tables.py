@@ -81,13 +81,13 @@ CATALOG = f"catalog AS (SELECT item_id AS id, array_to_string(list_slice({T.toke
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``qid, query``: distinct first eight tokens of user messages, numbered by their hash."""
-    q = messages(spark, sf_dir).where("role = 'user'").select(F.array_join(F.slice(T.tokens("text"), 1, 8), " ").alias("query")).where("query <> ''").distinct()
+    """``qid, query``: distinct user messages as their tokens, numbered by their hash."""
+    q = messages(spark, sf_dir).where("role = 'user'").select(F.array_join(T.tokens("text"), " ").alias("query")).where("query <> ''").distinct()
     return q.select(T.text_id("query").alias("qid"), "query")
 
 
 CORPUS = f"""corpus AS (SELECT {T.text_id_sql('query')} AS qid, query FROM (
-  SELECT DISTINCT array_to_string(list_slice({T.tokens_sql('text')}, 1, 8), ' ') AS query FROM messages WHERE role = 'user') WHERE query <> '')"""
+  SELECT DISTINCT array_to_string({T.tokens_sql('text')}, ' ') AS query FROM messages WHERE role = 'user') WHERE query <> '')"""
 
 
 def utc(c: str) -> Column:
