@@ -171,19 +171,18 @@ def decisions(questions: DataFrame, evidence: DataFrame, catalog: DataFrame) ->
     named = evidence.join(questions, "qid").withColumn("topic", topic_label(F.col("question")))
     rows = rows.join(procedures(named).withColumnRenamed("labels", "steps"), "qid", "left")
     none, q = F.array().cast("array<string>"), F.col("question")
-    forks, steps = F.coalesce("forks", none), F.coalesce("steps", none)
-    forks = F.when(F.size(forks) >= 2, forks).otherwise(none)
-    open_help = M.is_open_help(q)
-    needs_fork = ~names_a_lookup(q) & ~((F.size(forks) >= 2) & C.selects_one(q, forks))
-    exempt = open_help | q.rlike(r"(?iU)что\s+такое") | asks_for_term(q)
-    needs_choice = F.col("has_evidence").isNotNull() & ~exempt & (F.size(steps) >= 2) & (F.coalesce("families", F.lit(0)) >= 2) & ~C.selects_one(q, steps)
-    picked = F.when(needs_fork, F.when(F.size(forks) >= 2, forks).otherwise(steps)).otherwise(F.when(F.size(steps) >= 2, steps).otherwise(forks))
-    prompt = F.when(needs_fork, F.concat(F.lit("Что нужно по теме «"), topic_label(q), F.lit("»?"))).otherwise(F.lit("Какой вариант имеется в виду?"))
-    topic_stems = T.significant_stems(topic_label(q))
-    menu = open_help | ((F.size(topic_stems) > 0) & F.forall(topic_stems, M._helps))
-    rows = rows.select("qid", needs_fork.alias("needs_fork"), needs_choice.alias("needs_choice"), (open_help | (F.col("has_evidence").isNotNull() & (needs_fork | needs_choice))).alias("may_clarify"), menu.alias("menu"), prompt.alias("prompt"), picked.alias("picked"))
-    good = (F.size("picked") >= 2) & is_type_fork(F.col("prompt"), F.col("picked"))
+    topic_stems = T.significant_stems(F.col("topic"))
+    rows = rows.withColumns({"steps": F.coalesce("steps", none), "forks": F.when(F.size("forks") >= 2, F.col("forks")).otherwise(none), "topic": topic_label(q), "looks": names_a_lookup(q), "open_help": M.is_open_help(q)})
+    rows = rows.withColumns({"forks_chosen": C.selects_one(q, F.col("forks")), "steps_chosen": C.selects_one(q, F.col("steps")), "exempt": F.col("open_help") | q.rlike(r"(?iU)что\s+такое") | asks_for_term(q)})
+    rows = rows.withColumns({
+        "needs_fork": ~F.col("looks") & ~((F.size("forks") >= 2) & F.col("forks_chosen")),
+        "needs_choice": F.col("has_evidence").isNotNull() & ~F.col("exempt") & (F.size("steps") >= 2) & (F.coalesce("families", F.lit(0)) >= 2) & ~F.col("steps_chosen"),
+        "menu": F.col("open_help") | ((F.size(topic_stems) > 0) & F.forall(topic_stems, M._helps)),
+    })
+    first, second = F.when(F.col("needs_fork"), F.col("forks")).otherwise(F.col("steps")), F.when(F.col("needs_fork"), F.col("steps")).otherwise(F.col("forks"))
+    prompt = F.when(F.col("needs_fork"), F.concat(F.lit("Что нужно по теме «"), "topic", F.lit("»?"))).otherwise(F.lit("Какой вариант имеется в виду?"))
+    rows = rows.withColumns({"picked": F.when(F.size(first) >= 2, first).otherwise(second), "prompt": prompt}).withColumn("good", (F.size("picked") >= 2) & is_type_fork(F.col("prompt"), F.col("picked")))
     return rows.select(
-        "qid", "needs_fork", "needs_choice", "may_clarify",
-        F.when(F.col("menu"), F.lit(MENU[0])).when(good, F.col("prompt")).alias("card_question"), F.when(F.col("menu"), F.array(*map(F.lit, MENU[1]))).when(good, F.col("picked")).alias("options"),
+        "qid", "needs_fork", "needs_choice", (F.col("open_help") | (F.col("has_evidence").isNotNull() & (F.col("needs_fork") | F.col("needs_choice")))).alias("may_clarify"),
+        F.when(F.col("menu"), F.lit(MENU[0])).when(F.col("good"), F.col("prompt")).alias("card_question"), F.when(F.col("menu"), F.array(*map(F.lit, MENU[1]))).when(F.col("good"), F.col("picked")).alias("options"),
     )
