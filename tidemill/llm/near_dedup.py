@@ -176,7 +176,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest document form that document's group.  In a bucket that also has members unlike it,
     signatures are compared two by two, and members that one of these agrees with form a
     group of their own, named by the smallest: strangers at the head of a bucket part nobody.  In a group every member
-    meets the smallest one first; the members outside its largest component then meet all others
+    meets the smallest one first (that of the group where they agree most); the members outside its largest component then meet all others
     in blocks.  No task holds more than two blocks and no pair is emitted that is not a link.
 
     A pair of exactly ``percent`` is missed with probability ``MISS`` for want of a shared table and
@@ -230,7 +230,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = written(sets.select(F.col("doc_id").alias("doc"), "shingles").dropDuplicates(["doc"]), "sets")
 
     best = mates.groupBy("doc").agg(F.max_by("head", F.struct("equal", -F.col("head"))).alias("head"))
-    pairs = best.join(sets, "doc").join(sets.select(F.col("doc").alias("head"), F.col("shingles").alias("others")), "head")
+    twos = member.groupBy("head").agg(F.count("*").alias("n"), F.max(F.when(F.col("doc") != F.col("head"), F.col("doc"))).alias("doc")).where("n = 2").select("doc", "head")
+    pairs = best.union(twos).distinct().join(sets, "doc").join(sets.select(F.col("doc").alias("head"), F.col("shingles").alias("others")), "head")
     inter = F.size(F.array_intersect("shingles", "others"))
     pairs = pairs.select("doc", "head", inter.alias("i"), (F.size("shingles") + F.size("others") - inter).alias("u"))
     links = written(pairs.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("head").alias("a"), F.col("doc").alias("b")), "links", fewer)
@@ -238,7 +239,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     member = member.join(near, F.col("doc") == F.col("node"), "left").select("head", "doc", F.coalesce("component", "doc").alias("component"))
     split = member.groupBy("head", "component").agg(F.count("*").alias("n")).groupBy("head").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
-    split = split.where("parts > 1").selectExpr("head", "main.component as main", "int(ceil((all - main.n) / {0})) as out_blocks".format(BLOCK), "int(ceil(main.n / {0})) as main_blocks".format(BLOCK))
+    split = split.where("parts > 1 and all > 2").selectExpr("head", "main.component as main", "int(ceil((all - main.n) / {0})) as out_blocks".format(BLOCK), "int(ceil(main.n / {0})) as main_blocks".format(BLOCK))
     block = "if(component = main, out_blocks + pmod(xxhash64(doc), main_blocks), pmod(xxhash64(doc), out_blocks))"
     cells = _blocks(member, "head", split, [block, "0", "if(component = main, 0, main_blocks) + out_blocks - 1"], ["component"], GROUP_SALT)
     more = cells.join(sets, "doc").groupBy("head", "i", "j").applyInPandas(_linker(percent), "a bigint, b bigint")
