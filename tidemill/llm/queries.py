@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hnsw, line_dedup, mixing, near_dedup, quality_model, quality_rules, secrets, sharding
+from . import bpe, chat, hnsw, line_dedup, made_findings, mixing, near_dedup, quality_model, quality_rules, secrets, sharding
 from .shared import kept, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,8 +81,9 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with the forest's verdict."""
-    model = secrets.train(secrets.labelled_findings(spark))
-    return secrets.scan(table(spark, sf_dir, "documents"), model)
+    lexicon = secrets.lexicon(secrets.read_words(vocabulary_path()))
+    model = secrets.train(made_findings.labelled_findings(spark, list(lexicon.words)), lexicon)
+    return secrets.scan(table(spark, sf_dir, "documents"), model, lexicon)
 
 
 def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
