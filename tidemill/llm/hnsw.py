@@ -133,14 +133,16 @@ def cosines(vectors: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum()))
 
 
-INDEX = "dim int, shard int, ids array<array<bigint>>, vectors array<double>, levels array<bigint>, near array<array<int>>, entry int"
+#: A shard: its vectors one after another, the ids of each vector and where they end, and the neighbour arrays of all layers one after another.
+INDEX = "dim int, shard int, ids array<bigint>, ends array<int>, vectors array<double>, levels array<bigint>, near array<int>, entry int"
 
 
 def _index(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("first", kind="stable")
     vectors = np.array(pdf["embedding"].to_list(), np.float64)
     g = Graph.build(_unit(vectors))
-    row = [int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), pdf["ids"].to_list(), vectors.ravel(), g.levels, [x.ravel() for x in g.near], g.entry]
+    ids, near = [np.asarray(x, np.int64) for x in pdf["ids"]], np.concatenate([x.ravel() for x in g.near])
+    row = [int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), np.concatenate(ids), np.cumsum([len(x) for x in ids]).astype(np.int32), vectors.ravel(), g.levels, near, g.entry]
     return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX.split(", ")])
 
 
@@ -172,15 +174,17 @@ def _asker(k: int, breadth: int):
     def ask(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         for r in index.itertuples():
-            vectors, ids = np.asarray(r.vectors, np.float64).reshape(-1, r.dim), r.ids
+            vectors = np.asarray(r.vectors, np.float64).reshape(-1, r.dim)
+            ids = np.split(np.asarray(r.ids), np.asarray(r.ends)[:-1])
             first = np.array([x[0] for x in ids])
-            g = Graph(_unit(vectors), np.asarray(r.levels), [np.asarray(x, np.int32).reshape(len(vectors), -1) for x in r.near], int(r.entry))
+            ground, *upper = np.split(np.asarray(r.near, np.int32), np.arange(2, 2 + int(max(r.levels))) * (LINKS * len(vectors)))
+            g = Graph(_unit(vectors), np.asarray(r.levels), [x.reshape(len(vectors), -1) for x in (ground, *upper)], int(r.entry))
             for q, v in zip(queries["id"].tolist(), queries["embedding"], strict=True):
                 v = np.asarray(v, np.float64)
                 found = np.array(g.ask(_unit(v[None])[0], breadth))
                 scores = cosines(vectors[found], v)
                 best = np.lexsort((first[found], -scores))[: k + 1]
-                near = sorted(((-s, int(i)) for s, f in zip(scores[best].tolist(), found[best].tolist(), strict=True) for i in ids[f] if i != q))[:k]
+                near = sorted(((-s, int(i)) for s, f in zip(scores[best].tolist(), found[best].tolist(), strict=True) for i in ids[f].tolist() if i != q))[:k]
                 out["query_id"] += [q] * len(near)
                 out["vec_id"] += [i for _, i in near]
                 out["score"] += [-s for s, _ in near]
