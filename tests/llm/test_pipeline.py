@@ -121,3 +121,50 @@ def test_each_stage_on_its_input(stages):
 def test_run_gives_the_last_stage(spark, stages):
     out = corpus_pipeline.run(spark, SF)
     assert Counter(r.doc_id for r in out.select("doc_id").collect()) == Counter(r.doc_id for r in stages[-1])
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def odd_rows():
+    prose = lambda k: "\n".join(" ".join(f"w{k}x{i * 31 + j * 7}" for j in range(12)) for i in range(3))
+    rows = [(k, prose(k), "en", f"s{k % 3}", 1) for k in range(12)]
+    rows += [(None, prose(100), None, None, None), (None, prose(101), "en", "s0", None), (3, prose(102), "en", "s0", 5), (3, prose(102), "en", "s0", 5), (20, None, "en", "s1", None), (21, "", "en", None, 0), (22, "x" * 300_000, "en", "s1", 0), (23, prose(5), "en", "s2", 1)]
+    return rows
+
+
+def test_stages_take_null_ids_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame(odd_rows(), SCHEMA).selectExpr("*", "1 as _row", "2 as kept", "3 as id", "4 as host", "5 as h1", "6 as ids", "7 as _copy", "8 as rate")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, SF), name)
+        assert docs.columns[5:] == ["_row", "kept", "id", "host", "h1", "ids", "_copy", "rate"] and docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen.append(Counter((r.doc_id, (r.text or "")[:8]) for r in docs.select("doc_id", "text").collect()))
+    ruled, lines, near, _ = seen
+    want = Counter((r[0], r[1][:8]) for r in odd_rows() if r[1] and len(r[1].split()) >= 20)
+    assert ruled == want and sum(want.values()) == 17
+    # equal rows keep their lines together; a copy under another id loses all of its own
+    assert lines == want - Counter([(23, "w5x0 w5x")]) and near == lines - Counter([(3, "w102x0 w")])
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert tokens.count() == docs.count()
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_what_a_stage_wrote_is_given_back(spark):
+    import glob
+
+    from tidemill.llm import shared
+
+    before = set(glob.glob(f"{shared.shared_dir(spark)}/tidemill/*"))
+    with shared.scratch(spark):
+        shared.written(spark.range(3), "gone")
+        held = shared.kept(spark.range(4))
+        held.count()
+        out = shared.outlasting(spark.range(5), "stays")
+    after = set(glob.glob(f"{shared.shared_dir(spark)}/tidemill/*")) - before
+    assert len(after) == 1 and "stays" in after.pop() and out.count() == 5 and not held.is_cached

@@ -195,101 +195,6 @@ def train(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     return fit(np.array([r["features"] for r in rows], np.float64).reshape(-1, len(NAMES)), np.array([r["y"] for r in rows], np.float64))
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
-
-
-def _gain(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return g * g / (h + 1.0)
-
-
-def _split(g: np.ndarray, h: np.ndarray) -> tuple[float, int]:
-    """The best cut of a histogram of gradients and curvatures: its gain, and the first bin of the right side."""
-    if len(g) < 2:
-        return 0.0, 0
-    cg, ch = np.cumsum(g), np.cumsum(h)
-    gains = _gain(cg[:-1], ch[:-1]) + _gain(cg[-1] - cg[:-1], ch[-1] - ch[:-1]) - _gain(cg[-1], ch[-1])
-    at = int(np.argmax(gains))
-    return float(gains[at]), at + 1
-
-
-def _step(g: np.ndarray, h: np.ndarray, leaves: int = 3) -> np.ndarray:
-    """A tree of up to ``leaves`` leaves over the bins, as the value of each bin."""
-    parts = [(0, len(g))]
-    while len(parts) < leaves:
-        best = max(((*_split(g[a:b], h[a:b]), a, b) for a, b in parts), key=lambda p: p[0])
-        if best[0] <= 1e-9:
-            break
-        _, at, a, b = best
-        parts.remove((a, b))
-        parts += [(a, a + at), (a + at, b)]
-    out = np.empty(len(g))
-    for a, b in parts:
-        out[a:b] = g[a:b].sum() / (h[a:b].sum() + 1.0)
-    return out
-
-
-def _step2(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """A tree of depth two over a grid: the cut of one feature, then of each half by the other, that gain most together."""
-    best = (-1.0, np.zeros_like(g))
-    for turn in (False, True):
-        a, b = (g.T, h.T) if turn else (g, h)
-        ca, cb, whole = np.cumsum(a, 0), np.cumsum(b, 0), float(_gain(a.sum(), b.sum()))
-        for at in range(1, len(a)):
-            halves = [(slice(0, at), ca[at - 1], cb[at - 1]), (slice(at, None), ca[-1] - ca[at - 1], cb[-1] - cb[at - 1])]
-            cuts = [_split(x, y) for _, x, y in halves]
-            gain = sum(c[0] + float(_gain(x.sum(), y.sum())) for c, (_, x, y) in zip(cuts, halves, strict=True)) - whole
-            if gain > best[0]:
-                out = np.zeros_like(a)
-                for (_, cut), (rows, x, y) in zip(cuts, halves, strict=True):
-                    for cols in (slice(0, cut), slice(cut, None)):
-                        out[rows, cols] = x[cols].sum() / (y[cols].sum() + 1.0)
-                best = (gain, out.T if turn else out)
-    return best
-
-
-def fit(x: np.ndarray, y: np.ndarray) -> Gam:
-    """Boost one shallow tree a feature in turn, then trees over the pairs that explain most of what is left.
-
-    Without rows, or with one label only, the model is a constant.
-    """
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.empty(0) for k in range(len(NAMES))]
-    p = (y.sum() + 1) / (len(y) + 2)
-    gam = Gam(edges, float(np.log(p / (1 - p))), [np.zeros(len(e) + 1) for e in edges])
-    if not len(y) or y.min() == y.max():
-        return gam
-    b = gam.bins(x)
-    f = np.full(len(y), gam.base)
-    for _ in range(ROUNDS):
-        for k, t in enumerate(gam.tables):
-            q = 1 / (1 + np.exp(-f))
-            s = RATE * _step(np.bincount(b[:, k], y - q, len(t)), np.bincount(b[:, k], q * (1 - q), len(t)))
-            t += s
-            f += s[b[:, k]]
-    c = gam.coarse(b)
-
-    def grid(i: int, j: int, w: np.ndarray) -> np.ndarray:
-        return np.bincount(c[:, i] * PAIR_BINS + c[:, j], w, PAIR_BINS * PAIR_BINS).reshape(PAIR_BINS, PAIR_BINS)
-
-    q = 1 / (1 + np.exp(-f))
-    gains = [(_step2(grid(i, j, y - q), grid(i, j, q * (1 - q)))[0], i, j) for i in range(len(NAMES)) for j in range(i)]
-    gam.pairs = [(i, j, np.zeros((PAIR_BINS, PAIR_BINS))) for _, i, j in sorted(gains, reverse=True)[:PAIRS]]
-    for _ in range(PAIR_ROUNDS):
-        for i, j, t in gam.pairs:
-            q = 1 / (1 + np.exp(-f))
-            s = RATE * _step2(grid(i, j, y - q), grid(i, j, q * (1 - q)))[1]
-            t += s
-            f += s[c[:, i], c[:, j]]
-    return gam
-
-
-def train(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most: int = MOST_ROWS) -> Gam:
-    """Fit on the labelled rows of the ``most`` smallest hashes of the id; null labels and ids are left out, an id that repeats counts once."""
-    given = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
-    rows = measured.join(given, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("features", "y").collect()
-    return fit(np.array([r["features"] for r in rows], np.float64).reshape(-1, len(NAMES)), np.array([r["y"] for r in rows], np.float64))
-
-
 def score(measured: DataFrame, gam: Gam) -> DataFrame:
     """``measured`` with ``score`` in place of the features.  The model goes to the tasks whole: some thousand numbers, whatever the input."""
     keep = [c for c in measured.columns if c != "features"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -16,14 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where it is unset."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a temporary one is made and set, but only if driver and executors are one process; a cluster must name it.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
+_scratch: list[tuple[list[str], list[DataFrame]]] = []
+
+
 def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again, in so many ``files`` if given.
 
@@ -33,9 +43,40 @@ def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
     (df if files is None else df.repartition(files)).write.option("compression", "zstd").parquet(path)
+    if _scratch:
+        _scratch[-1][0].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within it, what ``written`` makes and ``kept`` persists is noted, and given back at its end: for steps whose result is by then written by ``outlasting``."""
+    _scratch.append(([], []))
+    try:
+        yield
+    finally:
+        paths, frames = _scratch.pop()
+        for df in frames:
+            df.unpersist()
+        for path in paths:
+            _delete(spark, path)
+
+
+def outlasting(df: DataFrame, name: str) -> DataFrame:
+    """``written``, but not given back with the steps that led to it."""
+    out = written(df, name)
+    if _scratch:
+        path = _scratch[-1][0].pop()
+        if len(_scratch) > 1:
+            _scratch[-2][0].append(path)
+    return out
+
+
 def files_for(rows: int, each: int) -> int:
     """Files of about ``each`` rows."""
     return max(1, -(-rows // each))
@@ -43,8 +84,7 @@ def files_for(rows: int, each: int) -> int:
 
 def forget(spark: SparkSession) -> None:
     """Delete all tables that ``written`` made in the shared folder; results not yet read are lost with them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemill")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/tidemill")
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -53,19 +93,27 @@ def kept(df: DataFrame) -> DataFrame:
     For what one pass over the input gives: a lost executor's part is made again from its own
     input files.  What stands behind a shuffle is ``written`` instead.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    out = df.persist(StorageLevel.DISK_ONLY)
+    if _scratch:
+        _scratch[-1][1].append(out)
+    return out
 
 
-#: Rows of whole texts that go to a Python worker at a time.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows, and bytes, of whole texts that go to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches cut to ``BATCH_ROWS`` rows if they are longer: whole texts make long rows."""
+    """``df``, with its session's Arrow batches cut to ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes if they may be longer: whole texts make long rows.
+
+    Spark reads these settings when a lazy plan runs, which can be long after this call, so they stay; smaller ones are left alone.
+    """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH, "10000")) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
+    for name, most in ((_BATCH, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", conf.get(name).lower()).groups()
+        if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= most:
+            conf.set(name, str(most))
     return df
 
 
