@@ -47,3 +47,12 @@ def test_stand_ins(spark):
     assert {r.passage: r.rerank for r in plugins.reranked(hits, plugins.OverlapReranker()).collect()} == {"a red dog": 0.5, "the red fox": 1.0}
     out = plugins.completed(rows, "text", plugins.EchoCompleter())
     assert {r.id: r.completion for r in out.collect()} == {1: "red fox", 2: None, 3: "red fox"}
+
+
+def test_table_retriever(spark):
+    chunks = spark.createDataFrame([(1, "вход", k, t) for k, t in enumerate(["договор поставки подписать", "акт сверки", "новый акт"])] + [(2, "прочее", 0, "пусто совсем")], "document bigint, section string, ord int, text string")
+    r = plugins.TableRetriever(chunks)
+    found = r.find(spark.createDataFrame([(1, "подписать договор"), (2, "нету")], "qid bigint, query string"), 2).collect()
+    assert [(x.qid, x.document, x.ord, x.rank) for x in found if x.qid == 1][0] == (1, 1, 0, 1)
+    on = r.read_section(chunks.where("document = 1 and ord = 1"), 5).orderBy("rank").collect()
+    assert [(x.ord, x.rank) for x in on] == [(1, 1), (2, 2)]

@@ -129,6 +129,11 @@ def test_autocomplete(spark):
     got = {}
     for r in autocomplete.diverse(scored, 2).orderBy("iid", "rank").collect():
         got.setdefault(r.iid, []).append(r.qid)
+    pools = {}
+    for pool in (1, 2):
+        for r in autocomplete.diverse(scored, 2, pool).orderBy("iid", "rank").collect():
+            pools.setdefault((pool, r.iid), []).append(r.qid)
+    assert pools == {(p, i): v for p in (1, 2) for i, v in got.items()}
     assert got == {1: [0], 2: [0, 2]}  # the second starts with the input, the other only holds it
 
 

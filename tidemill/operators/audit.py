@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,14 +27,18 @@ def checks(dialogs: DataFrame) -> DataFrame:
 
 
 def _packer(most_items: int, most_chars: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, batches, items, chars, now = pdf.sort_values(["stamp", "id"]), [], 0, 0, 0
-        for size in pdf["size"].tolist():
-            if items and (items >= most_items or chars + size > most_chars):
-                now, items, chars = now + 1, 0, 0
-            items, chars = items + 1, chars + size
-            batches.append(now)
-        return pdf[["period", "id", "size"]].assign(batch=batches)
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        period, items, chars, now = None, 0, 0, 0
+        for pdf in frames:
+            batches = []
+            for own, size in zip(pdf["period"].tolist(), pdf["size"].tolist(), strict=True):
+                if own != period:
+                    period, items, chars, now = own, 0, 0, 0
+                elif items and (items >= most_items or chars + size > most_chars):
+                    now, items, chars = now + 1, 0, 0
+                items, chars = items + 1, chars + size
+                batches.append(now)
+            yield pdf[["period", "id", "size"]].assign(batch=batches)
 
     return pack
 
@@ -41,10 +46,12 @@ def _packer(most_items: int, most_chars: int):
 def pack(dialogs: DataFrame, most_items: int = MOST_ITEMS, most_chars: int = MOST_CHARS) -> DataFrame:
     """``period, id, size, batch``: dialogs of a period in the order of ``stamp`` and ``id``, a new batch before the item that would pass either limit.
 
-    The batches of a period depend on one another, so a period (a day of audits) is the unit of work; periods run in parallel.
+    The batches of a period depend on one another, so a period's rows come together; they are sorted by Spark and streamed
+    past three numbers, so a period of any size fits in a task.
     """
     rows = dialogs.select("period", F.col("stamp").cast("string").alias("stamp"), "id", F.col("size").cast("bigint").alias("size"))
-    return rows.groupBy("period").applyInPandas(_packer(most_items, most_chars), "period date, id bigint, size bigint, batch int")
+    rows = rows.repartition("period").sortWithinPartitions("period", "stamp", "id")
+    return rows.mapInPandas(_packer(most_items, most_chars), "period date, id bigint, size bigint, batch int")
 
 
 def bisect(batches: DataFrame, too_large: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Candidates of an input that the greedy pass reads at most; the first ones by rank, a multiple of what it may return.
+#: Candidates of an input that the greedy pass reads at a time.
 POOL = 2000
 
 
@@ -52,17 +52,38 @@ def ranked(inputs: DataFrame, corpus: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def diverse(scored: DataFrame, limit: int = 5, pool: int = POOL) -> DataFrame:
-    """The best ``limit`` suggestions of each input, leaving out any whose stems overlap one already chosen by 0.9 of the smaller set.
+    """``iid, rank, qid, query``: the best ``limit`` suggestions of each input, leaving out any whose stems overlap one already chosen by 0.9 of the smaller set.
 
-    Ranked by falling score, length of the query, then id.  The greedy choice folds an input's ranked candidates; if the first ``pool`` do
-    not fill the limit, ``pool`` must be raised, which ``exhausted`` tells.
+    Ranked by falling score, length of the query, then id.  The greedy choice folds an input's ranked candidates ``pool`` at a time:
+    an input whose pool does not fill the limit goes on with the next candidates that are unlike those it has chosen, until it is
+    filled or has no more.  So no task holds more than a pool of an input.
     """
-    order = F.row_number().over(Window.partitionBy("iid").orderBy(F.desc("score"), F.length("query"), "qid"))
     stems = F.array_distinct(F.transform(words("query"), T.stem))
-    first = scored.withColumn("r", order).where(F.col("r") <= pool).select("iid", F.struct("r", "qid", "query", stems.alias("stems")).alias("c"))
-    lists = first.groupBy("iid").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    order = F.row_number().over(Window.partitionBy("iid").orderBy(F.desc("score"), F.length("query"), "qid"))
     near = lambda a, b: F.size(F.array_intersect(a["stems"], b["stems"])) / F.greatest(F.least(F.size(a["stems"]), F.size(b["stems"])), F.lit(1)) >= 0.9
     step = lambda chosen, c: F.when((F.size(chosen) >= limit) | F.exists(chosen, lambda o: near(o, c)), chosen).otherwise(F.array_append(chosen, c))
-    chosen = lists.select("iid", F.size("cs").alias("n"), F.aggregate("cs", F.slice("cs", 1, 0), step).alias("chosen"))
-    exhausted = (F.size("chosen") < limit) & (F.col("n") >= pool)
-    return chosen.select("iid", exhausted.alias("exhausted"), F.posexplode("chosen").alias("pos", "c")).select("iid", (F.col("pos") + 1).alias("rank"), "c.qid", "c.query", "exhausted")
+    left, so_far, done = scored.select("iid", "qid", "query", "score"), None, []
+    while True:
+        first = left.withColumn("r", order).where(F.col("r") <= pool).select("iid", F.struct("r", "qid", "query", stems.alias("stems"), "score").alias("c"))
+        lists = first.groupBy("iid").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+        start = F.slice("cs", 1, 0)
+        if so_far is not None:
+            lists, start = lists.join(so_far, "iid"), F.col("before")
+        folded = lists.select("iid", F.size("cs").alias("n"), F.element_at("cs", -1).alias("last"), F.aggregate("cs", start, step).alias("chosen")).persist()
+        more = (F.size("chosen") < limit) & (F.col("n") >= pool)
+        done.append(folded.where(~more).select("iid", "chosen"))
+        on = folded.where(more)
+        if on.isEmpty():
+            break
+        done.append(on.join(left.groupBy("iid").agg(F.count("*").alias("all")), "iid").where("all <= n").select("iid", "chosen"))
+        so_far = on.select("iid", F.col("chosen").alias("before"))
+        after = F.struct(-F.col("score"), F.length("query"), F.col("qid")) > F.struct(-F.col("last.score"), F.length("last.query"), F.col("last.qid"))
+        rest = left.join(on.select("iid", "last", "chosen"), "iid").where(after).withColumn("c", F.struct(F.lit(0).alias("r"), "qid", "query", stems.alias("stems"), "score"))
+        rest = rest.where(~F.exists("chosen", lambda o: near(o, F.col("c"))))
+        gone = on.join(rest.select("iid").distinct(), "iid", "left_anti").join(done[-1].select("iid"), "iid", "left_anti")
+        done.append(gone.select("iid", "chosen"))
+        left = rest.select("iid", "qid", "query", "score")
+    chosen = done[0]
+    for part in done[1:]:
+        chosen = chosen.union(part)
+    return chosen.select("iid", F.posexplode("chosen").alias("pos", "c")).select("iid", (F.col("pos") + 1).alias("rank"), "c.qid", "c.query")

@@ -17,6 +17,8 @@ NARRATOR = (
 NARROWING = r"(?iU)\b(?:на|по|для|про|без|через)\s+\w+"
 PERSONAL = r"(?iU)\bя\b.{0,60}заблок|заблок\w*.{0,40}\bя\b|до какого (?:числа|года)|какого года"
 WIZARD = r"(?iu)подтверд|отменит|продолж"
+# What is taken off an option, in the order in which it goes.
+OPTION_TRIMS = [r"<[^>]+>", r"^\d+(?:\.\d+)*\.?\s*", r"(?iu)^\s*рисунок\s+\d+\s*[–—-]\s*", r"^[–—\-•*«»\"]+\s*"]
 MOST_OPTIONS = 6
 
 
@@ -28,8 +30,8 @@ def section_family(section: Column) -> Column:
 
 def short_option(text: Column, hanging: list[str], longest: int = 100) -> Column:
     """A heading as an option: no tags, numbers, captions or outer marks, no dangling last words, first letter upper."""
-    x = F.regexp_replace(text, r"<[^>]+>", "")
-    for pattern in (r"^\d+(?:\.\d+)*\.?\s*", r"(?iu)^\s*рисунок\s+\d+\s*[–—-]\s*", r"^[–—\-•*«»\"]+\s*"):
+    x = text
+    for pattern in OPTION_TRIMS:
         x = F.trim(F.regexp_replace(x, pattern, ""))
     x = F.regexp_replace(F.regexp_replace(x, r"(?U)\s+", " "), r"^[ .:—\-«»\"]+|[ .:—\-«»\"]+$", "")
     loose = (lambda c: F.regexp_replace(c, rf"(?iu)(?:(?:^| )(?:{'|'.join(hanging)})[.,:;«»\"]*)+$", "")) if hanging else (lambda c: c)

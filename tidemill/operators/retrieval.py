@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ SYNONYMS = [("найти", "поиск", "искать"), ("сайт", "порт
 GENERIC = [("найти", 0.45), ("сведения", 0.55), ("страница", 0.8), ("сайт", 0.65), ("профиль", 0.7)]
 CATALOG_NOISE = "закупочные процедуры личный кабинет пользователя портал поставщиков карточка работа"
 LEAST_SCORE, LONGEST_HEADING, CHANNEL, SHORTLIST = 2.0, 12, 50, 24
-#: Query vectors that one pass over the vectors holds; more take further passes.
-QUERY_BLOCK = 4096
+#: Query vectors, and vectors, of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16_384
 
 
 def _py_stem(t: str) -> str:
@@ -177,42 +177,41 @@ def vector_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return dots.select("qid", "document", "ord", F.round(F.col("dot") / F.sqrt((F.col("norm") * F.col("other")).cast("double")), 6).alias("score"))
 
 
-def _cosine_task(ids: np.ndarray, unit: np.ndarray, most: int):
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            found, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
-            norm = np.sqrt((x * x).sum(1))
-            sims = np.where(norm[None] > 0, unit @ (x / np.where(norm > 0, norm, 1)[:, None]).T, 0.0)
-            k = min(most + 1, len(found))
-            at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(found[at.ravel()]), pa.array(sims[rows, at.ravel()])], ["qid", "vec_id", "score"])
+def _nearest(most: int):
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = {"qid": [], "vec_id": [], "score": []}
+        if len(vectors) and len(queries):
+            unit = []
+            for pdf in (vectors, queries):
+                x = np.array(pdf["v"].to_list(), np.float64)
+                norm = np.sqrt((x * x).sum(1, keepdims=True))
+                unit.append(np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0.0))
+            ids, asked, k = vectors["id"].to_numpy(), queries["id"].to_numpy(), min(most + 1, len(vectors))
+            for at in range(0, len(asked), 256):
+                sims = unit[1][at : at + 256] @ unit[0].T
+                best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                out["qid"].append(np.repeat(asked[at : at + 256], k))
+                out["vec_id"].append(ids[best.ravel()])
+                out["score"].append(np.take_along_axis(sims, best, 1).ravel())
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"qid": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
 
 def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``qid, vec_id, score, rank``: the exact ``most`` nearest of each query but itself; zero vectors score 0.
+    """``qid, vec_id, score, rank``: the exact ``most`` nearest of each query but itself; zero vectors score 0, null ones take no part.
 
-    Queries go to the tasks in blocks of bounded size, one pass over the vectors a block; each
-    batch keeps its best alone, and a ranked limit merges them.
+    Queries and vectors are dealt to blocks of bounded numbers; each pair of blocks meets in a task of its own, which keeps each
+    query's best alone, and a ranked limit merges them.  Neither passes through the driver.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    passes = None
-    for k in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k).select(id_col, vector_col).collect()
-        if not rows:
-            continue
-        q = np.array([r[1] for r in rows], np.float64)
-        norm = np.sqrt((q * q).sum(1, keepdims=True))
-        unit = q / np.where(norm > 0, norm, 1)
-        part = vectors.select(F.col(id_col).cast("bigint"), vector_col).mapInArrow(_cosine_task(np.array([r[0] for r in rows], np.int64), unit, most), "qid bigint, vec_id bigint, score double")
-        passes = part if passes is None else passes.union(part)
-    if passes is None:
-        passes = queries.sparkSession.createDataFrame([], "qid bigint, vec_id bigint, score double")
-    return top(passes.where("qid <> vec_id").withColumn("score", F.round("score", 6)), most, ties=("vec_id",))
+    q, v = (rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")) for rows in (queries, vectors))
+    blocks, parts = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-v.count() // VECTOR_BLOCK))
+    deal = lambda name, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    sides = v.select("id", "v", deal("part", parts), every("block", blocks)), q.select("id", "v", deal("block", blocks), every("part", parts))
+    left, right = (side.repartition(2 * blocks * parts, "block", "part").groupBy("block", "part") for side in sides)
+    found = left.cogroup(right).applyInPandas(_nearest(most), "qid bigint, vec_id bigint, score double")
+    return top(found.where("qid <> vec_id").withColumn("score", F.round("score", 6)), most, ties=("vec_id",))
 
 
 def joined_hits(channels: list[DataFrame]) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import ingest, retrieval
+
 
 class Embedder(Protocol):
     name: str
@@ -33,6 +35,28 @@ class Completer(Protocol):
     def complete(self, prompts: list[str]) -> list[str]: ...
 
 
+class Retriever(Protocol):
+    """Finds chunks for queries (``qid, query``) and reads on from a chunk; both give ``document, ord`` rows."""
+
+    def find(self, queries: DataFrame, limit: int) -> DataFrame: ...
+
+    def read_section(self, anchors: DataFrame, limit: int) -> DataFrame: ...
+
+
+class TableRetriever:
+    """A retriever over a table of chunks (``document, section, ord, text``): full text and hashed vectors, put in order by lexical scores."""
+
+    def __init__(self, chunks: DataFrame):
+        self.chunks = chunks
+
+    def find(self, queries: DataFrame, limit: int = 3) -> DataFrame:
+        hits = retrieval.joined_hits([retrieval.top(retrieval.bm25(queries, self.chunks), retrieval.CHANNEL), retrieval.top(retrieval.vector_scores(queries, self.chunks), retrieval.CHANNEL)])
+        return retrieval.fuse(retrieval.lexical_of(hits, queries, self.chunks), F.col("lexical") / (F.col("lexical") + 4.0), limit)
+
+    def read_section(self, anchors: DataFrame, limit: int = 6) -> DataFrame:
+        return ingest.contiguous(ingest.continuation(self.chunks, anchors, limit))
+
+
 class HashEmbedder:
     """Unit vectors from hashed tokens: texts that share words are near."""
 

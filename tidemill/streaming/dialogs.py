@@ -22,15 +22,22 @@ OUTCOME = f"id bigint, {STATE}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
+    """A new folder in the one that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset and driver and executors are one process."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        there = tempfile.mkdtemp(prefix="tidemill-")
     return f"{there.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
-    """A table's files as a stream; a file or a folder of them.  The rate limit is the back pressure."""
+    """A table's files as a stream; a file or a folder of them, and nothing whose name only starts alike.  The rate limit is the back pressure."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    # a stream reads folders, or a pattern: one that this name alone fits
+    only = path.rstrip("/")[: -len(name)] + "".join("\\" + c if c in "*?[]{}\\" else c for c in name[:-1]) + f"[{name[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(only)
 
 
 def drain(stream: DataFrame, mode: str, keep: Callable[[DataFrame, int], None], where: str) -> None:
