@@ -95,6 +95,12 @@ def buckets(rows: DataFrame, label: Column, most: int | None = None) -> DataFram
     return counted if most is None else counted.orderBy(F.desc("n"), "label").limit(most)
 
 
+def percent_label(part: Column, whole: Column) -> Column:
+    """A share rounded half up with its sign, or a dash where there is nothing to share."""
+    share = F.floor(100 * part / F.nullif(whole, F.lit(0)) + F.lit(0.5)).cast("bigint").cast("string")
+    return F.coalesce(F.concat(share, F.lit("%")), F.lit("—"))
+
+
 def percentages(rows: DataFrame, label: Column) -> DataFrame:
     """``label, n, percent``, the share of all rounded half up; null without rows."""
     counted = buckets(rows, label)

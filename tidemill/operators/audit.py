@@ -77,6 +77,32 @@ def selection(rows: DataFrame, as_of: dt.date, days: int, newest: int = 500) ->
     return cut.where(F.col("rating").isNotNull() & (F.col("closed_at") >= F.lit(str(as_of - dt.timedelta(days=days))).cast("timestamp")))
 
 
+def last_rated(rows: DataFrame, most: int, newest: int = 500) -> DataFrame:
+    """The ``most`` newest rated dialogs among the ``newest`` ones: the cut comes first."""
+    cut = rows.orderBy(F.desc("closed_at"), F.desc("id")).limit(newest)
+    return cut.where(F.col("rating").isNotNull()).orderBy(F.desc("closed_at"), F.desc("id")).limit(most)
+
+
+def sample_faults(dialogs: DataFrame, most: int = MOST_ITEMS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """``batch, n_dialogs, n_chars, faults``: what keeps a batch of ``batch, id, role, text`` rows from being sent; no faults, and it may go.
+
+    Ids longer than 100 characters, dialogs without both roles, with under 2 or over 200 messages or a message that is empty or over
+    12 000 characters, more than ``most`` dialogs, more than ``most_chars`` characters.
+    """
+    size = F.length(F.coalesce("text", F.lit("")))
+    one = dialogs.groupBy("batch", "id").agg(
+        F.count("*").alias("n"), F.sum(size).alias("chars"), (F.bool_or(F.col("role") == "user") & F.bool_or(F.col("role") == "assistant")).alias("both"), F.bool_and(size.between(1, 12_000)).alias("sized"),
+    )
+    good = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    per = one.groupBy("batch").agg(
+        F.count("*").alias("n_dialogs"), F.sum("chars").cast("bigint").alias("n_chars"), good(F.length(F.col("id").cast("string")) <= 100).alias("ids"), good(F.col("both")).alias("roles"),
+        good(F.col("n").between(2, 200)).alias("messages"), good(F.col("sized")).alias("texts"),
+    )
+    checks = {"ids": F.col("ids"), "roles": F.col("roles"), "messages": F.col("messages"), "texts": F.col("texts"), "dialogs": F.col("n_dialogs") <= most, "characters": F.col("n_chars") <= most_chars}
+    faults = F.array_join(F.filter(F.array(*(F.when(~ok, F.lit(name)) for name, ok in checks.items())), lambda x: x.isNotNull()), " ")
+    return per.select("batch", "n_dialogs", "n_chars", faults.alias("faults"))
+
+
 def next_run(now: Column, at: str, zone: str) -> Column:
     """The next time a zone's clock shows ``at``, in UTC; a clock change keeps the wall time."""
     local = F.from_utc_timestamp(now, zone)

@@ -76,6 +76,13 @@ def analytics_percentages(spark, sf_dir):
     return A.percentages(_window(spark, sf_dir), A.outcome())
 
 
+@query("percent_labels", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, CASE WHEN count(*) FILTER (WHERE event_type IN ('error', 'purchase')) = 0 THEN '—' ELSE CAST(floor(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*) FILTER (WHERE event_type IN ('error', 'purchase')) + 0.5) AS BIGINT) || '%' END AS share FROM events GROUP BY user_id")
+def percent_labels(spark, sf_dir):
+    """The share of failures among each user's ended dialogs, a dash where none ended."""
+    ended = S.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type").isin("error", "purchase")).alias("ended"))
+    return ended.select("user_id", "errors", A.percent_label(F.col("errors"), F.col("ended")).alias("share"))
+
+
 @query(
     "analytics_topic_rollup",
     f"{_WITH} SELECT topic, subtopic, count(*) AS n FROM (SELECT {_TOPIC} AS topic, coalesce(subtopic, '') AS subtopic FROM w) GROUP BY ROLLUP (topic, subtopic)",

@@ -86,6 +86,22 @@ def audit_selection(spark, sf_dir):
     return audit.selection(S.closures(spark, sf_dir), S.AS_OF, 1).select("id", "rating")
 
 
+@query("audit_last_rated", f"WITH {S.CLOSURES} SELECT id, rating FROM (SELECT * FROM closures ORDER BY closed_at DESC, id DESC LIMIT 500) WHERE rating IS NOT NULL ORDER BY closed_at DESC, id DESC LIMIT 30")
+def audit_last_rated(spark, sf_dir):
+    return audit.last_rated(S.closures(spark, sf_dir), 30).select("id", "rating")
+
+
+_SAMPLE = f"""{S.MESSAGES}, o AS (SELECT conv_id % 4 AS batch, conv_id, count(*) AS n, sum(length(text)) AS chars, bool_or(role = 'user') AND bool_or(role = 'assistant') AS pair, bool_and(length(text) BETWEEN 1 AND 12000) AS sized FROM messages GROUP BY ALL),
+p AS (SELECT batch, count(*) AS n_dialogs, CAST(sum(chars) AS BIGINT) AS n_chars, bool_and(pair) AS roles, bool_and(n BETWEEN 2 AND 200) AS few, bool_and(sized) AS texts FROM o GROUP BY batch)"""
+
+
+@query("audit_faults", f"WITH {_SAMPLE} SELECT batch, n_dialogs, n_chars, array_to_string(list_filter([CASE WHEN NOT roles THEN 'roles' END, CASE WHEN NOT few THEN 'messages' END, CASE WHEN NOT texts THEN 'texts' END, CASE WHEN n_dialogs > 100 THEN 'dialogs' END, CASE WHEN n_chars > 20000 THEN 'characters' END], lambda x: x IS NOT NULL), ' ') AS faults FROM p")
+def audit_faults(spark, sf_dir):
+    """What keeps each quarter of the dialogs from going out as one batch of at most 20 000 characters."""
+    rows = S.messages(spark, sf_dir).select((F.col("conv_id") % 4).alias("batch"), F.col("conv_id").alias("id"), "role", "text")
+    return audit.sample_faults(rows, most_chars=20_000)
+
+
 @query("audit_checks", f"WITH {S.MESSAGES} SELECT conv_id, count(*) AS n_messages, CAST(sum(length(text)) AS BIGINT) AS n_chars, bool_or(role = 'user') AND bool_or(role = 'assistant') AS both_roles, min(length(text)) >= 1 AS none_empty FROM messages GROUP BY conv_id")
 def audit_checks(spark, sf_dir):
     return audit.checks(S.messages(spark, sf_dir))
