@@ -91,6 +91,11 @@ def test_moderation(spark):
     df = spark.createDataFrame(rows, "id string, text string")
     found = {r.id: (r.n_terms, r.terms) for r in moderation.scan(df, ["id"], "text", words).collect()}
     assert found == {"a": (1, "редиской"), "b": (1, "дуррак")}
+    table = spark.createDataFrame([("Редиска",), ("а",)], "word string")
+    assert {r.id: (r.n_terms, r.terms) for r in moderation.scan(df, ["id"], "text", table).collect()} == found
+    more = spark.createDataFrame([(w,) for w in ("редиска", "редиской", "нередиска", "наредиска", "реддиска", "диска", "козлами", "мудак", "привет", "дом", "хер")], "t string")
+    both = [{r.t: r.flagged for r in moderation.flagged_vocabulary(more, w).collect()} for w in (words, table)]
+    assert both[0] == both[1] and both[0]["наредиска"] and not both[0]["дом"]
     rest = {r.id: r.rest for r in moderation.remainders(df, ["id"], "text", words).collect()}
     assert rest == {"a": "Назвал помоги с договором", "b": "", "c": "Где договор", "d": "Не работает подпись"}
     verdicts = [one(spark, moderation.verdict(F.lit(bad), F.lit(x))) for bad, x in ((False, ""), (True, "Где договор"), (True, ""))]

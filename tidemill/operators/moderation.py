@@ -43,6 +43,12 @@ def lexicon_columns(words: list[str]) -> tuple[Column, Column]:
     return listed, F.array_distinct(F.filter(F.transform(listed, T.stem), lambda s: F.length(s) >= LEAST_STEM))
 
 
+def _rests(form: Column) -> Column:
+    """What each prefix that a form starts with leaves of it, of three letters or more."""
+    cut = F.transform(F.array(*map(F.lit, PREFIXES)), lambda p: F.when(F.startswith(form, p), F.substring(form, F.length(p) + 1, F.length(form))))
+    return F.filter(cut, lambda r: F.coalesce(F.length(r) >= 3, F.lit(False)))
+
+
 def flagged(t: Column, words: list[str]) -> Column:
     """Whether a token is an insult, starts with an obscene core, is in the lexicon by word or stem, or is a prefix before a lexicon word."""
     listed, stems = lexicon_columns(words)
@@ -50,17 +56,27 @@ def flagged(t: Column, words: list[str]) -> Column:
     forms = T.match_forms(t)
     core = F.exists(forms, lambda f: f.rlike(f"^(?:{'|'.join(CORES)})"))
     known = F.exists(forms, lambda f: f.isin(INSULTS) | F.array_contains(insult_stems, T.stem(f)) | F.array_contains(listed, f) | F.array_contains(stems, T.stem(f)))
-    rests = lambda f: F.filter(F.transform(F.array(*map(F.lit, PREFIXES)), lambda p: F.when(F.startswith(f, p), F.substring(f, F.length(p) + 1, F.length(f)))), lambda r: F.coalesce(F.length(r) >= 3, F.lit(False)))
-    prefixed = F.exists(forms, lambda f: F.arrays_overlap(rests(f), listed)) if words else F.lit(False)
+    prefixed = F.exists(forms, lambda f: F.arrays_overlap(_rests(f), listed)) if words else F.lit(False)
     return core | known | F.coalesce(prefixed, F.lit(False))
 
 
-def flagged_vocabulary(tokens: DataFrame, words: list[str]) -> DataFrame:
-    """``t, flagged`` for distinct tokens: the rules run once a token, not once an occurrence."""
-    return tokens.select("t").distinct().withColumn("flagged", flagged(F.col("t"), words))
+def flagged_vocabulary(tokens: DataFrame, words: list[str] | DataFrame) -> DataFrame:
+    """``t, flagged`` for distinct tokens: the rules run once a token, not once an occurrence.
+
+    ``words`` is a short list, or a table with ``word`` of any length, which tokens then meet by a join on their forms, stems and what prefixes leave.
+    """
+    vocabulary = tokens.select("t").distinct()
+    if isinstance(words, list):
+        return vocabulary.withColumn("flagged", flagged(F.col("t"), words))
+    listed = words.select(F.replace(F.lower(F.trim("word")), F.lit("ё"), F.lit("е")).alias("word")).where(F.length("word") >= 2)
+    keys = listed.select(F.concat(F.lit("w"), "word").alias("key")).union(listed.where(F.length(T.stem("word")) >= LEAST_STEM).select(F.concat(F.lit("s"), T.stem("word")))).distinct()
+    forms = T.match_forms(F.col("t"))
+    own = F.flatten(F.transform(forms, lambda f: F.concat(F.array(F.concat(F.lit("w"), f), F.concat(F.lit("s"), T.stem(f))), F.transform(_rests(f), lambda r: F.concat(F.lit("w"), r)))))
+    known = vocabulary.select("t", F.explode(F.array_distinct(own)).alias("key")).join(keys, "key", "left_semi").select("t").distinct().withColumn("known", F.lit(True))
+    return vocabulary.join(known, "t", "left").select("t", (F.col("known").isNotNull() | flagged(F.col("t"), [])).alias("flagged"))
 
 
-def scan(rows: DataFrame, keys: list[str], text: str, words: list[str]) -> DataFrame:
+def scan(rows: DataFrame, keys: list[str], text: str, words: list[str] | DataFrame) -> DataFrame:
     """Flagged tokens of three letters or more of each row, distinct, in order of first sight; rows without any are left out."""
     seen = rows.select(*keys, F.posexplode(T.tokens(text, map_latin=True)).alias("pos", "t"))
     hits = seen.join(flagged_vocabulary(seen, words).where("flagged"), "t").where(F.length("t") >= 3)
@@ -69,7 +85,7 @@ def scan(rows: DataFrame, keys: list[str], text: str, words: list[str]) -> DataF
     return first.groupBy(*keys).agg(F.count("*").alias("n_terms"), F.array_join(terms, " ").alias("terms"))
 
 
-def remainders(rows: DataFrame, keys: list[str], text: str, words: list[str]) -> DataFrame:
+def remainders(rows: DataFrame, keys: list[str], text: str, words: list[str] | DataFrame) -> DataFrame:
     """``keys, rest``: each text's tokens without idioms, flagged ones and leading address words, first letter upper; flags are taken once a distinct token."""
     seen = rows.select(*keys, F.posexplode_outer(T.tokens(F.regexp_replace(text, IDIOM, " "), map_latin=True)).alias("pos", "t"))
     marked = seen.join(flagged_vocabulary(seen.where("t is not null"), words).where("flagged"), "t", "left")

@@ -15,24 +15,28 @@ _WORDS = ", ".join(f"'{w}'" for w in WORDS)
 _MAPPED = [w.translate(str.maketrans(T.LATIN, T.CYRILLIC)) for w in WORDS]
 
 
+def _lexicon(spark):
+    return spark.createDataFrame([(w,) for w in _MAPPED], "word string")
+
+
 @query("lexicon_hits", f"SELECT doc_id, count(*) AS n_hits FROM (SELECT doc_id, unnest({T.tokens_sql('text')}) AS t FROM documents) WHERE t IN ({_WORDS}) GROUP BY doc_id")
 def lexicon_hits(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in WORDS], "t string")
     tokens = S.table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens("text")).alias("t"))
-    return tokens.join(F.broadcast(words), "t", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_hits"))
+    return tokens.join(words, "t", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_hits"))
 
 
 @query("flagged_matches")
 def flagged_matches(spark, sf_dir):
     """Flagged terms of each message; folding needs a back reference, which DuckDB lacks."""
-    return M.scan(S.messages(spark, sf_dir).where("role = 'user'"), ["conv_id", "turn"], "text", _MAPPED)
+    return M.scan(S.messages(spark, sf_dir).where("role = 'user'"), ["conv_id", "turn"], "text", _lexicon(spark))
 
 
 @query("moderation_verdict")
 def moderation_verdict(spark, sf_dir):
     users = S.messages(spark, sf_dir).where("role = 'user'")
-    terms = M.scan(users, ["conv_id", "turn"], "text", _MAPPED)
-    rest = M.remainders(users, ["conv_id", "turn"], "text", _MAPPED)
+    terms = M.scan(users, ["conv_id", "turn"], "text", _lexicon(spark))
+    rest = M.remainders(users, ["conv_id", "turn"], "text", _lexicon(spark))
     return rest.join(terms, ["conv_id", "turn"], "left").select("conv_id", "turn", M.verdict(F.col("n_terms").isNotNull(), F.col("rest")).alias("verdict"), F.length("rest").alias("rest_chars"))
 
 
