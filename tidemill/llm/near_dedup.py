@@ -24,7 +24,7 @@ from .words import WordHasher, mix, shingle_set
 #: Largest probability that a pair of the asked similarity shares no table, and that its signatures agree too seldom.
 MISS, UNLIKE = 1e-4, 1e-8
 #: Documents of a block whose sets, or whose signatures alone, are compared with another block's in one task.
-BLOCK, SIGNATURES = 256, 2048
+BLOCK, SIGNATURES = 512, 2048
 #: Documents whose sets a task holds at a time before it passes them on.
 ROWS = 512
 #: Parts that the narrow rows of one group, and of one bucket, are dealt to before they are numbered into blocks.
@@ -176,8 +176,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest document form that document's group.  In a bucket that also has members unlike it,
     signatures are compared two by two, and members that one of these agrees with form a
     group of their own, named by the smallest: strangers at the head of a bucket part nobody.  In a group every member
-    meets the smallest one first (that of the group where they agree most); the members outside its largest component then meet all others
-    in blocks.  No task holds more than two blocks and no pair is emitted that is not a link.
+    meets the smallest one first (that of the group where they agree most).  The members outside its largest component next meet
+    one that chance picks in each of their buckets, which brings in nearly all that belong there, and those still outside meet all others in blocks.  No task holds more than two blocks and no pair is emitted that is not a link.
 
     A pair of exactly ``percent`` is missed with probability ``MISS`` for want of a shared table and
     ``UNLIKE`` by its signatures, whatever else the buckets hold.
@@ -231,17 +231,30 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     best = mates.groupBy("doc").agg(F.max_by("head", F.struct("equal", -F.col("head"))).alias("head"))
     twos = member.groupBy("head").agg(F.count("*").alias("n"), F.max(F.when(F.col("doc") != F.col("head"), F.col("doc"))).alias("doc")).where("n = 2").select("doc", "head")
-    pairs = best.union(twos).distinct().join(sets, "doc").join(sets.select(F.col("doc").alias("head"), F.col("shingles").alias("others")), "head")
-    inter = F.size(F.array_intersect("shingles", "others"))
-    pairs = pairs.select("doc", "head", inter.alias("i"), (F.size("shingles") + F.size("others") - inter).alias("u"))
-    links = written(pairs.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("head").alias("a"), F.col("doc").alias("b")), "links", fewer)
-    near = written(components(links), "near", fewer)
-
-    member = member.join(near, F.col("doc") == F.col("node"), "left").select("head", "doc", F.coalesce("component", "doc").alias("component"))
-    split = member.groupBy("head", "component").agg(F.count("*").alias("n")).groupBy("head").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
-    split = split.where("parts > 1 and all > 2").selectExpr("head", "main.component as main", "int(ceil((all - main.n) / {0})) as out_blocks".format(BLOCK), "int(ceil(main.n / {0})) as main_blocks".format(BLOCK))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sets, "doc").join(sets.select(F.col("doc").alias("head"), F.col("shingles").alias("others")), "head")
+        inter = F.size(F.array_intersect("shingles", "others"))
+        pairs = pairs.select("doc", "head", inter.alias("i"), (F.size("shingles") + F.size("others") - inter).alias("u"))
+        return pairs.where(F.col("i") * 100 >= F.col("u") * percent).select(F.col("head").alias("a"), F.col("doc").alias("b"))
+
+    def parts(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their component, and the groups that hold several: the largest, its rows and the others'."""
+        near = written(components(links), "near", fewer)
+        found = member.join(near, F.col("doc") == F.col("node"), "left").select("head", "doc", F.coalesce("component", "doc").alias("component"))
+        split = found.groupBy("head", "component").agg(F.count("*").alias("n")).groupBy("head").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
+        return found, split.where("parts > 1 and all > 2").selectExpr("head", "main.component as main", "all - main.n as out_n", "main.n as main_n")
+
+    links = written(confirmed(best.union(twos).distinct()), "links", fewer)
+    found, split = parts(links)
+    outside = written(found.join(split, "head").where("component <> main").select("doc").distinct(), "outside", fewer)
+    if outside.count():
+        chance = buckets.groupBy("key").agg(F.min_by("doc", F.xxhash64(F.lit(3), "doc")).alias("head"))
+        tried = buckets.select("key", "doc").join(outside, "doc").join(chance, "key").where("doc <> head").select("doc", "head").distinct()
+        links = written(links.union(confirmed(tried)).distinct(), "more_links", fewer)
+        found, split = parts(links)
+    split = split.selectExpr("head", "main", f"int(ceil(out_n / {BLOCK})) as out_blocks", f"int(ceil(main_n / {BLOCK})) as main_blocks")
     block = "if(component = main, out_blocks + pmod(xxhash64(doc), main_blocks), pmod(xxhash64(doc), out_blocks))"
-    cells = _blocks(member, "head", split, [block, "0", "if(component = main, 0, main_blocks) + out_blocks - 1"], ["component"], GROUP_SALT)
+    cells = _blocks(found, "head", split, [block, "0", "if(component = main, 0, main_blocks) + out_blocks - 1"], ["component"], GROUP_SALT)
     more = cells.join(sets, "doc").groupBy("head", "i", "j").applyInPandas(_linker(percent), "a bigint, b bigint")
     links = written(links.union(more), "all_links", fewer)
 
