@@ -122,7 +122,7 @@ def test_documents_keep_first_lines(spark):
 
 
 def test_rows_of_a_null_or_repeated_id_lose_their_own_lines_alone(spark):
-    rows = [(None, "common\nalpha"), (None, "beta\ncommon"), (None, "gamma\ndelta"), (None, "common"), (7, "common\nseven"), (7, "eight\nnine"), (8, "common"), (9, "alpha\nten")]
+    rows = [(None, "common\nalpha"), (None, "beta\ncommon"), (None, "gamma\ndeltoids"), (None, "common"), (7, "common\nseven"), (7, "eight\nnine"), (8, "common"), (9, "alpha\nten")]
     out = sorted((r.doc_id or 0, r.text) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, SCHEMA)).collect())
     left = [line for _, text in out for line in text.split("\n")]
     assert sorted(left) == sorted({line for _, text in rows for line in text.split("\n")})
