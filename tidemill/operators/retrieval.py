@@ -69,6 +69,11 @@ def small(asked: DataFrame) -> DataFrame:
     return F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
 
 
+def by_chunk(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` dealt by their chunk to the session's number of partitions.  Few bytes come in, but every row meets many queries after, so these must not be merged into fewer tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _subject(term: Column) -> Column:
     return ~term.isin(list(WEIGHTS))
 
@@ -94,9 +99,9 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     q = queries.select("qid", query_roots("query").alias("roots")).where("size(roots) > 0")
     q = q.select("qid", F.explode("roots").alias("term"), F.size("roots").alias("n_roots"), F.size(F.filter("roots", _subject)).alias("n_subject"))
     words = chunks.select("document", "ord", "section", F.explode(F.array_distinct(T.tokens(_bare(F.col("text"))))).alias("t"))
-    vocabulary = words.select("t").distinct().where(T.significant(F.col("t"))).select("t", folded_root(T.stem("t")).alias("term"))
+    vocabulary = by_chunk(words.select("t").distinct(), ["t"]).where(T.significant(F.col("t"))).select("t", folded_root(T.stem("t")).alias("term"))
     held = words.join(vocabulary.join(q.select("term").distinct(), "term", "left_semi"), "t")
-    held = held.groupBy("document", "ord", "section").agg(F.collect_set("term").alias("terms"))
+    held = by_chunk(held, ["document", "ord"]).groupBy("document", "ord", "section").agg(F.collect_set("term").alias("terms"))
     texts = held.select("document", "ord", "section", F.explode("terms").alias("term")).join(small(q), "term").groupBy("qid", "document", "ord", "section").agg(
         F.first("n_roots").alias("n_roots"), F.first("n_subject").alias("n_subject"), F.count("*").alias("n"), F.sum(_weight(F.col("term"))).alias("w"),
         F.count_if(F.col("term").isin(T.ABBREVIATIONS)).alias("abbr"), F.count_if(_subject(F.col("term"))).alias("subject"),
@@ -146,7 +151,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75
         return F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / F.lit(average or 1.0)))
 
     tf = toks.select("document", "ord", F.size("t").alias("len"), F.explode("t").alias("term")).join(small(terms), "term", "left_semi")
-    tf = tf.repartition("document", "ord").groupBy("document", "ord", "len", "term").agg(F.count("*").alias("tf"))
+    tf = by_chunk(tf, ["document", "ord"]).groupBy("document", "ord", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     text = tf.join(small(asked.join(df, "term")), "term").select("qid", "document", "ord", weight(F.col("df"), F.col("tf"), F.col("len"), mean).alias("w"))
     head_tf = heads.select("section", "chunks", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("section", "chunks", "len", "term").agg(F.count("*").alias("tf")).join(asked, "term")
@@ -165,7 +170,7 @@ def hashed_features(rows: DataFrame, keys: list[str], text: str, size: int = 64)
     toks = rows.select(*keys, F.explode(T.tokens(text)).alias("t"))
     place = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint")
     sign = F.when(F.conv(F.substring(F.md5("t"), 9, 1), 16, 10).cast("int") < 8, -1).otherwise(1)
-    x = toks.select(*keys, (place % size).cast("int").alias("place"), sign.alias("s")).repartition(*keys).groupBy(*keys, "place").agg(F.sum("s").alias("x")).where("x <> 0")
+    x = by_chunk(toks.select(*keys, (place % size).cast("int").alias("place"), sign.alias("s")), keys).groupBy(*keys, "place").agg(F.sum("s").alias("x")).where("x <> 0")
     return x.withColumn("norm", F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*keys)))
 
 
