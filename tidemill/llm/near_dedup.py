@@ -177,7 +177,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signatures are compared two by two, and members that one of these agrees with form a
     group of their own, named by the smallest: strangers at the head of a bucket part nobody.  In a group every member
     meets the smallest one first (that of the group where they agree most).  The members outside its largest component next meet
-    one that chance picks in each of their buckets, which brings in nearly all that belong there, and those still outside meet all others in blocks.  No task holds more than two blocks and no pair is emitted that is not a link.
+    one that chance picks in each fourth of their buckets, which brings in nearly all that belong there, and those still outside meet all others in blocks.  No task holds more than two blocks and no pair is emitted that is not a link.
 
     A pair of exactly ``percent`` is missed with probability ``MISS`` for want of a shared table and
     ``UNLIKE`` by its signatures, whatever else the buckets hold.
@@ -248,8 +248,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found, split = parts(links)
     outside = written(found.join(split, "head").where("component <> main").select("doc").distinct(), "outside", fewer)
     if outside.count():
-        chance = buckets.groupBy("key").agg(F.min_by("doc", F.xxhash64(F.lit(3), "doc")).alias("head"))
-        tried = buckets.select("key", "doc").join(outside, "doc").join(chance, "key").where("doc <> head").select("doc", "head").distinct()
+        quarter = buckets.where(F.pmod(F.xxhash64("key"), F.lit(4)) == 0)  # a short cut only: the blocks after it miss nothing
+        chance = quarter.groupBy("key").agg(F.min_by("doc", F.xxhash64(F.lit(3), "doc")).alias("head"))
+        tried = quarter.select("key", "doc").join(outside, "doc").join(chance, "key").where("doc <> head").select("doc", "head").distinct()
         links = written(links.union(confirmed(tried)).distinct(), "more_links", fewer)
         found, split = parts(links)
     split = split.selectExpr("head", "main", f"int(ceil(out_n / {BLOCK})) as out_blocks", f"int(ceil(main_n / {BLOCK})) as main_blocks")
