@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", there)
@@ -34,15 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
 _scratch: list[tuple[list[str], list[DataFrame]]] = []
 
 
-def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, files: int | None = None, row_group: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again, in so many ``files`` if given.
 
     Later jobs start from the files, so a lost executor costs no recomputation of what stands before.
-    ``files`` is for narrow rows of a known number: many partitions would leave as many tiny files.
+    ``files`` is for narrow rows of a known number: many partitions would leave as many tiny files.  ``row_group``
+    bounds a row group in bytes where rows are long, so that a reader holds few of them at a time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
-    (df if files is None else df.repartition(files)).write.option("compression", "zstd").parquet(path)
+    out = (df if files is None else df.repartition(files)).write.option("compression", "zstd")
+    (out if row_group is None else out.option("parquet.block.size", row_group)).parquet(path)
     if _scratch:
         _scratch[-1][0].append(path)
     return spark.read.schema(df.schema).parquet(path)
