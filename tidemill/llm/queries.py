@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hnsw, line_dedup, made_findings, mixing, near_dedup, quality_model, quality_rules, secrets, sharding, token_align, vector_codes
+from . import bpe, chat, hnsw, language_id, line_dedup, made_findings, mixing, near_dedup, quality_model, quality_rules, secrets, sharding, token_align, vector_codes
 from .shared import kept, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -92,6 +92,14 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learnt outside the fold of remainder 2; rows of a null id are in no fold and teach nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(language_id.fold() != 2))
+    out = language_id.predict(docs.select("doc_id", F.coalesce(language_id.fold() == 2, F.lit(False)).alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's groups and links between the byte-level and the piece tokenizer, with its links' corpus-wide counts."""
     return token_align.align(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))[0]
@@ -102,6 +110,6 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_bpe_encoding, op4_quality_rules, op5_quality_classifier, op6_hnsw_search, op7_minhash_near_dedup, op8_source_mixing, op9_secret_scan, op10_lpt_sharding, op12_tokenizer_alignment, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_bpe_encoding, op4_quality_rules, op5_quality_classifier, op6_hnsw_search, op7_minhash_near_dedup, op8_source_mixing, op9_secret_scan, op10_lpt_sharding, op11_language_id, op12_tokenizer_alignment, op13_vector_codes)}
 
 ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.mixture_sql(), "op13_vector_codes": vector_codes.codes_sql()}
