@@ -9,8 +9,9 @@ carry the pair's score back to its documents.
 from __future__ import annotations
 
 import re
-from hashlib import sha256
 from functools import lru_cache
+from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,71 +56,68 @@ class Pair:
         if not all(self.b_bytes):
             raise ValueError("pieces without bytes have no place")
         self.blank = self.b.piece_to_id("▁")
-        self.memo: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
-
-    def _align(self, segment: str, ids: list[int], pieces: list[int]) -> tuple | None:
-        """Numbers of A tokens, B tokens and groups, the groups' text, the links' pair codes; nothing if B's bytes are not the segment's."""
-        if segment[0] != " ":
-            if pieces[:1] != [self.blank]:
-                return None
-            del pieces[0]
-        sizes = list(map(self.b_bytes.__getitem__, pieces))
-        if b"".join(sizes) != segment.encode("utf-8", "surrogatepass"):
-            return None
-        groups, links, j, at_b, a0, b0 = [], [], 0, 0, 0, 0
-        at_a, size, last = 0, self.a_size, len(pieces)
-        for i, x in enumerate(ids):
-            at_a += size[x]
-            while j < last and at_b < at_a:
-                at_b += len(sizes[j])
-                j += 1
-            if at_b == at_a:
-                groups.append(f"{','.join(map(str, ids[a0 : i + 1]))}|{','.join(map(str, pieces[b0:j]))}")
-                links.append(x << 32 | pieces[j - 1])
-                a0, b0 = i + 1, j
-        if a0 < len(ids):
-            return None
-        return len(ids), last, len(groups), ";".join(groups), np.array(links, np.int64).tobytes()
-
-    def _learn(self, segments: set[str]) -> dict[str, tuple | None]:
-        """Alignments of segments that the memo lacks; short ones go into it."""
-        segments = sorted(segments)
+        self.a_size, self.b_size = np.array(self.a_size, np.int64), np.array(list(map(len, self.b_bytes)), np.int64)
+        #: A token's digits followed by what comes after it: A's within a group, A's at its end, B's within, B's at the end.
+        self.said = [f"{k}{mark}" for size, marks in ((len(self.a_size), ",|"), (len(self.b_size), ",;")) for mark in marks for k in range(size)]
+        self.memo: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def _learn(self, names: list[str]) -> dict[str, tuple]:
+        """Of every segment: numbers of A and B tokens in one, the groups' text, the links' pair codes; no tokens if B's bytes are not the segment's."""
+        segments = [s if s[0] in " \n" else " " + s for s in names]
         ids = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         pieces = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        found = {s: self._align(s, a, b) for s, a, b in zip(segments, ids, pieces, strict=True)}
-        if len(self.memo) > MEMO_SEGMENTS:
-            self.memo, self.old = {}, self.memo
-        self.memo |= {s: v for s, v in found.items() if len(s) <= MEMO_CHARS}
+        found = {}
+        for k, s in enumerate(segments):
+            if s[0] != " " and pieces[k].pop(0) != self.blank or b"".join(map(self.b_bytes.__getitem__, pieces[k])) != s.encode("utf-8", "surrogatepass"):
+                found[names[k]], ids[k], pieces[k] = (0, "", b""), [], []
+        n_a, n_b = np.array(list(map(len, ids))), np.array(list(map(len, pieces)))
+        a, b = np.fromiter(chain.from_iterable(ids), np.int64, n_a.sum()), np.fromiter(chain.from_iterable(pieces), np.int64, n_b.sum())
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])  # both have the same bytes, segment by segment
+        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        links = (a[last_a] << 32 | b[last_b]).tobytes()
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        word = np.concatenate([a + len(self.a_size) * last_a, 2 * len(self.a_size) + b + len(self.b_size) * last_b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        words, start = list(map(self.said.__getitem__, word[order].tolist())), 0
+        groups = np.concatenate([[0], np.cumsum(last_a)])[np.cumsum(n_a)]
+        before = 0
+        for s, x, y, g in zip(names, n_a.tolist(), n_b.tolist(), groups.tolist(), strict=True):
+            if x:
+                found[s] = x << 32 | y, "".join(words[start : start + x + y]), links[8 * before : 8 * g]
+                start, before = start + x + y, g
         return found
 
-    def align(self, texts: list[str | None]) -> list[list[tuple]]:
-        """Alignments of each text's segments in order; none for texts that are null, empty or not told alike by both.
+    def align(self, texts: list[str | None]) -> list[tuple]:
+        """Of each text: numbers of A and B tokens in one, the groups' text, the links' pair codes; no tokens if it is null, empty or not told alike by both.
 
         Tokens of both begin at every single blank or line feed between two other characters, whatever
         stands around them, so the segments between such places are encoded apart, each but once if it is short.
         """
-        cut = [_segments(" " + t) if t else [] for t in texts]
-        distinct = {s for segments in cut for s in segments}
-        for s in distinct - self.memo.keys() & distinct:
-            if s in self.old:
-                self.memo[s] = self.old[s]
-        missing = distinct - self.memo.keys()
-        found = self._learn(missing) if missing else {}
-        memo = {s: self.memo[s] if s in self.memo else found[s] for s in distinct}
-        out = [list(map(memo.__getitem__, segments)) for segments in cut]
-        return [[] if None in rows else rows for rows in out]
+        cut = [_segments(t) if t else [] for t in texts]
+        rows = [list(map(self.memo.get, segments)) for segments in cut]
+        missing = {s for segments, row in zip(cut, rows, strict=True) if None in row for s, found in zip(segments, row, strict=True) if found is None}
+        found = {s: self.old[s] for s in missing & self.old.keys()}
+        if new := sorted(missing - found.keys()):
+            found |= self._learn(new)
+        out = []
+        for segments, row in zip(cut, rows, strict=True):
+            counts, said, links = zip(*(found[s] if r is None else r for s, r in zip(segments, row, strict=True)), strict=True) if row else ((0,), (), ())
+            out.append((0, "", b"") if 0 in counts else (sum(counts), "".join(said)[:-1], b"".join(links)))
+        self.memo |= {s: row for s, row in found.items() if len(s) <= MEMO_CHARS}
+        if len(self.memo) > MEMO_SEGMENTS:
+            self.memo, self.old = {}, self.memo
+        return out
 
     def rest(self) -> None:
         self.old = {}
 
 
 def _segments(text: str) -> list[str]:
-    words = text.split()
-    if " " + " ".join(words) == text.replace("\n", " "):
-        head, *rest = text[1:].replace("\n", " \n").split(" ")
-        return [" " + head, *(s if s[0] == "\n" else " " + s for s in rest)]
-    return _CUT.split(text)
+    """Segments of a blank and ``text``: one that begins with a single blank goes without it, one after a line feed or with more white space before it as it stands."""
+    if " ".join(text.split()) == text.replace("\n", " "):
+        return text.replace("\n", " \n").split(" ")
+    return [s[1:] if len(s) > 1 and s[0] == " " and s[1] not in " \n" else s for s in _CUT.split(" " + text)]
 
 
 @lru_cache(1)
@@ -210,18 +208,18 @@ def _aligner(given):
                     if size > CHARS:
                         break
                 made, pairs, times, ends = [], [], [], [0]
-                for rows in both.align(texts):
-                    a, b, groups, said, links = zip(*rows, strict=True) if rows else ((),) * 5
-                    distinct, count = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+                for counts, said, links in both.align(texts):
+                    linked = np.frombuffer(links, np.int64)
+                    distinct, count = np.unique(linked, return_counts=True)
                     pairs.append(distinct)
                     times.append(count)
                     ends.append(ends[-1] + len(distinct))
-                    made.append((sum(a), sum(b), sum(groups), sha256(";".join(said).encode()).hexdigest() if rows else ""))
+                    made.append((counts >> 32, counts & 0xFFFFFFFF, len(linked), sha256(said.encode()).hexdigest() if counts else ""))
                 k = n + np.arange(len(texts))
-                counts = [pa.array([m[x] for m in made], t) for x, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.string()))]
+                numbers = [pa.array([m[x] for m in made], t) for x, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.string()))]
                 offsets = pa.array(ends, pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v).astype(t))) for v, t in ((pairs, np.int64), (times, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(base + k // CONTAINER), pa.array((k % CONTAINER).astype(np.int32)), whole.column(0).slice(at, len(texts)), *counts, *lists], names)
+                yield pa.RecordBatch.from_arrays([pa.array(base + k // CONTAINER), pa.array((k % CONTAINER).astype(np.int32)), whole.column(0).slice(at, len(texts)), *numbers, *lists], names)
                 at, n = at + len(texts), n + len(texts)
         both.rest()
 
