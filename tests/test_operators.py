@@ -109,7 +109,7 @@ def test_moderation(spark):
 def test_lexical_scores(spark):
     q = spark.createDataFrame([(1, "какие сведения найти про договор"), (2, "найти портал"), (3, "и в на")], "qid bigint, query string")
     c = spark.createDataFrame([(1, 0, "договор поставки", "информация"), (2, 0, "поиск на сайте", "x"), (3, 0, "пусто", "договор")], "document bigint, ord int, text string, section string")
-    got = {(r.qid, r.document): r.score for r in retrieval.lexical_scores(q, c).collect()}
+    got = {(r.qid, r.document): r.score for r in retrieval.lexical_top(q, c, 100, None).collect()}
     # query 1: roots of "information" (weight .55) and "contract"; the search verb is dropped
     assert set(got) == {(1, 1), (2, 2)}
     assert got[1, 1] == pytest.approx(2 * 1.0 + 2 * 1 + 1 / len(set(query_terms(spark, "какие сведения найти про договор"))), abs=1e-6)

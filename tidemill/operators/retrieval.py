@@ -1,4 +1,4 @@
-"""Hybrid retrieval: postings, lexical and BM25 scores, cosine, fusion, catalog boosts and page votes."""
+"""Hybrid retrieval: bounded lexical and BM25 hits, cosine, fusion, catalog boosts and page votes."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
+from . import topk
+from .topk import ranked as top
+from .topk import small
 
 # Groups of words with one meaning for search, weights of generic words, and thresholds.
 SYNONYMS = [("найти", "поиск", "искать"), ("сайт", "портал"), ("сведения", "информация"), ("страница", "карточка"), ("возможности", "функциональность", "функционал"), ("восстановить", "восстановление")]
@@ -60,15 +64,6 @@ def strip_instance_ids(c: Column) -> Column:
     return F.when(x == "", F.trim(c)).otherwise(x)
 
 
-#: Rows of asked-for terms that are sent to all tasks; more are shuffled.
-BROADCAST_TERMS = 500_000
-
-
-def small(asked: DataFrame) -> DataFrame:
-    """A table of asked-for terms, broadcast if it is counted small."""
-    return F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-
-
 def by_chunk(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` dealt by their chunk to the session's number of partitions.  Few bytes come in, but every row meets many queries after, so these must not be merged into fewer tasks."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -87,36 +82,42 @@ def _bare(c: Column) -> Column:
     return F.regexp_replace(c, r"(?iU)\b(портал[а-я]*)\s+поставщиков\b", "$1")
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``qid, document, ord, score`` of the pairs that share a root.
+def lexical_index(queries: DataFrame, chunks: DataFrame) -> topk.Index:
+    """Chunks by the roots that queries ask for.
 
     Score: twice the weights of shared roots, one for each shared abbreviation, two for each query root in a heading of up to
     12 roots, and the share of the query covered; 0 if the query has a subject and neither text nor heading holds any of it.
 
-    Roots are taken once a distinct word of the corpus, and words of no asked root are dropped where the text is read.  A chunk's
-    roots are gathered by one shuffle; its queries are then met and summed without another.
+    Texts are cut into words once; roots are taken once a distinct word of the corpus, and words of no asked root are dropped where the words are read.
     """
     q = queries.select("qid", query_roots("query").alias("roots")).where("size(roots) > 0")
-    q = q.select("qid", F.explode("roots").alias("term"), F.size("roots").alias("n_roots"), F.size(F.filter("roots", _subject)).alias("n_subject"))
-    words = chunks.select("document", "ord", "section", F.explode(F.array_distinct(T.tokens(_bare(F.col("text"))))).alias("t"))
-    vocabulary = by_chunk(words.select("t").distinct(), ["t"]).where(T.significant(F.col("t"))).select("t", folded_root(T.stem("t")).alias("term"))
-    held = words.join(vocabulary.join(q.select("term").distinct(), "term", "left_semi"), "t")
+    each = 1.0 / F.size("roots")
+    gain = lambda t: 2.0 * _weight(t) + t.isin(T.ABBREVIATIONS).cast("int") + each
+    asked = q.select("qid", F.transform("roots", lambda t: F.struct(t.alias("term"), gain(t).alias("gain"))).alias("q"), F.size(F.filter("roots", _subject)).alias("n_subject"))
+    terms = q.select("qid", F.explode("roots").alias("term"))
+    words = stored(chunks.select("document", "ord", "section", F.array_distinct(T.tokens(_bare(F.col("text")))).alias("ts")), "words")
+    words = words.select("document", "ord", "section", F.explode("ts").alias("t"))
+    vocabulary = by_chunk(words.select("t").distinct(), ["t"]).where(T.significant(F.col("t")))
+    vocabulary = stored(vocabulary.select("t", folded_root(T.stem("t")).alias("term")), "vocabulary")
+    held = words.join(vocabulary.join(terms.select("term").distinct(), "term", "left_semi"), "t")
     held = by_chunk(held, ["document", "ord"]).groupBy("document", "ord", "section").agg(F.collect_set("term").alias("terms"))
-    texts = held.select("document", "ord", "section", F.explode("terms").alias("term")).join(small(q), "term").groupBy("qid", "document", "ord", "section").agg(
-        F.first("n_roots").alias("n_roots"), F.first("n_subject").alias("n_subject"), F.count("*").alias("n"), F.sum(_weight(F.col("term"))).alias("w"),
-        F.count_if(F.col("term").isin(T.ABBREVIATIONS)).alias("abbr"), F.count_if(_subject(F.col("term"))).alias("subject"),
-    )
-    heads = chunks.select("section").distinct().select("section", roots("section").alias("h")).where(F.size("h") <= LONGEST_HEADING)
-    heads = heads.select("section", F.explode(F.array_distinct("h")).alias("term")).join(small(q), "term").groupBy("qid", "section").agg(F.count("*").alias("in_head"), F.count_if(_subject(F.col("term"))).alias("head_subject"))
-    placed = texts.join(small(heads), ["qid", "section"], "left")
-    in_head, head_subject = F.coalesce("in_head", F.lit(0)), F.coalesce("head_subject", F.lit(0))
-    score = 2.0 * F.col("w") + F.col("abbr") + 2.0 * in_head + F.col("n") / F.col("n_roots")
-    hit = (F.col("n_subject") == 0) | (F.col("subject") + head_subject > 0)
-    return placed.select("qid", "document", "ord", F.round(F.when(hit, score).otherwise(0.0), 6).alias("score"))
+    held = stored(held.select("document", "ord", "section", F.map_from_arrays("terms", F.transform("terms", lambda t: F.lit(1.0))).alias("terms")), "roots")
+    heads = held.select("section").distinct().select("section", roots("section").alias("h")).where(F.size("h") <= LONGEST_HEADING)
+    heads = heads.select("section", F.explode(F.array_distinct("h")).alias("term")).join(small(terms), "term").groupBy("qid", "section")
+    heads = heads.agg((2.0 * F.count("*")).alias("head"), F.count_if(_subject(F.col("term"))).alias("head_subject"))
+    subject = F.exists("q", lambda x: _subject(x["term"]) & F.element_at("terms", x["term"]).isNotNull())
+    hit = (F.col("n_subject") == 0) | subject | (F.coalesce("head_subject", F.lit(0)) > 0)
+    score = F.when(hit, topk.summed() + F.coalesce("head", F.lit(0.0))).otherwise(0.0)
+    return topk.Index(held, stored(asked, "queries"), stored(heads, "heads"), score)
+
+
+def lexical_top(queries: DataFrame, chunks: DataFrame, most: int, least: float | None = LEAST_SCORE) -> DataFrame:
+    """``qid, document, ord, score, rank``: each query's best chunks by ``lexical_index``."""
+    return topk.bounded_top(lexical_index(queries, chunks), most, least)
 
 
 def lexical_of(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``hits`` (``qid, document, ord``) with the ``score`` that ``lexical_scores`` gives the pair, 0 where no root is shared: for a shortlist."""
+    """``hits`` (``qid, document, ord``) with the ``score`` that ``lexical_index`` gives the pair, 0 where no root is shared: for a shortlist."""
     texts = hits.join(chunks, ["document", "ord"]).join(queries.select("qid", query_roots("query").alias("q")), "qid")
     rows = texts.select("qid", "document", "ord", "q", F.array_intersect("q", roots(_bare(F.col("text")))).alias("shared"), roots("section").alias("h"))
     head = F.when(F.size("h") <= LONGEST_HEADING, F.array_intersect("q", "h")).otherwise(F.array().cast("array<string>"))
@@ -127,59 +128,123 @@ def lexical_of(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFr
     return rows.select("qid", "document", "ord", F.round(F.when(hit & (F.size("shared") > 0), score).otherwise(0.0), 6).alias("score"))
 
 
-def top(scored: DataFrame, most: int, least: float | None = None, ties: tuple[str, ...] = ("document", "ord")) -> DataFrame:
-    """The ``most`` best of each query, ties in input order; a ranked limit, applied before the shuffle too."""
-    kept = scored if least is None else scored.where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), *ties))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= most)
+def chunk_tokens(chunks: DataFrame) -> DataFrame:
+    """``document, ord, section, text, t``: chunks with their tokens, written once for the channels that read them."""
+    return stored(chunks.select("document", "ord", "section", "text", T.tokens("text").alias("t")), "tokens")
+
 
+def _tokens_of(chunks: DataFrame) -> Column:
+    return F.col("t") if "t" in chunks.columns else T.tokens("text")
 
-def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, boost: float = 4.0) -> DataFrame:
-    """``qid, document, ord, score``: BM25 over tokens of the text, and ``boost`` times that over the heading.
 
-    Tokens that nobody asks for are dropped where the text is read; a chunk's others are gathered by one shuffle and meet their
-    queries there.  Headings are counted once a distinct heading, with its number of chunks.
+def bm25_index(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, boost: float = 4.0) -> topk.Index:
+    """Chunks by BM25 over tokens of the text, and ``boost`` times that over the heading.
+
+    Tokens that nobody asks for are dropped where the text is read; a chunk's others are gathered by one shuffle, with a row for the chunk
+    itself, so that numbers and lengths come from the same table.  Headings are counted once a distinct heading, with its number of chunks.
     """
     asked = queries.select("qid", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-    terms = asked.select("term").distinct()
-    toks = chunks.select("document", "ord", T.tokens("text").alias("t"))
-    n, mean = toks.agg(F.count("*"), F.avg(F.size("t"))).first()
-    heads = chunks.groupBy("section").agg(F.count("*").alias("chunks")).select("section", "chunks", T.tokens("section").alias("t"))
-    head_mean = heads.agg(F.sum(F.col("chunks") * F.size("t"))).first()[0]
-
-    def weight(df: Column, tf: Column, size: Column, average: float | None) -> Column:
-        return F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / F.lit(average or 1.0)))
-
-    tf = toks.select("document", "ord", F.size("t").alias("len"), F.explode("t").alias("term")).join(small(terms), "term", "left_semi")
-    tf = by_chunk(tf, ["document", "ord"]).groupBy("document", "ord", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    text = tf.join(small(asked.join(df, "term")), "term").select("qid", "document", "ord", weight(F.col("df"), F.col("tf"), F.col("len"), mean).alias("w"))
+    terms = asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    rows = chunks.select("document", "ord", "section", _tokens_of(chunks).alias("t"))
+    rows = rows.select("document", "ord", "section", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(small(terms), "term", "left_semi")
+    tf = by_chunk(rows, ["document", "ord"]).groupBy("document", "ord", "section", "len", "term").agg(F.count("*").alias("tf"))
+    counted = tf.groupBy("document", "ord", "section", "len").agg(F.filter(F.collect_list(F.struct("term", "tf")), lambda x: x["term"] != "").alias("tfs"))
+    counted = stored(counted, "counted")
+    n, total = counted.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+
+    def strength(tf: Column, size: Column, average: float) -> Column:
+        return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / F.lit(average or 1.0)))
+
+    def idf(df: Column) -> Column:
+        return F.log(1 + (F.lit(float(n)) - df + 0.5) / (df + 0.5))
+
+    mean = total / n if n else 0.0
+    held = counted.select("document", "ord", "section", F.map_from_entries(F.transform("tfs", lambda x: F.struct(x["term"], strength(x["tf"], F.col("len"), mean)))).alias("terms"))
+    df = counted.select(F.explode("tfs").alias("x")).groupBy("x.term").agg(F.count("*").alias("df"))
+    found = asked.join(df, "term").groupBy("qid").agg(F.collect_list(F.struct("term", idf(F.col("df")).alias("gain"))).alias("q"))
+    none = F.array().cast("array<struct<term:string,gain:double>>")
+    found = stored(asked.select("qid").distinct().join(found, "qid", "left").select("qid", F.coalesce("q", none).alias("q")), "queries")
+
+    heads = stored(counted.groupBy("section").agg(F.count("*").alias("chunks")).select("section", "chunks", T.tokens("section").alias("t")), "headings")
+    head_mean = (heads.agg(F.sum(F.col("chunks") * F.size("t"))).first()[0] or 0) / n if n else 0.0
     head_tf = heads.select("section", "chunks", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("section", "chunks", "len", "term").agg(F.count("*").alias("tf")).join(asked, "term")
     head_df = head_tf.select("section", "chunks", "term").distinct().groupBy("term").agg(F.sum("chunks").alias("df"))
-    head = head_tf.join(head_df, "term").select("qid", "section", (boost * weight(F.col("df"), F.col("tf"), F.col("len"), head_mean / n if n else None)).alias("w"))
-    if head.count():
-        text = text.union(chunks.select("document", "ord", "section").join(head, "section").select("qid", "document", "ord", "w"))
-    return text.groupBy("qid", "document", "ord").agg(F.round(F.sum("w"), 6).alias("score"))
+    weight = boost * idf(F.col("df")) * strength(F.col("tf"), F.col("len"), head_mean)
+    head = head_tf.join(head_df, "term").groupBy("qid", "section").agg(F.sum(weight).alias("head"))
+    return topk.Index(held, found, stored(head, "heads"), topk.summed() + F.coalesce("head", F.lit(0.0)), bare=True)
+
 
+def bm25_top(queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """``qid, document, ord, score, rank``: each query's best chunks by BM25 of texts and headings."""
+    return topk.bounded_top(bm25_index(queries, chunks), most)
 
-def hashed_features(rows: DataFrame, keys: list[str], text: str, size: int = 64) -> DataFrame:
-    """``keys, place, x, norm``: a text as a vector of ``size`` signed token counts, each token's place and sign from its MD5; zeros are left out.
+
+def hashed_features(rows: DataFrame, keys: list[str], tokens: Column, size: int = 64) -> DataFrame:
+    """``keys, place, x``: a text as a vector of ``size`` signed token counts, each token's place and sign from its MD5; zeros are left out.
 
     A stand-in for a learnt embedding that any engine computes alike.
     """
-    toks = rows.select(*keys, F.explode(T.tokens(text)).alias("t"))
+    toks = rows.select(*keys, F.explode(tokens).alias("t"))
     place = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("bigint")
     sign = F.when(F.conv(F.substring(F.md5("t"), 9, 1), 16, 10).cast("int") < 8, -1).otherwise(1)
-    x = by_chunk(toks.select(*keys, (place % size).cast("int").alias("place"), sign.alias("s")), keys).groupBy(*keys, "place").agg(F.sum("s").alias("x")).where("x <> 0")
-    return x.withColumn("norm", F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*keys)))
+    rows = by_chunk(toks.select(*keys, (place % size).cast("int").alias("place"), sign.alias("s")), keys)
+    return rows.groupBy(*keys, "place").agg(F.sum("s").cast("int").alias("x")).where("x <> 0")
+
+
+def _dense(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Hashed features as an array of ``size`` integers."""
+    packed = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("m"))
+    return packed.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0))).alias("v"))
+
+
+def _closest(most: int):
+    """Of a block of chunks, the ``most`` of largest cosine with each query of a block, by score to six places, ties in input order."""
+
+    def run(chunks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = {"qid": [], "document": [], "ord": [], "score": []}
+        if len(chunks) and len(queries):
+            c, q = (np.array(pdf["v"].to_list(), np.float64) for pdf in (chunks, queries))
+            held, norm = (c != 0).astype(np.float64), (c * c).sum(1)
+            document, ord_, asked, k = chunks["document"].to_numpy(), chunks["ord"].to_numpy(), queries["qid"].to_numpy(), min(most, len(chunks))
+            place = np.empty(len(chunks), np.int64)
+            place[np.lexsort((ord_, document))] = np.arange(len(chunks))
+            for at in range(0, len(asked), 64):
+                x = q[at : at + 64]
+                score = (x @ c.T) / np.sqrt((x * x).sum(1)[:, None] * norm)
+                key = np.floor(score * 1e6 + 0.5) * len(chunks) - place  # whole numbers, far below 2**53
+                key[((x != 0).astype(np.float64) @ held.T) == 0] = -np.inf
+                best = np.argpartition(-key, k - 1, axis=1)[:, :k]
+                row, col = np.nonzero(np.take_along_axis(key, best, 1) > -np.inf)
+                pick = best[row, col]
+                out["qid"].append(asked[at + row])
+                out["document"].append(document[pick])
+                out["ord"].append(ord_[pick])
+                out["score"].append(score[row, pick])
+        kinds = {"qid": "int64", "document": "int64", "ord": "int32", "score": "float64"}
+        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype(kinds)
+
+    return run
+
+
+def vector_top(queries: DataFrame, chunks: DataFrame, most: int, size: int = 64) -> DataFrame:
+    """``qid, document, ord, score, rank``: each query's best chunks by the cosine of both texts' hashed features, of those with a place in common.
+
+    Blocks of chunks meet blocks of queries, and each pair of blocks keeps a query's best alone.  Equal texts have equal vectors.
+    """
+    q = _dense(hashed_features(queries, ["qid"], T.tokens("query"), size), ["qid"], size)
+    c = stored(_dense(hashed_features(chunks, ["document", "ord"], _tokens_of(chunks), size), ["document", "ord"], size), "features")
+    blocks, parts = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-c.count() // VECTOR_BLOCK))
+    sides = (
+        c.select("document", "ord", "v", F.pmod(F.xxhash64("document", "ord"), F.lit(parts)).cast("int").alias("part"), _every("block", blocks)),
+        q.select("qid", "v", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"), _every("part", parts)),
+    )
+    left, right = (side.repartition(2 * blocks * parts, "block", "part").groupBy("block", "part") for side in sides)
+    found = left.cogroup(right).applyInPandas(_closest(most), "qid bigint, document bigint, ord int, score double")
+    return top(found.withColumn("score", F.round("score", 6)), most)
 
 
-def vector_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``qid, document, ord, score``: the cosine of both texts' hashed features, for pairs with a place in common."""
-    q = hashed_features(queries, ["qid"], "query").select("qid", "place", F.col("x").alias("y"), F.col("norm").alias("other"))
-    c = hashed_features(chunks, ["document", "ord"], "text")
-    dots = c.join(small(q), "place").groupBy("qid", "document", "ord", "norm", "other").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    return dots.select("qid", "document", "ord", F.round(F.col("dot") / F.sqrt((F.col("norm") * F.col("other")).cast("double")), 6).alias("score"))
+def _every(name: str, n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
 
 
 def _nearest(most: int):
@@ -212,8 +277,7 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, most: int = 20, id_col: s
     q, v = (rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")) for rows in (queries, vectors))
     blocks, parts = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-v.count() // VECTOR_BLOCK))
     deal = lambda name, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)
-    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    sides = v.select("id", "v", deal("part", parts), every("block", blocks)), q.select("id", "v", deal("block", blocks), every("part", parts))
+    sides = v.select("id", "v", deal("part", parts), _every("block", blocks)), q.select("id", "v", deal("block", blocks), _every("part", parts))
     left, right = (side.repartition(2 * blocks * parts, "block", "part").groupBy("block", "part") for side in sides)
     found = left.cogroup(right).applyInPandas(_nearest(most), "qid bigint, vec_id bigint, score double")
     return top(found.where("qid <> vec_id").withColumn("score", F.round("score", 6)), most, ties=("vec_id",))

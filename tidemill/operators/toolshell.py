@@ -99,7 +99,7 @@ def agent_search(calls: DataFrame, chunks: DataFrame, most: int = SEARCH_HITS) -
     ``calls`` has ``qid, question, search``.
     """
     queries = calls.select("qid", merged_search(F.col("question"), F.col("search")).alias("query"))
-    found = R.top(R.bm25(queries, chunks), most).select("qid", "document", "ord")
+    found = R.bm25_top(queries, chunks, most).select("qid", "document", "ord")
     asked = calls.select("qid", F.when(F.trim("question") != "", F.col("question")).otherwise(F.col("search")).alias("query"))
     return R.top(R.lexical_of(found, asked, chunks), most)
 

@@ -42,7 +42,7 @@ def _queries(spark, sf_dir):
 
 @query("lexical_topk", f"WITH {_LEXICAL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS rank FROM lexical WHERE score >= 2) SELECT qid, document, ord, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
 def lexical_topk(spark, sf_dir):
-    return R.top(R.lexical_scores(_queries(spark, sf_dir), S.chunks(spark, sf_dir)), 3, R.LEAST_SCORE)
+    return R.lexical_top(_queries(spark, sf_dir), S.chunks(spark, sf_dir), 3)
 
 
 def _field(name: str, field: str, boost: float) -> str:
@@ -58,7 +58,7 @@ bm25 AS (SELECT qid, document, ord, round(sum(w), 6) AS score FROM (SELECT * FRO
 
 @query("bm25_topk", f"WITH {S.CHUNKS}, {S.CATALOG}, {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS rank FROM bm25) SELECT qid, document, ord, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return R.top(R.bm25(_queries(spark, sf_dir), S.chunks(spark, sf_dir)), 10)
+    return R.bm25_top(_queries(spark, sf_dir), S.chunks(spark, sf_dir), 10)
 
 
 _COSINE = "c AS (SELECT q.vec_id AS qid, v.vec_id AS vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)"
@@ -89,14 +89,14 @@ o AS (SELECT qid, document, ord, round(lexical / (lexical + 4.0) + 0.1 * lexical
 @query("vector_topk", f"WITH {S.CHUNKS}, {S.CATALOG}, queries AS (SELECT id AS qid, title AS query FROM catalog), {_VECTOR}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS rank FROM vectors) SELECT qid, document, ord, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
     """The vector channel, with hashed features in place of a model's."""
-    return R.top(R.vector_scores(_queries(spark, sf_dir), S.chunks(spark, sf_dir)), 10)
+    return R.vector_top(_queries(spark, sf_dir), S.chunks(spark, sf_dir), 10)
 
 
 @query("hybrid_fusion", f"WITH {_LEXICAL}, {_BM25}, {_VECTOR}, {_FUSED}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document, ord) AS rank FROM o) SELECT qid, document, ord, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
 def hybrid_fusion(spark, sf_dir):
     """Full text and vectors, fifty each, put in order by their lexical scores; the stand-in for a model's rank is a squashed lexical score."""
-    q, c = _queries(spark, sf_dir), S.chunks(spark, sf_dir)
-    hits = R.joined_hits([R.top(R.bm25(q, c), R.CHANNEL), R.top(R.vector_scores(q, c), R.CHANNEL)])
+    q, c = _queries(spark, sf_dir), R.chunk_tokens(S.chunks(spark, sf_dir))
+    hits = R.joined_hits([R.bm25_top(q, c, R.CHANNEL), R.vector_top(q, c, R.CHANNEL)])
     return R.fuse(R.lexical_of(hits, q, c), F.col("lexical") / (F.col("lexical") + 4.0))
 
 

@@ -50,7 +50,7 @@ class TableRetriever:
         self.chunks = chunks
 
     def find(self, queries: DataFrame, limit: int = 3) -> DataFrame:
-        hits = retrieval.joined_hits([retrieval.top(retrieval.bm25(queries, self.chunks), retrieval.CHANNEL), retrieval.top(retrieval.vector_scores(queries, self.chunks), retrieval.CHANNEL)])
+        hits = retrieval.joined_hits([retrieval.bm25_top(queries, self.chunks, retrieval.CHANNEL), retrieval.vector_top(queries, self.chunks, retrieval.CHANNEL)])
         return retrieval.fuse(retrieval.lexical_of(hits, queries, self.chunks), F.col("lexical") / (F.col("lexical") + 4.0), limit)
 
     def read_section(self, anchors: DataFrame, limit: int = 6) -> DataFrame:
