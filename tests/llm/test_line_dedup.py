@@ -137,3 +137,15 @@ def test_main_path_has_no_python(spark):
     df = spark.createDataFrame([(1, "a\nb")], SCHEMA)
     plan = line_dedup.drop_repeated_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_removal_is_linear_in_a_documents_lines(spark):
+    import time
+
+    numbers = F.sequence(F.lit(0), F.lit(600_000))
+    rows = spark.range(1).select(F.array_join(F.transform(numbers, lambda k: k.cast("string")), "\n").alias("t"), F.filter(numbers, lambda k: k % 3 != 1).alias("g"))
+    began = time.time()
+    text = rows.select(line_dedup._without(F.col("t"), F.col("g")).alias("x")).first()["x"]
+    assert text == "\n".join(str(k) for k in range(1, 600_001, 3)) and time.time() - began < 30
+    few = spark.createDataFrame([("a\n\nb\nc", [0]), ("a\n\nb\nc", [3]), ("a\n\nb", [0, 2]), ("x", [0])], "t string, g array<int>")
+    assert [r.x for r in few.select(line_dedup._without(F.col("t"), F.col("g")).alias("x")).collect()] == ["\nb\nc", "a\n\nb", "", ""]

@@ -149,6 +149,15 @@ def test_stages_take_null_ids_repeated_rows_and_clashing_names(spark):
     assert tokens.count() == docs.count()
 
 
+def test_values_of_columns_of_any_name_pass_unharmed(spark):
+    names = ["_row", "_check", "_key", "_gone", "_left", "_source", "_copies", "_copy", "_rate", "_order", "_name", "_class", "_n", "doc", "least", "text_key", "removed_keys", "gone", "left"]
+    docs = spark.createDataFrame([(*r, *(f"{n}/{r[0]}" for n in names)) for r in odd_rows()[:12]], f"{SCHEMA}, {', '.join(f'{n} string' for n in names)}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, SF), name)
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}/{r['doc_id']}" for r in rows for n in names), name
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:

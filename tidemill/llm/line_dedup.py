@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import files_for, kept, row_key, written
+from .shared import files_for, kept, row_key, unused, written
 
 #: Edits that two lines of one class may be apart.
 THRESHOLD = 2
@@ -254,10 +254,25 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     elsewhere.  Lines without characters stay.
     """
     key = row_key(docs)
+    numbers = F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))))
     classes = _classes(_lines(docs, id_col, text_col, key.alias("_row")), ["doc_id", "_row", "line_no"], threshold)
-    gone = classes.groupBy("_row").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), F.max("kept").alias("_left"))
-    gone = gone.where(F.size("_gone") > 0)
-    out = docs.withColumn("_row", key).join(gone, "_row", "left").where("coalesce(_left, true)")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+    gone = classes.groupBy("_row").agg(numbers.alias("gone"), F.max("kept").alias("left"))
+    gone = gone.where(F.size("gone") > 0)
+    row, numbers, left = unused(docs, "_row", "_gone", "_left")
+    gone = gone.select(F.col("_row").alias(row), F.col("gone").alias(numbers), F.col("left").alias(left))
+    out = docs.withColumn(row, key).join(gone, row, "left").where(F.coalesce(F.col(left), F.lit(True)))
+    kept = F.when(F.col(numbers).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(numbers)))
+    return out.withColumn(text_col, kept).select(docs.columns)
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines of the sorted numbers ``gone``: the runs of lines between two of them, so that the work is linear in both."""
+    gone = gone.cast("array<bigint>")
+
+    def rest(lines: Column) -> Column:
+        after = F.concat(F.array(F.lit(-1).cast("bigint")), gone)
+        before = F.concat(gone, F.array(F.size(lines).cast("bigint")))
+        run = lambda a, b: F.when(b - a > 1, F.array_join(F.slice(lines, (a + 2).cast("int"), (b - a - 1).cast("int")), "\n"))
+        return F.array_join(F.filter(F.zip_with(after, before, run), lambda x: x.isNotNull()), "\n")
+
+    return F.element_at(F.transform(F.array(F.split(text, "\n", -1)), rest), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash64, shuffle_width
+from .shared import hash64, shuffle_width, unused
 
 #: Values of ``hash64`` lie below this.
 SPAN = float(1 << 52)
@@ -52,6 +52,10 @@ def poisson_pieces(rate: Column) -> Column:
     return F.when(rate <= WHOLE, F.lit(1)).otherwise(F.ceil(rate / PIECE).cast("int"))
 
 
+#: What ``mix`` adds to a row.
+MADE = ["_copy", "_copies", "_rate", "_order"]
+
+
 def poisson_count(u: Column, steps: Column) -> Column:
     """The Poisson quantile of ``u`` in [0, 1): how many steps are at most ``u``, found by halving the sorted array."""
     halves = F.array(*(F.lit(1 << k) for k in range(10, -1, -1)))
@@ -61,7 +65,7 @@ def poisson_count(u: Column, steps: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, power: float = POWER, total: float = 1.0, seed: int = 0) -> DataFrame:
     """``docs`` with each row repeated by its Poisson count, in an order that its hash gives.
 
-    Adds ``_copy`` (from 0), ``_copies``, ``_rate`` and ``_order``, the key of the global shuffle; the result is sorted by it.  The
+    Adds ``_copy`` (from 0), ``_copies``, ``_rate`` and ``_order``, the key of the global shuffle, in place of columns of these names; the result is sorted by it.  The
     count inverts the Poisson distribution of mean ``rate`` at ``hash(seed, id) / 2**52``, so a
     rerun or a retried task repeats it; a rate over ``WHOLE`` is the sum of as many variables as
     ``poisson_pieces`` gives, each with a hash seed of its own.  Rates are one row a source, summed before the shuffle,
@@ -70,17 +74,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     Null ids hash as ``""``; repeated rows share their id's count; rows of a null source form
     the source ``""``; texts are carried unread.  An empty table gives no rows.
     """
-    pieces = poisson_pieces(F.col("rate"))
-    rates = target_rates(docs, source_col, weights, power, total).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), pieces.alias("_pieces"), poisson_steps(F.col("rate") / pieces).alias("_steps"))
+    docs = docs.drop(*MADE)
+    rates = target_rates(docs, source_col, weights, power, total)
+    counted = with_counts(docs, rates, id_col, source_col, *MADE[1:3], seed)
+    return shuffled(counted, id_col, *MADE[:2], MADE[3], seed)
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The mixture of ``mix`` by its default weights, in its order, with the columns of ``docs`` alone, whatever they are called."""
+    copy, copies, rate, order = unused(docs, *MADE)
+    counted = with_counts(docs, target_rates(docs, source_col), id_col, source_col, copies, rate)
+    return shuffled(counted, id_col, copy, copies, order).select(docs.columns)
+
+
+def with_counts(docs: DataFrame, rates: DataFrame, id_col: str, source_col: str, copies: str, rate: str, seed: int = 0) -> DataFrame:
+    """``docs`` with each row's Poisson count ``copies`` and its source's ``rate``; rows of count 0 go."""
+    source, pieces, steps = unused(docs, "_source", "_pieces", "_steps")
+    parts = poisson_pieces(F.col("rate"))
+    rates = rates.select(F.col("source").alias(source), F.col("rate").alias(rate), parts.alias(pieces), poisson_steps(F.col("rate") / parts).alias(steps))
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    keyed = docs.withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit(""))).join(rates, source).drop(source)
+    drawn = lambda name: poisson_count(hash64(name, key) / SPAN, F.col(steps))
+    others = F.aggregate(F.sequence(F.lit(1), F.col(pieces) - 1), F.lit(0), lambda n, k: n + drawn(F.concat(F.lit(f"count{seed}."), k.cast("string"))))
+    count = drawn(F.lit(f"count{seed}")) + F.when(F.col(pieces) > 1, others).otherwise(0)
+    return keyed.withColumn(copies, count).drop(steps, pieces).where(F.col(copies) > 0)
+
+
+def shuffled(counted: DataFrame, id_col: str, copy: str, copies: str, order: str, seed: int = 0) -> DataFrame:
+    """Each row once for each of its ``copies``, numbered by ``copy``, in the ``order`` of a hash."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit(""))).join(rates, "_source").drop("_source")
-    drawn = lambda name: poisson_count(hash64(name, key) / SPAN, F.col("_steps"))
-    others = F.aggregate(F.sequence(F.lit(1), F.col("_pieces") - 1), F.lit(0), lambda n, k: n + drawn(F.concat(F.lit(f"count{seed}."), k.cast("string"))))
-    count = drawn(F.lit(f"count{seed}")) + F.when(F.col("_pieces") > 1, others).otherwise(0)
-    counted = keyed.withColumn("_n", count).drop("_steps", "_pieces").where("_n > 0")
-    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumnRenamed("_n", "_copies")
-    shuffled = copies.withColumn("_order", hash64(F.lit(f"order{seed}"), key, F.col("_copy").cast("string")))
-    return shuffled.repartitionByRange(shuffle_width(docs.sparkSession), "_order", "_copy").sortWithinPartitions("_order", "_copy")
+    rows = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+    rows = rows.withColumn(order, hash64(F.lit(f"order{seed}"), key, F.col(copy).cast("string")))
+    return rows.repartitionByRange(shuffle_width(rows.sparkSession), order, copy).sortWithinPartitions(order, copy)
 
 
 def mixture_sql(power: float = POWER, seed: int = 0) -> str:

@@ -14,17 +14,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, files_for, kept, row_key, shuffle_width, tidy, written
+from .shared import bounded_batches, files_for, kept, row_key, shuffle_width, tidy, unused, written
 from .words import WordHasher, mix, shingle_set
 
 #: Largest probability that a pair of the asked similarity shares no table, and that its signatures agree too seldom.
 MISS, UNLIKE = 1e-4, 1e-8
 #: Documents of a block whose sets, or whose signatures alone, are compared with another block's in one task.
 BLOCK, SIGNATURES = 512, 2048
+#: Buckets in which a member outside its group's largest component meets one that chance picks.
+CHANCES = 4
 #: Documents whose sets a task holds at a time before it passes them on.
 ROWS = 512
 #: Parts that the narrow rows of one group, and of one bucket, are dealt to before they are numbered into blocks.
@@ -174,10 +176,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Every two classes that share a table's bucket and whose signatures agree in ``least`` places
     are compared on full sets, or lie in one component already.  Members like the bucket's
     smallest document form that document's group.  In a bucket that also has members unlike it,
-    signatures are compared two by two, and members that one of these agrees with form a
+    signatures are compared with every unlike member's, and members that one of these agrees with form a
     group of their own, named by the smallest: strangers at the head of a bucket part nobody.  In a group every member
     meets the smallest one first (that of the group where they agree most).  The members outside its largest component next meet
-    one that chance picks in each fourth of their buckets, which brings in nearly all that belong there, and those still outside meet all others in blocks.  No task holds more than two blocks and no pair is emitted that is not a link.
+    one that chance picks in each of their first ``CHANCES`` buckets, which brings in nearly all that belong there, and those still outside meet all others in blocks.  No task holds more than two blocks and no pair is emitted that is not a link.
 
     A pair of exactly ``percent`` is missed with probability ``MISS`` for want of a shared table and
     ``UNLIKE`` by its signatures, whatever else the buckets hold.
@@ -213,9 +215,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mates = against(buckets.where("doc <> head").select("head", "doc").distinct(), "mates")
     unlike = mates.where(F.col("equal") < band.least).select("head", "doc", F.lit(True).alias("odd"))
     mixed = buckets.join(unlike, ["head", "doc"], "left").select("key", "doc", F.coalesce("odd", F.lit(False)).alias("odd"))
-    sizes = mixed.groupBy("key").agg(F.count("*").alias("n"), F.max("odd").alias("any")).where("any and n > 2")
-    sizes = sizes.select("key", F.ceil(F.col("n") / SIGNATURES).cast("int").alias("blocks"))
-    cells = _blocks(mixed, "key", sizes, ["pmod(xxhash64(doc), blocks)", "0", "blocks - 1"], ["odd"], BUCKET_SALT)
+    sizes = mixed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("odd").alias("odd_n")).where("odd_n > 0 and n > 2")
+    sizes = sizes.selectExpr("key", f"int(ceil(odd_n / {SIGNATURES})) as odd_blocks", f"int(ceil((n - odd_n) / {SIGNATURES})) as even_blocks")
+    block = "if(odd, pmod(xxhash64(doc), odd_blocks), odd_blocks + pmod(xxhash64(doc), even_blocks))"
+    cells = _blocks(mixed, "key", sizes, [block, "0", "odd_blocks - 1 + if(odd, even_blocks, 0)"], ["odd"], BUCKET_SALT)
     fellows = cells.join(sigs, "doc").groupBy("key", "i", "j").applyInPandas(_fellows(band.least, band.hashes), "key bigint, doc bigint")
     fellows = written(fellows.distinct(), "fellows", few)
     named = fellows.groupBy("key").agg(F.min("doc").alias("head"))
@@ -248,9 +251,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found, split = parts(links)
     outside = written(found.join(split, "head").where("component <> main").select("doc").distinct(), "outside", fewer)
     if outside.count():
-        quarter = buckets.where(F.pmod(F.xxhash64("key"), F.lit(4)) == 0)  # a short cut only: the blocks after it miss nothing
-        chance = quarter.groupBy("key").agg(F.min_by("doc", F.xxhash64(F.lit(3), "doc")).alias("head"))
-        tried = quarter.select("key", "doc").join(outside, "doc").join(chance, "key").where("doc <> head").select("doc", "head").distinct()
+        mine = F.row_number().over(Window.partitionBy("doc").orderBy("key"))  # a short cut only: the blocks after it miss nothing
+        few_keys = buckets.join(outside, "doc").select("key", "doc").withColumn("k", mine).where(F.col("k") <= CHANCES).select("key", "doc")
+        chance = buckets.groupBy("key").agg(F.min_by("doc", F.xxhash64(F.lit(3), "doc")).alias("head"))
+        tried = few_keys.join(chance, "key").where("doc <> head").select("doc", "head").distinct()
         links = written(links.union(confirmed(tried)).distinct(), "more_links", fewer)
         found, split = parts(links)
     split = split.selectExpr("head", "main", f"int(ceil(out_n / {BLOCK})) as out_blocks", f"int(ceil(main_n / {BLOCK})) as main_blocks")
@@ -272,15 +276,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
     Every row is a document of its own, known by a hash of all its columns: rows of a null id or
     of one id with different texts are compared as any others.  Of a class the smallest id is
-    kept, a null one last.  Rows equal in every column are copies, of which one is kept.
+    kept, a null one last.  Rows equal in every column are copies, of which one is kept.  Where two rows share
+    the 64-bit hash by chance, a second hash tells them apart, and neither goes as another's near copy.
     """
-    keyed = docs.withColumn("_row", row_key(docs)).withColumn("_check", row_key(docs, 1))
-    classes = near_classes(keyed, "_row", text_col, percent, width)
+    row, check = unused(docs, "_row", "_check")
+    keyed = docs.withColumn(row, row_key(docs)).withColumn(check, row_key(docs, 1))
+    classes = near_classes(keyed, row, text_col, percent, width)
     classes = written(classes.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class")), "row_classes")
     number = F.col(id_col).cast("bigint")
-    names = keyed.select("_row", F.struct(number.isNull().alias("unnamed"), number.alias("id"), F.col("_row").alias("row")).alias("_name"))
+    names = keyed.select(F.col(row).alias("_row"), F.struct(number.isNull().alias("unnamed"), number.alias("id"), F.col(row).alias("row")).alias("_name"))
     shared = classes.groupBy("_class").agg(F.count("*").alias("_n")).where("_n > 1").select("_class")
     members = written(classes.join(shared, "_class").join(names, "_row"), "members")
     heads = members.groupBy("_class").agg(F.min("_name").alias("_head"))
     gone = members.join(heads, "_class").where("_row <> _head.row").select("_row").distinct()
-    return keyed.join(gone, "_row", "left_anti").dropDuplicates(["_row", "_check"]).select(docs.columns)
+    both = keyed.select(F.col(row).alias("_row"), F.col(check).alias("_check"))
+    unsure = both.groupBy("_row").agg(F.min("_check").alias("least"), F.max("_check").alias("most")).where("least < most").select("_row")
+    gone = gone.join(unsure, "_row", "left_anti").select(F.col("_row").alias(row))
+    return keyed.join(gone, row, "left_anti").dropDuplicates([row, check]).select(docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .shared import bounded_batches, kept, tidy
+from .shared import bounded_batches, kept, tidy, unused
 from .words import WordHasher, windows
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -118,7 +118,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source
     """``docs`` without rejected documents and without the lines above the limits; columns unchanged, cases as in ``assess``."""
     verdict = assess(docs, id_col, host_col, text_col, **limits).select("host", "text_key", "removed_keys", "kept").dropDuplicates(["host", "text_key"])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn("_key", F.unhex(F.md5(text.cast("binary"))))
-    v = verdict.where("kept").select(F.col("host").alias("_host"), F.col("text_key").alias("_key"), F.col("removed_keys").alias("_gone"))
-    joined = keyed.join(v, ["_host", "_key"])
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("_gone")))).select(docs.columns)
+    host, key, gone = unused(docs, "_host", "_key", "_gone")
+    keyed = docs.withColumn(host, F.coalesce(F.col(host_col).cast("string"), F.lit(""))).withColumn(key, F.unhex(F.md5(text.cast("binary"))))
+    v = verdict.where("kept").select(F.col("host").alias(host), F.col("text_key").alias(key), F.col("removed_keys").alias(gone))
+    joined = keyed.join(v, [host, key])
+    return joined.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(gone)))).select(docs.columns)

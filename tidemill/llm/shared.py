@@ -139,6 +139,17 @@ def hash64(*columns) -> "F.Column":
     return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, 13), 16, 10).cast("bigint")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column's of ``docs``, in any case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(df: DataFrame, seed: int = 0) -> "F.Column":
     """A 64-bit hash of the whole row, nulls and their places included: rows of one key are copies of each other in every column."""
     plain = [F.to_json(F.struct(f.name), {"ignoreNullFields": "false"}) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in df.schema.fields]
