@@ -101,6 +101,32 @@ def test_calls_and_replies(spark):
     assert [pick(x) for x in ('{"topic": "t3", "reason": "r"}', '{"topic": "t1"}', '{"topic": "t1", "reason": "r", "x": 1}', "t1", "", None)] == [None] * 6
 
 
+def test_arguments_by_kind_and_at_any_depth(spark):
+    texts = ['{"a":1}', '{"a":"1"}', '{"a":1.0}', '{"b":{"x":1,"y":2}}', '{"b":{"y":2,"x":1}}', '{"a": 1 }', '{"c":[{"q":1,"p":null}]}', '{"c":[{"p":null,"q":1}]}', "nope", None]
+    calls = spark.createDataFrame([(1, k, "find", t) for k, t in enumerate(texts)], "d int, at int, name string, arguments string")
+    again = [r.at for r in toolshell.first_calls(calls, ["d"], "at", "name", "arguments").orderBy("at").collect() if r.duplicate]
+    assert again == [4, 5, 7]
+    allowed = F.array(F.lit("1"), F.lit("true"))
+    pick = lambda x: one(spark, toolshell.strict_choice(F.col("x"), "topic", allowed), x=x)
+    assert [pick(x) for x in ('{"topic":"1"}', '{"topic":1}', '{"topic":true}', '{"topic":"true"}', '{"topic":null}')] == ["1", None, None, "true", None]
+
+
+def test_merged_search(spark):
+    merge = lambda q, s: one(spark, toolshell.merged_search(F.col("q"), F.col("s")), q=q, s=s)
+    assert merge("Как войти?", " вход ") == "вход Как войти?"
+    assert merge("Вход", "вход") == "вход" and merge(None, "вход") == "вход" and merge("  ", "вход") == "вход"
+    assert merge("q" * 496, "abcd") == "q" * 496 and merge("q" * 495, "abcd") == "abcd " + "q" * 495
+    assert merge("q", "a") is None and merge("q", "a" * 501) is None and merge("q", None) is None
+
+
+def test_sections_found_by_document_and_manual_alone(spark):
+    topics = spark.createDataFrame([(1, "оферта", "Общее", "", []), (2, "оферта", "Для заказчика", "", ["a.pdf"]), (3, "yml", "Общее", "", ["a.pdf", answers.SUPPLIER_MANUAL])], "id int, title string, parent string, extra string, preferred array<string>")
+    manual, other = answers.SUPPLIER_MANUAL, answers.CUSTOMER_MANUAL
+    parts = [(k, 0, manual, "Вход для поставщиков", "текст") for k in range(40, 10, -1)] + [(50, 0, manual, "Другое", "текст"), (51, 0, manual, "Пример для поставщиков", "текст"), (52, 0, "a.pdf", "Вход для поставщиков", "x"), (53, 0, other, "Вход для поставщиков", "x")]
+    got = [(r.id, r.document, r.score) for r in answers.section_scores(topics, spark.createDataFrame(parts, "document int, ord int, file string, heading string, text string")).orderBy("id", "rank").collect()]
+    assert got == [(1, 11, 3.5), (1, 12, 3.5), (3, 11, 5.0), (3, 12, 5.0)]
+
+
 def plain_budget(texts, most, offset, least=100, cost=60):
     out, used = [], 0
     for k, text in enumerate(texts):

@@ -179,7 +179,9 @@ def section_scores(topics: DataFrame, sections: DataFrame, least: float = 2.6, m
 
     ``topics`` has ``id, title, parent`` and may have ``extra`` (more queries in one text) and ``preferred`` (documents); ``sections`` has
     ``document, ord, heading, text`` and may have ``file``, the name that preferences and manuals are told by.
-    Topics meet sections on shared stems only; the others score nothing that passes.
+
+    Topics meet sections on shared stems.  Without one, a section can pass by its document and heading alone, and then its score is that of all sections of its file whose
+    headings name the same: the first ``most`` of each such kind, in input order, meet the topics that the file is preferred by or is the manual of.
     """
     stems = lambda c: F.array_distinct(T.significant_stems(c))
     extra = F.coalesce("extra", F.lit("")) if "extra" in topics.columns else F.lit("")
@@ -193,13 +195,20 @@ def section_scores(topics: DataFrame, sections: DataFrame, least: float = 2.6, m
     body = sections.select("document", "ord", F.explode(stems(F.substring("text", 1, 2500))).alias("term"), F.lit("b").alias("where_"))
     count = lambda p, where: F.count_if((F.col("p") == p) & (F.col("where_") == where))
     hits = terms.join(head.union(body), "term").groupBy("id", "document", "ord").agg(count(0, "h").alias("h"), count(0, "b").alias("b"), count(1, "h").alias("ph"), count(2, "h").alias("eh"), count(3, "h").alias("th"))
-    rows = hits.join(t, "id").join(sections.select("document", "ord", low("heading").alias("heading"), file.alias("file")), ["document", "ord"])
     has = lambda c, word: F.contains(c, F.lit(word))
     title, parent, heading = F.col("title"), F.col("parent"), F.col("heading")
     customers = has(parent, "уполномочен") | has(title, "заказчик")
+    manual = F.when(customers, F.lit(CUSTOMER_MANUAL)).otherwise(F.lit(SUPPLIER_MANUAL))
+    places = sections.select("document", "ord", low("heading").alias("heading"), file.alias("file"))
+    kind = [has(heading, "поставщик"), has(heading, "пример"), has(heading, "рисунок"), has(heading, "консультац")]
+    first = F.row_number().over(Window.partitionBy("file", "kind").orderBy("document", "ord"))
+    firsts = places.select("document", "ord", "file", F.concat(*(k.cast("string") for k in kind)).alias("kind")).withColumn("_k", first).where(F.col("_k") <= most)
+    named = t.select("id", F.explode(F.array_union("preferred", F.array(manual))).alias("file")).join(firsts, "file").select("id", "document", "ord").distinct()
+    hits = named.join(hits, ["id", "document", "ord"], "full").fillna(0, ["h", "b", "ph", "eh", "th"])
+    rows = hits.join(t, "id").join(places, ["document", "ord"])
     bonus = lambda condition, x: F.when(condition, x).otherwise(0.0)
     score = 5.0 * F.col("h") + 1.6 * F.col("b") + 0.4 * F.col("ph") + bonus(F.array_contains("preferred", F.col("file")), 1.5) + bonus((F.size("ts") > 0) & (F.col("th") == F.size("ts")), 4.0) + bonus(F.col("eh") > 0, 2.0)
-    score = score + bonus(F.when(customers, F.col("file") == CUSTOMER_MANUAL).otherwise(F.col("file") == SUPPLIER_MANUAL), 2.0) + bonus(has(heading, "поставщик") & ~has(parent, "заказчик"), 1.5) - bonus(has(heading, "пример") | has(heading, "рисунок"), 8.0)
+    score = score + bonus(F.col("file") == manual, 2.0) + bonus(has(heading, "поставщик") & ~has(parent, "заказчик"), 1.5) - bonus(has(heading, "пример") | has(heading, "рисунок"), 8.0)
     nothing = (has(title, "yml") & has(heading, "пример")) | ((F.trim("title") == "консультация") & ~has(heading, "консультац"))
     scored = rows.select("id", "document", "ord", F.round(F.when(nothing, 0.0).otherwise(score), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "document", "ord"))

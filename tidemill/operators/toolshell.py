@@ -12,22 +12,29 @@ LONGEST_SEARCH, SEARCH_HITS, LEAST_EVIDENCE = 500, 6, 2.0
 
 
 def canonical_arguments(arguments: Column) -> Column:
-    """A flat JSON object with its keys in order, so that equal calls have equal texts; null for anything else."""
-    pairs = F.from_json(arguments, "map<string,string>")
-    return F.when(F.json_object_keys(arguments).isNotNull(), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs)))))
+    """A JSON object with the keys of all its objects in order, so that equal calls have equal texts; null for anything else, an object that names a key twice included.
+
+    The text is parsed to a variant, which keeps an object's fields in order of their names whatever order they are written in, and tells ``1`` from ``"1"``.
+    """
+    value = F.try_parse_json(arguments)
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), F.to_json(value))
 
 
 def first_calls(calls: DataFrame, keys: list[str], order: str, name: str, arguments: str) -> DataFrame:
-    """Calls with ``duplicate``: whether one of the same name and canonical arguments came before it in its dialog."""
-    again = F.row_number().over(Window.partitionBy(*keys, name, "_canonical").orderBy(order)) > 1
-    return calls.withColumn("_canonical", canonical_arguments(F.col(arguments))).withColumn("duplicate", again & F.col("_canonical").isNotNull()).drop("_canonical")
+    """Calls with ``duplicate``: whether one of the same name and canonical arguments came before it in its dialog.  Kinds count too: ``1`` is not ``1.0``."""
+    again = F.row_number().over(Window.partitionBy(*keys, name, "_canonical", "_kinds").orderBy(order)) > 1
+    kinds = F.schema_of_variant(F.try_parse_json(arguments))
+    told = calls.withColumn("_canonical", canonical_arguments(F.col(arguments))).withColumn("_kinds", kinds)
+    return told.withColumn("duplicate", again & F.col("_canonical").isNotNull()).drop("_canonical", "_kinds")
 
 
 def strict_choice(reply: Column, field: str, allowed: Column, others: list[str] | None = None) -> Column:
-    """The value of ``field`` in a JSON object that holds just the expected keys, if it is an allowed one; else null."""
+    """The value of ``field`` in a JSON object that holds just the expected keys, if it is a text and an allowed one; else null.  A number is no text, whatever it spells."""
+    made = F.try_parse_json(reply)
     keys = F.json_object_keys(reply)
     expected = F.array(*map(F.lit, sorted([field, *(others or [])])))
-    value = F.get_json_object(reply, f"$.{field}")
+    inner = F.try_variant_get(made, f"$['{field}']", "variant")
+    value = F.when(F.schema_of_variant(inner) == "STRING", F.try_variant_get(made, f"$['{field}']", "string"))
     return F.when((F.array_sort(keys) == expected) & F.array_contains(allowed, value), value)
 
 
@@ -89,16 +96,26 @@ def compacted(messages: DataFrame, key: str, order: str, role: str, has_calls: C
 
 
 def merged_search(question: Column, search: Column) -> Column:
-    """What a tool searches for: its own words after the user's question, cut to 500 characters."""
-    return F.substring(F.trim(F.concat_ws(" ", question, F.when(F.lower(F.trim(search)) != F.lower(F.trim(question)), search))), 1, LONGEST_SEARCH)
+    """What a tool searches for: its own words, then the user's question unless that is the same; the question alone where both are over 500 characters.
+
+    Null, which refuses the call, for a search of under two or over 500 characters.
+    """
+    own, asked = _stripped(search), _stripped(F.coalesce(question, F.lit("")))
+    merged = F.concat_ws(" ", own, asked)
+    both = F.when(F.length(merged) <= LONGEST_SEARCH, merged).otherwise(asked)
+    return F.when(F.length(own).between(2, LONGEST_SEARCH), F.when((asked == "") | (F.lower(asked) == F.lower(own)), own).otherwise(both))
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def agent_search(calls: DataFrame, chunks: DataFrame, most: int = SEARCH_HITS) -> DataFrame:
-    """``qid, document, ord, score, rank``: the ``most`` hits of each call's merged query, put in order by their lexical score against the question.
+    """``qid, document, ord, score, rank``: the ``most`` hits of each call's merged query, put in order by their lexical score against the question; refused calls have none.
 
     ``calls`` has ``qid, question, search``.
     """
-    queries = calls.select("qid", merged_search(F.col("question"), F.col("search")).alias("query"))
+    queries = calls.select("qid", merged_search(F.col("question"), F.col("search")).alias("query")).where("query is not null")
     found = R.bm25_top(queries, chunks, most).select("qid", "document", "ord")
     asked = calls.select("qid", F.when(F.trim("question") != "", F.col("question")).otherwise(F.col("search")).alias("query"))
     return R.top(R.lexical_of(found, asked, chunks), most)

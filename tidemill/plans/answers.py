@@ -27,24 +27,34 @@ def extractive_answer(spark, sf_dir):
 _STEMS = T.significant_stems_sql
 
 
-_TOPIC = "id, title, 'topic ' || parent AS parent, CASE WHEN id % 2 = 0 THEN split_part(title, ' ', 1) || ' document' ELSE '' END AS extra, 'src' || (id % 20) AS preferred"
+_TOPIC = "id, title, CASE WHEN parent = 0 THEN 'уполномоченный орган' WHEN parent = 1 THEN 'заказчики' ELSE 'topic ' || parent END AS parent, CASE WHEN id % 2 = 0 THEN split_part(title, ' ', 1) || ' document' ELSE '' END AS extra, CASE id % 20 WHEN 2 THEN s_manual WHEN 3 THEN c_manual ELSE 'src' || (id % 20) END AS preferred"
+_FILE = "CASE section WHEN 'src2' THEN s_manual WHEN 'src3' THEN c_manual ELSE section END AS file, CASE WHEN ord % 7 = 3 THEN 'Вход для поставщиков ' WHEN ord % 11 = 5 THEN 'Рисунок ' ELSE '' END || text AS heading"
+_MANUALS = f"manuals AS (SELECT '{A.SUPPLIER_MANUAL}' AS s_manual, '{A.CUSTOMER_MANUAL}' AS c_manual)"
 
 
 @query(
     "topic_section_match",
-    f"WITH {S.CHUNKS}, {S.CATALOG}, c AS (SELECT {_TOPIC} FROM catalog), t AS (SELECT *, list_distinct({_STEMS('title')}) AS ts, list_distinct({_STEMS('parent')}) AS ps, list_distinct({_STEMS('extra')}) AS es FROM c), "
-    "q AS (SELECT id, unnest(list_distinct(list_concat(ts, es))) AS term, 0 AS p FROM t UNION ALL SELECT id, unnest(ps), 1 FROM t UNION ALL SELECT id, unnest(es), 2 FROM t UNION ALL SELECT id, unnest(ts), 3 FROM t), "
-    f"s AS (SELECT document, ord, section AS file, substring(text, 1, 60) AS heading, text FROM chunks), w AS (SELECT document, ord, unnest(list_distinct({_STEMS('heading')})) AS term, 1 AS h FROM s UNION ALL SELECT document, ord, unnest(list_distinct({_STEMS('substring(text, 1, 2500)')})), 0 FROM s), "
-    "y AS (SELECT id, document, ord, count(*) FILTER (p = 0 AND h = 1) AS qh, count(*) FILTER (p = 0 AND h = 0) AS qb, count(*) FILTER (p = 1 AND h = 1) AS ph, count(*) FILTER (p = 2 AND h = 1) AS eh, count(*) FILTER (p = 3 AND h = 1) AS th FROM q JOIN w USING (term) GROUP BY id, document, ord), "
-    "z AS (SELECT id, document, ord, round(5.0 * qh + 1.6 * qb + 0.4 * ph + CASE WHEN preferred = file THEN 1.5 ELSE 0.0 END + CASE WHEN len(ts) > 0 AND th = len(ts) THEN 4.0 ELSE 0.0 END + CASE WHEN eh > 0 THEN 2.0 ELSE 0.0 END, 6)::DOUBLE AS score FROM y JOIN t USING (id) JOIN s USING (document, ord)), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, document, ord) AS rank FROM z WHERE score >= 2.6) SELECT id, document, ord, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2",
+    f"WITH {S.CHUNKS}, {S.CATALOG}, {_MANUALS}, c AS (SELECT {_TOPIC} FROM catalog, manuals), t AS (SELECT *, list_distinct({_STEMS('title')}) AS ts, list_distinct({_STEMS('parent')}) AS ps, list_distinct({_STEMS('extra')}) AS es FROM c), "
+    f"s AS (SELECT document, ord, text, {_FILE} FROM chunks, manuals), w AS (SELECT document, ord, file, heading, list_distinct({_STEMS('heading')}) AS hs, list_distinct({_STEMS('substring(text, 1, 2500)')}) AS bs FROM s), "
+    "z AS (SELECT id, document, ord, title, parent, heading, 5.0 * len(list_intersect(qs, hs)) + 1.6 * len(list_intersect(qs, bs)) + 0.4 * len(list_intersect(ps, hs)) + CASE WHEN preferred = file THEN 1.5 ELSE 0.0 END "
+    "+ CASE WHEN len(ts) > 0 AND len(list_intersect(ts, hs)) = len(ts) THEN 4.0 ELSE 0.0 END + CASE WHEN len(list_intersect(es, hs)) > 0 THEN 2.0 ELSE 0.0 END "
+    "+ CASE WHEN (contains(lower(parent), 'уполномочен') OR contains(lower(title), 'заказчик')) THEN CASE WHEN file = c_manual THEN 2.0 ELSE 0.0 END WHEN file = s_manual THEN 2.0 ELSE 0.0 END "
+    "+ CASE WHEN contains(lower(heading), 'поставщик') AND NOT contains(lower(parent), 'заказчик') THEN 1.5 ELSE 0.0 END - CASE WHEN contains(lower(heading), 'пример') OR contains(lower(heading), 'рисунок') THEN 8.0 ELSE 0.0 END AS score "
+    "FROM (SELECT *, list_distinct(list_concat(ts, es)) AS qs FROM t) CROSS JOIN w CROSS JOIN manuals WHERE len(qs) > 0), "
+    "y AS (SELECT id, document, ord, round(CASE WHEN contains(lower(title), 'yml') AND contains(lower(heading), 'пример') OR trim(lower(title)) = 'консультация' AND NOT contains(lower(heading), 'консультац') THEN 0.0 ELSE score END, 6)::DOUBLE AS score FROM z), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, document, ord) AS rank FROM y WHERE score >= 2.6) SELECT id, document, ord, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 2",
 )
 def topic_section_match(spark, sf_dir):
-    """Catalog topics against lines as sections, with extra queries and preferred documents; the rules of named manuals meet no such line and are tested on hand cases."""
-    extra = F.when(F.col("id") % 2 == 0, F.concat(F.split_part("title", F.lit(" "), F.lit(1)), F.lit(" document"))).otherwise(F.lit(""))
-    preferred = F.array(F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
-    topics = S.catalog(spark, sf_dir).select("id", "title", F.concat(F.lit("topic "), F.col("parent").cast("string")).alias("parent"), extra.alias("extra"), preferred.alias("preferred"))
-    sections = S.chunks(spark, sf_dir).select("document", "ord", F.col("section").alias("file"), F.substring("text", 1, 60).alias("heading"), "text")
+    """Catalog topics against lines as sections, with extra queries, preferred documents, the two manuals and headings that name suppliers or figures."""
+    supplier, customer, none = F.lit(A.SUPPLIER_MANUAL), F.lit(A.CUSTOMER_MANUAL), F.lit("")
+    extra = F.when(F.col("id") % 2 == 0, F.concat(F.split_part("title", F.lit(" "), F.lit(1)), F.lit(" document"))).otherwise(none)
+    number = F.col("id") % 20
+    preferred = F.array(F.when(number == 2, supplier).when(number == 3, customer).otherwise(F.concat(F.lit("src"), number.cast("string"))))
+    parent = F.when(F.col("parent") == 0, F.lit("уполномоченный орган")).when(F.col("parent") == 1, F.lit("заказчики")).otherwise(F.concat(F.lit("topic "), F.col("parent").cast("string")))
+    topics = S.catalog(spark, sf_dir).select("id", "title", parent.alias("parent"), extra.alias("extra"), preferred.alias("preferred"))
+    file = F.when(F.col("section") == "src2", supplier).when(F.col("section") == "src3", customer).otherwise(F.col("section"))
+    heading = F.concat(F.when(F.col("ord") % 7 == 3, F.lit("Вход для поставщиков ")).when(F.col("ord") % 11 == 5, F.lit("Рисунок ")).otherwise(none), "text")
+    sections = S.chunks(spark, sf_dir).select("document", "ord", file.alias("file"), heading.alias("heading"), "text")
     return A.section_scores(topics, sections)
 
 

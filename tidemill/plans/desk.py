@@ -141,23 +141,29 @@ def event_lines(spark, sf_dir):
 
 @query(
     "repeated_calls",
-    "WITH c AS (SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k FROM events) SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, k ORDER BY event_id) > 1 AS duplicate FROM c",
+    "WITH c AS (SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k FROM events) SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, k, event_id % 5 = 0 ORDER BY event_id) > 1 AS duplicate FROM c",
 )
 def repeated_calls(spark, sf_dir):
-    """Calls that repeat an earlier one of their dialog, whatever the order of their arguments."""
+    """Calls that repeat an earlier one of their dialog, whatever the order of their arguments at any depth; every fifth writes its number as a text, which is another call."""
     k = (F.get_json_object("props", "$.k").cast("bigint") % 10).cast("string")
-    written = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": "x", "k": "'), k, F.lit('"}'))).otherwise(F.concat(F.lit('{"k":"'), k, F.lit('","a":"x"}')))
+    k = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
+    written = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": ["x", {"q": 1, "p": null}], "k": {"n": '), k, F.lit(', "m": true}}'))).otherwise(F.concat(F.lit('{"k":{"m":true,"n":'), k, F.lit('},"a":["x",{"p":null,"q":1}]}')))
     calls = S.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("name"), written.alias("arguments"))
     return toolshell.first_calls(calls, ["user_id"], "event_id", "name", "arguments").select("event_id", "duplicate")
 
 
-@query("strict_choices", "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_type IN ('click', 'view') THEN event_type END AS choice FROM events")
+@query(
+    "strict_choices",
+    "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 7 <> 0 AND CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 THEN json_extract_string(props, '$.k') END AS choice FROM events",
+)
 def strict_choices(spark, sf_dir):
-    """Replies that hold just a topic and a reason, with a topic that is allowed; every third has a key too many."""
+    """Replies that hold just a topic and a reason, with the id of an even topic as a text; every third has a key too many, and every seventh has a number for its id."""
     extra = F.when(F.col("event_id") % 3 == 0, F.lit(', "more": 1')).otherwise(F.lit(""))
-    reply = F.concat(F.lit('{"topic": "'), "event_type", F.lit('", "reason": "r"'), extra, F.lit("}"))
-    allowed = F.array(F.lit("click"), F.lit("view"))
-    return S.table(spark, sf_dir, "events").select("event_id", toolshell.strict_choice(reply, "topic", allowed, ["reason"]).alias("choice"))
+    k = F.get_json_object("props", "$.k")
+    topic = F.when(F.col("event_id") % 7 == 0, k).otherwise(F.concat(F.lit('"'), k, F.lit('"')))
+    reply = F.concat(F.lit('{"topic": '), topic, F.lit(', "reason": "r"'), extra, F.lit("}"))
+    even = F.transform(F.sequence(F.lit(0), F.lit(998), F.lit(2)), lambda x: x.cast("string"))
+    return S.table(spark, sf_dir, "events").select("event_id", toolshell.strict_choice(reply, "topic", even, ["reason"]).alias("choice"))
 
 
 @query(
