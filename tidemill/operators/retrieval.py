@@ -257,9 +257,12 @@ def _nearest(most: int):
                 norm = np.sqrt((x * x).sum(1, keepdims=True))
                 unit.append(np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0.0))
             ids, asked, k = vectors["id"].to_numpy(), queries["id"].to_numpy(), min(most + 1, len(vectors))
+            place = np.empty(len(ids), np.int64)
+            place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
             for at in range(0, len(asked), 256):
                 sims = unit[1][at : at + 256] @ unit[0].T
-                best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                key = np.floor(sims * 1e6 + 0.5) * len(ids) - place  # by score to six places, then id; whole numbers, far below 2**53
+                best = np.argpartition(-key, k - 1, axis=1)[:, :k]
                 out["qid"].append(np.repeat(asked[at : at + 256], k))
                 out["vec_id"].append(ids[best.ravel()])
                 out["score"].append(np.take_along_axis(sims, best, 1).ravel())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ivf
 from ..operators import retrieval as R
 from ..registry import query
 from ..sources import tables as S
@@ -71,6 +72,20 @@ def cosine_topk(spark, sf_dir):
     return R.cosine_top(v.where("vec_id % 100 = 0"), v, 20)
 
 
+@query("ivf_topk")
+def ivf_topk(spark, sf_dir):
+    """Fifty neighbours of every hundredth vector among the four hundred and more of the cells that it probes."""
+    v = S.table(spark, sf_dir, "embeddings")
+    return ivf.search(ivf.build(v), v.where("vec_id % 100 = 0"))
+
+
+@query("ivf_exact_topk", f"WITH {_COSINE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM c) SELECT qid, vec_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 50")
+def ivf_exact_topk(spark, sf_dir):
+    """The same neighbours with nothing missed, by the cells' residual bounds."""
+    v = S.table(spark, sf_dir, "embeddings")
+    return ivf.search(ivf.build(v), v.where("vec_id % 100 = 0"), exact=True)
+
+
 def _hashed(name: str, keys: str, text: str, source: str) -> str:
     h = "CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)"
     return f"""{name}_x AS (SELECT {keys}, {h} % 64 AS place, sum(CASE WHEN substr(md5(t), 9, 1) < '8' THEN -1 ELSE 1 END) AS x FROM (SELECT {keys}, unnest({T.tokens_sql(text)}) AS t FROM {source}) GROUP BY ALL),
