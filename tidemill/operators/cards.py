@@ -145,14 +145,16 @@ def catalog_forks(questions: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def procedures(evidence: DataFrame) -> DataFrame:
-    """``qid, labels, families``: the numbered headings among a question's sources as options, and how many section families they are of.
+    """``qid, labels, any_labels, families``: the numbered headings among a question's sources as options of its topic, and of no topic, and how many section families they are of.
 
     ``evidence`` has ``qid, pos, section, topic``.
     """
     numbered = evidence.where(F.trim("section").rlike(HANDBOOK)).withColumn("label", C.short_option(F.trim("section"), HANGING))
     families = numbered.groupBy("qid").agg(F.count_distinct(F.nullif(C.section_family(F.trim("section")), F.lit(""))).alias("families"))
-    lists = _lists(C.options(numbered.where(usable_option(F.col("label"), F.col("topic"))).select("qid", "pos", "label"), ["qid"], "pos", "label"))
-    return families.join(lists, "qid", "left").select("qid", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), "families")
+    usable = lambda topic: _lists(C.options(numbered.where(usable_option(F.col("label"), topic)).select("qid", "pos", "label"), ["qid"], "pos", "label"))
+    lists = families.join(usable(F.col("topic")), "qid", "left").join(usable(F.lit("")).withColumnRenamed("labels", "any_labels"), "qid", "left")
+    none = F.array().cast("array<string>")
+    return lists.select("qid", F.coalesce("labels", none).alias("labels"), F.coalesce("any_labels", none).alias("any_labels"), "families")
 
 
 def _lists(ranked: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def decisions(questions: DataFrame, evidence: DataFrame, catalog: DataFrame) ->
     """One row a question: ``qid, needs_fork, needs_choice, may_clarify, card_question, options``; a null card where nothing is to be asked.
 
     A short request forks over the catalog, else over its sources' procedures; one whose sources describe several families of
-    procedures, of which it picks none, is asked which.  An open call for help gets the menu.
+    procedures, of which it picks none, is asked which; whether it is asked does not hang on its topic, which options it is given does.  An open call for help gets the menu.
     """
     rows = questions.join(evidence.select("qid").distinct().withColumn("has_evidence", F.lit(True)), "qid", "left")
     rows = rows.join(catalog_forks(questions, catalog).withColumnRenamed("labels", "forks"), "qid", "left")
@@ -172,11 +174,11 @@ def decisions(questions: DataFrame, evidence: DataFrame, catalog: DataFrame) ->
     rows = rows.join(procedures(named).withColumnRenamed("labels", "steps"), "qid", "left")
     none, q = F.array().cast("array<string>"), F.col("question")
     topic_stems = T.significant_stems(F.col("topic"))
-    rows = rows.withColumns({"steps": F.coalesce("steps", none), "forks": F.when(F.size("forks") >= 2, F.col("forks")).otherwise(none), "topic": topic_label(q), "looks": names_a_lookup(q), "open_help": M.is_open_help(q)})
-    rows = rows.withColumns({"forks_chosen": C.selects_one(q, F.col("forks")), "steps_chosen": C.selects_one(q, F.col("steps")), "exempt": F.col("open_help") | q.rlike(r"(?iU)что\s+такое") | asks_for_term(q)})
+    rows = rows.withColumns({"steps": F.coalesce("steps", none), "any_labels": F.coalesce("any_labels", none), "forks": F.when(F.size("forks") >= 2, F.col("forks")).otherwise(none), "topic": topic_label(q), "looks": names_a_lookup(q), "open_help": M.is_open_help(q)})
+    rows = rows.withColumns({"forks_chosen": C.selects_one(q, F.col("forks")), "steps_chosen": C.selects_one(q, F.col("any_labels")), "exempt": F.col("open_help") | q.rlike(r"(?iU)что\s+такое") | asks_for_term(q)})
     rows = rows.withColumns({
         "needs_fork": ~F.col("looks") & ~((F.size("forks") >= 2) & F.col("forks_chosen")),
-        "needs_choice": F.col("has_evidence").isNotNull() & ~F.col("exempt") & (F.size("steps") >= 2) & (F.coalesce("families", F.lit(0)) >= 2) & ~F.col("steps_chosen"),
+        "needs_choice": F.col("has_evidence").isNotNull() & ~F.col("exempt") & (F.size("any_labels") >= 2) & (F.coalesce("families", F.lit(0)) >= 2) & ~F.col("steps_chosen"),
         "menu": F.col("open_help") | ((F.size(topic_stems) > 0) & F.forall(topic_stems, M._helps)),
     })
     first, second = F.when(F.col("needs_fork"), F.col("forks")).otherwise(F.col("steps")), F.when(F.col("needs_fork"), F.col("steps")).otherwise(F.col("forks"))

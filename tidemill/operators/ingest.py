@@ -130,6 +130,17 @@ def glossary_rows(cells: Column) -> Column:
     return F.struct(F.trim(F.element_at(cells, -2)).alias("term"), F.trim(F.element_at(cells, -1)).alias("definition"))
 
 
+def table_items(rows: DataFrame, keys: list[str], order: str, cells: str) -> DataFrame:
+    """``keys, order, term, definition`` of the rows of tables, each table's first row left out as its header; rows of under two cells, or without a term or a definition, are none.
+
+    A table is a run of rows that follow each other by ``order``.
+    """
+    place = Window.partitionBy(*keys).orderBy(order)
+    starts = rows.withColumn("_starts", ~F.col(order).eqNullSafe(F.lag(order).over(place) + 1))
+    g = starts.where(~F.col("_starts") & (F.size(cells) >= 2)).select(*keys, order, glossary_rows(F.col(cells)).alias("g"))
+    return g.select(*keys, order, "g.*").where("term <> '' and definition <> ''")
+
+
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The row of the highest version of each key: append-only writes stand for updates."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), version).alias("r")).select("r.*")

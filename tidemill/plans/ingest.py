@@ -65,12 +65,15 @@ def insert_new(spark, sf_dir):
     return I.insert_new(rows, rows.where("source = 'src0'"))
 
 
-@query("table_glossary")
+@query(
+    "table_glossary",
+    f"WITH {S.CHUNKS}, r AS (SELECT document, ord, string_split(text, '|') AS c, lag(ord) OVER (PARTITION BY document ORDER BY ord) AS was FROM chunks WHERE contains(text, '|')), "
+    "g AS (SELECT document, ord, trim(c[-2]) AS term, trim(c[-1]) AS definition FROM r WHERE was = ord - 1) SELECT * FROM g WHERE term <> '' AND definition <> ''",
+)
 def table_glossary(spark, sf_dir):
-    """Pipe-separated lines as table rows: the last two cells are a term and its definition."""
-    cells = F.split("text", r"\s*\|\s*", -1)
-    rows = S.chunks(spark, sf_dir).where("contains(text, '|')").withColumn("cells", cells).where("size(cells) >= 2")
-    return rows.select("document", "ord", I.glossary_rows(F.col("cells")).alias("g")).select("document", "ord", "g.*").where("term <> '' and definition <> ''")
+    """Pipe-separated lines as table rows: the last two cells are a term and its definition, under a header row."""
+    rows = S.chunks(spark, sf_dir).where("contains(text, '|')").withColumn("cells", F.split("text", r"\|", -1))
+    return I.table_items(rows, ["document"], "ord", "cells")
 
 
 _V = "v AS (SELECT user_id AS id, event_id AS revision, event_type AS status, round(value, 6) AS value FROM events)"
