@@ -47,6 +47,15 @@ def test_tokens_and_canonical_form(spark):
     assert one(spark, T.significant_stems("x"), x="как подписать 12 договорами и 7б") == ["подписа", "договор", "7б"]
 
 
+def test_every_character_composes_as_the_standard_says(spark):
+    import sys
+    import unicodedata
+
+    every = [chr(k) for k in range(1, sys.maxunicode + 1) if not 0xD800 <= k <= 0xDFFF and unicodedata.normalize("NFC", chr(k)) != chr(k)]
+    rows = spark.createDataFrame([(t,) for t in every], "t string").select("t", T.composed("t").alias("c")).collect()
+    assert len(every) > 1000 and [r.t for r in rows if r.c != unicodedata.normalize("NFC", r.t)] == []
+
+
 def test_source_text_cleanup(spark):
     raw = "Под-\nпись&nbsp;<b>важна</b> ![x](y) **Рисунок 1 - схема** ( Рисунок 2 ) a<br/>b _kursiv_ snake_case_x .\n\n\n\nend &amp;"
     out = one(spark, T.clean_source_text("x"), x=raw)

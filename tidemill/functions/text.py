@@ -37,7 +37,10 @@ def _col(c: Column | str) -> Column:
 
 
 #: What a text must hold for Unicode composition to change it: marks, vowels and tails of Hangul, and letters with a form of their own.
-COMPOSABLE = r"[\p{M}\u1161-\u11C2\u2000\u2001\u2126\u212A\u212B\u2329\u232A\uF900-\uFAFF]"
+COMPOSABLE = (
+    r"[\p{M}\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C-\u0B5D\u0F43-\u0F69\u1161-\u11C2\u1F71-\u1FFD"
+    r"\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
+)
 
 
 def composed(c: Column | str) -> Column:

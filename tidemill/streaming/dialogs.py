@@ -5,7 +5,6 @@ Each stateful job has a batch twin that must give the same rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import scratch
+
 #: What closes a dialog, by event kind, and the status it leaves.
 CLOSING = {"specialist": ("escalate", "specialist_requested"), "close": ("closed", "user_closed"), "abuse": ("closed_abuse", "abuse")}
 OPEN_STATUS = {"message": "answered", "clarify": "clarifying"}
@@ -23,12 +24,7 @@ OUTCOME = f"id bigint, {STATE}"
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the one that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset and driver and executors are one process."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        there = tempfile.mkdtemp(prefix="tidemill-")
-    return f"{there.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{scratch.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
