@@ -252,7 +252,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     outside = written(found.join(split, "head").where("component <> main").select("doc").distinct(), "outside", fewer)
     if outside.count():
         mine = F.row_number().over(Window.partitionBy("doc").orderBy("key"))  # a short cut only: the blocks after it miss nothing
-        few_keys = buckets.join(outside, "doc").select("key", "doc").withColumn("k", mine).where(F.col("k") <= CHANCES).select("key", "doc")
+        few_keys = buckets.select("key", "doc").withColumn("k", mine).where(F.col("k") <= CHANCES).join(outside, "doc").select("key", "doc")
         chance = buckets.groupBy("key").agg(F.min_by("doc", F.xxhash64(F.lit(3), "doc")).alias("head"))
         tried = few_keys.join(chance, "key").where("doc <> head").select("doc", "head").distinct()
         links = written(links.union(confirmed(tried)).distinct(), "more_links", fewer)
