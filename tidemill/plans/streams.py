@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..registry import query
 from ..sources import tables as S
 from ..streaming import dialogs as D
+from ..streaming import insights as I
 
 
 def _stream(spark, sf_dir):
@@ -67,3 +68,42 @@ def last_snapshot(spark, sf_dir):
 def tool_status(spark, sf_dir):
     e = S.table(spark, sf_dir, "events")
     return D.tool_states(e.select(F.col("user_id").alias("id"), F.col("event_type").alias("call_id"), F.col("event_id").alias("seq"), F.col("props").alias("status")))
+
+
+def _flaky(kind: str, dialog: int, revision: int, attempt: int) -> str:
+    """A model that answers for a version at its 1st to 4th try."""
+    if attempt <= (revision + len(kind)) % 4:
+        raise TimeoutError(kind)
+    return f"{kind} of {dialog}"
+
+
+@query("insight_retries", """WITH c AS (SELECT user_id AS id, event_id AS revision, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('purchase', 'signup', 'error')),
+b AS (SELECT *, max(revision) OVER (PARTITION BY id ORDER BY ms, revision ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM c),
+n AS (SELECT *, lead(ms) OVER (PARTITION BY id ORDER BY ms, revision) AS next FROM b WHERE best IS NULL OR revision > best),
+e AS (SELECT n.*, coalesce(next, (SELECT max(ms) FROM c) - 3600000) AS stop, kind, 1 + (revision + length(kind)) % 4 AS needed FROM n, (VALUES ('summary'), ('classification')) AS k(kind)),
+a AS (SELECT *, unnest(range(1, needed + 1)) AS attempt FROM e)
+SELECT id, revision, kind, CAST(attempt AS INT) AS attempt, strftime(make_timestamp((ms + (attempt - 1) * 300000) * 1000), '%Y-%m-%d %H:%M:%S') AS at, attempt = needed AS ok,
+  CASE WHEN attempt = needed THEN kind || ' of ' || id END AS value FROM a WHERE attempt = 1 OR ms + (attempt - 1) * 300000 < stop""")
+def insight_retries(spark, sf_dir):
+    """Every attempt at the insights of users' dialogs, each ending event a new version, with a model that fails up to three times."""
+    closed = _stream(spark, sf_dir).where(F.col("event_type").isin("purchase", "signup", "error")).select(F.col("user_id").alias("id"), F.col("event_id").alias("revision"), F.col("ts").cast("timestamp").alias("at"))
+    return D.result_of(I.insight_stream(closed, _flaky), "append").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("pending_guards", """WITH g AS (SELECT user_id AS id, event_id AS seq, ts,
+  CASE event_type WHEN 'click' THEN 'reply' WHEN 'error' THEN 'close' ELSE 'message' END AS kind,
+  CASE WHEN json_extract_string(props, '$.k') LIKE '%0' OR event_type = 'click' AND event_id % 2 = 0 THEN 'c' || (event_id % 2) END AS asked,
+  CASE WHEN json_extract_string(props, '$.k') LIKE '%0' OR event_type = 'purchase' OR event_type = 'click' AND event_id % 2 = 1 THEN 's' || (event_id % 2) END AS taken FROM events),
+o AS (SELECT *, last_value(CASE WHEN kind = 'reply' THEN {'c': asked, 's': taken} END IGNORE NULLS) OVER w AS offered, coalesce(bool_or(kind = 'close') OVER w, false) AS closed
+  FROM g WINDOW w AS (PARTITION BY id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT id, seq, CASE WHEN closed THEN 'closed' WHEN asked IS NOT NULL AND taken IS NOT NULL THEN 'both ids'
+  WHEN asked IS NOT NULL AND asked IS DISTINCT FROM offered.c THEN 'clarification gone' WHEN taken IS NOT NULL AND taken IS DISTINCT FROM offered.s THEN 'suggestion gone' ELSE 'accepted' END AS verdict
+FROM o WHERE kind = 'message'""")
+def pending_guards(spark, sf_dir):
+    """Verdicts on users' messages against what their dialogs have pending."""
+    kind, n, tens = F.col("event_type"), F.col("event_id"), F.coalesce(F.get_json_object("props", "$.k").endswith("0"), F.lit(False))
+    asked = F.when(tens | ((kind == "click") & (n % 2 == 0)), F.concat(F.lit("c"), (n % 2).cast("string")))
+    taken = F.when(tens | (kind == "purchase") | ((kind == "click") & (n % 2 == 1)), F.concat(F.lit("s"), (n % 2).cast("string")))
+    named = F.when(kind == "click", "reply").when(kind == "error", "close").otherwise("message")
+    rows = _stream(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), n.alias("seq"), named.alias("kind"), asked.alias("clarification_id"), taken.alias("suggestion_id"))
+    return D.result_of(I.guard_stream(rows), "append")
