@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -137,15 +138,16 @@ def _tokens_of(chunks: DataFrame) -> Column:
     return F.col("t") if "t" in chunks.columns else T.tokens("text")
 
 
-def bm25_index(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, boost: float = 4.0) -> topk.Index:
-    """Chunks by BM25 over tokens of the text, and ``boost`` times that over the heading.
+def bm25_index(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, boost: float = 4.0, terms_of: Callable[[str], Column] | None = None) -> topk.Index:
+    """Chunks by BM25 over tokens of the text, and ``boost`` times that over the heading; ``terms_of`` makes other terms of a text, as ``russian_terms`` does.
 
     Tokens that nobody asks for are dropped where the text is read; a chunk's others are gathered by one shuffle, with a row for the chunk
     itself, so that numbers and lengths come from the same table.  Headings are counted once a distinct heading, with its number of chunks.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
+    cut = terms_of or T.tokens
+    asked = queries.select("qid", F.explode(F.array_distinct(cut("query"))).alias("term"))
     terms = asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    rows = chunks.select("document", "ord", "section", _tokens_of(chunks).alias("t"))
+    rows = chunks.select("document", "ord", "section", (terms_of("text") if terms_of else _tokens_of(chunks)).alias("t"))
     rows = rows.select("document", "ord", "section", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(small(terms), "term", "left_semi")
     tf = by_chunk(rows, ["document", "ord"]).groupBy("document", "ord", "section", "len", "term").agg(F.count("*").alias("tf"))
     counted = tf.groupBy("document", "ord", "section", "len").agg(F.filter(F.collect_list(F.struct("term", "tf")), lambda x: x["term"] != "").alias("tfs"))
@@ -165,7 +167,7 @@ def bm25_index(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float
     none = F.array().cast("array<struct<term:string,gain:double>>")
     found = stored(asked.select("qid").distinct().join(found, "qid", "left").select("qid", F.coalesce("q", none).alias("q")), "queries")
 
-    heads = stored(counted.groupBy("section").agg(F.count("*").alias("chunks")).select("section", "chunks", T.tokens("section").alias("t")), "headings")
+    heads = stored(counted.groupBy("section").agg(F.count("*").alias("chunks")).select("section", "chunks", cut("section").alias("t")), "headings")
     head_mean = (heads.agg(F.sum(F.col("chunks") * F.size("t"))).first()[0] or 0) / n if n else 0.0
     head_tf = heads.select("section", "chunks", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("section", "chunks", "len", "term").agg(F.count("*").alias("tf")).join(asked, "term")
     head_df = head_tf.select("section", "chunks", "term").distinct().groupBy("term").agg(F.sum("chunks").alias("df"))
@@ -174,9 +176,9 @@ def bm25_index(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float
     return topk.Index(held, found, stored(head, "heads"), topk.summed() + F.coalesce("head", F.lit(0.0)), bare=True)
 
 
-def bm25_top(queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+def bm25_top(queries: DataFrame, chunks: DataFrame, most: int, terms_of: Callable[[str], Column] | None = None) -> DataFrame:
     """``qid, document, ord, score, rank``: each query's best chunks by BM25 of texts and headings."""
-    return topk.bounded_top(bm25_index(queries, chunks), most)
+    return topk.bounded_top(bm25_index(queries, chunks, terms_of=terms_of), most)
 
 
 def hashed_features(rows: DataFrame, keys: list[str], tokens: Column, size: int = 64) -> DataFrame:

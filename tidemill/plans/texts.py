@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import russian
 from ..functions import text as T
 from ..registry import query
 from ..sources import tables as S
@@ -113,3 +114,13 @@ def corpus_profile(spark, sf_dir):
 def null_and_distinct_counts(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents")
     return d.agg(F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources"), F.count_distinct(F.sha2(F.col("text").cast("binary"), 256)).alias("texts"), F.count_if(F.col("text").isNull()).alias("null_texts"))
+
+
+_LATIN, _RUSSIAN = "abcdefghijklmnopqrstuvwxyz", "абсдефгхийклмнопярстувшыуз"
+
+
+@query("russian_stem_frequency", f"WITH {_TOKENS} SELECT stem, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {russian.russian_stem_sql('w')} AS stem, n FROM (SELECT translate(t, '{_LATIN}', '{_RUSSIAN}') AS w, n FROM tok)) GROUP BY stem")
+def russian_stem_frequency(spark, sf_dir):
+    """Stems of all tokens, Latin ones written in Russian letters, once a distinct token."""
+    words = token_counts(spark, sf_dir).select(F.translate("t", _LATIN, _RUSSIAN).alias("w"), "n")
+    return words.groupBy(russian.russian_stem("w").alias("stem")).agg(F.sum("n").alias("n"))
