@@ -138,9 +138,9 @@ def insight_batch(closed: DataFrame, needed: dict[str, Column], late_ms: int = 3
     order = Window.partitionBy("id").orderBy("ms", "revision")
     best = F.max("revision").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("best", best).where("best is null or revision > best").withColumn("next", F.lead("ms").over(order))
-    rows = rows.crossJoin(closed.agg((F.unix_millis(F.max("at")) - late_ms).alias("mark")))  # one row
+    mark = closed.agg(F.unix_millis(F.max("at")) - late_ms).scalar()
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), n.cast("bigint").alias("needed")) for k, n in needed.items())))
-    rows = rows.select("id", "revision", "ms", F.coalesce("next", "mark").alias("end"), kinds.alias("k"))
+    rows = rows.select("id", "revision", "ms", F.coalesce("next", mark).alias("end"), kinds.alias("k"))
     # attempts whose time is before the end, the first one whatever it is
     possible = F.greatest(F.lit(1), F.ceil((F.col("end") - F.col("ms")) / F.lit(retry_ms)))
     rows = rows.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.least("k.needed", possible).cast("int"))))
