@@ -121,7 +121,7 @@ def set_ops_hits(spark, sf_dir):
     d = S.table(spark, sf_dir, "documents")
     a, b = d.select("doc_id", F.explode(T.tokens("text")).alias("t")).where("t = 'token'").select("doc_id"), d.where("n_chars > 3000").select("doc_id")
     count = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return count(a.intersect(b), "both").union(count(a.union(b).distinct(), "either")).union(count(a.exceptAll(b).distinct(), "first"))
+    return count(a.intersect(b), "both").union(count(a.union(b).distinct(), "either")).union(count(a.subtract(b), "first"))
 
 
 @query("citation_dedupe", "WITH c AS (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS first FROM lineitem GROUP BY l_orderkey, l_suppkey) SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY first, l_suppkey) AS cited FROM c GROUP BY l_orderkey")
