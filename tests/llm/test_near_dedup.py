@@ -79,6 +79,26 @@ def test_strangers_at_the_head_of_every_bucket_part_nobody(spark, monkeypatch):
     assert {want[i][1] for i in (400, 401, 402)} == {400} and got == want
 
 
+def test_a_group_that_fits_a_block_is_met_once(spark, monkeypatch):
+    """Members unlike the head, and unlike each other, take part in one cell of their bucket and in one of their group."""
+    dealt, deal = [], near_dedup._blocks
+
+    def spied(rows, group, sizes, *rest):
+        cells = deal(rows, group, sizes, *rest)
+        dealt.append((group, rows.join(sizes, group, "left_semi").count(), cells.count()))
+        return cells
+
+    monkeypatch.setattr(near_dedup, "_blocks", spied)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join(passage + [word() for _ in range(10 + 30 * (i % 2))])) for i in range(300)]
+    df = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], SCHEMA)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_classes(df, percent=80).collect()}
+    assert got == brute(rows, 80)
+    assert {g for g, *_ in dealt} == {"key", "head"} and all(n and n == made for _, n, made in dealt)
+
+
 def test_the_banding_follows_the_limit():
     for percent in range(40, 101, 5):
         b = near_dedup.banding(percent)

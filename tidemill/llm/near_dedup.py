@@ -25,6 +25,8 @@ from .words import WordHasher, mix, shingle_set
 MISS, UNLIKE = 1e-4, 1e-8
 #: Documents of a block whose sets, or whose signatures alone, are compared with another block's in one task.
 BLOCK, SIGNATURES = 512, 2048
+#: A block of short texts holds up to ``WIDE`` times as many documents, if these have no more than so many shingles.
+WIDE, SHINGLES = 4, 1 << 20
 #: Buckets in which a member outside its group's largest component meets one that chance picks.
 CHANCES = 4
 #: Documents whose sets a task holds at a time before it passes them on.
@@ -147,7 +149,7 @@ def _fellows(least: int, size: int):
             good = (equal >= least) & (odd[x][:, None] | odd[second]) & (x[:, None] != second)
             has[x] |= good.any(1)
             has[second] |= good.any(0)
-        return pdf.loc[has, ["key", "doc"]]
+        return pdf.loc[has, ["key", "doc", "size"]]
 
     return find
 
@@ -197,35 +199,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = signed.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n_shingles")).alias("s"))
     one = least.select("doc_id", "s.h1", "s.h2", "s.n_shingles")
     classes = written(one.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")), "classes", fewer)
-    reps = classes.join(signed.select("h1", "h2", "sig", F.col("doc_id").alias("doc")), ["h1", "h2", "doc"]).dropDuplicates(["doc"])
-    reps = written(reps.select("doc", "h1", "h2", "sig"), "reps", shuffle_width(docs.sparkSession))
+    reps = classes.join(signed.select("h1", "h2", "sig", F.col("n_shingles").alias("size"), F.col("doc_id").alias("doc")), ["h1", "h2", "doc"]).dropDuplicates(["doc"])
+    reps = written(reps.select("doc", "h1", "h2", "sig", "size"), "reps", shuffle_width(docs.sparkSession))
 
     half = [F.xxhash64(F.lit(t), *(F.col("sig")[band.depth * t + k] for k in range(band.depth))) for t in range(2 * band.side)]
     rows = reps.select("doc", F.explode(F.array(*half[: band.side])).alias("l"), F.array(*half[band.side :]).alias("r"))
     rows = rows.select("doc", "l", F.explode("r").alias("r")).select("doc", F.xxhash64("l", "r").alias("key"))
     heads = rows.groupBy("key").agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head < last").select("key", "head")
     buckets = written(rows.join(heads, "key").select("key", "head", "doc"), "buckets", few)
-    sigs = reps.select("doc", "sig")
+    sigs = reps.select("doc", "sig", "size")
     equal = sum((F.col("sig")[k] == F.col("head_sig")[k]).cast("int") for k in range(band.hashes))
 
     def against(mates: DataFrame, name: str) -> DataFrame:
-        mates = mates.join(sigs, "doc").join(sigs.select(F.col("doc").alias("head"), F.col("sig").alias("head_sig")), "head")
-        return written(mates.select("head", "doc", equal.alias("equal")), name, few)
+        mates = mates.join(sigs, "doc").join(sigs.select(F.col("doc").alias("head"), F.col("sig").alias("head_sig"), F.col("size").alias("head_size")), "head")
+        return written(mates.select("head", "doc", equal.alias("equal"), "size", "head_size"), name, few)
 
     mates = against(buckets.where("doc <> head").select("head", "doc").distinct(), "mates")
     unlike = mates.where(F.col("equal") < band.least).select("head", "doc", F.lit(True).alias("odd"))
     mixed = buckets.join(unlike, ["head", "doc"], "left").select("key", "doc", F.coalesce("odd", F.lit(False)).alias("odd"))
     sizes = mixed.groupBy("key").agg(F.count("*").alias("n"), F.count_if("odd").alias("odd_n")).where("odd_n > 0 and n > 2")
-    sizes = sizes.selectExpr("key", f"int(ceil(odd_n / {SIGNATURES})) as odd_blocks", f"int(ceil((n - odd_n) / {SIGNATURES})) as even_blocks")
-    block = "if(odd, pmod(xxhash64(doc), odd_blocks), odd_blocks + pmod(xxhash64(doc), even_blocks))"
+    sizes = sizes.selectExpr("key", f"int(ceil(odd_n / {SIGNATURES})) as odd_blocks", f"int(if(n <= {SIGNATURES}, 0, ceil((n - odd_n) / {SIGNATURES}))) as even_blocks")
+    block = "if(odd or even_blocks = 0, pmod(xxhash64(doc), odd_blocks), odd_blocks + pmod(xxhash64(doc), even_blocks))"
     cells = _blocks(mixed, "key", sizes, [block, "0", "odd_blocks - 1 + if(odd, even_blocks, 0)"], ["odd"], BUCKET_SALT)
-    fellows = cells.join(sigs, "doc").groupBy("key", "i", "j").applyInPandas(_fellows(band.least, band.hashes), "key bigint, doc bigint")
+    fellows = cells.join(sigs, "doc").groupBy("key", "i", "j").applyInPandas(_fellows(band.least, band.hashes), "key bigint, doc bigint, size bigint")
     fellows = written(fellows.distinct(), "fellows", few)
     named = fellows.groupBy("key").agg(F.min("doc").alias("head"))
     others = fellows.join(named, "key").where("doc <> head").select("head", "doc").distinct().join(mates.select("head", "doc"), ["head", "doc"], "left_anti")
     mates = written(mates.where(F.col("equal") >= band.least).union(against(others, "others")), "all_mates", few)
-    member = fellows.join(named, "key").select("head", "doc").union(mates.select("head", "doc")).distinct()
-    member = written(member.union(mates.select("head", F.col("head").alias("doc"))).distinct(), "members", few)
+    member = fellows.join(named, "key").select("head", "doc", "size").union(mates.select("head", "doc", "size")).distinct()
+    member = written(member.union(mates.select("head", F.col("head").alias("doc"), F.col("head_size").alias("size"))).distinct(), "members", few)
 
     asked = member.select("doc").distinct().join(reps.select("doc", "h1", "h2"), "doc")
     found = texts.join(asked.select(F.col("doc").alias("doc_id"), "h1", "h2"), "doc_id").select("doc_id", "h1", "h2", "text")
@@ -243,9 +245,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def parts(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members with their component, and the groups that hold several: the largest, its rows and the others'."""
         near = written(components(links), "near", fewer)
-        found = member.join(near, F.col("doc") == F.col("node"), "left").select("head", "doc", F.coalesce("component", "doc").alias("component"))
-        split = found.groupBy("head", "component").agg(F.count("*").alias("n")).groupBy("head").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
-        return found, split.where("parts > 1 and all > 2").selectExpr("head", "main.component as main", "all - main.n as out_n", "main.n as main_n")
+        found = member.join(near, F.col("doc") == F.col("node"), "left").select("head", "doc", "size", F.coalesce("component", "doc").alias("component"))
+        split = found.groupBy("head", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+        split = split.groupBy("head").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum("size").alias("size"), F.max(F.struct("n", "component", "size")).alias("main")).where("parts > 1 and all > 2")
+        return found, split.selectExpr("head", "main.component as main", "all - main.n as out_n", "main.n as main_n", "size - main.size as out_size", "main.size as main_size")
 
     links = written(confirmed(best.union(twos).distinct()), "links", fewer)
     found, split = parts(links)
@@ -257,8 +260,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         tried = few_keys.join(chance, "key").where("doc <> head").select("doc", "head").distinct()
         links = written(links.union(confirmed(tried)).distinct(), "more_links", fewer)
         found, split = parts(links)
-    split = split.selectExpr("head", "main", f"int(ceil(out_n / {BLOCK})) as out_blocks", f"int(ceil(main_n / {BLOCK})) as main_blocks")
-    block = "if(component = main, out_blocks + pmod(xxhash64(doc), main_blocks), pmod(xxhash64(doc), out_blocks))"
+    blocks = "int(ceil(least(({0}) / {2}, greatest(({0}) / {3}, ({1}) / {4}))))"
+    of = lambda n, size: blocks.format(n, size, BLOCK, WIDE * BLOCK, SHINGLES)
+    whole = f"{of('out_n + main_n', 'out_size + main_size')} = 1"  # such a group is one block, and its largest component lies with the rest
+    split = split.selectExpr("head", "main", f"if({whole}, 1, {of('out_n', 'out_size')}) as out_blocks", f"if({whole}, 0, {of('main_n', 'main_size')}) as main_blocks")
+    block = "if(component = main and main_blocks > 0, out_blocks + pmod(xxhash64(doc), main_blocks), pmod(xxhash64(doc), out_blocks))"
     cells = _blocks(found, "head", split, [block, "0", "if(component = main, 0, main_blocks) + out_blocks - 1"], ["component"], GROUP_SALT)
     more = cells.join(sets, "doc").groupBy("head", "i", "j").applyInPandas(_linker(percent), "a bigint, b bigint")
     links = written(links.union(more), "all_links", fewer)
