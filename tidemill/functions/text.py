@@ -36,17 +36,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-#: What a text must hold for Unicode composition to change it: marks, vowels and tails of Hangul, and letters with a form of their own.
-COMPOSABLE = (
-    r"[\p{M}\u0374\u037E\u0387\u0958-\u095F\u09DC-\u09DF\u0A33-\u0A5E\u0B5C-\u0B5D\u0F43-\u0F69\u1161-\u11C2\u1F71-\u1FFD"
-    r"\u2000\u2001\u2126\u212A\u212B\u2329\u232A\u2ADC\uF900-\uFAFF\uFB1D-\uFB4E\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1D}]"
-)
-
-
 def composed(c: Column | str) -> Column:
-    """Unicode composition (NFC), by the ICU library on Spark's own class path; only texts that it can change go there."""
+    """Unicode composition (NFC), by the ICU library on Spark's own class path, which is quick to see that a text is composed; ASCII, which always is, does not go there."""
     x = _col(c)
-    return F.when(x.rlike(COMPOSABLE), F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(False))).otherwise(x)
+    plain = F.octet_length(x) == F.length(x)
+    return F.when(~plain, F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(x, F.lit("")), F.lit(False))).otherwise(x)
 
 
 def folded(c: Column | str, map_latin: bool = False) -> Column:

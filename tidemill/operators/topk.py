@@ -1,10 +1,10 @@
-"""Bounded top-k over impact blocks: only chunks that can enter a query's best are scored.
+"""Bounded top-k by impacts: only chunks that can enter a query's best are scored.
 
 A score is a sum over a query's terms of ``gain * s``, the term's gain for the query and its strength in the chunk, and of what the
-chunk's heading adds.  A term's postings lie in blocks of like strength, each with its largest one.  The fullest blocks of
-each term give a query first hits, whose k-th score is a floor.  A query's frequent terms then share out what lies below the
-floor as cuts: a chunk that is over no cut cannot reach the floor, so blocks under the cut are left out whole, and the postings of the
-others meet the cut one by one.  What is left is scored in full.
+chunk's heading adds.  Postings are counted by term and level of strength.  About a block of each term's strongest ones
+give a query first hits, whose k-th score is a floor.  A query's frequent terms then share out what lies below the
+floor as cuts: a chunk that is over no cut cannot reach the floor, so terms that are cut whole are left out, and the postings of the
+others meet the cut one by one, read off the chunks.  What is left is scored in full.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from ..sources.scratch import stored
 
 #: Postings of a block, about, and levels of strength from zero to a term's largest.
 BLOCK, LEVELS = 128, 16
-#: Blocks of each term that are read for the floor.
-FIRST = 1
+#: Levels of strength for which its double makes one, where first hits are chosen.
+OCTAVE = 8
 #: Share of the chunks that a query's postings over whole cuts may make up before cuts are halved.
 FEW = 0.01
 #: What rounding to six places can move a score by, twice over.
@@ -93,13 +93,18 @@ def candidates(index: Index, most: int, least: float | None = None) -> DataFrame
     chunk's impacts must pass their cuts by the other half together.  A chunk of a score at the floor or above does, or has
     its floor from a heading alone: of such chunks the first of each section, in input order, are enough.
     """
-    blocks, terms = impact_blocks(index.chunks)
+    postings = index.chunks.select(*CHUNK, F.explode("terms").alias("term", "s"))
+    level = F.floor(F.log2("s") * OCTAVE).cast("int").alias("level")
+    levels = stored(postings.groupBy("term", level).agg(F.count("*").alias("n"), F.max("s").alias("strongest")), "levels")
+    terms = levels.groupBy("term").agg(F.sum("n").alias("df"), F.max("strongest").alias("strongest"))
     asked = index.queries.select("qid", F.explode("q").alias("x")).select("qid", "x.term", "x.gain").join(small(terms), "term")
     asked = stored(asked.select("qid", "term", "gain", "df", (F.col("gain") * F.col("strongest")).alias("largest")), "asked")
 
-    fullest = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("most"), F.desc("level"), "part"))
-    first = blocks.withColumn("_k", fullest).where(F.col("_k") <= FIRST).select("term", "postings")
-    seeds = first.join(small(asked.select("qid", "term")), "term").select("qid", F.explode("postings").alias("p")).select("qid", "p.document", "p.ord")
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    strong = levels.withColumn("above", above).where(F.col("above") < BLOCK).select("term", "level", F.ceil(F.col("n") / BLOCK).alias("parts"))
+    strong = stored(strong.join(small(asked.select("qid", "term")), "term").groupBy("term", "level", "parts").agg(F.collect_list("qid").alias("qids")), "strong")
+    first = postings.select(*CHUNK, "term", level).join(small(strong), ["term", "level"]).where(F.pmod(F.xxhash64(*CHUNK), F.col("parts")) == 0)
+    seeds = first.select(F.explode("qids").alias("qid"), *CHUNK)
     if index.bare:
         place = F.row_number().over(Window.partitionBy("section").orderBy(*CHUNK))
         heads = index.chunks.select("section", *CHUNK).join(index.heads.select("section").distinct(), "section", "left_semi").withColumn("_k", place).where(F.col("_k") <= most)
@@ -120,8 +125,8 @@ def candidates(index: Index, most: int, least: float | None = None) -> DataFrame
     share = F.when(left <= FEW * index.chunks.count(), 1.0).otherwise(0.5)
     cuts = asked.withColumn("share", share).withColumn("cut", cut(F.col("room") * F.col("share")))
     cuts = cuts.withColumn("need", F.col("room") - F.sum("cut").over(whole)).where("cut < largest").select("qid", "term", "gain", "cut", "need")
-    over = blocks.join(small(cuts), "term").where("gain * most > cut").select("qid", "gain", "cut", "need", F.explode("postings").alias("p"))
-    over = over.select("qid", "p.document", "p.ord", "need", (F.col("gain") * F.col("p.s") - F.col("cut")).alias("over")).where("over > 0")
+    cuts = stored(cuts, "cuts")
+    over = postings.join(small(cuts), "term").select("qid", *CHUNK, "need", (F.col("gain") * F.col("s") - F.col("cut")).alias("over")).where("over > 0")
     enough = over.groupBy("qid", *CHUNK, "need").agg(F.sum("over").alias("over")).where(F.col("over") >= F.col("need"))
     return enough.select("qid", *CHUNK).union(seeds).distinct()
 
