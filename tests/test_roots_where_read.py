@@ -4,6 +4,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from tidemill import registry
 from tidemill.functions import text as T
 from tidemill.operators import retrieval, topk
 
@@ -41,6 +42,11 @@ def test_tokens_are_counted_without_a_second_shuffle(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning(document") == 1 and "REPARTITION_BY_NUM" in plan
 
 
+def test_few_hits_are_sent_to_the_texts(spark):
+    plan = registry.queries()["extractive_answer"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_texts_are_composed(spark):
     texts = ["plain", "", None, "été", "йод ё", "한", "Å Ω יִ क़", "naïve — «да»"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.composed("t").alias("c"))

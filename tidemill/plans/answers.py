@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as A
 from ..operators import clarify as C
+from ..operators.topk import small
 from ..registry import query
 from ..sources import formats
 from ..sources import tables as S
+from ..sources.scratch import stored
 from . import retrieval
 
 
@@ -20,7 +22,8 @@ def unit_segmentation(spark, sf_dir):
 
 @query("extractive_answer")
 def extractive_answer(spark, sf_dir):
-    hits = retrieval.lexical_topk(spark, sf_dir).join(S.chunks(spark, sf_dir), ["document", "ord"]).select("qid", "rank", "text")
+    hits = small(stored(retrieval.lexical_topk(spark, sf_dir).select("qid", "rank", "document", "ord"), "hits"))
+    hits = S.chunks(spark, sf_dir).join(hits, ["document", "ord"]).select("qid", "rank", "text")
     return A.extractive(hits).select("qid", "answer", F.array_join(F.transform("cited_ranks", lambda x: x.cast("string")), ",").alias("cited"))
 
 
