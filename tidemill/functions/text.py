@@ -6,6 +6,8 @@ ships and calls by ``java_method``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,9 +70,9 @@ def tokens_sql(c: str) -> str:
 
 
 def stem(t: Column | str) -> Column:
-    """Drop the longest listed suffix that leaves three letters; tokens of up to four stay."""
+    """Drop the longest listed suffix that leaves three letters; tokens of up to four stay, and ASCII ones, since suffixes are Cyrillic."""
     t = _col(t)
-    return F.when(F.length(t) <= 4, t).otherwise(F.regexp_replace(t, _STEM, "$1"))
+    return F.when((F.length(t) <= 4) | (F.octet_length(t) == F.length(t)), t).otherwise(F.regexp_replace(t, _STEM, "$1"))
 
 
 def stem_sql(t: str) -> str:
@@ -216,6 +218,11 @@ def pdf_words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.replace(x, F.lit("-")), F.lit(TOKEN), F.lit(0))
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` made once a row however often ``use`` names it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def shingle_keys(words: Column, width: int = 3) -> Column:
     """Distinct runs of ``width`` words as 64-bit hashes; none if there are fewer words."""
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import stored
 from . import clarify as C
 from . import moderation as M
 
@@ -74,16 +75,14 @@ def _worded(text: Column) -> Column:
 
 def echoes(question: Column, labels: Column) -> Column:
     """Whether an option asks back or says no more than the question; a lone topic word may stand in an option."""
-    asked, phrase = _worded(question), F.size(T.significant_stems(question)) >= 2
-    words = F.split(F.trim(asked), r"(?U)\s+")
+    worded = F.struct(_worded(question).alias("asked"), (F.size(T.significant_stems(question)) >= 2).alias("phrase"), F.split(F.trim(_worded(question)), r"(?U)\s+").alias("words"))
 
-    def one(label: Column) -> Column:
-        raw, said = F.trim(label), _worded(F.trim(label))
+    def one(q: Column, raw: Column, said: Column) -> Column:
         long = F.filter(F.split(F.trim(said), r"(?U)\s+"), lambda w: F.length(w) > 2)
-        within = (said != "") & (F.contains(asked, said) | (phrase & F.contains(said, asked)))
-        return raw.rlike("[?？]$") | within | (phrase & (F.size(long) >= 2) & (F.size(F.array_except(long, words)) == 0))
+        within = (said != "") & (F.contains(q["asked"], said) | (q["phrase"] & F.contains(said, q["asked"])))
+        return raw.rlike("[?？]$") | within | (q["phrase"] & T.named(long, lambda w: (F.size(w) >= 2) & (F.size(F.array_except(w, q["words"])) == 0)))
 
-    return F.exists(labels, one)
+    return T.named(worded, lambda q: F.exists(labels, lambda x: T.named(_worded(F.trim(x)), lambda said: one(q, F.trim(x), said))))
 
 
 def is_form(question: Column, labels: Column) -> Column:
@@ -116,50 +115,62 @@ def usable_option(label: Column, topic: Column) -> Column:
 def topic_label(question: Column) -> Column:
     """A question without signs, its first forty characters."""
     bare = F.trim(F.regexp_replace(question, r"(?U)[^\w\s\-]+", ""))
-    return F.rtrim(F.substring(F.when(bare != "", bare).otherwise(F.trim(question)), 1, 40))
+    return T.named(bare, lambda b: F.rtrim(F.substring(F.when(b != "", b).otherwise(F.trim(question)), 1, 40)))
 
 
-def names_a_lookup(question: Column) -> Column:
-    """Whether a question asks how, what or for how long, names a change, or has a subject of three stems: none of these forks."""
+def names_a_lookup(question: Column, open_help: Column | None = None) -> Column:
+    """Whether a question asks how, what or for how long, names a change, or has a subject of three stems: none of these forks.  ``open_help`` is ``M.is_open_help`` of it, where that is known."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(question, r"(?iU)\bкак\b", " "), r"(?U)\s+", " "))
-    stripped = F.when(bare != "", bare).otherwise(question)
+    stripped = T.named(bare, lambda b: F.when(b != "", b).otherwise(question))
     what = question.rlike(r"(?iU)что\s+такое") | asks_for_term(question)
-    return M.is_open_help(question) | named_mutation(question) | what | stripped.rlike(LOOKUP) | (F.size(T.significant_stems(stripped)) >= 3)
+    help_ = M.is_open_help(question) if open_help is None else open_help
+    return help_ | T.named(stripped, lambda s: (F.size(T.significant_stems(s)) >= 3) | s.rlike(LOOKUP)) | named_mutation(question) | what
 
 
 def catalog_forks(questions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``qid, labels``: up to six labels of topics that share a stem with a question and say more than it, in the catalog's order; two at least.
+    """``qid, labels``: up to six labels of topics that share a stem with a question and say more than it, in the catalog's order.
 
-    ``questions`` has ``qid, question``, ``catalog`` has ``n`` (its order), ``title, section``.  Questions meet labels on stems.
+    ``questions`` has ``qid, question``, ``catalog`` has ``n`` (its order), ``title, section``.  Questions meet labels on stems, as numbers: a label says more
+    if fewer of its stems are met than it has.  Texts join the first labels only, one more than a card holds, for one of them may be the question itself.
     """
-    q = questions.select("qid", "question", C.expanded_stems(F.col("question")).alias("full"), F.array_distinct(T.significant_stems("question")).alias("typed")).where("size(typed) > 0")
+    typed = F.array_distinct(T.significant_stems("question"))
     known = F.array(*map(F.lit, C.EXPANDED))
-    asked = F.when(F.size(F.array_except("typed", known)) == 0, F.col("full")).otherwise(F.col("typed"))
-    q = q.select("qid", "question", asked.alias("asked"))
+    asked = T.named(typed, lambda t: F.when(F.size(F.array_except(t, known)) == 0, C.expanded_stems(F.col("question"))).otherwise(t))
     given = catalog.where(F.lower("title") != CONSULTING).select((2 * F.col("n")).alias("n"), F.trim("title").alias("label"))
-    given = given.union(catalog.where((F.lower("title") != CONSULTING) & (F.trim("section") != "")).select(2 * F.col("n") + 1, C.short_option(F.col("section"), HANGING))).where("label <> ''")
-    given = given.select("n", "label", F.array_distinct(T.significant_stems("label")).alias("stems"))
-    met = q.select("qid", F.explode("asked").alias("stem")).join(given.select("n", F.explode("stems").alias("stem")), "stem").select("qid", "n").distinct()
-    rows = met.join(given, "n").join(q, "qid").where((F.size(F.array_except("stems", "asked")) > 0) & usable_option(F.col("label"), F.col("question")))
-    return _lists(C.options(rows.select("qid", "n", "label"), ["qid"], "n", "label"))
+    given = given.union(catalog.where((F.lower("title") != CONSULTING) & (F.trim("section") != "")).select(2 * F.col("n") + 1, C.short_option(F.col("section"), HANGING)))
+    given = given.where((F.col("label") != "") & usable_option(F.col("label"), F.lit("")))
+    given = given.groupBy(F.lower("label").alias("said"), F.array_distinct(T.significant_stems("label")).alias("stems")).agg(F.min("n").alias("n"), F.min_by("label", "n").alias("label"))
+    given = given.withColumn("same", F.min("n").over(Window.partitionBy("said")))
+    postings = given.select("n", "same", F.size("stems").alias("many"), F.explode("stems").alias("stem"))
+    met = questions.select("qid", F.explode_outer(asked).alias("stem")).join(postings, "stem").groupBy("qid", "n", "same", "many").agg(F.count("*").alias("shared"))
+    first = met.where("shared < many").groupBy("qid", "same").agg(F.min("n").alias("n"))
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("n"))).where(F.col("rank") <= C.MOST_OPTIONS + 1)
+    lists = _lists(first.join(given.select("n", "label"), "n")).join(questions.select("qid", "question"), "qid")
+    return lists.select("qid", _but("labels", F.col("question")).alias("labels")).where("size(labels) > 0")
 
 
 def procedures(evidence: DataFrame) -> DataFrame:
-    """``qid, labels, any_labels, families``: the numbered headings among a question's sources as options of its topic, and of no topic, and how many section families they are of.
+    """``qid, labels, families``: the numbered headings among a question's sources as options, one more than a card holds, for one of them may be its topic; and of how many section families they are.
 
-    ``evidence`` has ``qid, pos, section, topic``.
+    ``evidence`` has ``qid, pos, section``; each of its questions has a row.  It is read once.
     """
-    numbered = evidence.where(F.trim("section").rlike(HANDBOOK)).withColumn("label", C.short_option(F.trim("section"), HANGING))
-    families = numbered.groupBy("qid").agg(F.count_distinct(F.nullif(C.section_family(F.trim("section")), F.lit(""))).alias("families"))
-    usable = lambda topic: _lists(C.options(numbered.where(usable_option(F.col("label"), topic)).select("qid", "pos", "label"), ["qid"], "pos", "label"))
-    lists = families.join(usable(F.col("topic")), "qid", "left").join(usable(F.lit("")).withColumnRenamed("labels", "any_labels"), "qid", "left")
-    none = F.array().cast("array<string>")
-    return lists.select("qid", F.coalesce("labels", none).alias("labels"), F.coalesce("any_labels", none).alias("any_labels"), "families")
+    numbered = evidence.select("qid", "pos", F.trim("section").alias("section")).withColumn("section", F.when(F.col("section").rlike(HANDBOOK), F.col("section")))
+    rows = numbered.select("qid", "pos", F.nullif(C.section_family(F.col("section")), F.lit("")).alias("family"), C.short_option(F.col("section"), HANGING).alias("label"))
+    rows = rows.withColumns({"label": F.when(usable_option(F.col("label"), F.lit("")), F.col("label")), "families": F.size(F.collect_set("family").over(Window.partitionBy("qid")))})
+    first = rows.groupBy("qid", "families", F.lower("label").alias("said")).agg(F.min(F.struct("pos", "label")).alias("f")).select("qid", "families", "f.pos", "f.label")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("label").isNull(), "pos"))
+    lists = _lists(first.withColumn("rank", rank).where(F.col("rank") <= C.MOST_OPTIONS + 1), "families")
+    return lists.select("qid", F.array_compact("labels").alias("labels"), "families")
 
 
-def _lists(ranked: DataFrame) -> DataFrame:
+def _but(labels: str, topic: Column) -> Column:
+    """A card's labels out of one more: those that are not the topic itself, the first six."""
+    return T.named(F.lower(topic), lambda t: F.slice(F.filter(labels, lambda x: F.lower(x) != t), 1, C.MOST_OPTIONS))
+
+
+def _lists(ranked: DataFrame, *kept: str) -> DataFrame:
     labels = F.transform(F.sort_array(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"])
-    return ranked.groupBy("qid").agg(labels.alias("labels"))
+    return ranked.groupBy("qid", *kept).agg(labels.alias("labels"))
 
 
 def decisions(questions: DataFrame, evidence: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -167,19 +178,20 @@ def decisions(questions: DataFrame, evidence: DataFrame, catalog: DataFrame) ->
 
     A short request forks over the catalog, else over its sources' procedures; one whose sources describe several families of
     procedures, of which it picks none, is asked which; whether it is asked does not hang on its topic, which options it is given does.  An open call for help gets the menu.
+    Those questions alone meet the catalog whose card can come of it: the others name a lookup and have procedures of their sources to offer.
     """
-    rows = questions.join(evidence.select("qid").distinct().withColumn("has_evidence", F.lit(True)), "qid", "left")
-    rows = rows.join(catalog_forks(questions, catalog).withColumnRenamed("labels", "forks"), "qid", "left")
-    named = evidence.join(questions, "qid").withColumn("topic", topic_label(F.col("question")))
-    rows = rows.join(procedures(named).withColumnRenamed("labels", "steps"), "qid", "left")
     none, q = F.array().cast("array<string>"), F.col("question")
-    topic_stems = T.significant_stems(F.col("topic"))
-    rows = rows.withColumns({"steps": F.coalesce("steps", none), "any_labels": F.coalesce("any_labels", none), "forks": F.when(F.size("forks") >= 2, F.col("forks")).otherwise(none), "topic": topic_label(q), "looks": names_a_lookup(q), "open_help": M.is_open_help(q)})
-    rows = rows.withColumns({"forks_chosen": C.selects_one(q, F.col("forks")), "steps_chosen": C.selects_one(q, F.col("any_labels")), "exempt": F.col("open_help") | q.rlike(r"(?iU)что\s+такое") | asks_for_term(q)})
+    rows = questions.join(procedures(evidence).withColumn("has_evidence", F.lit(True)), "qid", "left")
+    rows = rows.withColumns({"labels": F.coalesce("labels", none), "topic": topic_label(q), "open_help": M.is_open_help(q)})
+    rows = rows.withColumns({"looks": names_a_lookup(q, F.col("open_help")), "steps": _but("labels", F.col("topic")), "any_labels": F.slice("labels", 1, C.MOST_OPTIONS)})
+    rows = stored(rows.drop("labels"), "sourced")
+    forks = catalog_forks(rows.where(~F.col("looks") | (F.size("steps") < 2)), catalog).select("qid", F.when(F.size("labels") >= 2, F.col("labels")).alias("forks"))
+    rows = rows.join(forks, "qid", "left").withColumn("forks", F.coalesce("forks", none))
+    rows = rows.withColumn("exempt", F.col("open_help") | q.rlike(r"(?iU)что\s+такое") | asks_for_term(q))
     rows = rows.withColumns({
-        "needs_fork": ~F.col("looks") & ~((F.size("forks") >= 2) & F.col("forks_chosen")),
-        "needs_choice": F.col("has_evidence").isNotNull() & ~F.col("exempt") & (F.size("any_labels") >= 2) & (F.coalesce("families", F.lit(0)) >= 2) & ~F.col("steps_chosen"),
-        "menu": F.col("open_help") | ((F.size(topic_stems) > 0) & F.forall(topic_stems, M._helps)),
+        "needs_fork": ~F.col("looks") & ~((F.size("forks") >= 2) & C.selects_one(q, F.col("forks"))),
+        "needs_choice": F.col("has_evidence").isNotNull() & ~F.col("exempt") & (F.size("any_labels") >= 2) & (F.coalesce("families", F.lit(0)) >= 2) & ~C.selects_one(q, F.col("any_labels")),
+        "menu": F.col("open_help") | T.named(T.significant_stems("topic"), lambda s: (F.size(s) > 0) & F.forall(s, M._helps)),
     })
     first, second = F.when(F.col("needs_fork"), F.col("forks")).otherwise(F.col("steps")), F.when(F.col("needs_fork"), F.col("steps")).otherwise(F.col("forks"))
     prompt = F.when(F.col("needs_fork"), F.concat(F.lit("Что нужно по теме «"), "topic", F.lit("»?"))).otherwise(F.lit("Какой вариант имеется в виду?"))

@@ -60,11 +60,15 @@ def options(rows: DataFrame, keys: list[str], order: str, label: str, most: int
 
 def selects_one(question: Column, labels: Column) -> Column:
     """Whether a question names one of the labels: a stem that aligns with exactly one, and a qualifier or an abbreviation."""
-    stems = F.array_distinct(T.significant_stems(question))
     sets = F.transform(labels, lambda x: F.array_distinct(T.significant_stems(x)))
-    found = lambda s: F.size(F.filter(sets, lambda g: F.exists(g, lambda t: stems_align(s, t))))
-    narrow = F.exists(stems, lambda s: s.isin(T.ABBREVIATIONS)) | question.rlike(NARROWING)
-    return (F.size(labels) < 2) | (F.exists(stems, lambda s: found(s) == 1) & narrow)
+    found = lambda s, sets: F.size(F.filter(sets, lambda g: F.exists(g, lambda t: stems_align(s, t))))
+
+    def chosen(x: Column) -> Column:
+        narrow = F.exists(x["stems"], lambda s: s.isin(T.ABBREVIATIONS)) | question.rlike(NARROWING)
+        return narrow & F.exists(x["stems"], lambda s: found(s, x["sets"]) == 1)
+
+    both = F.struct(F.array_distinct(T.significant_stems(question)).alias("stems"), sets.alias("sets"))
+    return (F.size(labels) < 2) | T.named(both, chosen)
 
 
 def valid_options(labels: Column) -> Column:
@@ -82,9 +86,8 @@ def asks_personal_fact(question: Column) -> Column:
 
 def expanded_stems(question: Column) -> Column:
     """Stems of a question with those of its abbreviations in full."""
-    stems = T.significant_stems(question)
-    more = [F.when(F.array_contains(stems, F.lit(k)), T.significant_stems(F.lit(v))).otherwise(F.array().cast("array<string>")) for k, v in EXPANDED.items()]
-    return F.array_distinct(F.concat(stems, *more))
+    full = lambda stems: [F.when(F.array_contains(stems, F.lit(k)), T.significant_stems(F.lit(v))).otherwise(F.array().cast("array<string>")) for k, v in EXPANDED.items()]
+    return T.named(T.significant_stems(question), lambda stems: F.array_distinct(F.concat(stems, *full(stems))))
 
 
 def as_user_message(text: Column) -> Column:

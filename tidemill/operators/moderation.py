@@ -145,7 +145,7 @@ def is_open_help(text: Column) -> Column:
     """A call for help that names no subject."""
     stems, rest = T.significant_stems(text), T.significant_stems(F.regexp_replace(F.regexp_replace(text, HELP_FILLER, " "), r"(?U)[^\w\s]+", " "))
     only = lambda a: F.forall(a, _helps)
-    return ~reports_ui_defect(text) & (is_capability_question(text) | ((F.size(stems) > 0) & only(stems)) | (text.rlike(HELP) & only(rest)))
+    return ~reports_ui_defect(text) & (is_capability_question(text) | T.named(stems, lambda s: (F.size(s) > 0) & only(s)) | (text.rlike(HELP) & only(rest)))
 
 
 _WORD = r"[\p{L}\p{N}_]"

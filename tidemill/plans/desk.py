@@ -205,7 +205,7 @@ def evidence_covers(spark, sf_dir):
 @query("clarification_cards")
 def clarification_cards(spark, sf_dir):
     """Cards for user messages over a catalog of numbered sections; tested on hand cases."""
-    q = S.corpus(spark, sf_dir).select("qid", F.col("query").alias("question"))
+    q = R.by_chunk(S.corpus(spark, sf_dir).select("qid", F.col("query").alias("question")), ["qid"])
     c = S.catalog(spark, sf_dir).select(F.col("id").alias("n"), "title", F.concat(F.col("parent") + 1, F.lit("."), F.col("id"), F.lit(" "), F.initcap("title")).alias("section"))
     words = lambda rows, key, text: rows.select(key, F.explode(F.array_distinct(T.significant_stems(text))).alias("stem"))
     met = words(q, "qid", "question").join(words(c, "n", "title"), "stem").groupBy("qid", "n").agg(F.count("*").alias("score"))
